@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linecrf, lshforest, mixing, secret_scan, token_cache, toxicity
+from . import bytecnn, decontam, hmm, linecrf, lshforest, mixing, pii, secret_scan, token_cache, toxicity
 
 #: All pairs that share a shingle, then reachability.
 NEAR_DUPLICATES = r"""
@@ -39,9 +39,12 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": toxicity.query,
+        "op2_language_model": hmm.query,
         "op3_token_counts": token_cache.query,
+        "op4_quality_cnn": bytecnn.query,
         "op5_source_mixing": mixing.query,
         "op6_secret_scan": secret_scan.query,
+        "op7_pii": pii.query,
         "op8_decontamination": decontam.query,
         "op9_line_quality": linecrf.query,
         "op10_near_duplicates": lshforest.query,
