@@ -39,5 +39,5 @@ def windows(events: DataFrame, width: str = "1 day", delay: str | None = None) -
 
 def ingest_stream(spark: SparkSession, landing: str, checkpoint: str, publish: Callable[[DataFrame, int], None]):
     """Watches a landing folder of workbooks; every micro-batch is handed to ``publish`` once."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(landing)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.xlsx").load(landing)
     return files.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
