@@ -104,8 +104,8 @@ class Scorer:
     def _score(self, texts: list[bytes]) -> np.ndarray:
         plan = [layout(len(t), self.cfg.width) for t in texts]
         chunks, blocks = (np.array(x) for x in zip(*plan, strict=True))
-        first = np.cumsum(blocks) - blocks
-        buf = np.zeros((int(blocks.sum()) + 1) * BLOCK, np.uint8)
+        first = np.cumsum(blocks + 1) - (blocks + 1)  # a spare block apart: no filter reaches the next text
+        buf = np.zeros((int((blocks + 1).sum()) + 1) * BLOCK, np.uint8)
         for t, f in zip(texts, first, strict=True):
             buf[f * BLOCK : f * BLOCK + len(t)] = np.frombuffer(t, np.uint8)
         peak = self.block_max(buf)
