@@ -46,7 +46,3 @@ def duck(sf):
     for f in os.listdir(sf):
         con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{sf}/{f}'")
     return con
-
-
-def rows(df, *cols):
-    return sorted((tuple(r) for r in (df.select(*cols) if cols else df).collect()), key=repr)

@@ -3,7 +3,7 @@ import io
 import json
 import zipfile
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from gridquill import schemas

@@ -1,7 +1,7 @@
 import sqlite3
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from gridquill.functions import cells as C
