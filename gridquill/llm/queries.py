@@ -6,26 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytecnn, decontam, hmm, linecrf, lshforest, mixing, pii, secret_scan, token_cache, toxicity
-
-#: All pairs that share a shingle, then reachability.
-NEAR_DUPLICATES = r"""
-WITH RECURSIVE d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w
-  FROM documents),
-s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) sh
-  FROM d),
-n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id a, b.doc_id b, count(*) c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
-e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
-e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r(doc, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e2.b, r.c FROM r JOIN e2 ON e2.a = r.doc),
-m AS (SELECT doc, min(c) component_id FROM r GROUP BY doc)
-SELECT d.doc_id, coalesce(n.n, 0) n_shingles, m.component_id, d.doc_id = m.component_id AS kept
-FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.doc = d.doc_id
-"""
+from . import bytecnn, decontam, hmm, linecrf, lshforest, mixing, oracles, pii, secret_scan, token_cache, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,5 +35,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op10_near_duplicates": NEAR_DUPLICATES,
+        "op6_secret_scan": oracles.SECRET_SCAN,
+        "op7_pii": oracles.PII,
+        "op10_near_duplicates": oracles.NEAR_DUPLICATES,
     }

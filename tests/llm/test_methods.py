@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridquill.llm import bytecnn, components, decontam, hmm, linecrf, lshforest, mixing, pii, queries, secret_scan, token_cache, toxicity
+from gridquill.llm import bytecnn, components, decontam, hmm, linecrf, lshforest, mixing, oracles, pii, secret_scan, token_cache, toxicity
 from gridquill.llm.common import scratch_path, table
 
 SF = "/root/testdata/sf0.01"
@@ -96,7 +96,7 @@ def test_near_duplicates_match_sql(spark, big):
 
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{big}/documents.parquet'")
-    want = sorted(con.sql(queries.NEAR_DUPLICATES).fetchall())
+    want = sorted(con.sql(oracles.NEAR_DUPLICATES).fetchall())
     assert rows(lshforest.query(spark, big), "doc_id", "n_shingles", "component_id", "kept") == sorted(want, key=repr)
 
 
@@ -231,6 +231,17 @@ def test_spans_against_python(spark, which):
         assert sorted((s["kind"], s["start"], s["end"]) for s in r["base"]) == sorted(want(texts[r["doc_id"]])), texts[r["doc_id"]]
 
 
+@pytest.mark.parametrize("which", ["secrets", "pii"])
+def test_spans_match_sql(spark, big, which):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{big}/documents.parquet'")
+    want = con.sql(oracles.SECRET_SCAN if which == "secrets" else oracles.PII)
+    got = (secret_scan if which == "secrets" else pii).query(spark, big)
+    assert rows(got, *sorted(want.columns)) == sorted(want.select(", ".join(sorted(want.columns))).fetchall(), key=repr)
+
+
 def test_ownership_separates_examples_from_live_values(spark):
     live, example = "Zx9" + "q1W2e3R4" * 3, "Ab1" + "k1L2m3N4" * 3
     data = [(1, f"key {live} end", "o1"), (2, f"key {live} end", "o1")] + [(10 + i, f"see {example} there token = '0000aaaa1111'", f"o{i}") for i in range(5)] + [(20, "token = 'onlyhere99'", "o1")]
