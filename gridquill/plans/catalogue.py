@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import catalog, cells, classify, enrich, parsers, search
+from ..functions import cells as C
+from ..operators import catalog, cells, classify, enrich, parsers, preview, search
 from ..sources import stand_in as S
 from ..streaming import progress
 
@@ -492,3 +493,76 @@ def progress_latest(spark, d):
 @query
 def progress_windows(spark, d):
     return progress.windows(_events(spark, d)).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "stage", "n")
+
+
+# previews and small functions ----------------------------------------------------------------
+
+
+@query
+def preview_chunks(spark, d):
+    c = S.chunks(spark, d).select("sheet_id", "chunk_order", "text")
+    return _long(preview.preview_chunks(c, first=3, text_chars=20), "chunk_order")
+
+
+@query
+def output_counters(spark, d):
+    sheets = S.prose_sheets(spark, d)
+    out = preview.output_counters(sheets, n_chunks=S.chunks(spark, d), n_cells=S.prose_cells(spark, d), n_summaries=S.summaries(spark, d).withColumnRenamed("chunk_id", "sheet_id"))
+    return out
+
+
+@query
+def folder_totals(spark, d):
+    return preview.totals(catalog.folder_listing(S.folders(spark, d), S.documents(spark, d), S.chunks(spark, d)))
+
+
+@query
+def sheet_inspect_preview(spark, d):
+    return preview.inspect_sheets(S.prose_sheets(spark, d), S.prose_cells(spark, d)).select("sheet_id", "n_cells", "n_rows")
+
+
+@query
+def citation_anchors(spark, d):
+    c = S.read(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("as [#"), (F.col("turn") + 1).cast("string"), F.lit("] says [#x]")).alias("t"))
+    return c.select("conv_id", "turn", X.citation_anchors(F.col("t")).alias("html"))
+
+
+@query
+def query_strings(spark, d):
+    return S.read(spark, d, "benchmark").select("item_id", X.query_string(F.substring("text", 1, 60)).alias("q"))
+
+
+@query
+def column_letters(spark, d):
+    return S.read(spark, d, "supplier").select("s_suppkey", C.column_letter((F.col("s_suppkey") + 1).cast("int")).alias("letter"))
+
+
+@query
+def safe_file_names(spark, d):
+    return S.read(spark, d, "part").select("p_partkey", X.safe_file_name(F.concat("p_name", F.lit("/"), "p_brand")).alias("name"))
+
+
+@query
+def palette_colors(spark, d):
+    n = S.read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.when(F.col("n_nationkey") % 3 == 0, F.lit("ff00aa11")).alias("rgb"), F.when(F.col("n_nationkey") % 3 == 1, F.col("n_nationkey") % 8).alias("i"))
+    return n.select("id", F.coalesce(C.resolve_color(F.col("rgb"), F.col("i"), F.lit(None).cast("string")), F.lit("none")).alias("color"))
+
+
+@query
+def issue_codes(spark, d):
+    c = S.read(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("see DBL-"), F.col("s_suppkey").cast("string"), F.lit(", X-1, KAIZEN-7 and DBL-"), F.col("s_suppkey").cast("string")).alias("t"))
+    return c.select("s_suppkey", F.array_join(X.issue_codes(F.col("t")), ",").alias("codes"))
+
+
+@query
+def events_until_terminal(spark, d):
+    e = _events(spark, d).withColumn("stage", F.when(F.col("stage") == "purchase", "done").otherwise(F.col("stage")))
+    return progress.until_terminal(e).groupBy("document_id").agg(F.count("*").alias("n"))
+
+
+@query
+def ivf_recall(spark, d):
+    """Approximate search over a query per hundred vectors (no SQL twin: centroids are fitted)."""
+    v = S.read(spark, d, "embeddings").select(F.col("vec_id").alias("ref_id"), "embedding")
+    q = v.where("ref_id % 100 = 0").withColumnRenamed("ref_id", "query_id")
+    return _ranked(search.ivf_knn(v, q, search.ivf_build(v, 16), 10, probes=6), "query_id", "ref_id")

@@ -159,4 +159,15 @@ SELECT * FROM (SELECT query_id, chunk_id, count(DISTINCT tk)::DOUBLE score, row_
     "json_default": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), -1) END k FROM events",
     "progress_latest": "SELECT user_id document_id, arg_max(event_type, (ts, event_type)) stage, count(*) n_events FROM events GROUP BY user_id",
     "progress_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type stage, count(*) n FROM events GROUP BY ALL",
+    "preview_chunks": _with(["chunks"], "SELECT sheet_id, chunk_order, t AS text FROM (SELECT document_id sheet_id, chunk_order, left(text, 20) t, row_number() OVER (PARTITION BY document_id ORDER BY chunk_order) i FROM chunks) WHERE i <= 3"),
+    "output_counters": _with(["chunks", "cells"], "SELECT d.doc_id sheet_id, (SELECT count(*) FROM chunks c WHERE c.document_id = d.doc_id) n_chunks, (SELECT count(*) FROM cells c WHERE c.sheet_id = d.doc_id) n_cells, (SELECT count(*) FROM embeddings e WHERE e.vec_id % 100 = d.doc_id) n_summaries FROM documents d"),
+    "folder_totals": _with(["chunks"], "SELECT (SELECT count(*) FROM docs) n_documents, (SELECT count(*) FROM chunks) n_chunks"),
+    "sheet_inspect_preview": _with(["cells"], "SELECT d.doc_id sheet_id, count(c.text) n_cells, count(DISTINCT c.row) n_rows FROM documents d LEFT JOIN cells c ON c.sheet_id = d.doc_id GROUP BY d.doc_id"),
+    "citation_anchors": "SELECT conv_id, turn, 'as <a href=\"#cite-' || (turn + 1) || '\">[' || (turn + 1) || ']</a> says [#x]' html FROM conversations",
+    "query_strings": "SELECT item_id, array_to_string(list_transform(list_filter(string_split_regex(substring(text, 1, 60), '\\s+'), lambda x: x <> ''), lambda x: '\"' || replace(x, '\"', '\"\"') || '\"'), ' ') q FROM benchmark",
+    "column_letters": "SELECT s_suppkey, CASE WHEN s_suppkey < 26 THEN chr((65 + s_suppkey)::INT) WHEN s_suppkey < 702 THEN chr((65 + (s_suppkey - 26) // 26)::INT) || chr((65 + (s_suppkey - 26) % 26)::INT) ELSE chr((65 + (s_suppkey - 702) // 676)::INT) || chr((65 + (s_suppkey - 702) // 26 % 26)::INT) || chr((65 + (s_suppkey - 702) % 26)::INT) END letter FROM supplier",
+    "safe_file_names": "SELECT p_partkey, substring(regexp_replace(p_name || '/' || p_brand, '[^\\p{L}\\p{N}\\-_.]', '_', 'g'), 1, 60) AS name FROM part",
+    "palette_colors": "SELECT n_nationkey::BIGINT id, CASE WHEN n_nationkey % 3 = 0 THEN '#00AA11' WHEN n_nationkey % 3 = 1 THEN '#' || ['000000', 'FFFFFF', 'FF0000', '00FF00', '0000FF', 'FFFF00', 'FF00FF', '00FFFF'][n_nationkey % 8 + 1] ELSE 'none' END color FROM nation",
+    "issue_codes": "SELECT s_suppkey, 'DBL-' || s_suppkey || ',KAIZEN-7' codes FROM supplier",
+    "events_until_terminal": "WITH e AS (SELECT user_id document_id, ts, event_type FROM events), f AS (SELECT document_id, min(ts) t FROM e WHERE event_type IN ('purchase', 'done', 'error') GROUP BY ALL) SELECT e.document_id, count(*) n FROM e LEFT JOIN f USING (document_id) WHERE t IS NULL OR ts <= t GROUP BY e.document_id",
 }
