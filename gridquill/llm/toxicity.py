@@ -1,13 +1,12 @@
 """Toxicity: class-conditional Kneser-Ney models.
 
-Two bigram models, one of toxic and one of ordinary labelled text, are compared. In both,
-the top order holds discounted bigram counts, the next order discounted continuation counts
-(in how many contexts of that class a word occurs), and what the discount takes away is given
-to *shared* counts, those of both classes together: of continuations for a word, of the
-bigram (tilted by what the word alone says) for a bigram. An expression too rare
-to be told from chance in either class thus gets the same probability in both and says nothing.
-The discount grows with the square root of a count, put to the scale of the smaller class, so
-that a word has to be out of the ordinary by several standard deviations to count.
+Two bigram models, one of toxic and one of ordinary labelled text, are compared. The top order
+holds bigram counts, the next order continuation counts (in how many contexts and texts of
+that class a word occurs), and both are discounted: what a class keeps of a count is what goes
+beyond the share of the *shared* count (both classes together) that would fall to it by chance,
+by ``z`` standard deviations and ``discount``. The mass taken away goes to the shared counts, in both
+classes alike (for a bigram tilted by what its word alone says). An expression too rare to be
+told from chance thus gets the same probability in both models and says nothing.
 
 A text is compared by its length-normalised log-likelihoods: the difference of the two
 per-word log-likelihoods over the worst stretch of ``window`` words (the whole text if it is
@@ -39,10 +38,9 @@ _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 @dataclass(frozen=True)
 class ToxicityConfig:
     max_docs: int = 8000  # labelled rows taken for learning, at most
-    discount: float = 0.75  # the least discount
-    z: float = 2.5  # standard deviations of a count that the discount takes
-    backoff: float = 0.2  # the least share of shared counts
-    window: int = 30  # words of the worst stretch
+    discount: float = 0.75  # what every count loses
+    z: float = 4.0  # standard deviations of the shared count that it loses besides
+    window: int = 20  # words of the worst stretch
 
 
 @dataclass
@@ -77,63 +75,61 @@ def worst_stretch(ratios: np.ndarray, window: int) -> float:
     return float((total[window:] - total[:-window]).max() / window)
 
 
-def _discounted(count: np.ndarray, scale: float, cfg: ToxicityConfig) -> np.ndarray:
-    c = count * scale
-    return np.maximum(c - np.maximum(cfg.discount, cfg.z * np.sqrt(c)), 0)
+def _excess(count: np.ndarray, total: np.ndarray, cfg: ToxicityConfig) -> np.ndarray:
+    """What each class keeps of its counts, as a share of its total; rows: expressions."""
+    expected = count.sum(1, keepdims=True) * total / total.sum()
+    return np.maximum(count - expected - cfg.z * np.sqrt(expected) - cfg.discount, 0) / total
 
 
-def build(words: list[bytes], contexts: np.ndarray, heads: list[bytes], tails: list[bytes], pairs: np.ndarray, cfg: ToxicityConfig) -> ClassPair:
+def build(words: list[bytes], contexts: np.ndarray, heads: list[bytes], tails: list[bytes], pairs: np.ndarray, cfg: ToxicityConfig, all_contexts: np.ndarray) -> ClassPair:
     """contexts: per word the continuation counts (ordinary, toxic); pairs: per bigram its counts,
-    then those of all bigrams with its first word."""
-    vocabulary, unigram = {}, [0.0]
-    total = contexts.sum(0).astype(float)
-    p = np.zeros((len(words), 2))
-    if len(words) and total.min() > 0:
-        least = total.min()
-        d = np.stack([_discounted(contexts[:, c], least / total[c], cfg) / least for c in (0, 1)], 1)
-        mass = d.sum(0)
-        shared = max(cfg.backoff, float((1 - mass).max()))
-        p = d / np.maximum(mass, 1e-12) * (1 - shared) * (mass > 0) + shared * (contexts.sum(1) / total.sum())[:, None]
-    ratio = np.log(np.maximum(p[:, 1], 1e-300) / np.maximum(p[:, 0], 1e-300)) if len(words) else np.zeros(0)
+    then those of all bigrams with its first word; all_contexts: counts of all words, rare ones too."""
+    vocabulary, unigram, keys, bigram = {}, [0.0], [], []
+    total = np.maximum(all_contexts.astype(float), 1.0)
+    kept = _excess(contexts.astype(float), total, cfg) if len(words) else np.zeros((0, 2))
+    shared = 1 - float(kept.sum(0).max()) if len(words) else 1.0
+    p = kept + shared * contexts.sum(1, keepdims=True) / total.sum() if len(words) else kept
+    ratio = np.log(p[:, 1] / p[:, 0]) if len(words) else np.zeros(0)
     index = {w: i for i, w in enumerate(words)}
-    wanted = {i for i in range(len(words)) if abs(ratio[i]) > 1e-6} | {index[w] for w in [*heads, *tails] if w in index}
-    for i in sorted(wanted):
-        vocabulary[words[i]] = len(unigram)
-        unigram.append(float(ratio[i]))
-    keys, bigram = [], []
-    if len(pairs) and total.min() > 0:
-        # bigram counts of a context are put to the scale of its rarer class
-        by_head: dict[bytes, list[int]] = {}
-        for i, h in enumerate(heads):
-            by_head.setdefault(h, []).append(i)
-        for h, rows in by_head.items():
-            c = pairs[rows, :2].astype(float)
-            n = pairs[rows[0], 2:].astype(float)
-            if n.min() <= 0 or h not in vocabulary:
-                continue
-            least = n.min()
-            top = np.stack([_discounted(c[:, k], least / n[k], cfg) / least for k in (0, 1)], 1)
-            shared = max(cfg.backoff, 1 - float(top.sum(0).max()))
-            for i, t, both in zip(rows, top, c.sum(1), strict=True):
-                w = tails[i]
-                if w in vocabulary and t.any():
-                    # backs off to the shared count of the bigram, tilted by what the word alone says
-                    low = both / n.sum() * p[index[w]] / (contexts[index[w]].sum() / total.sum())
-                    keys.append(vocabulary[h] * 10**9 + vocabulary[w])
-                    bigram.append(float(np.log((t[1] + shared * low[1]) / (t[0] + shared * low[0]))))
+    top = np.zeros((0, 2))
+    by_head: dict[bytes, list[int]] = {}
+    if len(pairs):
+        c, n = pairs[:, :2].astype(float), np.maximum(pairs[:, 2:].astype(float), 1.0)
+        expected = c.sum(1, keepdims=True) * n / n.sum(1, keepdims=True)
+        top = np.maximum(c - expected - cfg.z * np.sqrt(expected) - cfg.discount, 0) / n
+        for i in np.flatnonzero(top.any(1)):  # only these differ from what the word alone says
+            # in a family of near copies all bigrams are frequent in one class; words are safe from
+            # that by their contexts, so one of the two has to stand out by itself
+            if heads[i] in index and tails[i] in index and (kept[index[heads[i]]].any() or kept[index[tails[i]]].any()):
+                by_head.setdefault(heads[i], []).append(int(i))
+    told = {words[i] for i in np.flatnonzero(kept.any(1))} | {w for h, rows in by_head.items() for w in (h, *(tails[i] for i in rows))}
+    for w in sorted(told):
+        vocabulary[w] = len(unigram)
+        unigram.append(float(ratio[index[w]]))
     size = len(unigram)
-    flat = np.array([k // 10**9 * size + k % 10**9 for k in keys], np.int64)
+    for h, rows in sorted(by_head.items()):
+        left = 1 - float(top[rows].sum(0).max())
+        for i in rows:
+            word = index[tails[i]]
+            low = c[i].sum() / n[i].sum() * p[word] / (contexts[word].sum() / total.sum())
+            keys.append(vocabulary[h] * size + vocabulary[tails[i]])
+            bigram.append(float(np.log((top[i, 1] + left * low[1]) / (top[i, 0] + left * low[0]))))
+    flat = np.array(keys, np.int64)
     order = np.argsort(flat, kind="stable")
     return ClassPair(vocabulary, np.array(unigram), flat[order], np.array(bigram)[order])
 
 
+#: Stands as the head of a word's own count of texts; no word holds a space.
+TEXTS = b" "
+
+
 def _count(batches):
-    """Per partition: documents holding a bigram, by class and fold (one Arrow batch out)."""
+    """Per partition: texts holding a bigram or a word, by class and fold."""
     seen: dict[tuple[int, int], Counter] = {}
     for b in batches:
         for doc, text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             w = words_of(text)
-            seen.setdefault((label, doc % FOLDS), Counter()).update(set(zip([b""] + w, w)))
+            seen.setdefault((label, doc % FOLDS), Counter()).update({*zip([b""] + w, w), *((TEXTS, x) for x in w)})
         if sum(map(len, seen.values())) > 400_000:
             yield from _counted(seen)
             seen.clear()
@@ -176,15 +172,21 @@ def fit(documents: DataFrame, labels: DataFrame, keep: Column, cfg: ToxicityConf
     total = lambda c: sum(F.col(f"n{c}{f}") for f in range(FOLDS))
     without = lambda c, f: total(c) - (F.col(f"n{c}{f}") if f < FOLDS else 0)
     grid = [(c, f) for f in range(FOLDS + 1) for c in (0, 1)]
-    # bounded by the sample: a word or bigram has to be there in several contexts or texts
-    uni = bigrams.groupBy("word").agg(*(F.sum((without(c, f) > 0).cast("int")).alias(f"c{c}{f}") for c, f in grid)).where(f"c0{FOLDS} + c1{FOLDS} >= 2").orderBy("word").toPandas()
-    heads = bigrams.groupBy("head").agg(*(F.sum(without(c, f)).alias(f"h{c}{f}") for c, f in grid))
-    big = bigrams.where(F.col("head") != F.lit(b"")).where(total(0) + total(1) >= 7).join(heads, "head").select("head", "word", *(without(c, f).alias(f"c{c}{f}") for c, f in grid), *(f"h{c}{f}" for c, f in grid)).orderBy("head", "word").toPandas()
+    named = lambda c, f: f"c{c}{f}"
+    texts = F.col("head") == F.lit(TEXTS)
+    both = lambda c, f: F.least(F.sum((~texts & (without(c, f) > 0)).cast("int")), F.sum(F.when(texts, without(c, f)).otherwise(0))).alias(named(c, f))
+    words = materialize(bigrams.groupBy("word").agg(*(both(c, f) for c, f in grid)), "toxicity-words")
+    everything = words.agg(*(F.coalesce(F.sum(named(c, f)), F.lit(0)).alias(named(c, f)) for c, f in grid)).first()
+    # bounded by the sample: words of several contexts and texts, bigrams of several texts
+    uni = words.where(f"c0{FOLDS} + c1{FOLDS} >= 2").orderBy("word").toPandas()
+    pairs_of = bigrams.where(~texts)
+    heads = pairs_of.groupBy("head").agg(*(F.sum(without(c, f)).alias(f"h{c}{f}") for c, f in grid))
+    big = pairs_of.where(F.col("head") != F.lit(b"")).where(total(0) + total(1) >= 4).join(heads, "head").select("head", "word", *(without(c, f).alias(named(c, f)) for c, f in grid), *(f"h{c}{f}" for c, f in grid)).orderBy("head", "word").toPandas()
     as_bytes = lambda s: [bytes(x) for x in s]
     pairs = []
     for f in range(FOLDS + 1):
-        cols = [f"c0{f}", f"c1{f}"]
-        pairs.append(build(as_bytes(uni["word"]), uni[cols].to_numpy(), as_bytes(big["head"]), as_bytes(big["word"]), big[[*cols, f"h0{f}", f"h1{f}"]].to_numpy(), cfg))
+        cols = [named(0, f), named(1, f)]
+        pairs.append(build(as_bytes(uni["word"]), uni[cols].to_numpy(), as_bytes(big["head"]), as_bytes(big["word"]), big[[*cols, f"h0{f}", f"h1{f}"]].to_numpy(), cfg, np.array([everything[c] for c in cols])))
     shared = spark.sparkContext.broadcast(pairs)
 
     @F.pandas_udf("double")
