@@ -85,6 +85,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     fresh.write.mode("append").parquet(cache_path)
 
     counts = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == name).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # written, so that the join has exchanges of its own: skew handling can split a digest that
+    # many documents share
+    counts = materialize(counts, "token-counts")
     return keyed.join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens")
 
 
