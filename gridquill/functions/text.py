@@ -138,32 +138,62 @@ def json_or_empty(payload: Column) -> Column:
 
 
 def labelled_section(text: Column, label: str) -> Column:
-    """Body under a label line TECHNICAL/BUSINESS/KEYWORDS. Lines before the first label are
-    dropped, END stops, a label closed by another label overwrites, a trailing repeat is ignored."""
-    lines = F.split(text, "\n")
+    """Body under a label line TECHNICAL, BUSINESS or KEYWORDS; END is a label without a body.
+    Lines before the first label are dropped, a label closed by another label overwrites, a
+    trailing repeat is ignored."""
     mark = lambda line: F.upper(F.regexp_extract(F.trim(line), r"(?i)\A(technical|business|keywords|end)\s*[:：]?\s*\z", 1))
-    state = F.struct(F.lit("").alias("label"), F.lit("").alias("body"), F.lit(None).cast("string").alias("value"), F.lit(False).alias("over"))
+    state = F.struct(F.lit("").alias("label"), F.lit("").alias("body"), F.lit(None).cast("string").alias("value"))
 
     def step(a: Column, line: Column) -> Column:
         m = mark(line)
-        closing = (m != "") & ~a["over"]
-        closed = F.when(closing & (a["label"] == label) & ((m != "END") | a["value"].isNull()), F.trim(a["body"])).otherwise(a["value"])
         return F.struct(
-            F.when(closing, m).otherwise(a["label"]).alias("label"),
-            F.when(closing, F.lit("")).when(a["over"], a["body"]).otherwise(F.concat(a["body"], F.lit("\n"), line)).alias("body"),
-            closed.alias("value"),
-            (a["over"] | (m == "END")).alias("over"),
+            F.when(m != "", m).otherwise(a["label"]).alias("label"),
+            F.when(m != "", F.lit("")).otherwise(F.concat(a["body"], F.lit("\n"), line)).alias("body"),
+            F.when((m != "") & (a["label"] == label), a["body"]).otherwise(a["value"]).alias("value"),
         )
 
-    end = lambda a: F.coalesce(F.when(~a["over"] & (a["label"] == label), F.coalesce(a["value"], F.trim(a["body"]))).otherwise(a["value"]), F.lit(""))
-    return F.regexp_replace(F.aggregate(lines, state, step, end), r"\A\s+|\s+\z", "")
+    end = lambda a: F.coalesce(a["value"], F.when(a["label"] == label, a["body"]), F.lit(""))
+    return F.regexp_replace(F.aggregate(F.split(text, "\n"), state, step, end), r"\A\s+|\s+\z", "")
+
+
+_KEYS = ("text", "value", "name", "description", "title")
+
+
+def _one(v: Column) -> Column:
+    """Text of one JSON value: of an object its first known key, else its JSON."""
+    return F.coalesce(*(F.try_variant_get(v, f"$.{k}", "string") for k in _KEYS), F.try_variant_get(v, "$", "string"), F.lit(""))
 
 
 def tolerant_string(value: Column) -> Column:
     """Text of a loosely shaped JSON value: of an object its text, value, name, description or
-    title; of a list its items joined by commas; else the value itself."""
-    keys = ("text", "value", "name", "description", "title")
-    is_object = lambda v: F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
-    as_item = lambda v: F.coalesce(*(F.try_variant_get(v, f"$.{k}", "string") for k in keys), F.when(~is_object(v), F.try_variant_get(v, "$", "string")), F.lit(""))
+    title (else its JSON); of a list its items joined by commas; else the value itself."""
     items = F.try_variant_get(value, "$", "array<variant>")
-    return F.when(items.isNotNull(), F.array_join(F.filter(F.transform(items, as_item), lambda x: x != ""), ", ")).otherwise(as_item(value))
+    return F.when(items.isNotNull(), F.array_join(F.transform(items, _one), ", ")).otherwise(_one(value))
+
+
+def render_description(desc: Column) -> Column:
+    """Markdown of a screen description: title, layout, regions with their controls,
+    annotations, notes. Anything that is not an object where one is expected is shown as text."""
+    get = lambda k: F.try_variant_get(desc, f"$.{k}", "variant")
+    text = lambda v: F.coalesce(tolerant_string(v), F.lit(""))
+    is_object = lambda v: F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+    field = lambda v, k: F.coalesce(F.nullif(text(F.try_variant_get(v, f"$.{k}", "variant")), F.lit("")), F.lit(None).cast("string"))
+    line = lambda k, title: F.when(text(get(k)) != "", F.concat(F.lit(f"**{title}**: "), text(get(k))))
+
+    def region(r: Column) -> Column:
+        controls = F.try_variant_get(r, "$.controls", "variant")
+        many = F.try_variant_get(controls, "$", "array<variant>")
+        rows = F.when(many.isNotNull(), F.transform(many, lambda c: F.concat(F.lit("\n  - "), text(c)))).when(text(controls) != "", F.array(F.concat(F.lit("\n  - "), text(controls)))).otherwise(F.array().cast("array<string>"))
+        return F.when(is_object(r), F.concat(F.lit("- "), F.coalesce(field(r, "name"), F.lit("(unnamed)")), F.array_join(rows, ""))).otherwise(F.concat(F.lit("- "), text(r)))
+
+    def note(a: Column) -> Column:
+        full = F.concat(F.lit("- "), F.coalesce(field(a, "marker"), F.lit("?")), F.lit(" @ "), F.coalesce(field(a, "location"), F.lit("?")), F.lit(" — "), F.coalesce(field(a, "description"), F.lit("")))
+        return F.when(is_object(a), full).otherwise(F.concat(F.lit("- "), text(a)))
+
+    def block(k: str, title: str, show) -> Column:
+        items = F.try_variant_get(desc, f"$.{k}", "array<variant>")
+        return F.when(F.size(items) > 0, F.concat(F.lit(f"**{title}**:\n"), F.array_join(F.transform(items, show), "\n")))
+
+    parts = F.array_compact(F.array(line("screen_title", "画面标题"), line("layout", "布局"), block("regions", "区块与控件", region), block("annotations", "标注", note), line("notes", "备注")))
+    usable = F.size(F.map_keys(F.try_variant_get(desc, "$", "map<string,variant>"))) > 0
+    return F.when(usable, F.array_join(parts, "\n")).otherwise("_(画面描述生成失败)_")

@@ -57,6 +57,8 @@ def test_section_parse_and_confidence(spark):
     t = "noise\nTECHNICAL:\nt1\nBUSINESS：\nb1\nKEYWORDS\nk1 k2\nEND"
     assert [value(spark, lambda c, k=k: X.labelled_section(c, k), t) for k in ("TECHNICAL", "BUSINESS", "KEYWORDS")] == ["t1", "b1", "k1 k2"]
     assert value(spark, lambda c: X.labelled_section(c, "BUSINESS"), "no labels") == ""
+    assert value(spark, lambda c: X.labelled_section(c, "TECHNICAL"), "TECHNICAL\na\nTECHNICAL\nb\nEND\nBUSINESS\nc") == "b"
+    assert value(spark, lambda c: X.labelled_section(c, "TECHNICAL"), "TECHNICAL\na\nEND\nTECHNICAL\nb") == "a"
     for answer, want in (("答え\n__CONFIDENCE__: 8", ("答え", 8)), ("plain", ("plain", None)), ("x __CONFIDENCE__：0", ("x", 0))):
         r = spark.createDataFrame([(answer,)], "t string").select(X.answer_body(F.col("t")), X.confidence(F.col("t"))).first()
         assert tuple(r) == want
@@ -143,5 +145,12 @@ def test_cell_functions(spark):
     assert [r[0] for r in df.select(C.column_letter(F.col("n"))).collect()] == ["A", "Z", "AA", "ZZ", "AAA", "XFD"]
     df = spark.createDataFrame([("FFFF0000", None, None), ("00000000", None, None), (None, 2, None), (None, None, "4472c4"), (None, 99, None)], "rgb string, i int, theme string")
     assert [r[0] for r in df.select(C.resolve_color(F.col("rgb"), F.col("i"), F.col("theme"))).collect()] == ["#FF0000", None, "#FF0000", "#4472C4", None]
-    assert value(spark, lambda c: X.tolerant_string(F.parse_json(c)), '[{"name":"a"},"b",{"zz":1}]') == "a, b"
+    assert value(spark, lambda c: X.tolerant_string(F.parse_json(c)), '[{"name":"a"},"b",{"zz":1}]') == 'a, b, {"zz":1}'
     assert value(spark, X.safe_file_name, "a/b 画面.x") == "a_b_画面.x"
+
+
+def test_screen_description(spark):
+    d = '{"screen_title":{"text":"T"},"layout":"two panes","regions":[{"name":"list","controls":["a",{"name":"b"}]},"plain",{"controls":"one"}],"annotations":[{"marker":"1","description":"d"},"x"],"notes":["n","m"]}'
+    show = lambda c: X.render_description(X.json_or_empty(c))
+    assert value(spark, show, d).split("\n") == ["**画面标题**: T", "**布局**: two panes", "**区块与控件**:", "- list", "  - a", "  - b", "- plain", "- (unnamed)", "  - one", "**标注**:", "- 1 @ ? — d", "- x", "**备注**: n, m"]
+    assert value(spark, show, "not json") == value(spark, show, "[]") == "_(画面描述生成失败)_"
