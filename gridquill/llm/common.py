@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +79,18 @@ def lower_words(data: bytes) -> list[bytes]:
     return data.lower().split()
 
 
+def slices(column: pa.Array, limit: int = 4_000_000) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(start, end, values) of consecutive stretches of about ``limit`` bytes, so that a large
+    Arrow batch is never held a second time as Python objects."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False)) if len(column) else np.zeros(0)
+    at = 0
+    while at < len(ends):
+        base = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield at, end, column.slice(at, end - at).to_pylist()
+        at = end
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, steps: int = 60) -> tuple[np.ndarray, float]:
     """Newton steps for a small logistic regression; returns weights and bias for raw ``x``."""
     if x.ndim == 1:
