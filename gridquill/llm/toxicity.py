@@ -82,17 +82,17 @@ def _excess(count: np.ndarray, total: np.ndarray, cfg: ToxicityConfig) -> np.nda
 
 
 def build(words: list[bytes], contexts: np.ndarray, heads: list[bytes], tails: list[bytes], pairs: np.ndarray, cfg: ToxicityConfig, all_contexts: np.ndarray) -> ClassPair:
-    """contexts: per word the continuation counts (ordinary, toxic); pairs: per bigram its counts,
-    then those of all bigrams with its first word; all_contexts: counts of all words, rare ones too."""
-    vocabulary, unigram, keys, bigram = {}, [0.0], [], []
+    """contexts: continuation counts (ordinary, toxic) of the words that may stand out; pairs: per
+    bigram its counts, then those of all bigrams with its first word; all_contexts: counts of all
+    words. Of words that are not among ``words`` both classes say what the shared counts say."""
     total = np.maximum(all_contexts.astype(float), 1.0)
-    kept = _excess(contexts.astype(float), total, cfg) if len(words) else np.zeros((0, 2))
+    contexts = contexts.reshape(-1, 2).astype(float)
+    kept = _excess(contexts, total, cfg)
     shared = 1 - float(kept.sum(0).max()) if len(words) else 1.0
-    p = kept + shared * contexts.sum(1, keepdims=True) / total.sum() if len(words) else kept
-    ratio = np.log(np.maximum(p[:, 1], 1e-300) / np.maximum(p[:, 0], 1e-300)) if len(words) else np.zeros(0)
-    index = {w: i for i, w in enumerate(words)}
-    top = np.zeros((0, 2))
+    pooled = contexts.sum(1, keepdims=True) / total.sum()
+    tilt = {w: kept[i] / pooled[i] + shared for i, w in enumerate(words) if kept[i].any()}  # over the shared probability
     by_head: dict[bytes, list[int]] = {}
+    top = np.zeros((0, 2))
     if len(pairs):
         c, n = pairs[:, :2].astype(float), np.maximum(pairs[:, 2:].astype(float), 1.0)
         expected = c.sum(1, keepdims=True) * n / n.sum(1, keepdims=True)
@@ -100,23 +100,34 @@ def build(words: list[bytes], contexts: np.ndarray, heads: list[bytes], tails: l
         for i in np.flatnonzero(top.any(1)):  # only these differ from what the word alone says
             # in a family of near copies all bigrams are frequent in one class; words are safe from
             # that by their contexts, so one of the two has to stand out by itself
-            if heads[i] in index and tails[i] in index and (kept[index[heads[i]]].any() or kept[index[tails[i]]].any()):
+            if heads[i] in tilt or tails[i] in tilt:
                 by_head.setdefault(heads[i], []).append(int(i))
-    told = {words[i] for i in np.flatnonzero(kept.any(1))} | {w for h, rows in by_head.items() for w in (h, *(tails[i] for i in rows))}
-    for w in sorted(told):
-        vocabulary[w] = len(unigram)
-        unigram.append(float(ratio[index[w]]))
-    size = len(unigram)
+    told = {*tilt} | {w for h, rows in by_head.items() for w in (h, *(tails[i] for i in rows))}
+    vocabulary = {w: i for i, w in enumerate(sorted(told), 1)}
+    unigram = np.zeros(len(vocabulary) + 1)
+    for w, t in tilt.items():
+        unigram[vocabulary[w]] = np.log(t[1] / t[0])
+    keys, bigram = [], []
     for h, rows in sorted(by_head.items()):
         left = 1 - float(top[rows].sum(0).max())
         for i in rows:
-            word = index[tails[i]]
-            low = c[i].sum() / n[i].sum() * p[word] / (contexts[word].sum() / total.sum())
-            keys.append(vocabulary[h] * size + vocabulary[tails[i]])
-            bigram.append(float(np.log((top[i, 1] + left * low[1]) / (top[i, 0] + left * low[0]))))
+            low = left * c[i].sum() / n[i].sum() * tilt.get(tails[i], np.full(2, shared))
+            keys.append(vocabulary[h] * len(unigram) + vocabulary[tails[i]])
+            bigram.append(float(np.log((top[i, 1] + low[1]) / (top[i, 0] + low[0]))))
     flat = np.array(keys, np.int64)
     order = np.argsort(flat, kind="stable")
-    return ClassPair(vocabulary, np.array(unigram), flat[order], np.array(bigram)[order])
+    return ClassPair(vocabulary, unigram, flat[order], np.array(bigram)[order])
+
+
+def _stands_out(totals: dict[str, int], cfg: ToxicityConfig) -> Column:
+    """Whether a word's count goes beyond chance in some class and fold, as in ``build``."""
+    found = F.lit(False)
+    for f in range(FOLDS + 1):
+        both = F.col(f"c0{f}") + F.col(f"c1{f}")
+        for c in (0, 1):
+            share = max(totals[f"c{c}{f}"], 1) / (max(totals[f"c0{f}"], 1) + max(totals[f"c1{f}"], 1))
+            found = found | (F.col(f"c{c}{f}") > both * share + cfg.z * F.sqrt(both * share) + cfg.discount)
+    return found
 
 
 #: Stands as the head of a word's own count of texts; no word holds a space.
@@ -177,11 +188,14 @@ def fit(documents: DataFrame, labels: DataFrame, keep: Column, cfg: ToxicityConf
     both = lambda c, f: F.least(F.sum((~texts & (without(c, f) > 0)).cast("int")), F.sum(F.when(texts, without(c, f)).otherwise(0))).alias(named(c, f))
     words = materialize(bigrams.groupBy("word").agg(*(both(c, f) for c, f in grid)), "toxicity-words")
     everything = words.agg(*(F.coalesce(F.sum(named(c, f)), F.lit(0)).alias(named(c, f)) for c, f in grid)).first()
-    # bounded by the sample: words of several contexts and texts, bigrams of several texts
-    uni = words.where(f"c0{FOLDS} + c1{FOLDS} >= 2").orderBy("word").toPandas()
+    # only what stands out in some fold comes to the driver
+    telling = materialize(words.where(_stands_out(everything.asDict(), cfg)), "toxicity-telling")
+    uni = telling.orderBy("word").toPandas()
     pairs_of = bigrams.where(~texts)
     heads = pairs_of.groupBy("head").agg(*(F.sum(without(c, f)).alias(f"h{c}{f}") for c, f in grid))
-    big = pairs_of.where(F.col("head") != F.lit(b"")).where(total(0) + total(1) >= 4).join(heads, "head").select("head", "word", *(without(c, f).alias(named(c, f)) for c, f in grid), *(f"h{c}{f}" for c, f in grid)).orderBy("head", "word").toPandas()
+    frequent = pairs_of.where(F.col("head") != F.lit(b"")).where(total(0) + total(1) >= 4)
+    near = frequent.join(telling.select("word"), "word", "left_semi").unionByName(frequent.join(telling.select(F.col("word").alias("head")), "head", "left_semi")).distinct()
+    big = near.join(heads, "head").select("head", "word", *(without(c, f).alias(named(c, f)) for c, f in grid), *(f"h{c}{f}" for c, f in grid)).orderBy("head", "word").toPandas()
     as_bytes = lambda s: [bytes(x) for x in s]
     pairs = []
     for f in range(FOLDS + 1):
