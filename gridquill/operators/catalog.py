@@ -49,12 +49,15 @@ def chunk_listing(chunks: DataFrame, sheets: DataFrame, document_id: int | None
 
 
 def insert_with_ids(rows: DataFrame, order: list[str], start: int = 0) -> DataFrame:
-    """Rows with ids that follow a natural order. Ids of ordered partitions are computed in two
-    steps (a count per leading key, then a rank inside it), so no single task sorts everything."""
-    lead = order[0]
-    per = rows.groupBy(lead).agg(F.count("*").alias("n"))
-    before = per.select(lead, F.coalesce(F.sum("n").over(Window.orderBy(lead).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(lead).orderBy(*order[1:]))).join(before, lead).withColumn("id", F.col("before") + F.col("rank") + start).drop("before", "rank")
+    """Rows with ids 1, 2, ... in a natural order: a range sort puts every task's rows in place, and
+    only the tasks' row counts, one row each, are summed up to give where a task begins. Both
+    uses share one exchange of a fixed number of partitions, so they see the same division."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    placed = placed.withColumns({"part": F.shiftright("at", 33), "at": F.col("at").bitwiseAND(F.lit(2**33 - 1))})
+    per = placed.groupBy("part").agg(F.count("*").alias("n"))
+    before = per.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return placed.join(before, "part").withColumn("id", F.col("before") + F.col("at") + 1 + start).drop("before", "part", "at")
 
 
 def update_status(documents: DataFrame, changes: DataFrame) -> DataFrame:
