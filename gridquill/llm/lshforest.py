@@ -7,12 +7,18 @@ are candidates. The depth adapts to the region: a run of documents that share th
 ``depth`` hashes is one region; while a region holds more than ``region`` different documents it
 is divided by the next hash. Within a region of that size all are each other's neighbours; where
 the signature is used up and the region is still larger, each document takes its ``reach``
-next ones in the order. So the number of candidates grows with the number of documents, not
-with the square of a group.
+next ones in the order.
+
+A divided region, and one at the edge of a task, does not pair all of its documents. These
+documents are marked *hot*, and all pairs of hot documents are found by an exact prefix-filter join: the
+shingles of a set are put in one global order, about the rarest first; two sets that are similar
+enough share one among the first ninth of the smaller set and the first fifth of the larger, at
+places that leave room for the overlap. Pairs inside a component of the first round are left out.
 
 Candidates are confirmed on full shingle sets in two rounds. First each document is held
 against one candidate of smaller id; what that links is one component, so that of the remaining
-candidates only those between different components need a look, and all of those get it.
+candidates, and of the hot pairs, only those between different components need a look, and all
+of those get it.
 Equal sets are found by a digest of the set and are never expanded into pairs.
 """
 
@@ -124,32 +130,36 @@ def region_pairs(keys: list[bytes], depth: int, cfg: ForestConfig):
 
 
 def _neighbours(cfg: ForestConfig):
-    """Over rows sorted by (tree, key, digest, doc_id): pairs of ids. Streams region by region;
-    a region that outgrows ``hold`` is worked off in pieces that overlap by ``reach``."""
+    """Over rows sorted by (tree, key, digest, doc_id): pairs of ids, and (id, id) for the hot ones,
+    those of a region that is divided or may go on in another task. Streams region by region; a
+    region that outgrows ``hold`` is worked off in pieces that overlap by ``reach``."""
     hold, cut = 20_000, 4 * cfg.depth
 
-    def flush(ids, keys):
+    def flush(ids, keys, edge):
         pairs = list(region_pairs(keys, cfg.depth, cfg))
+        if edge or len(ids) > cfg.region:
+            pairs += [(i, i) for i in range(len(ids))]
         for at in range(0, len(pairs), 50_000):
             part = pairs[at : at + 50_000]
             a, b = [ids[i] for i, _ in part], [ids[j] for _, j in part]
             yield pa.RecordBatch.from_arrays([pa.array(map(min, a, b), pa.int64()), pa.array(map(max, a, b), pa.int64())], names=["a", "b"])
 
     def run(batches):
-        head, digest, ids, keys = None, None, [], []
+        head, digest, ids, keys, edge = None, None, [], [], True
         for batch in batches:
             for tree, key, d, doc in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if (tree, key[:cut]) != head:
-                    yield from flush(ids, keys)
+                    yield from flush(ids, keys, edge)
+                    edge = head is None
                     head, digest, ids, keys = (tree, key[:cut]), None, [], []
                 if d != digest:  # of equal sets, which stand together, one is enough
                     ids.append(doc)
                     keys.append(key)
                     digest = d
                 if len(ids) > hold:
-                    yield from flush(ids, keys)
-                    ids, keys = ids[-cfg.reach :], keys[-cfg.reach :]
-        yield from flush(ids, keys)
+                    yield from flush(ids, keys, True)
+                    ids, keys, edge = ids[-cfg.reach :], keys[-cfg.reach :], True
+        yield from flush(ids, keys, True)
 
     return run
 
@@ -182,6 +192,69 @@ def confirm(pairs: DataFrame, texts: DataFrame, cfg: ForestConfig) -> DataFrame:
     return pairs.select("a", "b").join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(cfg), "a long, b long")
 
 
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(44)).astype(np.int64)
+
+
+def _bucket_counts(cfg: ForestConfig):
+    """Sets with a shingle, by bucket of the shingle's hash: at most 2**20 rows a partition."""
+
+    def run(batches):
+        cache, n = _Hashes(), np.zeros(2**20, np.int64)
+        for batch in batches:
+            for _, _, texts in slices(batch.column(0)):
+                for t in texts:
+                    np.add.at(n, _bucket(shingle_hashes(t, cfg.shingle, cache)), 1)
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(n[seen])], names=["bucket", "n"])
+
+    return run
+
+
+def _prefixes(shared, cfg: ForestConfig):
+    """Of each set the shingles one of which every similar set holds, in the global order."""
+
+    def run(batches):
+        cache, counts = _Hashes(), shared.value
+        for batch in batches:
+            ids = batch.column(0)
+            for at, end, texts in slices(batch.column(1)):
+                sets = [shingle_hashes(t, cfg.shingle, cache) for t in texts]
+                heads = [s[np.lexsort((s, counts[_bucket(s)]))][: len(s) - -(-cfg.percent * len(s) // 100) + 1].view(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(at, end - at), pa.array(map(len, sets), pa.int64()), pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "n", "tokens"]
+                )
+
+    return run
+
+
+def hot_pairs(texts: DataFrame, part: DataFrame, cfg: ForestConfig) -> DataFrame:
+    """(a, b): all pairs of different components of ``part`` that may be similar enough. The
+    order of the shingles is that of their counts by hash bucket, then of the hash: any order
+    is right, one by rarity gives few candidates."""
+    counts = np.zeros(2**20, np.int64)
+    got = texts.select("text").mapInArrow(_bucket_counts(cfg), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    sets = texts.select("doc_id", "text").mapInArrow(_prefixes(shared, cfg), "doc_id long, n long, tokens array<long>")
+    sets = sets.join(part.hint("merge"), F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "tokens", F.coalesce("component", "doc_id").alias("c"))
+    sets = materialize(sets, "forest-prefixes")
+    posts = sets.select("doc_id", "n", "c", F.posexplode("tokens").alias("i", "token"))
+    # inside the component that holds most of a shingle's sets no pair is looked at
+    main = posts.groupBy("token", "c").agg(F.count("*").alias("m")).groupBy("token").agg(F.count("*").alias("k"), F.max(F.struct("m", "c")).alias("main"))
+    main = main.where("k > 1").select("token", F.col("main.c").alias("main"))
+    posts = materialize(posts.join(main.hint("merge"), "token").withColumn("minor", F.col("c") != F.col("main")).drop("main"), "forest-postings")
+    p = cfg.percent
+    side = lambda s: [F.col(c).alias(f"{c}{s}") for c in ("doc_id", "n", "c", "i", "minor")]
+    # the smaller set of a pair has more than its size less the least overlap of two of its size before it
+    small = posts.where(f"i <= n - (2 * {p} * n + {99 + p}) div {100 + p}").select("token", *side("x"))
+    large = posts.select("token", *side("y"))
+    fits = f"cx <> cy and (nx < ny or nx = ny and doc_idx < doc_idy) and {100 + p} * least(nx - ix, ny - iy) >= {p} * (nx + ny)"
+    both = small.where("minorx").join(large.hint("merge"), "token").where(fits)
+    both = both.unionByName(small.where("not minorx").join(large.where("minory").hint("merge"), "token").where(fits))
+    return both.select(F.least("doc_idx", "doc_idy").alias("a"), F.greatest("doc_idx", "doc_idy").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, cfg: ForestConfig = ForestConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per distinct (non-null) id.
 
@@ -196,9 +269,10 @@ def near_duplicates(docs: DataFrame, cfg: ForestConfig = ForestConfig(), id_col:
         F.explode(F.sequence(F.lit(0), F.lit(cfg.trees - 1))).alias("tree"), "signature", "digest", "doc_id"
     ).select("tree", F.expr(f"substring(signature, 1 + {size} * tree, {size})").alias("key"), "digest", "doc_id")
     ordered = rows.repartitionByRange("tree", "key", "digest", "doc_id").sortWithinPartitions("tree", "key", "digest", "doc_id")
-    pairs = ordered.mapInArrow(_neighbours(cfg), "a long, b long").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("support"))
+    pairs = ordered.mapInArrow(_neighbours(cfg), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("support"))
     pairs = materialize(pairs, "forest-candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), (F.col("a") == F.col("b")).alias("hot")).groupBy("doc_id").agg(F.max("hot").alias("hot"))
+    pairs = pairs.where("a <> b")
     texts = materialize(source.join(wanted.hint("merge"), "doc_id"), "forest-texts")
     copies = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     # written first, so that the join below has exchanges of its own, which skew handling can split
@@ -214,7 +288,8 @@ def near_duplicates(docs: DataFrame, cfg: ForestConfig = ForestConfig(), id_col:
         .where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
         .join(first, ["a", "b"], "left_anti")
     )
-    more = materialize(confirm(left, texts, cfg), "forest-links")
+    hot = hot_pairs(texts.where("hot"), part, cfg)
+    more = materialize(confirm(left.select("a", "b").unionByName(hot).distinct(), texts, cfg), "forest-links")
     discard(texts)
     final = connected_components(part.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more), "a", "b")
     ids = signed.groupBy("doc_id").agg(F.min("n_shingles").alias("n_shingles"))

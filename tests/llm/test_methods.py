@@ -85,6 +85,15 @@ def test_region_pairs_grow_with_rows_not_their_square():
     assert len(list(lshforest.region_pairs(keys, 0, cfg))) <= cfg.region * 3000
 
 
+def test_near_duplicates_in_a_large_family_of_one_template(spark):
+    # 2,999 texts at 0.71 of each other, so without links, and the template itself at 0.83 of each
+    template = " ".join(f"t{i}" for i in range(100))
+    texts = [(1, template)] + [(d, " ".join([template] + [f"w{d}x{k}" for k in range(20)])) for d in range(2, 3001)]
+    df = spark.createDataFrame(random.Random(1).sample(texts, len(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in lshforest.near_duplicates(df).collect()}
+    assert len(got) == 3000 and sum(c == 1 for c in got.values()) == 3000
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 60)] + [(100, 99), (99, 98), (7, 7)]
     got = dict(rows(components.connected_components(spark.createDataFrame(chain, "a long, b long"), "a", "b")))
