@@ -9,8 +9,8 @@ the class's training tokens, whose counts cover the whole corpus and are joined,
     P(text) = sum over state paths of prod P(state) P(symbol | state)  *  prod P(word | class)
 
 Training is Baum-Welch. Expected counts are gathered per partition and summed by symbol in
-a shuffle, so that only the parameters (states x symbols) reach the driver. A few rounds over a
-share of the documents find the states; ``full_rounds`` over all training documents follow.
+a shuffle, so that only the parameters (states x symbols) reach the driver. Every round reads all
+training documents, whatever their number.
 The likelihood is exact: a scaled forward recursion over every whole text.
 
 ``base_score`` is the add-half unigram model on the same counts.
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_mod, discard, lower_words, materialize, slices, table, text_bytes
+from .common import crc_mod, lower_words, materialize, slices, table, text_bytes
 
 
 @dataclass(frozen=True)
@@ -39,9 +39,8 @@ class HmmConfig:
     symbols: int = 8192
     buckets: int = 256  # at most 256: the class is the last byte of a word's hash
     share: float = 2e-5  # every word with this share of the training tokens is a candidate symbol
-    warm_tokens: int = 1_500_000  # about so many tokens for the first rounds
-    warm_rounds: int = 12
-    full_rounds: int = 2
+    warm_rounds: int = 12  # rounds that find the states
+    full_rounds: int = 2  # rounds after them, over the same rows
     block: int = 600_000  # tokens worked on at once
     seed: int = 17
 
@@ -309,13 +308,7 @@ def score_texts(docs: DataFrame, train: Column, cfg: HmmConfig = HmmConfig(), id
     moves = np.full((k, k), 1.0) + np.eye(k) + rng.random((k, k)) * 0.1
     p = Params(np.full(k, 1 / k), moves / moves.sum(1, keepdims=True), emit / emit.sum(0))
     if n:
-        every = max(1, int(n // cfg.warm_tokens))
-        warm = training.where(F.pmod(F.xxhash64("row_id"), F.lit(every)) == 0).select("symbols")
-        warm = materialize(warm.coalesce(8) if every > 1 else warm, "hmm-warm")
-        for _ in range(cfg.warm_rounds):
-            p, _ = baum_welch_round(warm, p, unigram, cfg)
-        discard(warm)
-        for _ in range(cfg.full_rounds):
+        for _ in range(cfg.warm_rounds + cfg.full_rounds):
             p, _ = baum_welch_round(training, p, unigram, cfg)
 
     log_word = np.log10(counts + 0.5)

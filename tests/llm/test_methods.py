@@ -443,3 +443,16 @@ def test_pipeline(spark, big):
     assert {*d.index} == {i for i, t in c.text.items() if not index.find(t)}
     assert {*e.index} == {*d.index} and all(e.text[i] == d.text[i] for i in e.index if not _secret_spans(d.text[i]))
     assert {*f.index} <= {*e.index} and (f.taken <= 2 * f["size"]).all() and (f.text == e.text[f.index]).all()
+
+
+def test_every_round_of_the_chain_reads_all_training_rows(spark, monkeypatch):
+    seen = []
+
+    def spy(tokens, p, unigram, cfg):
+        seen.append(tokens.count())
+        return p, 0.0
+
+    monkeypatch.setattr(hmm, "baum_welch_round", spy)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a b c d "), 2500).alias("text"))  # 4 million tokens
+    hmm.score_texts(docs, F.lit(True), hmm.HmmConfig(warm_rounds=2, full_rounds=1, symbols=64))
+    assert seen == [400] * 3
