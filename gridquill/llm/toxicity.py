@@ -1,17 +1,25 @@
 """Toxicity: class-conditional Kneser-Ney models.
 
-Two bigram models, one of toxic and one of ordinary labelled text, are compared. The top order
-holds bigram counts, the next order continuation counts (in how many contexts and texts of
-that class a word occurs), and both are discounted: what a class keeps of a count is what goes
-beyond the share of the *shared* count (both classes together) that would fall to it by chance,
-by ``z`` standard deviations and ``discount``. The mass taken away goes to the shared counts, in both
-classes alike (for a bigram tilted by what its word alone says). An expression too rare to be
-told from chance thus gets the same probability in both models and says nothing.
-
-A text is compared by its length-normalised log-likelihoods: the difference of the two
-per-word log-likelihoods over the worst stretch of ``window`` words (the whole text if it is
-shorter). A logistic curve fitted by cross-fitting (each labelled text scored by models that
-have not seen its fold) turns it into a probability.
+Two interpolated Kneser-Ney bigram models, one of toxic and one of ordinary labelled text, are
+compared. ``c`` are occurrences of a bigram in a class, ``k`` continuation counts (before how many
+different words a word stands), * both classes together, D absolute discounts (n1 / (n1 + 2 n2) of
+the counts they are taken from):
+
+    shared     P*(w)   = (max(k*(w) - D, 0) + D V / (V + 1)) / N*
+    class      P(w)    = (max(k(w) - D, 0) + D types P*(w)) / N
+    shared     P*(w|h) = (max(c*(h w) - D, 0) + D types*(h) P*(w)) / c*(h)
+    class      P(w|h)  = (max(c(h w) - D, 0) + D types(h) P*(w|h) P(w) / P*(w)) / c(h)
+
+What discounting takes from a class goes to the counts that both classes share, so an expression
+rare in one class keeps nearly the same probability in both, and a head that a class has never
+seen leaves the shared bigram as it is. Every bigram and word of the labelled texts counts. The counts
+and the formulas are DataFrame aggregates and joins.
+
+A text is compared by length-normalised log-likelihoods: the difference of the two per-word
+log-likelihoods over the whole text, over its worst stretches of 32 and 8 words and over its
+worst 1, 2 and 4 words, of both orders. A few insults in a long text hardly move its mean: the stretches
+are there for them. A logistic curve over these figures, fitted by cross-fitting (each labelled text is scored
+by models that have not seen its fold), makes them a probability.
 
 Learning takes a bounded sample of labelled rows (``max_docs``); scoring takes every whole text.
 """
@@ -21,196 +29,246 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, fit_logistic, labelled_sample, materialize, table, text_bytes
+from .common import crc_mod, fit_logistic, labelled_sample, materialize, slices, table, text_bytes
 
-FOLDS = 5
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+START = 0  # stands before the first word of a text; no word has this hash
 
 
 @dataclass(frozen=True)
 class ToxicityConfig:
     max_docs: int = 8000  # labelled rows taken for learning, at most
-    discount: float = 0.75  # what every count loses
-    z: float = 4.0  # standard deviations of the shared count that it loses besides
-    window: int = 20  # words of the worst stretch
+    folds: int = 3  # of the cross-fitting
+
+
+def words_of(data: bytes) -> list[bytes]:
+    return _WORD.findall(data.lower())
+
+
+def word_hash(word: bytes) -> int:
+    return (xxhash.xxh3_64_intdigest(word) >> 1) | 1
 
 
 @dataclass
 class ClassPair:
-    """Log-likelihood ratios of the expressions whose two class probabilities differ."""
+    """Log-likelihood ratios (toxic over ordinary) of both orders. Words are places in ``hashes``
+    (sorted; place 0 is the start of a text), anything else is -1."""
 
-    words: dict[bytes, int]
-    unigram: np.ndarray
-    keys: np.ndarray
+    hashes: np.ndarray
+    word: np.ndarray  # log P(w) ratio
+    head: np.ndarray  # log ratio of the shares that a head leaves to the lower order
+    keys: np.ndarray  # head * len(hashes) + word, sorted
     bigram: np.ndarray
-
-    def ratios(self, words: list[bytes]) -> np.ndarray:
-        ids = np.fromiter(map(self.words.get, words, repeat(0)), np.int64, len(words))
-        out = self.unigram[ids]
-        if len(self.keys) and len(ids) > 1:
-            key = ids[:-1] * len(self.unigram) + ids[1:]
+    unknown: float  # log P(w) ratio of a word that no labelled text holds
+
+    def place(self, word: bytes) -> int:
+        h = word_hash(word)
+        at = int(np.searchsorted(self.hashes, h))
+        return at if at < len(self.hashes) and self.hashes[at] == h else -1
+
+    def ratios(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bigram, word) log ratios of a text given as places."""
+        known = ids >= 0
+        one = np.where(known, self.word[ids], self.unknown)
+        before = np.concatenate([[0], ids[:-1]])
+        two = one + np.where(before >= 0, self.head[before], 0.0)
+        if len(self.keys):
+            key = np.where(known & (before >= 0), before * len(self.hashes) + ids, -1)
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            out[1:] = np.where((self.keys[at] == key) & (ids[:-1] > 0) & (ids[1:] > 0), self.bigram[at], out[1:])
-        return out
+            two = np.where(self.keys[at] == key, self.bigram[at], two)
+        return two, one
 
 
-def words_of(data: bytes) -> list[bytes]:
-    return _WORD.findall(data.lower())
+class Places(dict):
+    """Word -> place, remembered by a Python worker."""
+
+    def __init__(self, pair: ClassPair):
+        super().__init__()
+        self.pair = pair
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        at = self[word] = self.pair.place(word)
+        return at
+
+
+def _worst(total: np.ndarray, width: int) -> float:
+    width = min(width, len(total) - 1)
+    return float((total[width:] - total[:-width]).max() / width)
+
+
+def _top(x: np.ndarray, n: int) -> float:
+    n = min(n, len(x))
+    return float(np.partition(x, len(x) - n)[len(x) - n :].sum() / n)
+
 
+FIGURES = 12
 
-def worst_stretch(ratios: np.ndarray, window: int) -> float:
-    if not len(ratios):
-        return 0.0
-    total = np.concatenate([[0.0], np.cumsum(ratios, dtype=np.float64)])
-    if len(ratios) <= window:
-        return float(total[-1] / window)
-    return float((total[window:] - total[:-window]).max() / window)
-
-
-def _excess(count: np.ndarray, total: np.ndarray, cfg: ToxicityConfig) -> np.ndarray:
-    """What each class keeps of its counts, as a share of its total; rows: expressions."""
-    expected = count.sum(1, keepdims=True) * total / total.sum()
-    return np.maximum(count - expected - cfg.z * np.sqrt(expected) - cfg.discount, 0) / total
-
-
-def build(words: list[bytes], contexts: np.ndarray, heads: list[bytes], tails: list[bytes], pairs: np.ndarray, cfg: ToxicityConfig, all_contexts: np.ndarray) -> ClassPair:
-    """contexts: continuation counts (ordinary, toxic) of the words that may stand out; pairs: per
-    bigram its counts, then those of all bigrams with its first word; all_contexts: counts of all
-    words. Of words that are not among ``words`` both classes say what the shared counts say."""
-    total = np.maximum(all_contexts.astype(float), 1.0)
-    contexts = contexts.reshape(-1, 2).astype(float)
-    kept = _excess(contexts, total, cfg)
-    shared = 1 - float(kept.sum(0).max()) if len(words) else 1.0
-    pooled = contexts.sum(1, keepdims=True) / total.sum()
-    tilt = {w: kept[i] / pooled[i] + shared for i, w in enumerate(words) if kept[i].any()}  # over the shared probability
-    by_head: dict[bytes, list[int]] = {}
-    top = np.zeros((0, 2))
-    if len(pairs):
-        c, n = pairs[:, :2].astype(float), np.maximum(pairs[:, 2:].astype(float), 1.0)
-        expected = c.sum(1, keepdims=True) * n / n.sum(1, keepdims=True)
-        top = np.maximum(c - expected - cfg.z * np.sqrt(expected) - cfg.discount, 0) / n
-        for i in np.flatnonzero(top.any(1)):  # only these differ from what the word alone says
-            # in a family of near copies all bigrams are frequent in one class; words are safe from
-            # that by their contexts, so one of the two has to stand out by itself
-            if heads[i] in tilt or tails[i] in tilt:
-                by_head.setdefault(heads[i], []).append(int(i))
-    told = {*tilt} | {w for h, rows in by_head.items() for w in (h, *(tails[i] for i in rows))}
-    vocabulary = {w: i for i, w in enumerate(sorted(told), 1)}
-    unigram = np.zeros(len(vocabulary) + 1)
-    for w, t in tilt.items():
-        unigram[vocabulary[w]] = np.log(t[1] / t[0])
-    keys, bigram = [], []
-    for h, rows in sorted(by_head.items()):
-        left = 1 - float(top[rows].sum(0).max())
-        for i in rows:
-            low = left * c[i].sum() / n[i].sum() * tilt.get(tails[i], np.full(2, shared))
-            keys.append(vocabulary[h] * len(unigram) + vocabulary[tails[i]])
-            bigram.append(float(np.log((top[i, 1] + low[1]) / (top[i, 0] + low[0]))))
-    flat = np.array(keys, np.int64)
-    order = np.argsort(flat, kind="stable")
-    return ClassPair(vocabulary, unigram, flat[order], np.array(bigram)[order])
-
-
-def _stands_out(totals: dict[str, int], cfg: ToxicityConfig) -> Column:
-    """Whether a word's count goes beyond chance in some class and fold, as in ``build``."""
-    found = F.lit(False)
-    for f in range(FOLDS + 1):
-        both = F.col(f"c0{f}") + F.col(f"c1{f}")
-        for c in (0, 1):
-            share = max(totals[f"c{c}{f}"], 1) / (max(totals[f"c0{f}"], 1) + max(totals[f"c1{f}"], 1))
-            found = found | (F.col(f"c{c}{f}") > both * share + cfg.z * F.sqrt(both * share) + cfg.discount)
-    return found
-
-
-#: Stands as the head of a word's own count of texts; no word holds a space.
-TEXTS = b" "
+
+def figures(two: np.ndarray, one: np.ndarray) -> list[float]:
+    """Per-word log-likelihood differences of a text: the whole of it, its worst stretches and
+    words; and the logarithm of its length."""
+    if not len(one):
+        return [0.0] * FIGURES
+    a, b = (np.concatenate([[0.0], np.cumsum(x)]) for x in (two, one))
+    n = len(one)
+    # a text of one word has no second: it is divided by what was asked for, not by what there is
+    few = lambda x, k: _top(x, k) * min(n, k) / k
+    return [a[-1] / n, _worst(a, 32), _worst(a, 8), b[-1] / n, _worst(b, 32), _worst(b, 8), float(one.max()), few(one, 2), few(one, 4), few(two, 2), few(two, 4), float(np.log1p(n))]
 
 
 def _count(batches):
-    """Per partition: texts holding a bigram or a word, by class and fold."""
-    seen: dict[tuple[int, int], Counter] = {}
-    for b in batches:
-        for doc, text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            w = words_of(text)
-            seen.setdefault((label, doc % FOLDS), Counter()).update({*zip([b""] + w, w), *((TEXTS, x) for x in w)})
-        if sum(map(len, seen.values())) > 400_000:
-            yield from _counted(seen)
-            seen.clear()
-    yield from _counted(seen)
+    """Per partition: occurrences of bigrams, by class and fold."""
 
+    def out(seen):
+        for (label, fold), c in seen.items():
+            pairs = list(c)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([h for h, _ in pairs], pa.int64()), pa.array([w for _, w in pairs], pa.int64()), pa.array([label] * len(pairs), pa.int32()), pa.array([fold] * len(pairs), pa.int32()), pa.array(list(c.values()), pa.int64())],
+                names=["h", "w", "label", "fold", "n"],
+            )
 
-def _counted(seen):
-    for (label, fold), c in seen.items():
-        pairs = list(c)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([h for h, _ in pairs], pa.binary()), pa.array([w for _, w in pairs], pa.binary()), pa.array([label] * len(pairs), pa.int32()), pa.array([fold] * len(pairs), pa.int32()), pa.array(list(c.values()), pa.int64())],
-            names=["head", "word", "label", "fold", "n"],
-        )
+    seen: dict[tuple[int, int], Counter] = {}
+    for b in batches:
+        label, fold = b.column(0).to_pylist(), b.column(1).to_pylist()
+        for at, _, texts in slices(b.column(2)):
+            for i, text in enumerate(texts, at):
+                w = list(map(word_hash, words_of(text)))
+                seen.setdefault((label[i], fold[i]), Counter()).update(zip([START, *w], w, strict=False))
+                if sum(map(len, seen.values())) > 400_000:
+                    yield from out(seen)
+                    seen.clear()
+    yield from out(seen)
+
+
+def count_bigrams(rows: DataFrame, folds: int) -> DataFrame:
+    """h, w and per class and fold the occurrences n{class}{fold}; rows: label, fold, text bytes."""
+    cell = lambda c, f: F.sum(F.when((F.col("label") == c) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(f"n{c}{f}")
+    counts = rows.select("label", "fold", "text").mapInArrow(_count, "h long, w long, label int, fold int, n long")
+    return counts.groupBy("h", "w").agg(*(cell(c, f) for c in (0, 1) for f in range(folds)))
+
+
+CLASSES = ("o", "t", "s")  # ordinary, toxic, shared
+
+
+def _singles(prefix: str) -> list[Column]:
+    return [F.count_if(F.col(f"{prefix}{c}") == n).alias(f"{c}{n}") for c in CLASSES for n in (1, 2)]
+
+
+def _discounts(row) -> dict[str, float]:
+    """n1 / (n1 + 2 n2); a half where the counts are too few to tell."""
+    return {c: row[f"{c}1"] / (row[f"{c}1"] + 2 * row[f"{c}2"]) if row[f"{c}1"] and row[f"{c}2"] else 0.5 for c in CLASSES}
+
+
+def kneser_ney(bigrams: DataFrame, folds: int, leave: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+    """(h, w, bigram), (w, word), (h, head): the log ratios of the module docstring, and that of
+    an unknown word, learned from all folds but ``leave``."""
+    of = lambda c: sum((F.col(f"n{c}{f}") for f in range(folds) if f != leave), F.lit(0))
+    g = bigrams.select("h", "w", of(0).alias("co"), of(1).alias("ct")).withColumn("cs", F.col("co") + F.col("ct")).where("cs > 0")
+    d2 = _discounts(g.agg(*_singles("c")).first())
+    words = g.groupBy("w").agg(*(F.count_if(F.col(f"c{c}") > 0).alias(f"k{c}") for c in CLASSES))
+    seen = words.agg(*_singles("k"), *(x for c in CLASSES for x in (F.sum(f"k{c}").alias(f"N{c}"), F.count_if(F.col(f"k{c}") > 0).alias(f"T{c}")))).first()
+    d1, many, types = _discounts(seen), {c: max(1, seen[f"N{c}"] or 0) for c in CLASSES}, {c: seen[f"T{c}"] or 0 for c in CLASSES}
+    v = types["s"]
+    base = (F.greatest(F.col("ks") - d1["s"], F.lit(0.0)) + d1["s"] * v / (v + 1)) / many["s"]
+    tilt = lambda c: ((F.greatest(F.col(f"k{c}") - d1[c], F.lit(0.0)) / F.col("base") + d1[c] * types[c]) / many[c]) if types[c] else F.lit(1.0)
+    words = words.withColumn("base", base).select("w", "base", tilt("o").alias("to"), tilt("t").alias("tt"))
+    left = lambda c: d1[c] * types[c] / many[c] if types[c] else 1.0
+    heads = g.groupBy("h").agg(*(x for c in CLASSES for x in (F.sum(f"c{c}").alias(f"n{c}"), F.count_if(F.col(f"c{c}") > 0).alias(f"y{c}"))))
+    share = lambda c: F.when(F.col(f"n{c}") > 0, d2[c] * F.col(f"y{c}") / F.col(f"n{c}")).otherwise(1.0)
+    both = g.join(words, "w").join(heads, "h")
+    both = both.withColumn("shared", (F.greatest(F.col("cs") - d2["s"], F.lit(0.0)) + d2["s"] * F.col("ys") * F.col("base")) / F.col("ns"))
+    p = lambda c: F.when(F.col(f"n{c}") > 0, F.greatest(F.col(f"c{c}") - d2[c], F.lit(0.0)) / F.col(f"n{c}")).otherwise(0.0) + share(c) * F.col("shared") * F.col(f"t{c}")
+    return (
+        both.select("h", "w", F.log(p("t") / p("o")).cast("float").alias("bigram")),
+        words.select("w", F.log(F.col("tt") / F.col("to")).alias("word")),
+        heads.select("h", F.log(share("t") / share("o")).alias("head")),
+        float(np.log(left("t") / left("o"))),
+    )
+
+
+def _columns(df: DataFrame) -> list[np.ndarray]:
+    return [c.to_numpy() for c in df.toArrow().columns]
+
+
+def class_pair(bigrams: DataFrame, folds: int, leave: int | None = None) -> ClassPair:
+    """The tables of ``kneser_ney`` as sorted arrays: one row per different bigram of the sample."""
+    two, one, heads, unknown = kneser_ney(bigrams, folds, leave)
+    w, log_word = _columns(one)
+    hashes = np.union1d([START], w).astype(np.int64)
+    word, head = np.zeros(len(hashes)), np.zeros(len(hashes))
+    word[np.searchsorted(hashes, w)] = log_word
+    h, log_head = _columns(heads)
+    head[np.searchsorted(hashes, h)] = log_head
+    first, second, bigram = _columns(two)
+    keys = np.searchsorted(hashes, first) * len(hashes) + np.searchsorted(hashes, second)
+    order = np.argsort(keys)
+    return ClassPair(hashes, word, head, keys[order], bigram[order], unknown)
 
 
 @dataclass
 class ToxicityModel:
     pair: ClassPair
-    slope: float
+    weights: np.ndarray
     bias: float
-    window: int
 
-    def score(self, data: bytes) -> float:
-        x = worst_stretch(self.pair.ratios(words_of(data)), self.window)
-        return float(1 / (1 + np.exp(-np.clip(self.slope * x + self.bias, -30, 30))))
+    def scores(self, texts: list[bytes], places: Places) -> np.ndarray:
+        x = np.array([self._figures(t, places) for t in texts]).reshape(-1, FIGURES)
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
+
+    def _figures(self, text: bytes, places: Places) -> list[float]:
+        return text_figures(self.pair, text, places)
+
+
+def text_figures(pair: ClassPair, text: bytes, places: Places) -> list[float]:
+    w = words_of(text)
+    return figures(*pair.ratios(np.fromiter(map(places.__getitem__, w), np.int64, len(w)))) if w else figures(np.zeros(0), np.zeros(0))
+
+
+def _measured(shared):
+    @F.pandas_udf("array<double>")
+    def measure(text: pd.Series) -> pd.Series:
+        places = Places(shared.value)
+        return pd.Series([text_figures(shared.value, t, places) for t in text], dtype=object)
+
+    return measure
 
 
 def fit(documents: DataFrame, labels: DataFrame, keep: Column, cfg: ToxicityConfig = ToxicityConfig(), label: str = "toxic") -> ToxicityModel:
     """Learn from labelled documents for which ``keep`` (a condition on doc_id) holds.
 
-    With no labels of one class every text gets the share of toxic labels (0.5 without any).
-    """
+    Of equal texts one is taken; null texts are empty. Labels of one class only, or none, give
+    every text about the share of toxic labels (1/3 without any)."""
     spark = documents.sparkSession
-    sample = materialize(labelled_sample(documents, labels, label, keep, cfg.max_docs, "toxicity"), "toxicity-sample")
-    fold_of = F.pmod(F.xxhash64("doc_id"), F.lit(10**6))
-    rows = sample.select(fold_of.alias("doc_id"), F.col("text").cast("binary").alias("text"), (F.col("label") > 0).cast("int").alias("label"))
-    counts = rows.mapInArrow(_count, "head binary, word binary, label int, fold int, n long")
-    cell = lambda c, f: F.sum(F.when((F.col("label") == c) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(f"n{c}{f}")
-    bigrams = materialize(counts.groupBy("head", "word").agg(*(cell(c, f) for c in (0, 1) for f in range(FOLDS))), "toxicity-bigrams")
-    total = lambda c: sum(F.col(f"n{c}{f}") for f in range(FOLDS))
-    without = lambda c, f: total(c) - (F.col(f"n{c}{f}") if f < FOLDS else 0)
-    grid = [(c, f) for f in range(FOLDS + 1) for c in (0, 1)]
-    named = lambda c, f: f"c{c}{f}"
-    texts = F.col("head") == F.lit(TEXTS)
-    both = lambda c, f: F.least(F.sum((~texts & (without(c, f) > 0)).cast("int")), F.sum(F.when(texts, without(c, f)).otherwise(0))).alias(named(c, f))
-    words = materialize(bigrams.groupBy("word").agg(*(both(c, f) for c, f in grid)), "toxicity-words")
-    everything = words.agg(*(F.coalesce(F.sum(named(c, f)), F.lit(0)).alias(named(c, f)) for c, f in grid)).first()
-    # only what stands out in some fold comes to the driver
-    telling = materialize(words.where(_stands_out(everything.asDict(), cfg)), "toxicity-telling")
-    uni = telling.orderBy("word").toPandas()
-    pairs_of = bigrams.where(~texts)
-    heads = pairs_of.groupBy("head").agg(*(F.sum(without(c, f)).alias(f"h{c}{f}") for c, f in grid))
-    frequent = pairs_of.where(F.col("head") != F.lit(b"")).where(total(0) + total(1) >= 4)
-    near = frequent.join(telling.select("word"), "word", "left_semi").unionByName(frequent.join(telling.select(F.col("word").alias("head")), "head", "left_semi")).distinct()
-    big = near.join(heads, "head").select("head", "word", *(without(c, f).alias(named(c, f)) for c, f in grid), *(f"h{c}{f}" for c, f in grid)).orderBy("head", "word").toPandas()
-    as_bytes = lambda s: [bytes(x) for x in s]
-    pairs = []
-    for f in range(FOLDS + 1):
-        cols = [named(0, f), named(1, f)]
-        pairs.append(build(as_bytes(uni["word"]), uni[cols].to_numpy(), as_bytes(big["head"]), as_bytes(big["word"]), big[[*cols, f"h0{f}", f"h1{f}"]].to_numpy(), cfg, np.array([everything[c] for c in cols])))
-    shared = spark.sparkContext.broadcast(pairs)
-
-    @F.pandas_udf("double")
-    def stretch(fold: pd.Series, text: pd.Series) -> pd.Series:
-        models = shared.value
-        return pd.Series([worst_stretch(models[f % FOLDS].ratios(words_of(t)), cfg.window) for f, t in zip(fold, text, strict=True)], dtype=float)
-
-    seen = rows.select(stretch("doc_id", "text").alias("x"), "label").toPandas()
-    slope, bias = fit_logistic(seen["x"].to_numpy(float), seen["label"].to_numpy(float))
-    return ToxicityModel(pairs[FOLDS], float(slope[0]), bias, cfg.window)
+    sample = labelled_sample(documents, labels, label, keep, cfg.max_docs, "toxicity")
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(cfg.folds)).cast("int")
+    rows = materialize(sample.select((F.col("label") > 0).cast("int").alias("label"), fold.alias("fold"), text_bytes("text").alias("text")), "toxicity-sample")
+    bigrams = materialize(count_bigrams(rows, cfg.folds), "toxicity-bigrams")
+    x, y = [], []
+    for f in range(cfg.folds):
+        shared = spark.sparkContext.broadcast(class_pair(bigrams, cfg.folds, f))
+
+        seen = rows.where(F.col("fold") == f).select(_measured(shared)("text").alias("x"), "label").toPandas()
+        x += [list(v) for v in seen["x"]]
+        y += seen["label"].tolist()
+        shared.unpersist()
+    y = np.array(y, float)
+    pair = class_pair(bigrams, cfg.folds)
+    if len({*y.tolist()}) < 2:
+        share = (y.sum() + 0.5) / (len(y) + 1.5)
+        return ToxicityModel(pair, np.zeros(FIGURES), float(np.log(share / (1 - share))))
+    order = np.lexsort(np.array(x).T)  # sums do not depend on the order in which rows came
+    weights, bias = fit_logistic(np.array(x)[order], y[order], l2=1.0)
+    return ToxicityModel(pair, weights, bias)
 
 
 def score_column(spark: SparkSession, model: ToxicityModel, text: str | Column = "text") -> Column:
@@ -220,7 +278,8 @@ def score_column(spark: SparkSession, model: ToxicityModel, text: str | Column =
     @F.pandas_udf("double")
     def score(data: pd.Series) -> pd.Series:
         m = shared.value
-        return pd.Series([m.score(x) for x in data], dtype=float)
+        places = m.__dict__.setdefault("_places", Places(m.pair))
+        return pd.Series(m.scores(data.tolist(), places), dtype=float)
 
     return score(text_bytes(text))
 
@@ -230,7 +289,10 @@ def learned_rows() -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document; a null text counts as empty, empty texts get the score of no evidence."""
+    """One row per row of ``documents``, repeated ids and rows included. Null, empty and wordless texts
+    have no evidence and get the score that the curve gives to that; very long texts are scored
+    whole; without labels every score is 1/3; an empty table gives an empty result; other
+    columns are not read."""
     documents = table(spark, sf_dir, "documents")
     model = fit(documents, table(spark, sf_dir, "labels"), learned_rows())
     scored = documents.select("doc_id", score_column(spark, model).alias("score"))
@@ -238,6 +300,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that score 0.5 or more go."""
+    """Pipeline stage: documents that score 0.5 or more go. Every row is judged by itself, so null
+    and repeated ids stay what they are, null texts are empty, and all columns of ``docs`` are
+    kept; an empty table stays empty. Without labels nothing goes."""
     model = fit(docs, table(spark, sf_dir, "labels"), learned_rows())
     return docs.where(score_column(spark, model) < 0.5)
