@@ -1,14 +1,26 @@
 """Quality rules: a linear-chain conditional random field over lines.
 
 Every line with a word gets a vector of cheap features (how many words, shares of symbols,
-digits, letters, how it ends, whether it repeats an earlier line, how many of its words do so ...).
-A two-state linear-chain CRF, trained by gradient ascent on the lines of a bounded sample
-of labelled documents, scores labels and transitions; Viterbi decoding marks each line content
-or boilerplate. The share of a document's words in content lines decides whether it is kept;
-the base rules (too short, too repetitive) come first.
-
-The line labels are distant: a line of a document of quality 1 counts as content, one of quality
-0 as boilerplate.
+digits, letters, how it ends, whether it repeats an earlier line, how many of its words do so, whether
+it is a *common line* of the corpus ...). A two-state linear-chain CRF scores labels and transitions;
+Viterbi decoding marks each line content or boilerplate. The share of a document's words in
+content lines decides whether it is kept; the base rules (too short, too repetitive) come first.
+
+*Common lines* are counted over all lines of all documents: a line is common if it stands in at
+least ``common_least`` different surroundings (the first three words of the line before and of
+the line after it), at least ``common_share`` times as many as there are documents, and if half of its
+occurrences have surroundings of their own. So licenses and slogans are common, the lines of a
+document that was copied a thousand times are not. Since every common line takes that share of the lines,
+there are at most (lines per document) / ``common_share`` of them, which bounds what is broadcast.
+
+*Line labels* inside the labelled documents are distant: a common line is boilerplate, another line of a
+document of quality 1 is content, one of quality 0 boilerplate. Documents thus hold both labels and
+the transitions learn where one gives way to the other. The content share from which
+documents are kept is the one that parts the labelled documents best.
+
+Training is iterative parameter mixing: in each round every partition of the labelled lines takes
+gradient steps from the common parameters, and the results are averaged by number of documents.
+It takes a bounded sample of labelled documents (``max_docs``), whole.
 """
 
 from __future__ import annotations
@@ -19,27 +31,31 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, labelled_sample, table, text_bytes
+from .common import crc_mod, labelled_sample, materialize, slices, table, text_bytes
 
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 _REST = re.compile(rb"[\x20\x09-\x0D]")
 _DIGITS = re.compile(rb"[0-9]")
 _UPPER = re.compile(rb"[A-Z]")
 _STOPS = re.compile(rb"[.!?]")
-FEATURES = 16
+FEATURES = 17
 
 
 @dataclass(frozen=True)
 class CrfConfig:
     max_docs: int = 4000  # labelled documents taken for training, at most
-    max_lines: int = 60  # lines of a training document; longer ones give a stretch of so many
-    epochs: int = 150
+    common_least: int = 5  # surroundings of a common line, at least
+    common_share: float = 1e-4  # and at least so many times the documents
+    rounds: int = 6  # of parameter mixing
+    steps: int = 30  # gradient steps of a partition in a round
+    parts: int = 8  # partitions of the labelled lines
     rate: float = 0.5
     l2: float = 1e-3
-    content_share: float = 0.5  # of the words: kept from there on
 
 
 @dataclass
@@ -47,11 +63,52 @@ class Crf:
     weights: np.ndarray = field(default_factory=lambda: np.zeros((FEATURES, 2)))
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     start: np.ndarray = field(default_factory=lambda: np.zeros(2))
+    common: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # hashes of common lines, sorted
+    content_share: float = 0.5  # of the words: kept from there on
+
+
+def line_hash(line: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(line.strip()) >> 1
+
+
+def _surroundings(batches):
+    """Per partition: (line, surroundings) of all lines with a word, and how many documents have them."""
+
+    def out(seen):
+        keys = list(seen)
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["line", "around", "n"])
 
+    seen: Counter = Counter()
+    for b in batches:
+        for _, _, texts in slices(b.column(0)):
+            for data in texts:
+                lines = [x for x in data.split(b"\n") if x.strip()]
+                near = [b"", *(b" ".join(x.split(None, 3)[:3]) for x in lines), b""]
+                seen.update({(line_hash(x), xxhash.xxh3_64_intdigest(near[i] + b"\n" + near[i + 2]) >> 1) for i, x in enumerate(lines)})
+                if len(seen) > 300_000:
+                    yield out(seen)
+                    seen.clear()
+    yield out(seen)
 
 
-def line_features(lines: list[bytes], words: list[list[bytes]]) -> np.ndarray:
+def common_lines(documents: DataFrame, cfg: CrfConfig = CrfConfig(), text: str = "text") -> np.ndarray:
+    """Sorted hashes of the common lines of all documents."""
+    per = documents.select(text_bytes(text)).mapInArrow(_surroundings, "line long, around long, n long").groupBy("line", "around").agg(F.sum("n").alias("n"))
+    least = max(cfg.common_least, cfg.common_share * documents.count())
+    found = per.groupBy("line").agg(F.count("*").alias("places"), F.sum("n").alias("n")).where((F.col("places") >= least) & (2 * F.col("places") >= F.col("n")))
+    return np.sort(found.select("line").toArrow().column(0).to_numpy())
+
+
+def is_common(lines: list[bytes], common: np.ndarray) -> np.ndarray:
+    if not len(common) or not lines:
+        return np.zeros(len(lines), bool)
+    h = np.array([line_hash(x) for x in lines], np.int64)
+    return common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+
+
+def line_features(lines: list[bytes], words: list[list[bytes]], common: np.ndarray) -> np.ndarray:
     out = np.zeros((len(lines), FEATURES))
+    known = is_common(lines, common)
     seen_lines: set[bytes] = set()
     seen_words: Counter = Counter()
     for i, (line, w) in enumerate(zip(lines, words, strict=True)):
@@ -77,6 +134,7 @@ def line_features(lines: list[bytes], words: list[list[bytes]]) -> np.ndarray:
             i == 0,
             len({*w}) / n,
             size / n > 9,
+            known[i],
         )
         seen_lines.add(line)
         seen_words.update({*w})
@@ -99,45 +157,96 @@ def viterbi(scores: np.ndarray, crf: Crf) -> np.ndarray:
     return out
 
 
-def train(sequences: list[np.ndarray], labels: list[int], cfg: CrfConfig) -> Crf:
-    """Maximum likelihood by full-batch gradient ascent; forward-backward over all sequences at
-    once, step by step, on padded arrays. Both classes weigh the same. Without sequences of
-    both classes the field stays at zero, which marks every line content."""
+def time_major(sequences: list[tuple[np.ndarray, np.ndarray]]):
+    """Features, labels, sequence of each line and bounds by step: line t of all sequences that have
+    one, longest sequence first, is [offsets[t]:offsets[t + 1]]."""
+    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i][1]))
+    lengths = np.array([len(sequences[i][1]) for i in order])
+    active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+    offsets = np.concatenate([[0], np.cumsum(active)])
+    step = np.concatenate([np.arange(n) for n in lengths])
+    row = np.repeat(np.arange(len(order)), lengths)
+    x, y, of = np.empty((len(row), FEATURES)), np.empty(len(row), np.int64), np.empty(len(row), np.int64)
+    at = offsets[step] + row
+    x[at] = np.concatenate([sequences[i][0] for i in order])
+    y[at] = np.concatenate([sequences[i][1] for i in order])
+    of[at] = row
+    return x, y, of, offsets
+
+
+def gradient(x, y, of, offsets, weight, crf: Crf):
+    """Gradient of the weighted log-likelihood: (weights, moves, start). Forward-backward runs over
+    all sequences at once, step by step."""
+    s = x @ crf.weights
+    alpha, beta = np.empty_like(s), np.zeros_like(s)
+    part = [slice(a, b) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    add = lambda a: np.logaddexp(a[..., 0], a[..., 1])
+    now = s[part[0]] + crf.start
+    alpha[part[0]] = now
+    z = add(now)
+    for p in part[1:]:
+        n = p.stop - p.start
+        now = add((now[:n, :, None] + crf.moves).swapaxes(1, 2)) + s[p]
+        alpha[p] = now
+        z[:n] = add(now)
+    moves = np.zeros((2, 2))
+    for t in range(len(part) - 1, 0, -1):
+        p = part[t]
+        n = p.stop - p.start
+        q = slice(part[t - 1].start, part[t - 1].start + n)
+        ahead = s[p] + beta[p]
+        pair = np.exp(alpha[q, :, None] + crf.moves + ahead[:, None, :] - z[:n, None, None])
+        moves -= (pair * weight[:n, None, None]).sum(0)
+        np.add.at(moves, (y[q], y[p]), weight[:n])
+        beta[q] = add(crf.moves + ahead[:, None, :])
+    rest = (np.eye(2)[y] - np.exp(alpha + beta - z[of, None])) * weight[of, None]
+    return x.T @ rest, moves, rest[part[0]].sum(0)
+
+
+def _mixing_round(shared, cfg: CrfConfig):
+    """Gradient steps over the sequences of one partition; gives parameters and documents."""
+
+    def run(batches):
+        crf, balance = shared.value
+        sequences, quality = [], []
+        for b in batches:
+            for x, y, q in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                sequences.append((np.frombuffer(x, np.float32).reshape(-1, FEATURES).astype(float), np.frombuffer(y, np.int8).astype(np.int64)))
+                quality.append(q)
+        if not sequences:
+            return
+        order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i][1]))
+        batch = time_major(sequences)
+        # a document counts once, whatever its length, and both kinds of document alike
+        weight = np.array([balance[quality[i]] / len(sequences[i][1]) for i in order])
+        params = [crf.weights.copy(), crf.moves.copy(), crf.start.copy()]
+        speed = [np.zeros_like(a) for a in params]
+        for _ in range(cfg.steps):
+            for a, g, v in zip(params, gradient(*batch, weight, Crf(*params)), speed, strict=True):
+                v *= 0.9
+                v += g / weight.sum() - cfg.l2 * a
+                a += cfg.rate * v
+        flat = np.concatenate([a.ravel() for a in params])
+        yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64())), pa.array([float(len(sequences))])], names=["params", "docs"])
+
+    return run
+
+
+def train(lines: DataFrame, cfg: CrfConfig = CrfConfig()) -> Crf:
+    """lines: x (features, float32 bytes), y (labels, int8 bytes), quality; a row per document that has a line. Without lines of both
+    labels the field stays at zero, which marks every line content."""
     crf = Crf()
-    if len({*labels}) < 2:
+    marks = lines.agg(F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0), F.max(F.expr("hex(y) like '%01%'")), F.max(F.expr("hex(y) like '%00%'"))).first()
+    if not (marks[2] and marks[3]):
         return crf
-    size = max(map(len, sequences))
-    x = np.zeros((len(sequences), size, FEATURES))
-    live = np.zeros((len(sequences), size))
-    for i, s in enumerate(sequences):
-        x[i, : len(s)], live[i, : len(s)] = s, 1.0
-    y = np.array(labels)
-    gold = np.eye(2)[y]
-    share = np.array([np.mean(y == 0), np.mean(y == 1)])
-    weight = (0.5 / share)[y] / live.sum(1)  # a document counts once, whatever its length
-    weight /= weight.sum() / len(y)
-    speed = [np.zeros_like(a) for a in (crf.weights, crf.moves, crf.start)]
-    for _ in range(cfg.epochs):
-        s = x @ crf.weights
-        alpha, beta = np.zeros_like(s), np.zeros_like(s)
-        alpha[:, 0] = s[:, 0] + crf.start
-        lse = lambda a, axis: np.log(np.exp(a - a.max(axis, keepdims=True)).sum(axis)) + a.max(axis)
-        for t in range(1, size):
-            alpha[:, t] = np.where(live[:, t, None] > 0, lse(alpha[:, t - 1, :, None] + crf.moves, 1) + s[:, t], alpha[:, t - 1])
-        z = lse(alpha[:, -1], 1)
-        for t in range(size - 2, -1, -1):
-            beta[:, t] = np.where(live[:, t + 1, None] > 0, lse(crf.moves + (s[:, t + 1] + beta[:, t + 1])[:, None, :], 2), 0.0)
-        p = np.exp(alpha + beta - z[:, None, None]) * live[:, :, None]
-        w = weight[:, None, None]
-        g = np.einsum("ntf,ntk->fk", x * w, gold[:, None, :] * live[:, :, None] - p)
-        pair = np.exp(alpha[:, :-1, :, None] + crf.moves + (s[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * live[:, 1:, None, None]
-        kept = (gold[:, :, None] * gold[:, None, :])[:, None] * live[:, 1:, None, None]
-        gm = ((kept - pair) * weight[:, None, None, None]).sum((0, 1))
-        gs = ((gold - p[:, 0]) * weight[:, None]).sum(0)
-        for a, grad, v in zip((crf.weights, crf.moves, crf.start), (g, gm, gs), speed, strict=True):
-            v *= 0.9
-            v += grad / len(y) - cfg.l2 * a
-            a += cfg.rate * v
+    n = marks[0] + marks[1]
+    balance = {1: 0.5 * n / max(1, marks[0]), 0: 0.5 * n / max(1, marks[1])}
+    for _ in range(cfg.rounds):
+        shared = lines.sparkSession.sparkContext.broadcast((crf, balance))
+        got = lines.select("x", "y", "quality").mapInArrow(_mixing_round(shared, cfg), "params array<double>, docs double").collect()
+        flat = np.average([r["params"] for r in sorted(got, key=lambda r: (r["docs"], r["params"]))], axis=0, weights=sorted(r["docs"] for r in got))
+        k = FEATURES * 2
+        crf = Crf(flat[:k].reshape(FEATURES, 2), flat[k : k + 4].reshape(2, 2), flat[k + 4 :])
     return crf
 
 
@@ -158,7 +267,7 @@ def repeated_words(words: list[bytes], n: int = 5) -> int:
     return int((np.cumsum(cover[:-1]) > 0).sum())
 
 
-def examine(data: bytes, crf: Crf, cfg: CrfConfig) -> tuple:
+def examine(data: bytes, crf: Crf) -> tuple:
     lines = data.split(b"\n")
     split = [line.split() for line in lines]
     full = [(line, w) for line, w in zip(lines, split, strict=True) if w]
@@ -166,51 +275,79 @@ def examine(data: bytes, crf: Crf, cfg: CrfConfig) -> tuple:
     chars = sum(map(len, words)) if data.isascii() else len(_REST.sub(b"", data).decode("utf-8", "replace"))
     n, again = len(words), repeated_words(words)
     failed = n < 10 or 100 * again > 20 * n
-    content = 0
+    content, lines = 0, 0
     if full:
-        marks = viterbi(line_features([a for a, _ in full], [w for _, w in full]) @ crf.weights, crf)
+        marks = viterbi(line_features([a for a, _ in full], [w for _, w in full], crf.common) @ crf.weights, crf)
         content = sum(len(w) for (_, w), m in zip(full, marks, strict=True) if m)
+        lines = int(marks.sum())
     share = content / n if n else 0.0
-    return n, chars, len(_SYMBOLS.findall(data)), len(full) - len({a for a, _ in full}), again, failed, not failed and share >= cfg.content_share, share
+    return n, chars, len(_SYMBOLS.findall(data)), len(full) - len({a for a, _ in full}), again, failed, not failed and share >= crf.content_share, share, len(full), lines
 
 
-RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
+RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double, n_lines long, n_content_lines long"
 
 
-def fit(documents: DataFrame, labels: DataFrame, keep, cfg: CrfConfig = CrfConfig()) -> Crf:
-    sequences, marks = [], []
-    sample = labelled_sample(documents, labels, "quality", keep, cfg.max_docs, "crf")
-
-    @F.pandas_udf("binary")
-    def features(text: pd.Series) -> pd.Series:
-        out = []
-        for data in text:
+def _labelled_lines(shared):
+    @F.pandas_udf("x binary, y binary")
+    def run(text: pd.Series, quality: pd.Series) -> pd.DataFrame:
+        common, xs, ys = shared.value, [], []
+        for data, q in zip(text, quality, strict=True):
             lines = [(x, w) for x in data.split(b"\n") if (w := x.split())]
-            x = line_features([a for a, _ in lines], [w for _, w in lines]) if lines else np.zeros((0, FEATURES))
-            at = max(0, len(x) - cfg.max_lines) // 2
-            out.append(x[at : at + cfg.max_lines].astype(np.float32).tobytes())
-        return pd.Series(out, dtype=object)
-
-    for r in sample.select("doc_id", features(text_bytes("text")).alias("x"), "label").orderBy("doc_id").collect():
-        x = np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, FEATURES).astype(float)
-        if len(x):
-            sequences.append(x)
-            marks.append(int(r["label"] > 0))
-    return train(sequences, marks, cfg)
+            every = [a for a, _ in lines]
+            x = line_features(every, [w for _, w in lines], common) if lines else np.zeros((0, FEATURES))
+            xs.append(x.astype(np.float32).tobytes())
+            ys.append((~is_common(every, common) & (q > 0)).astype(np.int8).tobytes())
+        return pd.DataFrame({"x": xs, "y": ys})
+
+    return run
+
+
+def best_share(shares: np.ndarray, quality: np.ndarray) -> float:
+    """The content share that parts good from bad documents best (of equally good ones the middle)."""
+    if len({*quality.tolist()}) < 2:
+        return 0.5
+    cuts = np.unique(np.concatenate([shares, [0.0, 1.0]]))
+    cuts = np.concatenate([(cuts[:-1] + cuts[1:]) / 2])
+    value = np.array([(shares[quality == 1] >= c).mean() - (shares[quality == 0] >= c).mean() for c in cuts])
+    best = cuts[value >= value.max() - 1e-12]
+    return float(best[len(best) // 2])
+
+
+def fit(documents: DataFrame, labels: DataFrame, keep: Column, cfg: CrfConfig = CrfConfig(), label: str = "quality") -> Crf:
+    """Learn from labelled documents for which ``keep`` (a condition on doc_id) holds; common lines are
+    counted over all documents. Null texts are empty; of equal texts one is taken."""
+    spark = documents.sparkSession
+    common = common_lines(documents, cfg)
+    shared = spark.sparkContext.broadcast(common)
+    sample = labelled_sample(documents, labels, label, keep, cfg.max_docs, "crf")
+    quality = (F.col("label") > 0).cast("int")
+    lines = sample.select("doc_id", _labelled_lines(shared)(text_bytes("text"), quality).alias("l"), quality.alias("quality"), text_bytes("text").alias("text"))
+    # dealt by hash in a fixed order, so that reruns mix the same parameters
+    lines = lines.select("doc_id", "l.x", "l.y", "quality", "text").where(F.length("x") > 0)
+    lines = materialize(lines.repartition(cfg.parts, F.xxhash64("doc_id")).sortWithinPartitions("doc_id"), "crf-lines")
+    deal = lines.select("doc_id", "x", "y", "quality").repartition(cfg.parts, F.xxhash64("doc_id")).sortWithinPartitions("doc_id")
+    crf = train(deal, cfg)
+    crf.common = common
+    got = lines.select("quality", line_quality(spark, crf)["content_share"].alias("share")).toPandas()
+    crf.content_share = best_share(got["share"].to_numpy(float), got["quality"].to_numpy(int))
+    return crf
 
 
-def line_quality(spark: SparkSession, crf: Crf, cfg: CrfConfig = CrfConfig(), text: str = "text"):
+def line_quality(spark: SparkSession, crf: Crf, text: str = "text") -> Column:
+    """The columns of RESULT for a text, as a struct; model and common lines are broadcast."""
     shared = spark.sparkContext.broadcast(crf)
 
     @F.pandas_udf(RESULT)
     def run(data: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([examine(x, shared.value, cfg) for x in data], columns=[c.split()[0] for c in RESULT.split(", ")])
+        return pd.DataFrame([examine(x, shared.value) for x in data], columns=[c.split()[0] for c in RESULT.split(", ")])
 
     return run(text_bytes(text))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document; a null text has no words and fails the base rules."""
+    """One row per row of ``documents``, repeated ids and rows included. Null, empty and wordless texts have
+    no words and fail the base rules; very long texts are taken whole; without labels every line
+    is content; an empty table gives an empty result; other columns are not read."""
     documents = table(spark, sf_dir, "documents")
     crf = fit(documents, table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) != 2)
     return documents.select("doc_id", line_quality(spark, crf).alias("q")).select("doc_id", "q.*")
