@@ -160,6 +160,22 @@ def count_bigrams(rows: DataFrame, folds: int) -> DataFrame:
 CLASSES = ("o", "t", "s")  # ordinary, toxic, shared
 
 
+def _occurrences(c: str, folds: int, leave: int) -> Column:
+    """Of a bigram in a class, in all folds but ``leave``."""
+    classes = {"o": (0,), "t": (1,), "s": (0, 1)}[c]
+    return sum((F.col(f"n{k}{f}") for k in classes for f in range(folds) if f != leave), F.lit(0))
+
+
+def marginals(bigrams: DataFrame, folds: int) -> tuple[DataFrame, DataFrame]:
+    """What the formulas need of every word and of every head, for each left-out fold (and, as ``folds``,
+    for none): continuation counts k of words; occurrences c and different words y of heads.
+    One row per word of the sample."""
+    grid = [(c, f) for f in range(folds + 1) for c in CLASSES]
+    words = bigrams.groupBy("w").agg(*(F.count_if(_occurrences(c, folds, f) > 0).cast("int").alias(f"k{c}{f}") for c, f in grid))
+    heads = bigrams.groupBy("h").agg(*(x for c, f in grid for x in (F.sum(_occurrences(c, folds, f)).cast("int").alias(f"n{c}{f}"), F.count_if(_occurrences(c, folds, f) > 0).cast("int").alias(f"y{c}{f}"))))
+    return materialize(words, "toxicity-words"), materialize(heads, "toxicity-heads")
+
+
 def _singles(prefix: str) -> list[Column]:
     return [F.count_if(F.col(f"{prefix}{c}") == n).alias(f"{c}{n}") for c in CLASSES for n in (1, 2)]
 
@@ -169,13 +185,14 @@ def _discounts(row) -> dict[str, float]:
     return {c: row[f"{c}1"] / (row[f"{c}1"] + 2 * row[f"{c}2"]) if row[f"{c}1"] and row[f"{c}2"] else 0.5 for c in CLASSES}
 
 
-def kneser_ney(bigrams: DataFrame, folds: int, leave: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+def kneser_ney(bigrams: DataFrame, words: DataFrame, heads: DataFrame, folds: int, leave: int) -> tuple[DataFrame, DataFrame, DataFrame, float]:
     """(h, w, bigram), (w, word), (h, head): the log ratios of the module docstring, and that of
-    an unknown word, learned from all folds but ``leave``."""
-    of = lambda c: sum((F.col(f"n{c}{f}") for f in range(folds) if f != leave), F.lit(0))
-    g = bigrams.select("h", "w", of(0).alias("co"), of(1).alias("ct")).withColumn("cs", F.col("co") + F.col("ct")).where("cs > 0")
+    an unknown word, learned from all folds but ``leave``. Words and heads, bounded by the sample,
+    are broadcast to the bigrams."""
+    g = bigrams.select("h", "w", *(_occurrences(c, folds, leave).alias(f"c{c}") for c in CLASSES)).where("cs > 0")
+    words = words.select("w", *(F.col(f"k{c}{leave}").alias(f"k{c}") for c in CLASSES)).where("ks > 0")
+    heads = heads.select("h", *(F.col(f"{x}{c}{leave}").alias(f"{x}{c}") for c in CLASSES for x in "ny")).where("ns > 0")
     d2 = _discounts(g.agg(*_singles("c")).first())
-    words = g.groupBy("w").agg(*(F.count_if(F.col(f"c{c}") > 0).alias(f"k{c}") for c in CLASSES))
     seen = words.agg(*_singles("k"), *(x for c in CLASSES for x in (F.sum(f"k{c}").alias(f"N{c}"), F.count_if(F.col(f"k{c}") > 0).alias(f"T{c}")))).first()
     d1, many, types = _discounts(seen), {c: max(1, seen[f"N{c}"] or 0) for c in CLASSES}, {c: seen[f"T{c}"] or 0 for c in CLASSES}
     v = types["s"]
@@ -183,9 +200,8 @@ def kneser_ney(bigrams: DataFrame, folds: int, leave: int | None = None) -> tupl
     tilt = lambda c: ((F.greatest(F.col(f"k{c}") - d1[c], F.lit(0.0)) / F.col("base") + d1[c] * types[c]) / many[c]) if types[c] else F.lit(1.0)
     words = words.withColumn("base", base).select("w", "base", tilt("o").alias("to"), tilt("t").alias("tt"))
     left = lambda c: d1[c] * types[c] / many[c] if types[c] else 1.0
-    heads = g.groupBy("h").agg(*(x for c in CLASSES for x in (F.sum(f"c{c}").alias(f"n{c}"), F.count_if(F.col(f"c{c}") > 0).alias(f"y{c}"))))
     share = lambda c: F.when(F.col(f"n{c}") > 0, d2[c] * F.col(f"y{c}") / F.col(f"n{c}")).otherwise(1.0)
-    both = g.join(words, "w").join(heads, "h")
+    both = g.join(F.broadcast(words), "w").join(F.broadcast(heads), "h")
     both = both.withColumn("shared", (F.greatest(F.col("cs") - d2["s"], F.lit(0.0)) + d2["s"] * F.col("ys") * F.col("base")) / F.col("ns"))
     p = lambda c: F.when(F.col(f"n{c}") > 0, F.greatest(F.col(f"c{c}") - d2[c], F.lit(0.0)) / F.col(f"n{c}")).otherwise(0.0) + share(c) * F.col("shared") * F.col(f"t{c}")
     return (
@@ -200,9 +216,9 @@ def _columns(df: DataFrame) -> list[np.ndarray]:
     return [c.to_numpy() for c in df.toArrow().columns]
 
 
-def class_pair(bigrams: DataFrame, folds: int, leave: int | None = None) -> ClassPair:
+def class_pair(*counts) -> ClassPair:
     """The tables of ``kneser_ney`` as sorted arrays: one row per different bigram of the sample."""
-    two, one, heads, unknown = kneser_ney(bigrams, folds, leave)
+    two, one, heads, unknown = kneser_ney(*counts)
     w, log_word = _columns(one)
     hashes = np.union1d([START], w).astype(np.int64)
     word, head = np.zeros(len(hashes)), np.zeros(len(hashes))
@@ -253,16 +269,17 @@ def fit(documents: DataFrame, labels: DataFrame, keep: Column, cfg: ToxicityConf
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(cfg.folds)).cast("int")
     rows = materialize(sample.select((F.col("label") > 0).cast("int").alias("label"), fold.alias("fold"), text_bytes("text").alias("text")), "toxicity-sample")
     bigrams = materialize(count_bigrams(rows, cfg.folds), "toxicity-bigrams")
+    words, heads = marginals(bigrams, cfg.folds)
     x, y = [], []
     for f in range(cfg.folds):
-        shared = spark.sparkContext.broadcast(class_pair(bigrams, cfg.folds, f))
+        shared = spark.sparkContext.broadcast(class_pair(bigrams, words, heads, cfg.folds, f))
 
         seen = rows.where(F.col("fold") == f).select(_measured(shared)("text").alias("x"), "label").toPandas()
         x += [list(v) for v in seen["x"]]
         y += seen["label"].tolist()
         shared.unpersist()
     y = np.array(y, float)
-    pair = class_pair(bigrams, cfg.folds)
+    pair = class_pair(bigrams, words, heads, cfg.folds, cfg.folds)
     if len({*y.tolist()}) < 2:
         share = (y.sum() + 0.5) / (len(y) + 1.5)
         return ToxicityModel(pair, np.zeros(FIGURES), float(np.log(share / (1 - share))))
