@@ -1,6 +1,11 @@
 """Connected components of a distributed edge list, by alternating large-star and small-star
-steps. Each step is a grouped minimum and an equi-join, so no vertex's neighbours meet in one
-task and nothing is collected; the lineage ends in a written table every round."""
+steps. Each step is a grouped minimum and a lookup of it from every edge; nothing is collected, and the
+lineage ends in a written table every round.
+
+A *hub*, a node with so many edges that a task which got them all would stand out, is looked up
+apart: hubs have at least 1 / HUBS of all edge ends each, so there are at most HUBS of them, and
+their minima are broadcast to the edges where these lie. All other nodes meet their edges in a shuffle.
+"""
 
 from __future__ import annotations
 
@@ -10,15 +15,32 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+HUBS = 2000
+
+
+def _with_least(e: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+    """Edges (u, v) with the minimum m of u; ``least``: u, m and n, the number of u's edges."""
+    limit = max(20, ends // HUBS)
+    hubs, others = least.where(F.col("n") >= limit), least.where(F.col("n") < limit)
+    marked = e.join(F.broadcast(hubs.select("u", "m")), "u", "left")
+    near = marked.where("m is null").select("u", "v").join(others.select("u", "m"), "u")
+    return marked.where("m is not null").select("u", "v", "m").unionByName(near.select("u", "v", "m"))
+
+
+def _least(e: DataFrame) -> DataFrame:
+    return e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+
+
+def _large_star(e: DataFrame, edges: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+    least = materialize(_least(both), "star-least")
+    return _with_least(both.where("v > u"), least, 2 * edges).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    return e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+def _small_star(e: DataFrame, edges: int) -> DataFrame:
+    least = materialize(_least(e), "star-least")
+    moved = _with_least(e, least, edges).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def _written(e: DataFrame) -> DataFrame:
@@ -45,9 +67,11 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     )
     e = _written(e)
     while not _is_star_forest(e):
-        large = _large_star(e).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        step = _written(_small_star(large))
+        n = e.count()
+        large = _written(_large_star(e, n).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        step = _written(_small_star(large, large.count()))
         discard(e)
+        discard(large)
         e = step
     star = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return star.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -211,8 +211,19 @@ def _bucket_counts(cfg: ForestConfig):
     return run
 
 
+WIDE = 16  # longs of a parity bitmap
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Bitmap of WIDE longs in which every shingle flips one bit: two bitmaps differ in no more
+    bits than their sets do in shingles."""
+    bit = ((hashes >> np.uint64(20)) % np.uint64(64 * WIDE)).astype(np.int64)
+    odd = np.bincount(bit, minlength=64 * WIDE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(shared, cfg: ForestConfig):
-    """Of each set the shingles one of which every similar set holds, in the global order."""
+    """Of each set the shingles one of which every similar set holds, in the global order, and its bitmap."""
 
     def run(batches):
         cache, counts = _Hashes(), shared.value
@@ -221,8 +232,10 @@ def _prefixes(shared, cfg: ForestConfig):
             for at, end, texts in slices(batch.column(1)):
                 sets = [shingle_hashes(t, cfg.shingle, cache) for t in texts]
                 heads = [s[np.lexsort((s, counts[_bucket(s)]))][: len(s) - -(-cfg.percent * len(s) // 100) + 1].view(np.int64) for s in sets]
+                maps = np.stack([parity(s) for s in sets])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, end - at), pa.array(map(len, sets), pa.int64()), pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "n", "tokens"]
+                    [ids.slice(at, end - at), pa.array(map(len, sets), pa.int64()), pa.array(heads, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(maps[:, i])) for i in range(WIDE))],
+                    names=["doc_id", "n", "tokens", *(f"m{i}" for i in range(WIDE))],
                 )
 
     return run
@@ -236,20 +249,22 @@ def hot_pairs(texts: DataFrame, part: DataFrame, cfg: ForestConfig) -> DataFrame
     got = texts.select("text").mapInArrow(_bucket_counts(cfg), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     counts[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     shared = texts.sparkSession.sparkContext.broadcast(counts)
-    sets = texts.select("doc_id", "text").mapInArrow(_prefixes(shared, cfg), "doc_id long, n long, tokens array<long>")
-    sets = sets.join(part.hint("merge"), F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "tokens", F.coalesce("component", "doc_id").alias("c"))
+    bits = [f"m{i}" for i in range(WIDE)]
+    sets = texts.select("doc_id", "text").mapInArrow(_prefixes(shared, cfg), "doc_id long, n long, tokens array<long>, " + ", ".join(f"{b} long" for b in bits))
+    sets = sets.join(part.hint("merge"), F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "tokens", F.coalesce("component", "doc_id").alias("c"), *bits)
     sets = materialize(sets, "forest-prefixes")
-    posts = sets.select("doc_id", "n", "c", F.posexplode("tokens").alias("i", "token"))
+    posts = sets.select("doc_id", "n", "c", F.posexplode("tokens").alias("i", "token"), *bits)
     # inside the component that holds most of a shingle's sets no pair is looked at
     main = posts.groupBy("token", "c").agg(F.count("*").alias("m")).groupBy("token").agg(F.count("*").alias("k"), F.max(F.struct("m", "c")).alias("main"))
     main = main.where("k > 1").select("token", F.col("main.c").alias("main"))
     posts = materialize(posts.join(main.hint("merge"), "token").withColumn("minor", F.col("c") != F.col("main")).drop("main"), "forest-postings")
     p = cfg.percent
-    side = lambda s: [F.col(c).alias(f"{c}{s}") for c in ("doc_id", "n", "c", "i", "minor")]
+    side = lambda s: [F.col(c).alias(f"{c}{s}") for c in ("doc_id", "n", "c", "i", "minor", *bits)]
     # the smaller set of a pair has more than its size less the least overlap of two of its size before it
     small = posts.where(f"i <= n - (2 * {p} * n + {99 + p}) div {100 + p}").select("token", *side("x"))
     large = posts.select("token", *side("y"))
-    fits = f"cx <> cy and (nx < ny or nx = ny and doc_idx < doc_idy) and {100 + p} * least(nx - ix, ny - iy) >= {p} * (nx + ny)"
+    differ = " + ".join(f"bit_count({b}x ^ {b}y)" for b in bits)
+    fits = f"cx <> cy and (nx < ny or nx = ny and doc_idx < doc_idy) and {100 + p} * least(nx - ix, ny - iy) >= {p} * (nx + ny) and {100 + p} * ({differ}) <= {100 - p} * (nx + ny)"
     both = small.where("minorx").join(large.hint("merge"), "token").where(fits)
     both = both.unionByName(small.where("not minorx").join(large.where("minory").hint("merge"), "token").where(fits))
     return both.select(F.least("doc_idx", "doc_idy").alias("a"), F.greatest("doc_idx", "doc_idy").alias("b")).distinct()
@@ -291,7 +306,11 @@ def near_duplicates(docs: DataFrame, cfg: ForestConfig = ForestConfig(), id_col:
     hot = hot_pairs(texts.where("hot"), part, cfg)
     more = materialize(confirm(left.select("a", "b").unionByName(hot).distinct(), texts, cfg), "forest-links")
     discard(texts)
-    final = connected_components(part.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more), "a", "b")
+    # the links of the second round join components: a pair of components counts once
+    between = more.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    top = materialize(connected_components(between, "a", "b"), "forest-parts")
+    joined = part.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+    final = joined.select("node", F.coalesce("top", "component").alias("component")).unionByName(top.join(part.select("node"), "node", "left_anti"))
     ids = signed.groupBy("doc_id").agg(F.min("n_shingles").alias("n_shingles"))
     out = ids.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("component_id") == F.col("doc_id"))
