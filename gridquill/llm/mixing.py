@@ -10,16 +10,19 @@ being a multivariate-hypergeometric draw (seeded by the node, so reruns agree),
 A leaf thus owns, for each source, a stretch of the permuted block order that is disjoint from
 all others'. Within a shard, pieces are put in a hashed order (local shuffle).
 
-What a document gives is the sum of its overlaps with the drawn blocks. No block is drawn more
-than ``passes`` times, so no document exceeds ``passes`` times its size.
+A piece is the overlap of a document with a drawn block: a stretch of its words, for a shard. No block is
+drawn more than ``passes`` times, so no document exceeds ``passes`` times its size. Blocks of 512 words
+hold most documents whole.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,7 +35,8 @@ class MixConfig:
     weights: tuple[float, ...] = (5, 2, 1)  # by source in code-point order, repeating
     share: float = 1.5  # of all sizes
     passes: int = 2  # the most a source is repeated
-    block: int = 64  # words of a block
+    block: int = 512  # words of a block, at most
+    least_blocks: int = 256  # of a source: a small source is cut finer
     shards: int = 64
     bucket_docs: int = 5000  # documents of one sorting unit of a source, about
     seed: int = 11
@@ -59,19 +63,25 @@ def targets(sizes: list[int], cfg: MixConfig) -> list[float]:
     return out
 
 
+def _hypergeometric(good: int, bad: int, take: int, rng: np.random.Generator) -> int:
+    """Blocks of the first kind among ``take``. numpy draws from fewer than 10**9; a larger
+    population is dealt into halves, whose shares of the draw are drawn first, so that every size
+    has the same distribution up to the even deal of the kinds."""
+    if not bad:
+        return take
+    if max(good, bad, take) < 10**9:
+        return int(rng.hypergeometric(good, bad, take))
+    half_take = take // 2
+    return _hypergeometric(good // 2, bad // 2, min(half_take, good // 2 + bad // 2), rng) + _hypergeometric(good - good // 2, bad - bad // 2, take - min(half_take, good // 2 + bad // 2), rng)
+
+
 def _draw(quota: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
     """Composition of ``take`` blocks drawn without replacement from ``quota`` by source."""
     out, rest = np.zeros_like(quota), int(quota.sum())
     for i, q in enumerate(quota):
         rest -= int(q)
         if q and take:
-            # numpy takes arguments under 1e9; above that the draw is put to scale
-            if max(int(q), rest, take) < 10**9:
-                out[i] = rng.hypergeometric(int(q), rest, take) if rest else take
-            else:
-                p = int(q) / (int(q) + rest)
-                sd = (take * p * (1 - p) * max(0.0, (int(q) + rest - take) / max(1, int(q) + rest - 1))) ** 0.5
-                out[i] = int(min(max(round(rng.normal(take * p, sd)), take - rest, 0), q, take))
+            out[i] = _hypergeometric(int(q), rest, take, rng)
         take -= int(out[i])
     return out
 
@@ -95,8 +105,8 @@ def splitting_tree(quota: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def block_words(size: int, cfg: MixConfig) -> int:
-    """Small sources are cut finer, so that a block is at most 1/256 of a source (or one word)."""
-    return max(1, min(cfg.block, size // 256))
+    """Small sources are cut finer, so that a source has at least ``least_blocks`` (or a block is a word)."""
+    return max(1, min(cfg.block, size // cfg.least_blocks))
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -148,7 +158,7 @@ def make_plan(sized: dict[str | None, int], cfg: MixConfig) -> Plan:
     return Plan(sources, sizes, target, block, blocks, quota, np.cumsum(splitting_tree(quota, cfg.shards, cfg.seed), 0))
 
 
-def _placed(docs: DataFrame, cfg: MixConfig, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, Plan]:
+def _placed(docs: DataFrame, cfg: MixConfig, id_col: str, text_col: str, source_col: str, row_col: str | None) -> tuple[DataFrame, Plan]:
     """Rows with their place in the stream of their source.
 
     A source's rows are dealt by hash into buckets of about ``bucket_docs``; a row's offset is
@@ -157,7 +167,7 @@ def _placed(docs: DataFrame, cfg: MixConfig, id_col: str, text_col: str, source_
     spark = docs.sparkSession
     sized = materialize(
         docs.select(
-            F.monotonically_increasing_id().alias("row_id"),
+            (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row_id"),
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             word_count(text_col).alias("size"),
@@ -170,7 +180,7 @@ def _placed(docs: DataFrame, cfg: MixConfig, id_col: str, text_col: str, source_
     n = {r["source"]: r["n"] for r in per}
     known = [(s, i, -(-n[s] // cfg.bucket_docs)) for i, s in enumerate(plan.sources)]
     units = spark.createDataFrame(known, "name string, s int, units long")
-    rows = sized.join(F.broadcast(units) if len(known) <= 100_000 else units, F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    rows = sized.join(units, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     rows = rows.withColumn("bucket", F.pmod(F.col("order"), F.col("units")))
     inside = Window.partitionBy("s", "bucket").orderBy("order", "doc_id", "row_id").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -216,29 +226,76 @@ class Mix:
     pieces: DataFrame  # row_id, shard, rank (local shuffle), start, words
 
 
-def mix(docs: DataFrame, cfg: MixConfig = MixConfig(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
+def mix(docs: DataFrame, cfg: MixConfig = MixConfig(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> Mix:
     """The pieces of the mix: a stretch of ``words`` words from word ``start`` of a row, for a
     shard, in the order of ``rank`` there. Null texts have no words; null sources are one source;
-    repeated rows are rows of their own; an empty table gives no pieces."""
-    rows, plan = _placed(docs, cfg, id_col, text_col, source_col)
+    repeated rows are rows of their own (told apart by ``row_col``, or by numbers given here); very long
+    texts are cut at the blocks; an empty table gives no pieces."""
+    rows, plan = _placed(docs, cfg, id_col, text_col, source_col, row_col)
     rows = materialize(rows, "mix-rows")
     pieces = rows.select("row_id", "s", "size", "order", "at").mapInPandas(_pieces(plan, cfg), "row_id long, shard int, rank long, start long, words long")
     return Mix(rows, plan, pieces)
 
 
 def taken(m: Mix) -> DataFrame:
-    """row_id, doc_id, size, source_size, target, taken for every row."""
-    facts = F.array(*(F.struct(F.lit(int(a)).cast("long").alias("source_size"), F.lit(float(t)).alias("target")) for a, t in zip(m.plan.sizes, m.plan.target, strict=True))) if len(m.plan.sizes) else F.array(F.struct(F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target")))
-    sums = m.pieces.groupBy("row_id").agg(F.sum("words").alias("taken"))
-    out = m.rows.join(sums, "row_id", "left").withColumn("facts", F.get(facts, F.col("s")))
-    return out.select("row_id", "doc_id", "size", "facts.source_size", "facts.target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    """row_id, doc_id, size, source_size, target, taken, n_pieces, n_shards for every row."""
+    facts = m.rows.sparkSession.createDataFrame([(i, int(a), float(t)) for i, (a, t) in enumerate(zip(m.plan.sizes, m.plan.target, strict=True))], "s int, source_size long, target double")
+    sums = m.pieces.groupBy("row_id").agg(F.sum("words").alias("taken"), F.count("*").alias("n_pieces"), F.size(F.collect_set("shard")).alias("n_shards"))
+    out = m.rows.join(sums, "row_id", "left").join(facts, "s")
+    return out.select("row_id", "doc_id", "size", "source_size", "target", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("taken", "n_pieces", "n_shards")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``, null and repeated ids included. Null and wordless texts have size 0
+    and give nothing; null sources are one source; very long texts may give a part; an empty
+    table gives an empty result; other columns are not read. n_pieces and n_shards say where the words go."""
     return taken(mix(table(spark, sf_dir, "documents"))).drop("row_id")
 
 
+_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _cut(text_at: int):
+    """Texts of pieces: the words [start, start + words) of a row's text with the space between them."""
+
+    def run(batches):
+        for b in batches:
+            columns = [b.column(i) for i in range(b.num_columns)]
+            out_rows, texts, shard, rank, start, words = [], [], [], [], [], []
+            for i, (text, pieces) in enumerate(zip(columns[text_at].to_pylist(), columns[-1].to_pylist(), strict=True)):
+                at = [m.span() for m in _WORDS.finditer(text)]
+                for p in pieces:
+                    out_rows.append(i)
+                    texts.append(text[at[p["start"]][0] : at[p["start"] + p["words"] - 1][1]])
+                    for to, k in ((shard, "shard"), (rank, "rank"), (start, "start"), (words, "words")):
+                        to.append(p[k])
+            take = pa.array(out_rows, pa.int64())
+            arrays = [pa.array(texts, pa.string()) if i == text_at else c.take(take) for i, c in enumerate(columns[:-1])]
+            arrays += [pa.array(shard, pa.int32()), pa.array(rank, pa.int64()), pa.array(start, pa.int64()), pa.array(words, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names[:-1], "shard", "rank", "start", "words"])
+
+    return run
+
+
+OWN = ("size", "source_size", "target", "taken", "shard", "rank", "start", "words")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the documents of which the mix takes words, with what it takes."""
-    got = taken(mix(docs)).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken"))
-    return docs.select("doc_id", "text", "lang", "source", "n_chars").join(got, "doc_id")
+    """Pipeline stage, the last: the mix itself, a row per piece, repeats included. ``text`` holds the words of
+    the piece and n_chars (where there is such a column) its length; shard and rank give its place in the
+    output, start and words its place in the document, size, source_size, target and taken the
+    document's figures.
+
+    Rows are told apart by a number, so null and repeated ids and repeated rows are mixed each;
+    null and wordless texts give nothing; other columns are kept, but for those named like one of
+    the stage's own, which it replaces; an empty table gives an empty mix."""
+    kept = [c for c in docs.columns if c not in OWN]
+    base = materialize(docs.select(F.monotonically_increasing_id().alias("__gq_row"), *(F.col(f"`{c}`") for c in kept)), "mix-docs")
+    m = mix(base, row_col="__gq_row")
+    m.pieces = materialize(m.pieces, "mix-pieces")
+    figures = taken(m).where("taken > 0").select(F.col("row_id").alias("__gq_row"), *OWN[:4])
+    each = m.pieces.groupBy(F.col("row_id").alias("__gq_row")).agg(F.sort_array(F.collect_list(F.struct("start", "shard", "rank", "words"))).alias("__gq_pieces"))
+    whole = base.join(figures, "__gq_row").join(each, "__gq_row").drop("__gq_row")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema if f.name != "__gq_pieces")
+    out = whole.mapInArrow(_cut(whole.columns.index("text")), schema + ", shard int, rank long, start long, words long")
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in kept else out

@@ -5,7 +5,8 @@ hexadecimal runs (the base kinds), and ``opaque`` runs of 20 or more of [A-Za-z0
 a digit and letters of both cases outside the base spans. The value of every candidate is hashed
 and the hashes of the whole corpus are aggregated by distinct repositories (here: documents) and
 distinct owners (here: sources; a null source is an owner of its own). A value seen with more than
-``max_owners`` owners is a widely copied example; one that stays with its owners looks live.
+``MAX_OWNERS`` owners, or in more than ``MAX_REPOS`` repositories of however few owners, is a widely
+copied example; one that stays with its owners and in few of their repositories looks live.
 Base spans are always reported; opaque ones only if they look live.
 
 Everything is a DataFrame expression: no Python runs on the executors.
@@ -24,6 +25,7 @@ ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # the maximal runs of at least 24
 OPAQUE = r"[A-Za-z0-9+/_-]{20,}"
+MAX_OWNERS, MAX_REPOS = 2, 8
 KINDS = ["assign", "access", "hex", "opaque"]
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -49,34 +51,42 @@ def opaque_spans(text: Column, base: Column) -> Column:
 
 
 def scan(docs: DataFrame, owner_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row_id, doc_id, owner, base, opaque: one row per input row, written to the shared folder.
+    """row_id, doc_id, text_key, owner, base, opaque: one row per input row, written to the shared folder.
 
-    Null texts are empty. Rows are told apart by row_id, so repeated ids stay separate."""
+    Null texts are empty. Rows are told apart by row_id, so null and repeated ids stay separate;
+    text_key is a hash of the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     step = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(owner_col).cast("string")), F.lit("null")).alias("owner"), text.alias("text"))
     step = step.select("doc_id", "owner", "text", base_spans(F.col("text")).alias("base"))
-    step = step.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "owner", "base", opaque_spans(F.col("text"), F.col("base")).alias("opaque"))
+    step = step.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.xxhash64("text").alias("text_key"), "owner", "base", opaque_spans(F.col("text"), F.col("base")).alias("opaque"))
     return materialize(step, "secret-scan")
 
 
+def _hashed(scanned: DataFrame) -> DataFrame:
+    each = scanned.select("row_id", "doc_id", "owner", F.explode(F.concat("base", "opaque")).alias("span"))
+    return each.withColumn("value_hash", F.sha2(_value(F.col("span")), 256))
+
+
 def ownership(scanned: DataFrame) -> DataFrame:
     """value_hash, n_repos, n_owners over the whole corpus. (hash, owner, document) is made
     distinct with map-side combining before it is counted, so a value copied everywhere does
-    not land in one task."""
-    each = scanned.select("row_id", "doc_id", "owner", F.explode(F.concat("base", "opaque")).alias("span"))
-    hashed = each.select(F.sha2(_value(F.col("span")), 256).alias("value_hash"), "doc_id", "owner")
-    per_owner = hashed.groupBy("value_hash", "owner", "doc_id").agg(F.lit(1).alias("one")).groupBy("value_hash", "owner").agg(F.count("*").alias("n"))
+    not land in one task. A document of several owners is a repository of each; null ids are one."""
+    per_owner = _hashed(scanned).groupBy("value_hash", "owner", "doc_id").agg(F.lit(1).alias("one")).groupBy("value_hash", "owner").agg(F.count("*").alias("n"))
     return per_owner.groupBy("value_hash").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def live_spans(scanned: DataFrame, max_owners: int = 2) -> DataFrame:
+def live_spans(scanned: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """row_id, live: the candidates (base and opaque) whose value looks owner-specific."""
-    stats = ownership(scanned).where(F.col("n_owners") <= max_owners).select("value_hash")
-    each = scanned.select("row_id", F.explode(F.concat("base", "opaque")).alias("span")).withColumn("value_hash", F.sha2(_value(F.col("span")), 256))
-    return each.join(stats, "value_hash").groupBy("row_id").agg(F.sort_array(F.collect_list("span")).alias("live"))
+    live = ownership(scanned).where((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).select("value_hash")
+    # a live value has few repositories, so no hash of ``live`` is hot; written, the occurrences and the
+    # verdicts have exchanges of their own, which skew handling can split for the widely copied ones
+    live = materialize(live, "secret-live")
+    return _hashed(scanned).join(live, "value_hash", "left_semi").groupBy("row_id").agg(F.sort_array(F.collect_list("span")).alias("live"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``, null and repeated ids included. Null and empty texts have no spans;
+    very long texts are scanned whole; an empty table gives an empty result; other columns are not read."""
     scanned = scan(table(spark, sf_dir, "documents"))
     out = scanned.join(live_spans(scanned), "row_id", "left").withColumn("live", F.coalesce("live", no_spans()))
     every = F.concat("base", F.filter("live", lambda s: s["kind"] == "opaque"))
@@ -91,14 +101,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: no document goes; values that look live are masked in the texts (and
-    n_chars follows), widely copied examples stay."""
+    n_chars, where there is such a column, follows), widely copied examples stay.
+
+    A mask belongs to an id and a text, compared null-safely: null and repeated ids are masked each,
+    repeated rows alike. Null and empty texts stay as they are, an empty table stays empty, and
+    all columns of ``docs``, whatever their names, are returned."""
     scanned = scan(docs)
-    live = live_spans(scanned).join(scanned.select("row_id", "doc_id"), "row_id")
-    values = live.select("doc_id", F.explode("live").alias("span")).select("doc_id", _value(F.col("span")).alias("value")).groupBy("doc_id").agg(F.collect_set("value").alias("values"))
+    live = live_spans(scanned).join(scanned.select("row_id", "doc_id", "text_key"), "row_id")
+    values = live.select("doc_id", "text_key", F.explode("live").alias("span")).groupBy("doc_id", "text_key").agg(F.collect_set(_value(F.col("span"))).alias("values"))
     # the longest first, so that a value inside another leaves nothing behind
-    masks = values.select(F.col("doc_id").alias("__gq_id"), F.transform(F.sort_array(F.transform("values", lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))), asc=False), lambda x: x["v"]).alias("__gq_values"))
-    joined = docs.join(masks, F.col("doc_id") == F.col("__gq_id"), "left")
+    longest = F.transform(F.sort_array(F.transform("values", lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))), asc=False), lambda x: x["v"])
+    masks = materialize(values.select(F.col("doc_id").alias("__gq_id"), F.col("text_key").alias("__gq_key"), longest.alias("__gq_values")), "secret-masks")
+    same = F.col("doc_id").eqNullSafe(F.col("__gq_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__gq_key"))
+    joined = docs.join(masks, same, "left")
     masked = F.aggregate("__gq_values", F.col("text"), lambda t, v: F.replace(t, v, F.lit("[SECRET]")))
     dirty = F.col("__gq_values").isNotNull()
-    cols = {"text": F.when(dirty, masked).otherwise(F.col("text")).alias("text"), "n_chars": F.when(dirty, F.length(masked).cast("long")).otherwise(F.col("n_chars")).alias("n_chars")}
-    return joined.select(*(cols.get(c, F.col(c)) for c in docs.columns))
+    cols = {"text": F.when(dirty, masked).otherwise(F.col("text")).alias("text")}
+    if "n_chars" in docs.columns:
+        cols["n_chars"] = F.when(dirty, F.length(masked).cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    return joined.select(*(cols.get(c, F.col(f"`{c}`")) for c in docs.columns))
