@@ -4,13 +4,17 @@ A text is a sequence of words (A-Z in lower case) and one end. The alphabet of t
 bounded: the ``symbols`` most frequent words are symbols of their own, the end is one, and all
 other words fall into ``buckets`` classes by their last bytes. A word of a class is emitted in two
 steps, the class by the hidden state and the word within the class by its smoothed share of
-the class's training tokens, whose counts cover the whole corpus and are joined, not broadcast:
+the class's training tokens, whose counts cover the whole corpus:
 
     P(text) = sum over state paths of prod P(state) P(symbol | state)  *  prod P(word | class)
 
+All counts are exact: one table holds every word of the training texts with its count. Words with at
+least ``share`` of the training tokens, fewer than 1 / ``share`` of them, are broadcast; every other
+occurrence is joined with the table, and none of those words is hot in the training texts.
+
 Training is Baum-Welch. Expected counts are gathered per partition and summed by symbol in
 a shuffle, so that only the parameters (states x symbols) reach the driver. Every round reads all
-training documents, whatever their number.
+training documents, whatever their number; rounds end when the likelihood hardly climbs any more.
 The likelihood is exact: a scaled forward recursion over every whole text.
 
 ``base_score`` is the add-half unigram model on the same counts.
@@ -18,6 +22,7 @@ The likelihood is exact: a scaled forward recursion over every whole text.
 
 from __future__ import annotations
 
+import math
 from array import array
 from collections import Counter
 from dataclasses import dataclass
@@ -28,7 +33,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import crc_mod, lower_words, materialize, slices, table, text_bytes
 
@@ -37,10 +41,11 @@ from .common import crc_mod, lower_words, materialize, slices, table, text_bytes
 class HmmConfig:
     states: int = 8
     symbols: int = 8192
-    buckets: int = 256  # at most 256: the class is the last byte of a word's hash
-    share: float = 2e-5  # every word with this share of the training tokens is a candidate symbol
-    warm_rounds: int = 12  # rounds that find the states
-    full_rounds: int = 2  # rounds after them, over the same rows
+    buckets: int = 256
+    share: float = 1e-6  # words with this share of the training tokens are broadcast
+    rounds: int = 14  # of Baum-Welch, at most
+    least_rounds: int = 8  # the states part slowly at first
+    gain: float = 1e-3  # later rounds end when the log-likelihood climbs by less than this share
     block: int = 600_000  # tokens worked on at once
     seed: int = 17
 
@@ -53,75 +58,93 @@ class HmmConfig:
         return self.symbols + 1 + self.buckets
 
 
-def _frequent(cfg: HmmConfig):
-    """Words with ``share`` of the tokens of a part (a partition, or as much of it as has 600,000
-    distinct words). A word with that share of all tokens has it in some part, so no frequent
-    word is missed."""
+def _counted(batches):
+    """Per partition: words and how often they occur."""
 
-    def flush(counts, total):
-        top = [(w, n) for w, n in counts.items() if n >= cfg.share * total]
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
+    def out(counts):
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
 
-    def run(batches):
-        counts: Counter = Counter()
-        total = 0
-        for b in batches:
-            for _, _, texts in slices(b.column(0)):
-                for w in map(lower_words, texts):
-                    total += len(w)
-                    counts.update(w)
-                if len(counts) > 600_000:
-                    yield flush(counts, total)
-                    counts, total = Counter(), 0
-        yield flush(counts, total)
+    counts: Counter = Counter()
+    for b in batches:
+        for _, _, texts in slices(b.column(0)):
+            for w in map(lower_words, texts):
+                counts.update(w)
+                if len(counts) > 400_000:
+                    yield out(counts)
+                    counts = Counter()
+    yield out(counts)
 
-    return run
+
+@dataclass
+class Lexicon:
+    """The frequent words: symbols, and by hash the counts of the others."""
+
+    symbols: dict[bytes, int]
+    hashes: np.ndarray  # sorted
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[bytes], counts: list[int], cfg: HmmConfig) -> Lexicon:
+        order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
+        h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+        by_hash = np.argsort(h)
+        return cls({words[i]: s for s, i in enumerate(order[: cfg.symbols])}, h[by_hash], np.array(counts, np.int64)[by_hash])
+
+    def count(self, word: bytes) -> int:
+        """The count of a frequent word, 0 for any other."""
+        h = np.uint64(xxhash.xxh3_64_intdigest(word))
+        at = int(np.searchsorted(self.hashes, h))
+        return int(self.counts[at]) if at < len(self.hashes) and self.hashes[at] == h else 0
 
 
 class _Codes(dict):
-    """Word -> place in growing arrays of symbols and hashes."""
+    """Word -> place in growing arrays of symbols, logarithms of counts, and whether the word is rare."""
 
-    def __init__(self, hot: dict[bytes, int], cfg: HmmConfig):
+    def __init__(self, lexicon: Lexicon, cfg: HmmConfig):
         super().__init__()
-        self.hot, self.cfg = hot, cfg
-        self.symbol, self.hash = array("H"), array("q")
+        self.lexicon, self.cfg = lexicon, cfg
+        self.forget()
 
     def __missing__(self, word: bytes) -> int:
-        s = self.hot.get(word)
-        h = 0
+        s, log, rare = self.lexicon.symbols.get(word), 0.0, 0
         if s is None:
-            bucket = crc32(word[-3:]) % self.cfg.buckets
-            s = self.cfg.symbols + 1 + bucket
-            h = ((xxhash.xxh3_64_intdigest(word) >> 1) & ~0xFF) | bucket
+            s = self.cfg.symbols + 1 + crc32(word[-3:]) % self.cfg.buckets
+            c = self.lexicon.count(word)
+            log, rare = (math.log10(c + 0.5), 0) if c else (0.0, 1)
         at = self[word] = len(self.symbol)
         self.symbol.append(s)
-        self.hash.append(h)
+        self.log.append(log)
+        self.rare.append(rare)
         return at
 
     def forget(self) -> None:
         self.clear()
-        self.symbol, self.hash = array("H"), array("q")
+        self.symbol, self.log, self.rare = array("H"), array("d"), array("b")
+
 
+TOKENS = "train boolean, symbols binary, near_log double, near_known long, rare array<binary>"
 
-def _encode(hot_shared, cfg: HmmConfig):
+
+def _encode(shared, cfg: HmmConfig):
     def run(batches):
-        codes = _Codes(hot_shared.value, cfg)
+        codes = _Codes(shared.value, cfg)
         for b in batches:
             for at, end, texts in slices(b.column(3)):
                 if len(codes) > 300_000:
                     codes.forget()
-                each = [np.fromiter(map(codes.__getitem__, w), np.int64, len(w)) for w in map(lower_words, texts)]
-                symbol, hashed = np.array(codes.symbol), np.array(codes.hash)
+                words = [*map(lower_words, texts)]
+                each = [np.fromiter(map(codes.__getitem__, w), np.int64, len(w)) for w in words]
+                symbol, log, rare = np.array(codes.symbol), np.array(codes.log), np.array(codes.rare, bool)
                 symbols = [symbol[e] for e in each]
-                tails = [hashed[e[s > cfg.end]] for e, s in zip(each, symbols, strict=True)]
-                offsets = np.concatenate([[0], np.cumsum([len(t) for t in tails])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(b.column(i).slice(at, end - at) for i in range(3)),
                         pa.array([np.append(s, np.uint16(cfg.end)).astype("<u2").tobytes() for s in symbols], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tails) if tails else np.zeros(0, np.int64))),
+                        pa.array([float(log[e].sum()) for e in each]),
+                        pa.array([int(((s > cfg.end) & ~rare[e]).sum()) for e, s in zip(each, symbols, strict=True)], pa.int64()),
+                        pa.array([[w[i] for i in np.flatnonzero(rare[e])] for e, w in zip(each, words, strict=True)], pa.list_(pa.binary())),
                     ],
-                    names=["row_id", "doc_id", "train", "symbols", "tail"],
+                    names=["row_id", "doc_id", "train", "symbols", "near_log", "near_known", "rare"],
                 )
 
     return run
@@ -213,21 +236,6 @@ def _expect(shared, cfg: HmmConfig):
     return run
 
 
-def _count_symbols(cfg: HmmConfig):
-    def run(batches):
-        n = np.zeros(cfg.alphabet, np.int64)
-        for b in batches:
-            for v in b.column(0).to_pylist():
-                n += np.bincount(np.frombuffer(v, "<u2"), minlength=cfg.alphabet) if len(v) > 20_000 else 0
-            small = [np.frombuffer(v, "<u2") for v in b.column(0).to_pylist() if len(v) <= 20_000]
-            if small:
-                n += np.bincount(np.concatenate(small), minlength=cfg.alphabet)
-        seen = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(n[seen])], names=["symbol", "n"])
-
-    return run
-
-
 def baum_welch_round(tokens: DataFrame, p: Params, unigram: np.ndarray, cfg: HmmConfig) -> tuple[Params, float]:
     """One round over the given rows: counts by partition, summed by symbol, then normalised
     with a little of the unigram distribution as prior."""
@@ -262,8 +270,8 @@ def _score(shared, cfg: HmmConfig):
             log /= np.log(10)
             log += [log_class[s].sum() for s in seqs]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(s) for s in seqs], pa.int64()), pa.array([int((s < cfg.end).sum()) for s in seqs], pa.int64()), pa.array([float(log_word[s].sum()) for s in seqs]), pa.array(log)],
-                names=["row_id", "doc_id", "n_tokens", "n_hot", "hot_log", "model_log"],
+                [b.column(0), b.column(1), pa.array([len(s) for s in seqs], pa.int64()), pa.array([int((s < cfg.end).sum()) for s in seqs], pa.int64()), pa.array([float(log_word[s].sum()) for s in seqs]), pa.array(log), b.column(3), b.column(4)],
+                names=["row_id", "doc_id", "n_tokens", "n_hot", "hot_log", "model_log", "near_log", "near_known"],
             )
 
     return run
@@ -273,55 +281,63 @@ def score_texts(docs: DataFrame, train: Column, cfg: HmmConfig = HmmConfig(), id
     """doc_id, n_tokens, n_known, train_tokens, base_score, score: one row per input row.
 
     Null texts are empty (one token, the end). Without training rows every known count is zero
-    and the untrained chain scores. Repeated rows are scored each."""
+    and the untrained chain scores. Null and repeated ids and repeated rows are scored each; very long texts are
+    scored whole; an empty table gives an empty result; other columns are not read."""
     spark = docs.sparkSession
+    kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), text_bytes(text_col).alias("text"))
-    top = rows.where("train").select("text").mapInArrow(_frequent(cfg), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(cfg.symbols).collect()
-    hot = spark.sparkContext.broadcast({bytes(r["word"]): i for i, r in enumerate(top)})
-    tokens = materialize(
-        rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "train", "text").mapInArrow(_encode(hot, cfg), f"row_id long, doc_id {dict(docs.dtypes)[id_col]}, train boolean, symbols binary, tail array<long>"),
-        "hmm-tokens",
-    )
-
-    # words outside the alphabet: their counts, joined back by a window over the word
-    word = Window.partitionBy("h")
-    tail = tokens.select("row_id", F.col("train").cast("int").alias("t"), F.explode("tail").alias("h"))
-    tail = tail.select("row_id", "h", F.sum("t").over(word).alias("c"), F.row_number().over(word.orderBy("h")).alias("i"))
-    own = F.struct("row_id", F.log10(F.col("c") + 0.5).alias("log"), (F.col("c") > 0).cast("int").alias("known"))
-    kind = F.struct((F.lit(-1) - F.col("h").bitwiseAND(F.lit(0xFF))).alias("row_id"), F.lit(0.0).alias("log"), F.lit(1).alias("known"))
-    tail = tail.select(F.explode(F.when((F.col("i") == 1) & (F.col("c") > 0), F.array(own, kind)).otherwise(F.array(own))).alias("x"))
-    tail = materialize(tail.groupBy("x.row_id").agg(F.sum("x.log").alias("tail_log"), F.sum("x.known").alias("tail_known")), "hmm-tail")
-
-    training = tokens.where("train")
-    counts = np.zeros(cfg.alphabet)
-    for r in training.select("symbols").mapInArrow(_count_symbols(cfg), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
-        counts[r["symbol"]] = r["n"]
-    types = np.zeros(cfg.buckets)
-    for r in tail.where("row_id < 0").collect():
-        types[-1 - r["row_id"]] = r["tail_known"]
-    n, v = counts.sum(), float((counts[: cfg.end + 1] > 0).sum() + types.sum())
+    counted = materialize(rows.where("train").select("text").mapInArrow(_counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "hmm-counts")
+    ends = rows.where("train").count()
+    v, n = counted.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    v, n = v + (ends > 0), n + ends
+    frequent = counted.where(F.col("c") >= max(1.0, cfg.share * n)).toArrow()
+    lexicon = Lexicon.of(frequent.column(0).to_pylist(), frequent.column(1).to_pylist(), cfg)
+    shared = spark.sparkContext.broadcast(lexicon)
+    numbered = rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "train", "text")
+    tokens = materialize(numbered.mapInArrow(_encode(shared, cfg), f"row_id long, doc_id {kind}, {TOKENS}"), "hmm-tokens")
+
+    # occurrences of all other words take their counts by a join
+    rare = tokens.select("row_id", F.explode("rare").alias("word")).join(counted, "word", "left")
+    rare = rare.groupBy("row_id").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_log"), F.count("c").alias("rare_known"))
+    rare = materialize(rare, "hmm-rare")
+
+    # training tokens of every symbol, and different training words of every class
+    counts, types = np.zeros(cfg.alphabet), np.zeros(cfg.buckets)
+    for r in counted.groupBy((F.crc32(F.expr("substring(word, -3, 3)")) % cfg.buckets).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("t")).collect():
+        counts[cfg.symbols + 1 + r["k"]], types[r["k"]] = r["c"], r["t"]
+    for w, s in lexicon.symbols.items():
+        k = crc32(w[-3:]) % cfg.buckets
+        counts[s] = lexicon.count(w)
+        counts[cfg.symbols + 1 + k] -= counts[s]
+        types[k] -= 1
+    counts[cfg.end] = ends
 
     unigram = (counts + 0.5) / (n + 0.5 * cfg.alphabet)
     rng = np.random.default_rng(cfg.seed)
     k = cfg.states
-    emit = unigram[:, None] * np.exp(rng.normal(0, 0.5, (cfg.alphabet, k)))
-    moves = np.full((k, k), 1.0) + np.eye(k) + rng.random((k, k)) * 0.1
+    emit = unigram[:, None] * np.exp(rng.normal(0, 1.0, (cfg.alphabet, k)))
+    moves = np.full((k, k), 1.0) + 10 * np.eye(k) + rng.random((k, k)) * 0.1
     p = Params(np.full(k, 1 / k), moves / moves.sum(1, keepdims=True), emit / emit.sum(0))
-    if n:
-        for _ in range(cfg.warm_rounds + cfg.full_rounds):
-            p, _ = baum_welch_round(training, p, unigram, cfg)
+    training, last = tokens.where("train"), -np.inf
+    for i in range(cfg.rounds if n else 0):
+        p, log = baum_welch_round(training, p, unigram, cfg)
+        if i >= cfg.least_rounds and log - last < cfg.gain * abs(log):
+            break
+        last = log
 
     log_word = np.log10(counts + 0.5)
-    log_word[cfg.end + 1 :] = 0.0  # those come from the join
+    log_word[cfg.end + 1 :] = 0.0  # those come with the words
     log_class = np.zeros(cfg.alphabet)
     log_class[cfg.end + 1 :] = -np.log10(counts[cfg.end + 1 :] + 0.5 * (types + 1))
     shared = spark.sparkContext.broadcast((p, log_word, log_class))
-    scored = tokens.select("row_id", "doc_id", "symbols").mapInArrow(_score(shared, cfg), f"row_id long, doc_id {dict(docs.dtypes)[id_col]}, n_tokens long, n_hot long, hot_log double, model_log double")
-    out = scored.join(tail.where("row_id >= 0"), "row_id", "left").withColumns({"tail_log": F.coalesce("tail_log", F.lit(0.0)), "tail_known": F.coalesce("tail_known", F.lit(0))})
+    scored = tokens.select("row_id", "doc_id", "symbols", "near_log", "near_known").mapInArrow(
+        _score(shared, cfg), f"row_id long, doc_id {kind}, n_tokens long, n_hot long, hot_log double, model_log double, near_log double, near_known long"
+    )
+    out = scored.join(rare, "row_id", "left").withColumns({"tail_log": F.col("near_log") + F.coalesce("rare_log", F.lit(0.0)), "tail_known": F.col("near_known") + F.coalesce("rare_known", F.lit(0))})
     return out.select(
         "doc_id",
         "n_tokens",
-        (F.col("n_hot") + F.col("tail_known") + F.lit(int(counts[cfg.end] > 0))).cast("long").alias("n_known"),
+        (F.col("n_hot") + F.col("tail_known") + F.lit(int(ends > 0))).cast("long").alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
         (F.col("hot_log") + F.col("tail_log") - F.col("n_tokens") * F.lit(float(np.log10(n + 0.5 * (v + 1))))).alias("base_score"),
         (F.col("model_log") + F.col("tail_log")).alias("score"),
