@@ -49,6 +49,11 @@ class ToxicityConfig:
     folds: int = 3  # of the cross-fitting
 
 
+def bigram_key(h: Column, w: Column) -> Column:
+    """Of two 63-bit hashes: the first turned by 17 bits (in 64, so it may be negative), then both mixed."""
+    return F.shiftleft(h, 17).bitwiseOR(F.shiftright(h, 46)).bitwiseXOR(w)
+
+
 def words_of(data: bytes) -> list[bytes]:
     return _WORD.findall(data.lower())
 
@@ -60,12 +65,12 @@ def word_hash(word: bytes) -> int:
 @dataclass
 class ClassPair:
     """Log-likelihood ratios (toxic over ordinary) of both orders. Words are places in ``hashes``
-    (sorted; place 0 is the start of a text), anything else is -1."""
+    (sorted; place 0 is the start of a text), anything else is -1; bigrams go by ``bigram_key``."""
 
     hashes: np.ndarray
     word: np.ndarray  # log P(w) ratio
     head: np.ndarray  # log ratio of the shares that a head leaves to the lower order
-    keys: np.ndarray  # head * len(hashes) + word, sorted
+    keys: np.ndarray  # of the bigrams, sorted
     bigram: np.ndarray
     unknown: float  # log P(w) ratio of a word that no labelled text holds
 
@@ -81,7 +86,8 @@ class ClassPair:
         before = np.concatenate([[0], ids[:-1]])
         two = one + np.where(before >= 0, self.head[before], 0.0)
         if len(self.keys):
-            key = np.where(known & (before >= 0), before * len(self.hashes) + ids, -1)
+            h = self.hashes[before]
+            key = np.where(known & (before >= 0), (h << 17 | h >> 46) ^ self.hashes[ids], -1)
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             two = np.where(self.keys[at] == key, self.bigram[at], two)
         return two, one
@@ -186,7 +192,7 @@ def _discounts(row) -> dict[str, float]:
 
 
 def kneser_ney(bigrams: DataFrame, words: DataFrame, heads: DataFrame, folds: int, leave: int) -> tuple[DataFrame, DataFrame, DataFrame, float]:
-    """(h, w, bigram), (w, word), (h, head): the log ratios of the module docstring, and that of
+    """(key, bigram), (w, word), (h, head): the log ratios of the module docstring, and that of
     an unknown word, learned from all folds but ``leave``. Words and heads, bounded by the sample,
     are broadcast to the bigrams."""
     g = bigrams.select("h", "w", *(_occurrences(c, folds, leave).alias(f"c{c}") for c in CLASSES)).where("cs > 0")
@@ -205,7 +211,7 @@ def kneser_ney(bigrams: DataFrame, words: DataFrame, heads: DataFrame, folds: in
     both = both.withColumn("shared", (F.greatest(F.col("cs") - d2["s"], F.lit(0.0)) + d2["s"] * F.col("ys") * F.col("base")) / F.col("ns"))
     p = lambda c: F.when(F.col(f"n{c}") > 0, F.greatest(F.col(f"c{c}") - d2[c], F.lit(0.0)) / F.col(f"n{c}")).otherwise(0.0) + share(c) * F.col("shared") * F.col(f"t{c}")
     return (
-        both.select("h", "w", F.log(p("t") / p("o")).cast("float").alias("bigram")),
+        both.select(bigram_key(F.col("h"), F.col("w")).alias("key"), F.log(p("t") / p("o")).cast("float").alias("bigram")),
         words.select("w", F.log(F.col("tt") / F.col("to")).alias("word")),
         heads.select("h", F.log(share("t") / share("o")).alias("head")),
         float(np.log(left("t") / left("o"))),
@@ -225,10 +231,11 @@ def class_pair(*counts) -> ClassPair:
     word[np.searchsorted(hashes, w)] = log_word
     h, log_head = _columns(heads)
     head[np.searchsorted(hashes, h)] = log_head
-    first, second, bigram = _columns(two)
-    keys = np.searchsorted(hashes, first) * len(hashes) + np.searchsorted(hashes, second)
+    keys, bigram = _columns(two)
     order = np.argsort(keys)
-    return ClassPair(hashes, word, head, keys[order], bigram[order], unknown)
+    keys, bigram = keys[order], bigram[order]
+    pa.default_memory_pool().release_unused()
+    return ClassPair(hashes, word, head, keys, bigram, unknown)
 
 
 @dataclass
@@ -277,7 +284,7 @@ def fit(documents: DataFrame, labels: DataFrame, keep: Column, cfg: ToxicityConf
         seen = rows.where(F.col("fold") == f).select(_measured(shared)("text").alias("x"), "label").toPandas()
         x += [list(v) for v in seen["x"]]
         y += seen["label"].tolist()
-        shared.unpersist()
+        shared.destroy()
     y = np.array(y, float)
     pair = class_pair(bigrams, words, heads, cfg.folds, cfg.folds)
     if len({*y.tolist()}) < 2:
