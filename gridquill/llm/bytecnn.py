@@ -8,9 +8,8 @@ document are combined - their mean and their maximum - by a logistic unit into o
 Since the input is one of 256 symbols, a filter is a table (position in the filter, byte), and two
 positions at a time are looked up in a table of byte pairs: three gathers a position.
 
-Training (Adam on mini-batches, on the driver) takes a bounded sample: at most ``max_docs``
-labelled documents and ``train_chunks`` chunks, spread over the whole text, of each.
-Scoring reads every byte of every text.
+Training (Adam on mini-batches, on the driver) takes a bounded sample of labelled rows (``max_docs``),
+whole texts with all their chunks, like scoring: a tenth of them calibrates the probability.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ class CnnConfig:
     filters: int = 16
     width: int = 6
     max_docs: int = 3000
-    train_chunks: int = 8
+    train_piece: int = 512  # chunks convolved at once in training
     epochs: int = 8
     batch: int = 64
     rate: float = 0.01
@@ -117,7 +116,7 @@ class Scorer:
 
 
 def train(docs: list[np.ndarray], labels: np.ndarray, cfg: CnnConfig) -> ByteCnn:
-    """docs: per document its sampled chunks, (chunks, 256 + width) bytes."""
+    """docs: the padded bytes of each document, a whole number of chunks."""
     rng = np.random.default_rng(cfg.seed)
     size, span = cfg.filters, SPAN * BLOCK
     net = ByteCnn(rng.normal(0, 0.05, (cfg.width, 256, size)).astype(np.float32), np.zeros(size, np.float32), rng.normal(0, 0.1, size).astype(np.float32), rng.normal(0, 0.1, size).astype(np.float32), 0.0)
@@ -135,15 +134,18 @@ def train(docs: list[np.ndarray], labels: np.ndarray, cfg: CnnConfig) -> ByteCnn
     step = 0
 
     def forward(which):
-        x = np.concatenate([docs[i] for i in which])
-        n = np.array([len(docs[i]) for i in which])
-        pair = x[:, :-1].astype(np.int32) * 256 + x[:, 1:]
-        tables = net.pairs()
-        conv = tables[0][pair[:, :span]]
-        for k in range(1, len(tables)):
-            conv += tables[k][pair[:, 2 * k : 2 * k + span]]
-        where = conv.argmax(1)
-        vec = np.maximum(np.take_along_axis(conv, where[:, None], 1)[:, 0] + net.bias, 0)
+        each = [chunks_of(docs[i], cfg) for i in which]
+        n = np.array([len(c) for c in each])
+        tables, wheres, peaks, x = net.pairs(), [], [], np.concatenate(each)
+        for low in range(0, len(x), cfg.train_piece):
+            part = x[low : low + cfg.train_piece]
+            pair = part[:, :-1].astype(np.int32) * 256 + part[:, 1:]
+            conv = tables[0][pair[:, :span]]
+            for k in range(1, len(tables)):
+                conv += tables[k][pair[:, 2 * k : 2 * k + span]]
+            wheres.append(conv.argmax(1))
+            peaks.append(np.take_along_axis(conv, wheres[-1][:, None], 1)[:, 0])
+        where, vec = np.concatenate(wheres), np.maximum(np.concatenate(peaks) + net.bias, 0)
         heads = np.cumsum(n) - n
         return x, n, heads, where, vec, np.add.reduceat(vec, heads, axis=0) / n[:, None], np.maximum.reduceat(vec, heads, axis=0)
 
@@ -180,24 +182,26 @@ def train(docs: list[np.ndarray], labels: np.ndarray, cfg: CnnConfig) -> ByteCnn
     return net
 
 
-def sample_chunks(data: bytes, cfg: CnnConfig) -> np.ndarray:
-    chunks, blocks = layout(len(data), cfg.width)
-    buf = np.zeros((blocks + 1) * BLOCK, np.uint8)
+def padded(data: bytes, cfg: CnnConfig) -> np.ndarray:
+    """A text and the padding that its chunks and the last filter need."""
+    _, blocks = layout(len(data), cfg.width)
+    buf = np.zeros(blocks * BLOCK + cfg.width, np.uint8)
     buf[: len(data)] = np.frombuffer(data, np.uint8)
-    which = np.unique(np.linspace(0, chunks - 1, min(chunks, cfg.train_chunks)).round().astype(int))
-    return np.stack([buf[STRIDE * BLOCK * c : STRIDE * BLOCK * c + SPAN * BLOCK + cfg.width] for c in which])
+    return buf
+
+
+def chunks_of(buf: np.ndarray, cfg: CnnConfig) -> np.ndarray:
+    """All chunks of a padded text, each with the bytes that filters at its end reach: a view."""
+    return np.lib.stride_tricks.sliding_window_view(buf, SPAN * BLOCK + cfg.width)[:: STRIDE * BLOCK]
 
 
 def fit(documents: DataFrame, labels: DataFrame, keep: Column, cfg: CnnConfig = CnnConfig(), label: str = "quality") -> ByteCnn:
+    """Learn from labelled documents for which ``keep`` (a condition on doc_id) holds. Null texts are
+    empty; of equal texts one is taken; labels of one class give their share to every text."""
     sample = labelled_sample(documents, labels, label, keep, cfg.max_docs, "cnn")
 
-    @F.pandas_udf("binary")
-    def chunks(text: pd.Series) -> pd.Series:
-        return pd.Series([sample_chunks(x, cfg).tobytes() for x in text], dtype=object)
-
-    rows = sample.select("doc_id", chunks(text_bytes("text")).alias("x"), "label").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    width = SPAN * BLOCK + cfg.width
-    return train([np.frombuffer(bytes(r["x"]), np.uint8).reshape(-1, width) for r in rows], np.array([float(r["label"] > 0) for r in rows]), cfg)
+    rows = sample.select("doc_id", text_bytes("text").alias("x"), "label").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    return train([padded(bytes(r["x"]), cfg) for r in rows], np.array([float(r["label"] > 0) for r in rows]), cfg)
 
 
 def score_column(spark: SparkSession, net: ByteCnn, cfg: CnnConfig = CnnConfig(), text: str | Column = "text") -> Column:
@@ -205,13 +209,18 @@ def score_column(spark: SparkSession, net: ByteCnn, cfg: CnnConfig = CnnConfig()
 
     @F.pandas_udf("double")
     def score(data: pd.Series) -> pd.Series:
-        return pd.Series(Scorer(shared.value, cfg).score(data.tolist()) if len(data) else [], dtype=float)
+        net = shared.value
+        scorer = net.__dict__.setdefault("_scorer", None) or Scorer(net, cfg)
+        net._scorer = scorer  # the pair tables are made once a worker
+        return pd.Series(scorer.score(data.tolist()) if len(data) else [], dtype=float)
 
     return score(text_bytes(text))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document; null and empty texts are scored as padding only."""
+    """One row per row of ``documents``, null and repeated ids included. Null and empty texts are scored as
+    padding only; very long texts are scored whole; without labels every score is about 0.5; an
+    empty table gives an empty result; other columns are not read."""
     documents = table(spark, sf_dir, "documents")
     net = fit(documents, table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) != 2)
     scored = documents.select("doc_id", score_column(spark, net).alias("score"))
