@@ -14,8 +14,11 @@ k = floor(``share`` * L) word insertions, deletions and substitutions of the ite
 4. *Verification.* A dynamic program finds the least edit distance of the item to any stretch of
    the document around the window.
 
-Words are runs of letters and digits in lower case (Unicode). than ``least`` words are not looked for (they are met by chance); null and empty texts are clean.
-Benchmarks are taken in blocks of ``block`` items, which bounds what is broadcast.
+Words are runs of letters and digits in lower case (Unicode). Items of fewer words than a key has allow no
+edits and are looked up as they are; null items and items without words are never found.
+
+Benchmarks are taken in blocks of ``block`` items, one pass over the documents for each: only one
+block is broadcast and held by the workers at a time. Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 Q = 3  # words of a key
 _WORD = re.compile(r"[^\W_]+")
@@ -44,7 +47,6 @@ def words_of(text: str) -> list[str]:
 @dataclass(frozen=True)
 class DecontamConfig:
     share: float = 0.2
-    least: int = 8
     repeats: int = 32
     sampled: int = 2
     block: int = 5000
@@ -74,9 +76,12 @@ class ItemIndex:
         self.cfg = cfg
         self.words: dict[str, int] = {}
         self.items: list[tuple[int, np.ndarray, int]] = []
+        self.short: dict[tuple[str, ...], set[int]] = defaultdict(set)  # fewer words than a key
         for item_id, data in items:
             w = words_of(data)
-            if len(w) >= cfg.least:
+            if 0 < len(w) < Q:
+                self.short[tuple(w)].add(item_id)
+            elif w:
                 ids = np.array([self.words.setdefault(x, len(self.words) + 1) for x in w], np.int64)
                 self.items.append((item_id, ids, allowed_edits(len(w), cfg.share)))
         size = len(self.words) + 1
@@ -128,16 +133,22 @@ class ItemIndex:
 
     def find(self, data: str) -> list[int]:
         """Ids of the items found in a text, in order."""
-        if not self.items:
-            return []
         words = words_of(data)
-        if len(words) < Q:
-            return []
+        exact: set[int] = set()
+        if self.short:
+            for n in range(1, Q):
+                for gram in zip(*(words[i:] for i in range(n)), strict=False):
+                    exact |= self.short.get(gram, set())
+        return sorted(exact | self._long(words))
+
+    def _long(self, words: list[str]) -> set[int]:
+        if not self.items or len(words) < Q:
+            return set()
         ids = np.fromiter(map(self.words.get, words, repeat(0)), np.int64, len(words))
         a, b, c = ids[:-2], ids[1:-1], ids[2:]
         spots = np.flatnonzero((a > 0) & (b > 0) & (c > 0))
         if not len(spots):
-            return []
+            return set()
         key = (a[spots] * self.size + b[spots]) * self.size + c[spots]
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         starts: dict[int, set[int]] = defaultdict(set)
@@ -149,7 +160,7 @@ class ItemIndex:
             order = sorted(where)
             for part in range(0, len(order), 2000):
                 found |= self._windows(ids, n, order[part : part + 2000], found)
-        return sorted({self.items[i][0] for i in found})
+        return {self.items[i][0] for i in found}
 
     def _windows(self, ids: np.ndarray, n: int, starts: list[int], known: set[int]) -> set[int]:
         spot = np.array(starts)[:, None] + np.arange(n)
@@ -187,23 +198,35 @@ def _finder(shared):
     return find
 
 
-def leaked_items(spark: SparkSession, benchmark: DataFrame, text: str | Column = "text", cfg: DecontamConfig = DecontamConfig()) -> Column:
-    """Column: ids of the items found in a text, ascending, joined by commas ('' if none)."""
-    found = []
+def with_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "item_ids", text_col: str = "text", cfg: DecontamConfig = DecontamConfig()) -> DataFrame:
+    """``docs`` and a column ``name``: ids of the items found in the text, ascending, each once, joined
+    by commas ('' if none). Between blocks the rows are written to the shared folder."""
+    spark, out, last = docs.sparkSession, docs.withColumn(name, F.lit("")), None
     for part in blocks(benchmark, cfg):
-        find = _finder(spark.sparkContext.broadcast(ItemIndex(part, cfg)))
-        found.append(F.nullif(find(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), F.lit("")))
-    return F.concat_ws(",", *found) if found else F.lit("")
+        if last is not None:
+            out = materialize(out, "leaks")
+            last.unpersist()
+        last = spark.sparkContext.broadcast(ItemIndex(part, cfg))
+        found = _finder(last)(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+        out = out.withColumn(name, F.concat_ws(",", F.nullif(F.col(f"`{name}`"), F.lit("")), F.nullif(found, F.lit(""))))
+    if last is None:
+        return out
+    # an id whose rows lie in two blocks is listed once
+    ids = F.filter(F.split(F.col(f"`{name}`"), ","), lambda x: x != "")
+    return out.withColumn(name, F.array_join(F.array_sort(F.array_distinct(F.transform(ids, lambda x: x.cast("long")))).cast("array<string>"), ","))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, contaminated, n_items, item_ids: one row per document."""
-    items = leaked_items(spark, table(spark, sf_dir, "benchmark"))
-    found = table(spark, sf_dir, "documents").select("doc_id", items.alias("item_ids"))
+    """doc_id, contaminated, n_items, item_ids: one row per row of ``documents``, null and repeated ids included.
+    Null and empty texts are clean; very long texts are read whole; without items every
+    text is clean; an empty table gives an empty result; other columns are not read."""
+    found = with_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n = F.when(F.col("item_ids") == "", 0).otherwise(F.size(F.split("item_ids", ","))).cast("long")
     return found.select("doc_id", (F.col("item_ids") != "").alias("contaminated"), n.alias("n_items"), "item_ids")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: contaminated documents go."""
-    return docs.where(leaked_items(spark, table(spark, sf_dir, "benchmark")) == "")
+    """Pipeline stage: contaminated documents go. Every row is judged by itself, so null and repeated
+    ids stay what they are; null and empty texts stay; all columns of ``docs`` are kept; an empty
+    table stays empty."""
+    return with_leaks(docs, table(spark, sf_dir, "benchmark"), "__gq_items").where("__gq_items = ''").drop("__gq_items")

@@ -6,8 +6,8 @@ count) is joined with it by the digest of the content and the digest of the toke
 library version. Of the digests it does not hold, one document each is encoded, whole, and the
 counts are appended; then every document takes its count from the cache.
 
-Only digests are joined and aggregated; the texts of the misses move once, on the document's
-row, never on a digest that a third of the corpus may share.
+Only digests are joined and aggregated; the texts of the misses move once, by a hash of id and digest
+together, so neither a digest that a third of the corpus shares nor null or repeated ids meet in one task.
 """
 
 from __future__ import annotations
@@ -59,8 +59,9 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row_id, doc_id, n_bytes, n_tokens: one row per input row. Repeated rows and ids keep
-    their rows; the empty text has no tokens."""
+    """doc_id, n_bytes, n_tokens: one row per input row. Null and repeated ids and repeated rows keep
+    their rows; null texts are empty and have no tokens; very long texts are encoded whole; an empty
+    table gives an empty result; other columns are not read."""
     spark = docs.sparkSession
     name = tokenizer_digest(tokenizer_path)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -79,8 +80,11 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
             out += encode(texts.iloc[at : at + 64].tolist())
         return pd.Series(out, dtype="int64")
 
-    wanted = misses.select(F.col("doc_id").alias("rep"), F.col("content_digest").alias("want"))
-    fetched = rows.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep"))).where(digest == F.col("want")).select("want", "text")
+    # the key names the id and the text; rows that repeat both lie together and one of them is encoded
+    key = lambda i, d: F.xxhash64(i, d).alias("key")
+    wanted = misses.select(key("doc_id", "content_digest"), F.col("content_digest").alias("want"))
+    fetched = rows.select(key(F.col("doc_id"), digest), "text").join(wanted.hint("shuffle_hash"), "key")
+    fetched = fetched.groupBy("key", "want").agg(F.first("text").alias("text")).select("want", "text")
     fresh = fetched.select(F.col("want").alias("content_digest"), F.lit(name).alias("tokenizer_digest"), count("text").alias("n_tokens"))
     fresh.write.mode("append").parquet(cache_path)
 
