@@ -15,10 +15,11 @@ shingles of a set are put in one global order, about the rarest first; two sets
 enough share one among the first ninth of the smaller set and the first fifth of the larger, at
 places that leave room for the overlap. Pairs inside a component of the first round are left out.
 
-Candidates are confirmed on full shingle sets in two rounds. First each document is held
-against one candidate of smaller id; what that links is one component, so that of the remaining
-candidates, and of the hot pairs, only those between different components need a look, and all
-of those get it.
+Candidates are confirmed on full shingle sets in rounds. In each of the first ``rounds`` every document is
+held against its most promising candidate, later ``wide`` of them, outside its component; what that
+links becomes one component, so that a large group of near copies grows together before its pairs are
+listed. Of the remaining candidates, and of the hot pairs, only those between different
+components need a look, and all of those get it.
 Equal sets are found by a digest of the set and are never expanded into pairs.
 """
 
@@ -32,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import discard, lower_words, materialize, slices, table, text_bytes
 from .components import connected_components
@@ -46,6 +48,8 @@ class ForestConfig:
     length: int = 8  # hashes of a tree's signature
     region: int = 16  # documents of a region that is not divided further
     reach: int = 4  # neighbours where the signature is used up
+    rounds: int = 3  # of confirmation before the pairs that are left
+    wide: int = 3  # candidates of a document in all of them but the first
     seed: int = 20240229
 
 
@@ -270,14 +274,27 @@ def hot_pairs(texts: DataFrame, part: DataFrame, cfg: ForestConfig) -> DataFrame
     return both.select(F.least("doc_idx", "doc_idy").alias("a"), F.greatest("doc_idx", "doc_idy").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, cfg: ForestConfig = ForestConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per distinct (non-null) id.
+def _of(part: DataFrame, end: str) -> DataFrame:
+    return part.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
 
-    Null and word-less texts have no shingles and link with nothing; fewer than ``shingle``
-    words make one shingle. A repeated id is one document: it has the links of all its rows and
-    the least of their n_shingles. An empty table gives an empty result.
-    """
-    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
+
+def _apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components."""
+    both = pairs.join(_of(part, "a"), "a", "left").join(_of(part, "b"), "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
+
+
+def _merged(part: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after the components at the ends of each link have become one."""
+    between = links.join(_of(part, "a"), "a", "left").join(_of(part, "b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    top = materialize(connected_components(between, "a", "b"), "forest-parts")
+    joined = part.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+    known = joined.select("node", F.coalesce("top", "component").alias("component"))
+    return materialize(known.unionByName(top.join(part.select("node"), "node", "left_anti")), "forest-parts")
+
+
+def row_components(source: DataFrame, cfg: ForestConfig) -> DataFrame:
+    """doc_id, n_shingles, component_id for rows (doc_id long, each once; text bytes)."""
     signed = materialize(source.mapInArrow(_sign(cfg), "doc_id long, n_shingles long, digest binary, signature binary"), "forest-signatures")
     size = 4 * cfg.length
     rows = signed.where("digest is not null").select(
@@ -294,26 +311,52 @@ def near_duplicates(docs: DataFrame, cfg: ForestConfig = ForestConfig(), id_col:
     copies = materialize(copies, "forest-digests")
     copies = materialize(signed.select("doc_id", "digest").join(copies, "digest").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "forest-copies")
 
-    first = pairs.groupBy("b").agg(F.min(F.struct((F.col("support") * 4 < cfg.trees).alias("weak"), "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    linked = materialize(confirm(first, texts, cfg).unionByName(copies), "forest-links")
-    part = materialize(connected_components(linked, "a", "b"), "forest-parts")
-    side = lambda c: part.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    left = (
-        pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
-        .where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-        .join(first, ["a", "b"], "left_anti")
-    )
+    part = materialize(connected_components(copies, "a", "b"), "forest-parts")
+    left = pairs
+    for r in range(cfg.rounds):
+        left = materialize(_apart(left, part), "forest-left")
+        rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("support"), "a"))
+        left = left.withColumn("rank", rank)
+        limit = 1 if r == 0 else cfg.wide
+        linked = materialize(confirm(left.where(F.col("rank") <= limit), texts, cfg), "forest-links")
+        part = _merged(part, linked)
+        left = left.where(F.col("rank") > limit).drop("rank")
+    left = _apart(left, part)
     hot = hot_pairs(texts.where("hot"), part, cfg)
     more = materialize(confirm(left.select("a", "b").unionByName(hot).distinct(), texts, cfg), "forest-links")
     discard(texts)
-    # the links of the second round join components: a pair of components counts once
-    between = more.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    top = materialize(connected_components(between, "a", "b"), "forest-parts")
-    joined = part.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
-    final = joined.select("node", F.coalesce("top", "component").alias("component")).unionByName(top.join(part.select("node"), "node", "left_anti"))
-    ids = signed.groupBy("doc_id").agg(F.min("n_shingles").alias("n_shingles"))
-    out = ids.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("component_id") == F.col("doc_id"))
+    final = _merged(part, more)
+    out = signed.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _numbered(docs: DataFrame, columns: list) -> DataFrame:
+    return materialize(docs.select(F.monotonically_increasing_id().alias("__gq_row"), *columns), "forest-rows")
+
+
+def _grouped(base: DataFrame, cfg: ForestConfig, id_col: str, text_col: str) -> DataFrame:
+    """row, doc_id, n_shingles, component_id (least id of the component, null if it has none), first:
+    whether the row is the one of its component that stays (least id, then least row)."""
+    rows = row_components(base.select(F.col("__gq_row").alias("doc_id"), text_bytes(f"`{text_col}`").alias("text")), cfg)
+    rows = rows.withColumnsRenamed({"doc_id": "row", "component_id": "component"})
+    rows = rows.join(base.select(F.col("__gq_row").alias("row"), F.col(f"`{id_col}`").alias("doc_id")), "row")
+    rows = materialize(rows, "forest-groups")
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
+    best = materialize(best.select("component", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("best_row")), "forest-best")
+    return rows.join(best, "component").select("row", "doc_id", "n_shingles", "component_id", (F.col("row") == F.col("best_row")).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, cfg: ForestConfig = ForestConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``; ids may be of any type that has an order.
+
+    Rows are told apart by a number, so null and repeated ids are grouped by their texts like all others.
+    component_id is the least id of the component (null if it has null ids only), kept whether the id is
+    that one. Null and word-less texts have no shingles and link with nothing; fewer than ``shingle``
+    words make one shingle; very long texts are taken whole. An empty table gives an empty result;
+    other columns are not read.
+    """
+    base = _numbered(docs, [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")])
+    return _grouped(base, cfg, "doc_id", "text").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,6 +364,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays, the one of smallest id, on five-word shingles."""
-    kept = near_duplicates(docs, ForestConfig(shingle=5)).where("kept").select(F.col("doc_id").alias("__gq_id"))
-    return docs.join(kept, F.col("doc_id") == F.col("__gq_id"), "left_semi")
+    """Pipeline stage: one document of each group stays, the one of least id, on five-word shingles.
+
+    Of repeated rows and ids with similar texts one row stays; rows with null ids are grouped like others and
+    come last in a group; null and wordless texts link with nothing and stay. All columns of
+    ``docs`` are kept; an empty table stays empty."""
+    base = _numbered(docs, [F.col(f"`{c}`") for c in docs.columns])
+    kept = _grouped(base, ForestConfig(shingle=5), "doc_id", "text").where("first").select(F.col("row").alias("__gq_row"))
+    return base.join(kept, "__gq_row", "left_semi").drop("__gq_row")
