@@ -14,6 +14,8 @@ ODD = [
     (8, " \n\t ", "de", None, 4),
     (9, "\U0001f600 token = 'abcdef123456' 1.2.3.4 a@b.co +1 (222) 333-4444", "en", "d", 60),
     (10, "9" * 30_000, "en", "d", 30_000),
+    (None, "same text here that is long enough to be a shingle or two", "en", "b", 57),
+    (None, "nobody's token = 'fedcba654321' here", None, "e", 36),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 

@@ -1,4 +1,5 @@
-"""Every operator on odd rows and on an empty table: nothing crashes, every row gets its result."""
+"""Every operator and stage on odd rows, with and without labels, and on an empty table: nothing
+crashes, every row gets its result."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from gridquill.llm.common import scratch_path
 
 
 def _benchmark(spark):
-    return spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (4, "same text here that is long enough to be a shingle or two")], "item_id long, text string")
+    return spark.createDataFrame([(1, None), (2, ""), (3, "zz qq"), (4, "same text here that is long enough to be a shingle or two")], "item_id long, text string")
 
 
 def _toxicity(spark, docs, labels):
@@ -16,7 +17,7 @@ def _toxicity(spark, docs, labels):
 
 
 def _hmm(spark, docs, labels):
-    return hmm.score_texts(docs, F.col("doc_id") % 2 == 0, hmm.HmmConfig(warm_rounds=1, full_rounds=1, symbols=64))
+    return hmm.score_texts(docs, F.col("doc_id") % 2 == 0, hmm.HmmConfig(rounds=2, symbols=64))
 
 
 def _tokens(spark, docs, labels):
@@ -44,20 +45,28 @@ def _pii(spark, docs, labels):
 
 
 def _decontam(spark, docs, labels):
-    return docs.select("doc_id", decontam.leaked_items(spark, _benchmark(spark)).alias("r"))
+    return decontam.with_leaks(docs, _benchmark(spark))
 
 
 def _crf(spark, docs, labels):
     return docs.select("doc_id", linecrf.line_quality(spark, linecrf.fit(docs, labels, F.lit(True))).alias("r"))
 
 
-RUNS = [_toxicity, _hmm, _tokens, _cnn, _mix, _secrets, _pii, _decontam, _crf]
+def _near(spark, docs, labels):
+    return lshforest.near_duplicates(docs)
+
+
+RUNS = [_toxicity, _hmm, _tokens, _cnn, _mix, _secrets, _pii, _decontam, _crf, _near]
+IDS = [1, 2, 3, 4, 5, 5, 6, 7, 8, 9, 10, None, None]
+key = lambda i: (i is None, i)
 
 
 @pytest.mark.parametrize("run", RUNS, ids=lambda f: f.__name__)
-def test_one_result_per_row(spark, odd, no_labels, run):
-    got = run(spark, odd, no_labels).collect()
-    assert sorted(r["doc_id"] for r in got) == [1, 2, 3, 4, 5, 5, 6, 7, 8, 9, 10]
+@pytest.mark.parametrize("labelled", [False, True], ids=["unlabelled", "labelled"])
+def test_one_result_per_row(spark, odd, no_labels, run, labelled):
+    labels = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(1, 11)] + [(None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int") if labelled else no_labels
+    got = run(spark, odd, labels).collect()
+    assert sorted((r["doc_id"] for r in got), key=key) == IDS
 
 
 @pytest.mark.parametrize("run", RUNS, ids=lambda f: f.__name__)
@@ -65,12 +74,41 @@ def test_empty_table(spark, none, no_labels, run):
     assert run(spark, none, no_labels).count() == 0
 
 
-def test_near_duplicates(spark, odd, none):
+STAGES = [toxicity.stage, lshforest.stage, decontam.stage, secret_scan.stage, mixing.stage]
+
+
+@pytest.fixture(scope="module")
+def side_tables(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("odd"))
+    _benchmark(spark).write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return d
+
+
+@pytest.mark.parametrize("stage", STAGES, ids=lambda f: f.__module__.rsplit(".", 1)[1])
+def test_stages(spark, odd, none, side_tables, stage):
+    assert stage(spark, none, side_tables).count() == 0
+    got = stage(spark, odd, side_tables)
+    ids = sorted((r["doc_id"] for r in got.collect()), key=key)
+    if stage is mixing.stage:
+        assert {*odd.columns} <= {*got.columns} and {1, 2, 8}.isdisjoint(ids) and {None, 5, 6} <= {*ids}
+        each = got.where("doc_id = 5").agg(F.sum("words"), F.max("taken")).first()
+        assert each[0] <= 2 * 2 * 13 and each[1] <= 2 * 13  # either of the repeated rows, twice at most
+        return
+    assert got.columns == odd.columns
+    drops = {lshforest.stage: [5, 5, None], decontam.stage: [4, 5, 5, None]}.get(stage, [])
+    want = list(IDS)
+    for i in drops:
+        want.remove(i)
+    assert ids == want
+
+
+def test_near_duplicates(spark, odd):
     got = {r["doc_id"]: r for r in lshforest.near_duplicates(odd).collect()}
-    assert sorted(got) == list(range(1, 11))
-    assert {i: got[i]["component_id"] for i in got} == {i: 4 if i == 5 else i for i in got}
+    assert {i: got[i]["component_id"] for i in range(1, 11)} == {i: 4 if i == 5 else i for i in range(1, 11)}
     assert [got[i]["n_shingles"] for i in (1, 2, 3, 4, 6, 8)] == [0, 0, 1, 10, 1, 0]
-    assert lshforest.near_duplicates(none).count() == 0
+    words = lshforest.near_duplicates(odd.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))).where("doc_id = 'd5'").first()
+    assert words["component_id"] == "d4" and not words["kept"]
 
 
 def test_odd_spans(spark, odd):
@@ -82,7 +120,17 @@ def test_odd_spans(spark, odd):
     assert got[10] == []
 
 
+def test_secrets_of_null_ids_are_masked(spark, odd, side_tables):
+    got = secret_scan.stage(spark, odd, side_tables).where("doc_id is null and text like '%token%'").collect()
+    assert ["abcdef" in r["text"] for r in got] == [False]
+
+
 def test_decontam_finds_the_copies(spark, odd):
-    got = odd.select("doc_id", decontam.leaked_items(spark, _benchmark(spark)).alias("r")).where("r <> ''").collect()
-    assert sorted((r["doc_id"], r["r"]) for r in got) == [(4, "4"), (5, "4"), (5, "4")]
-    assert {r[0] for r in odd.select(decontam.leaked_items(spark, _benchmark(spark).where("false"))).collect()} == {""}
+    got = decontam.with_leaks(odd, _benchmark(spark)).where("item_ids <> ''").collect()
+    assert sorted(((r["doc_id"], r["item_ids"]) for r in got), key=lambda x: key(x[0])) == [(4, "4"), (5, "4"), (5, "4"), (None, "4")]
+    assert {r["item_ids"] for r in decontam.with_leaks(odd, _benchmark(spark).where("false")).collect()} == {""}
+    # in blocks of one item the same, and short items are found as they are
+    both = spark.createDataFrame([(7, "say zz qq now"), (8, "zz and qq"), (9, "same text here that is long enough to be a shingle or two zz qq")], "doc_id long, text string")
+    for block in (1, 100):
+        got = decontam.with_leaks(both, _benchmark(spark), cfg=decontam.DecontamConfig(block=block)).collect()
+        assert {r["doc_id"]: r["item_ids"] for r in got} == {7: "3", 8: "", 9: "3,4"}
