@@ -6,12 +6,14 @@ All operators take a table of queries (query_id, ...), so one plan serves one qu
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..storage import stored
 
 SOURCES = ["vec_chunk", "vec_summary", "fts", "exact"]
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -27,6 +29,11 @@ def postings(rows: DataFrame, id_col: str, text_col: str, kind: str = "chunk") -
     return rows.select(F.lit(kind).alias("kind"), F.col(id_col).alias("ref_id"), F.posexplode(tok).alias("pos", "term"))
 
 
+def lengths(post: DataFrame) -> DataFrame:
+    """kind, ref_id, dl: terms of every row of the index."""
+    return post.groupBy("kind", "ref_id").agg(F.count("*").alias("dl"))
+
+
 def corpus_stats(post: DataFrame) -> DataFrame:
     """n_rows, avg_len over all rows of the index, chunks and summaries together."""
     return post.groupBy("kind", "ref_id").agg(F.count("*").alias("dl")).agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avg_len"))
@@ -45,15 +52,38 @@ def phrase_hits(post: DataFrame, queries: DataFrame) -> DataFrame:
     return met.where("n = len").groupBy("query_id", "phrase_no", "kind", "ref_id").agg(F.count("*").alias("tf"))
 
 
-def bm25(post: DataFrame, queries: DataFrame, match: str = "all") -> DataFrame:
-    """(query_id, kind, ref_id, score): rows that hold all phrases (or any, match='any')."""
+@dataclass(frozen=True)
+class Index:
+    """A lexical index: postings and, so that no search tokenises or counts the corpus again, the lengths of
+    its rows and their statistics."""
+
+    post: DataFrame
+    lengths: DataFrame
+    stats: DataFrame
+
+
+def build_index(post: DataFrame) -> Index:
+    """Stores the three tables in the shared folder."""
+    post = stored(post, "postings")
+    own = stored(lengths(post), "lengths")
+    return Index(post, own, stored(own.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avg_len")), "index-stats"))
+
+
+def _index(post: DataFrame | Index) -> Index:
+    return post if isinstance(post, Index) else Index(post, lengths(post), corpus_stats(post))
+
+
+def bm25(post: DataFrame | Index, queries: DataFrame, match: str = "all") -> DataFrame:
+    """(query_id, kind, ref_id, score): rows that hold all phrases (or any, match='any'). ``post``: postings,
+    or a stored index."""
+    index = _index(post)
+    post = index.post
     hits = phrase_hits(post, queries)
     df = hits.groupBy("query_id", "phrase_no").agg(F.count("*").alias("df"))
     need = queries.select("query_id", F.size(X.query_phrases(F.col("question"))).alias("need"))
-    dl = post.join(hits.select("kind", "ref_id").distinct(), ["kind", "ref_id"], "left_semi").groupBy("kind", "ref_id").agg(F.count("*").alias("dl"))
     idf = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.when(idf > 0, idf).otherwise(1e-6) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_len")))
-    x = hits.join(df, ["query_id", "phrase_no"]).join(dl, ["kind", "ref_id"]).join(F.broadcast(corpus_stats(post)))  # one row
+    x = hits.join(df, ["query_id", "phrase_no"]).join(index.lengths, ["kind", "ref_id"]).join(F.broadcast(index.stats))  # one row
     out = x.groupBy("query_id", "kind", "ref_id").agg(F.sum(part).alias("score"), F.count("*").alias("n")).join(need, "query_id")
     return out.where(F.col("n") == F.col("need") if match == "all" else F.lit(True)).select("query_id", "kind", "ref_id", "score")
 
@@ -74,7 +104,7 @@ def in_scope(hits: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFram
     return out.where((F.col("qf").isNull() | (F.col("qf") == F.col("folder_id"))) & (F.col("qd").isNull() | (F.col("qd") == F.col("document_id")))).drop("qf", "qd", "folder_id", "document_id")
 
 
-def fts_recall(post: DataFrame, queries: DataFrame, chunks: DataFrame, summaries: DataFrame | None = None, limit: int = RECALL, match: str = "all") -> DataFrame:
+def fts_recall(post: DataFrame | Index, queries: DataFrame, chunks: DataFrame, summaries: DataFrame | None = None, limit: int = RECALL, match: str = "all") -> DataFrame:
     """(query_id, chunk_id, score, rank): scope, then 2 * limit rows of the index, best per chunk,
     then the cut to ``limit``. Statistics stay global."""
     s = bm25(post, queries, match)
@@ -114,12 +144,66 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+BLOCK = 512  # queries that a pass over the vectors answers
+
+
+def _query_blocks(queries: DataFrame):
+    """(ids, unit embeddings) of the stated query set, ``BLOCK`` at a time."""
+    import numpy as np
+
+    part: list = []
+    for r in queries.select("query_id", "embedding").where("embedding is not null").orderBy("query_id").toLocalIterator():
+        part.append(r)
+        if len(part) == BLOCK:
+            yield _unit(np, part)
+            part = []
+    if part:
+        yield _unit(np, part)
+
+
+def _unit(np, part):
+    q = np.array([r[1] for r in part], np.float64)
+    return [r[0] for r in part], q / np.linalg.norm(q, axis=1, keepdims=True)
+
+
+def _nearest(shared, k: int):
+    """Per batch of vectors the k nearest of every query of a block, ties by id."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, q = shared.value
+        for b in batches:
+            keep = b.column(1).is_valid().to_numpy(zero_copy_only=False)
+            b = b.filter(pa.array(keep))
+            if not b.num_rows:
+                continue
+            ref = b.column(0).to_numpy(zero_copy_only=False)
+            x = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1)
+            score = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ q.T, 6)
+            n = min(k, len(ref))
+            best = np.lexsort((np.broadcast_to(ref[:, None], score.shape), -score), axis=0)[:n]
+            rows = best.T.ravel()
+            of = np.repeat(np.arange(len(ids)), n)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in of]), pa.array(ref[rows]), pa.array(score[rows, of])], names=["query_id", "ref_id", "score"])
+
+    return run
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int = RECALL) -> DataFrame:
-    """(query_id, ref_id, score, rank): k nearest by cosine of (ref_id, embedding); exact. The
-    queries are the small side, whose embeddings are sent to all rows."""
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    scored = vectors.join(q, how="cross").select("query_id", "ref_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return top(scored, k, ["ref_id"])
+    """(query_id, ref_id, score, rank): k nearest by cosine of (ref_id, embedding); exact. The stated
+    query set goes over all vectors in blocks, a matrix product a batch; of a batch only the k nearest of a
+    query leave the task. Null vectors are nobody's neighbours."""
+    spark, kind = vectors.sparkSession, dict(queries.dtypes)["query_id"]
+    ref = dict(vectors.dtypes)["ref_id"]
+    found = None
+    for block in _query_blocks(queries):
+        part = vectors.select("ref_id", "embedding").mapInArrow(_nearest(spark.sparkContext.broadcast(block), k), f"query_id {kind}, ref_id {ref}, score double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], f"query_id {kind}, ref_id {ref}, score double")
+    return top(found, k, ["ref_id"])
 
 
 def ivf_build(vectors: DataFrame, lists: int, sample: int = 20_000, rounds: int = 4, seed: int = 5):
@@ -136,6 +220,21 @@ def ivf_build(vectors: DataFrame, lists: int, sample: int = 20_000, rounds: int
     return c
 
 
+def ivf_probes(vectors: DataFrame, centroids, k: int, recall: float = 0.97, sample: int = 20_000, queries: int = 300) -> int:
+    """The least number of lists in which that share of the true k nearest neighbours lies, for
+    ``queries`` of at most ``sample`` vectors, held against all of that sample."""
+    import numpy as np
+
+    x = np.array([r[0] for r in vectors.orderBy(F.xxhash64("ref_id")).limit(sample).select("embedding").collect()], dtype=float)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    q = x[:queries]
+    near = np.argsort(-(q @ x.T), axis=1)[:, :k]
+    place = np.argsort(np.argsort(-(q @ centroids.T), axis=1), axis=1)  # of every list, for a query
+    home = (x @ centroids.T).argmax(1)
+    at = np.take_along_axis(place, home[near], axis=1)
+    return next(p for p in range(1, len(centroids) + 1) if (at < p).mean() >= recall)
+
+
 def ivf_knn(vectors: DataFrame, queries: DataFrame, centroids, k: int = RECALL, probes: int = 4) -> DataFrame:
     """As knn, over the ``probes`` nearest lists of each query only; all vectors are indexed."""
     cs = F.array(*(F.array(*(F.lit(float(v)) for v in row)) for row in centroids))
@@ -151,9 +250,16 @@ def chunk_recall(vectors: DataFrame, queries: DataFrame, chunks: DataFrame, k: i
     nearest of the scope."""
     v = vectors.select(F.col("chunk_id").alias("ref_id"), "embedding")
     if scope_mode == "pre" and "folder_id" in queries.columns:
-        q = queries.select("query_id", F.col("embedding").alias("q"))
-        scored = v.join(q, how="cross").select("query_id", F.col("ref_id").alias("chunk_id"), F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-        return top(in_scope(scored, chunks, queries), k)
+        # queries that name a folder meet the vectors of that folder, those that name a document the
+        # vectors of that; only queries without a scope go over all
+        c = chunks.select(F.col("id").alias("ref_id"), "folder_id", "document_id")
+        q = queries.select("query_id", F.col("embedding").alias("q"), F.col("folder_id").alias("qf"), F.col("document_id").alias("qd"))
+        own = v.join(c, "ref_id")
+        by_document = own.join(q.where("qd is not null"), F.col("document_id") == F.col("qd")).where("qf is null or qf = folder_id")
+        by_folder = own.join(q.where("qd is null and qf is not null"), F.col("folder_id") == F.col("qf"))
+        scored = by_document.unionByName(by_folder).select("query_id", F.col("ref_id").alias("chunk_id"), F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+        free = knn(own.select("ref_id", "embedding"), queries.where("folder_id is null and document_id is null"), k)
+        return top(scored.unionByName(free.select("query_id", F.col("ref_id").alias("chunk_id"), "score")), k)
     hits = knn(v, queries, k).select("query_id", F.col("ref_id").alias("chunk_id"), "score")
     known = hits.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
     return top(in_scope(known, chunks, queries), k)
@@ -208,7 +314,7 @@ def rerank(hits: DataFrame, queries: DataFrame, scorer: Callable[[Column, Column
     return x.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < limit)
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, sheets: DataFrame, documents: DataFrame, post: DataFrame, chunk_vec: DataFrame, summaries: DataFrame, limit: int = FINAL, recall: int = RECALL, scorer: Callable[[Column, Column], Column] = term_overlap) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, sheets: DataFrame, documents: DataFrame, post: DataFrame | Index, chunk_vec: DataFrame, summaries: DataFrame, limit: int = FINAL, recall: int = RECALL, scorer: Callable[[Column, Column], Column] = term_overlap) -> DataFrame:
     """queries: query_id, question, embedding and, if scoped, folder_id and document_id."""
     if limit <= 0 or recall <= 0:
         raise ValueError("limit and recall must be positive")

@@ -168,7 +168,7 @@ def cells_max_guard(spark, d):
 @query
 def cells_merged(spark, d):
     merges = S.read(spark, d, "documents").select(F.col("doc_id").alias("sheet_id"), F.lit(1).alias("min_row"), F.lit(2).alias("min_col"), F.lit("B1:C1").alias("merged_range"))
-    out = cells.with_merges(S.prose_cells(spark, d), merges).where("row <= 2")
+    out = cells.with_merges(S.prose_cells(spark, d), merges)
     return _long(out.select("sheet_id", "row", "col", "merged_range", "is_merge_anchor"), "row", "col")
 
 
@@ -341,6 +341,17 @@ def _post(spark, d):
     return search.postings(S.read(spark, d, "documents"), "doc_id", "text")
 
 
+_INDEXES: dict[tuple[str, str], search.Index] = {}
+
+
+def _index(spark, d):
+    """The stored index of a folder's documents, built by the first query of a session that searches them."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = search.build_index(_post(spark, d))
+    return _INDEXES[key]
+
+
 def _questions(spark, d):
     b = S.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(X.terms(F.col("text")), 1, 3), " ").alias("question"))
     e = S.read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
@@ -367,13 +378,13 @@ def _ranked(df, *cols):
 
 @query
 def bm25_topk(spark, d):
-    return _ranked(search.fts_recall(_post(spark, d), _questions(spark, d), _doc_chunks(spark, d)), "query_id", "chunk_id")
+    return _ranked(search.fts_recall(_index(spark, d), _questions(spark, d), _doc_chunks(spark, d)), "query_id", "chunk_id")
 
 
 @query
 def phrase_match(spark, d):
     q = S.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(X.terms(F.col("text")), 1, 2), "-").alias("question"))
-    return search.phrase_hits(_post(spark, d), q).select("query_id", F.col("ref_id").alias("doc_id"), "tf")
+    return search.phrase_hits(_index(spark, d).post, q).select("query_id", F.col("ref_id").alias("doc_id"), "tf")
 
 
 def _identifier_chunks(spark, d):
@@ -421,7 +432,7 @@ def _lists(spark, d):
     return {
         "vec_chunk": search.chunk_recall(_vectors(spark, d), q, c),
         "vec_summary": search.summary_recall(S.summaries(spark, d), q, c),
-        "fts": search.fts_recall(_post(spark, d), q, c),
+        "fts": search.fts_recall(_index(spark, d), q, c),
     }
 
 
@@ -432,7 +443,7 @@ def rrf_fusion(spark, d):
 
 def _hits(spark, d):
     q, c = _questions(spark, d), _doc_chunks(spark, d)
-    return search.hybrid_search(q, c, S.prose_sheets(spark, d), S.documents(spark, d), _post(spark, d), _vectors(spark, d), S.summaries(spark, d)), q
+    return search.hybrid_search(q, c, S.prose_sheets(spark, d), S.documents(spark, d), _index(spark, d), _vectors(spark, d), S.summaries(spark, d)), q
 
 
 @query
@@ -443,7 +454,7 @@ def hybrid_search(spark, d):
 @query
 def context_citations(spark, d):
     hits, q = _hits(spark, d)
-    return search.context(hits.withColumn("text", F.substring("text", 1, 40)), q).select("query_id", "context")
+    return search.context(hits, q).select("query_id", "context")
 
 
 @query
@@ -529,7 +540,7 @@ def citation_anchors(spark, d):
 
 @query
 def query_strings(spark, d):
-    return S.read(spark, d, "benchmark").select("item_id", X.query_string(F.substring("text", 1, 60)).alias("q"))
+    return S.read(spark, d, "benchmark").select("item_id", X.query_string(F.col("text")).alias("q"))
 
 
 @query
@@ -562,7 +573,9 @@ def events_until_terminal(spark, d):
 
 @query
 def ivf_recall(spark, d):
-    """Approximate search over a query per hundred vectors (no SQL twin: centroids are fitted)."""
+    """Approximate search over a query per hundred vectors (no SQL twin: centroids are fitted). The
+    lists grow with the square root of the vectors; the probes are those that reach the recall."""
     v = S.read(spark, d, "embeddings").select(F.col("vec_id").alias("ref_id"), "embedding")
     q = v.where("ref_id % 100 = 0").withColumnRenamed("ref_id", "query_id")
-    return _ranked(search.ivf_knn(v, q, search.ivf_build(v, 16), 10, probes=6), "query_id", "ref_id")
+    centroids = search.ivf_build(v, max(8, round(v.count() ** 0.5 / 2)))
+    return _ranked(search.ivf_knn(v, q, centroids, 10, probes=search.ivf_probes(v, centroids, 10)), "query_id", "ref_id")

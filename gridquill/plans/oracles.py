@@ -74,7 +74,7 @@ _FEAT = {
 _PROSE = {"keys": "SELECT doc_id sheet_id FROM documents"} | _FEAT
 _GRID = "SELECT *, dense_rank() OVER (PARTITION BY sheet_id ORDER BY leftmost) - 1 indent_level FROM (SELECT *, min(col) OVER (PARTITION BY sheet_id, row) leftmost FROM c)"
 _PART_GRID = "SELECT *, NULL::VARCHAR font_color FROM (SELECT sheet_id, row, unnest([1, 2, 3, 4, 5]) AS col, unnest([p_brand, p_name, t, s, r]) AS text, false AS bold FROM parts UNION ALL SELECT sheet_id, 1, unnest([1, 2, 3, 4, 5]), unnest(['p_brand', 'p_name', 'p_type', 'p_size', 'p_retailprice']), true FROM (SELECT DISTINCT sheet_id FROM parts)) WHERE text <> ''"
-_ORDER_GRID = "SELECT sheet_id, row, unnest([1, 2]) AS col, unnest([d, p]) AS text, false AS bold, NULL::VARCHAR font_color FROM orders_n WHERE n BETWEEN 4 AND 50"
+_ORDER_GRID = "SELECT sheet_id, row, unnest([1, 2]) AS col, unnest([d, p]) AS text, false AS bold, NULL::VARCHAR font_color FROM orders_n"
 _SHEETS = {"keys": "SELECT DISTINCT sheet_id FROM grid"} | _FEAT
 _TABLES = "SELECT 'folder' table_name, count(*) n_rows FROM f UNION ALL SELECT 'document', count(*) FROM dd UNION ALL SELECT 'chunk', count(*) FROM dd UNION ALL SELECT 'change_log', count(*) FROM dd UNION ALL SELECT 'chunk_summary', count(*) FROM embeddings WHERE vec_id % 100 NOT IN (SELECT id FROM gone) UNION ALL SELECT 'summary_vec', count(*) FROM embeddings WHERE vec_id % 100 NOT IN (SELECT id FROM gone) UNION ALL SELECT 'chunk_vec', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT id FROM gone)"
 _RANKED = "round(score, 6) score, rank"
@@ -98,7 +98,7 @@ ORACLES: dict[str, str] = {
     "chat_sessions": "SELECT conv_id session_id, count(*) n_messages, count(*) FILTER (role = 'user') n_questions, sum(length(text))::BIGINT n_chars, arg_max(role, turn) last_role FROM conversations GROUP BY conv_id",
     "cells_indent_ladder": _with(["grid"], "SELECT sheet_id, row, col, indent_level FROM grid"),
     "cells_max_guard": _with(["cells"], "SELECT c.sheet_id, count(*) n_cells, max(c.row) last_row FROM cells c JOIN k USING (sheet_id, row) WHERE coalesce(k.before, 0) < 12 GROUP BY c.sheet_id", k="SELECT sheet_id, row, sum(n) OVER (PARTITION BY sheet_id ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT sheet_id, row, count(*) n FROM cells GROUP BY ALL)"),
-    "cells_merged": _with(["cells"], "SELECT sheet_id, row, col, CASE WHEN row = 1 AND col = 2 THEN 'B1:C1' END merged_range, row = 1 AND col = 2 AS is_merge_anchor FROM cells WHERE row <= 2"),
+    "cells_merged": _with(["cells"], "SELECT sheet_id, row, col, CASE WHEN row = 1 AND col = 2 THEN 'B1:C1' END merged_range, row = 1 AND col = 2 AS is_merge_anchor FROM cells"),
     "sheet_dump_text": _with(["cells"], "SELECT sheet_id, string_agg(l, chr(10) ORDER BY row) raw_text FROM (SELECT sheet_id, row, string_agg(text, chr(9) ORDER BY col) l FROM cells GROUP BY ALL) GROUP BY sheet_id"),
     "sheet_dump_markdown": _with(
         ["grid", "sheets"],
@@ -113,7 +113,7 @@ ORACLES: dict[str, str] = {
     "classify_table_sheets": _with(["parts"], _CONF, c=_PART_GRID, grid=_GRID, **_SHEETS, cls=_CLASS),
     "classify_history_sheets": _with(["orders_n"], _CONF, c=_ORDER_GRID, grid=_GRID, **_SHEETS, cls=_CLASS),
     "name_hint": "SELECT n_nationkey::BIGINT id, ['表紙', '更新履歴', '画面一覧', 'guide', 'data_dict', 'note', 'Sheet1'][n_nationkey % 7 + 1] || ' ' || substring(n_name, 1, 2) AS name, ['cover', 'history', 'index', 'screen', 'table', 'memo', ''][n_nationkey % 7 + 1] hint FROM nation",
-    "history_entries": _with(["orders_n"], "SELECT sheet_id, row - 1 chunk_order, iso log_date, p description, iso || ' ' || p AS text, '- **' || iso || '** — ' || p markdown FROM orders_n WHERE n BETWEEN 4 AND 50"),
+    "history_entries": _with(["orders_n"], "SELECT sheet_id, row - 1 chunk_order, iso log_date, p description, iso || ' ' || p AS text, '- **' || iso || '** — ' || p markdown FROM orders_n"),
     "table_header": _with(["parts"], "SELECT sheet_id, 1::BIGINT header_row, unnest([1, 2, 3, 4, 5])::BIGINT AS col, unnest(['p_brand', 'p_name', 'p_type', 'p_size', 'p_retailprice']) AS header FROM (SELECT DISTINCT sheet_id FROM parts)"),
     "table_forward_fill": _with(["part_values"], "SELECT sheet_id, row, col::BIGINT AS col, header, value FROM part_values"),
     "table_batches": _with(
@@ -151,7 +151,7 @@ SELECT * FROM (SELECT query_id, chunk_id, count(DISTINCT tk)::DOUBLE score, row_
     "summary_knn_best": _with(["vs"], f"SELECT query_id, chunk_id, {_RANKED} FROM vs"),
     "rrf_fusion": _with(["fused"], f"SELECT query_id, chunk_id, sources, {_RANKED} FROM fused"),
     "hybrid_search": _with(["best"], f"SELECT query_id, chunk_id, 'doc_' || chunk_id filename, 'sheet ' || source sheet_name, sources, {_RANKED} FROM best"),
-    "context_citations": _with(["best"], "SELECT q.query_id, coalesce(string_agg('[#' || (rank + 1) || '] 文件: doc_' || chunk_id || ' | 工作表: sheet ' || source || ' (unknown) | 层级: -' || chr(10) || substring(text, 1, 40), chr(10) || chr(10) ORDER BY rank), '没有检索到相关内容。') context FROM q LEFT JOIN best USING (query_id) GROUP BY q.query_id"),
+    "context_citations": _with(["best"], "SELECT q.query_id, coalesce(string_agg('[#' || (rank + 1) || '] 文件: doc_' || chunk_id || ' | 工作表: sheet ' || source || ' (unknown) | 层级: -' || chr(10) || text, chr(10) || chr(10) ORDER BY rank), '没有检索到相关内容。') context FROM q LEFT JOIN best USING (query_id) GROUP BY q.query_id"),
     "citation_join": "SELECT conv_id, turn, turn + 1 AS n, length(text) cited FROM conversations UNION ALL SELECT a.conv_id, a.turn, 9, length(b.text) FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = 8 WHERE a.turn <> 8",
     "confidence_band": "SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'no mark' ELSE 'answer' END body, c confidence, CASE WHEN c >= 8 THEN 'green' WHEN c >= 5 THEN 'accent' WHEN c >= 0 THEN 'red' ELSE 'none' END band FROM (SELECT *, CASE WHEN turn % 3 <> 2 THEN (conv_id + turn) % 11 END c FROM conversations)",
     "enrich_gate": _with(["chunks"], "SELECT id FROM chunks WHERE length(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= 80"),
@@ -164,7 +164,7 @@ SELECT * FROM (SELECT query_id, chunk_id, count(DISTINCT tk)::DOUBLE score, row_
     "folder_totals": _with(["chunks"], "SELECT (SELECT count(*) FROM docs) n_documents, (SELECT count(*) FROM chunks) n_chunks"),
     "sheet_inspect_preview": _with(["cells"], "SELECT d.doc_id sheet_id, count(c.text) n_cells, count(DISTINCT c.row) n_rows FROM documents d LEFT JOIN cells c ON c.sheet_id = d.doc_id GROUP BY d.doc_id"),
     "citation_anchors": "SELECT conv_id, turn, 'as <a href=\"#cite-' || (turn + 1) || '\">[' || (turn + 1) || ']</a> says [#x]' html FROM conversations",
-    "query_strings": "SELECT item_id, array_to_string(list_transform(list_filter(string_split_regex(substring(text, 1, 60), '\\s+'), lambda x: x <> ''), lambda x: '\"' || replace(x, '\"', '\"\"') || '\"'), ' ') q FROM benchmark",
+    "query_strings": "SELECT item_id, array_to_string(list_transform(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), lambda x: '\"' || replace(x, '\"', '\"\"') || '\"'), ' ') q FROM benchmark",
     "column_letters": "SELECT s_suppkey, CASE WHEN s_suppkey < 26 THEN chr((65 + s_suppkey)::INT) WHEN s_suppkey < 702 THEN chr((65 + (s_suppkey - 26) // 26)::INT) || chr((65 + (s_suppkey - 26) % 26)::INT) ELSE chr((65 + (s_suppkey - 702) // 676)::INT) || chr((65 + (s_suppkey - 702) // 26 % 26)::INT) || chr((65 + (s_suppkey - 702) % 26)::INT) END letter FROM supplier",
     "safe_file_names": "SELECT p_partkey, substring(regexp_replace(p_name || '/' || p_brand, '[^\\p{L}\\p{N}\\-_.]', '_', 'g'), 1, 60) AS name FROM part",
     "palette_colors": "SELECT n_nationkey::BIGINT id, CASE WHEN n_nationkey % 3 = 0 THEN '#00AA11' WHEN n_nationkey % 3 = 1 THEN '#' || ['000000', 'FFFFFF', 'FF0000', '00FF00', '0000FF', 'FFFF00', 'FF00FF', '00FFFF'][n_nationkey % 8 + 1] ELSE 'none' END color FROM nation",
