@@ -33,36 +33,49 @@ SELECT d.doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access,
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN w USING (doc_id) LEFT JOIN l USING (doc_id)
 """
 
-_SPACE = r"[\x20\x09-\x0D]"
-_WORD = r"[^\x20\x09-\x0D]+"
-_TIDY = rf"regexp_replace(regexp_replace(lower(c), '[0-9]+', '0', 'g'), '{_SPACE}+', ' ', 'g')"
+_SPACE = r"[\x20\x09-\x0D]+"
+_SEED = "[\ue020-\ue07e]+"
+_EDGES = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _rounds(n: int) -> str:
-    out = ["v0 AS (SELECT value, max(seed)::DOUBLE c FROM e GROUP BY value)"]
+    out = ["v0 AS (SELECT DISTINCT value, seed, seed::DOUBLE c FROM e)"]
     for i in range(n):
-        out.append(f"p{i + 1} AS (SELECT pattern, sum(n * c) / (sum(n) + 1) score FROM e JOIN v{i} USING (value) GROUP BY pattern HAVING count(*) FILTER (seed = 1) >= 3 AND sum(n * c) > 0)")
-        out.append(f"v{i + 1} AS (SELECT value, CASE WHEN max(seed) = 1 THEN 1.0 ELSE 1 - exp(sum(ln(1 - coalesce(score, 0.0)))) END c FROM e LEFT JOIN p{i + 1} USING (pattern) GROUP BY value)")
+        out.append(f"p{i + 1} AS (SELECT pattern, sum(n * c) / (sum(n) + 1) score FROM e JOIN v{i} USING (value, seed) GROUP BY pattern)")
+        out.append(f"v{i + 1} AS (SELECT value, seed, CASE WHEN seed = 1 THEN 1.0 ELSE (1 - exp(sum(ln(1 - score)))) * coalesce(any_value(weight), 0) END c FROM e JOIN p{i + 1} USING (pattern) LEFT JOIN wt USING (value) GROUP BY value, seed)")
     return ",\n".join(out)
 
 
 PII = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') t, '' o FROM documents),
-{_SPANS.format(found=" UNION ALL ".join([_found("email", 0, "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+"), _found("ip", 1, "[0-9]+([.][0-9]+)([.][0-9]+)([.][0-9]+)"), _found("card", 2, "[0-9]([ -]?[0-9])+"), _found("phone", 3, "[+][0-9][ ().0-9-]+[0-9]"), _found("context", 4, "[A-Za-z0-9-]*[0-9]{4}[A-Za-z0-9-]*")]))},
+{_SPANS.format(found=" UNION ALL ".join([_found("email", 0, "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+"), _found("ip", 1, "[0-9]+([.][0-9]+)([.][0-9]+)([.][0-9]+)"), _found("card", 2, "[0-9]([ -]?[0-9])+"), _found("phone", 3, "[+][0-9][ ().0-9-]+[0-9]")]))},
 x AS (SELECT doc_id, t, k, kr, v, st, st + length(v) en, regexp_replace(v, '[^0-9]', '', 'g') dg FROM s),
 base AS (SELECT * FROM x WHERE k = 'email'
   OR (k = 'ip' AND list_bool_and(list_transform(string_split(v, '.'), lambda p: coalesce(TRY_CAST(p AS BIGINT) <= 255, false))))
   OR (k = 'card' AND length(dg) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(dg) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(dg[length(dg) + 1 - i] AS INT) WHEN CAST(dg[length(dg) + 1 - i] AS INT) > 4 THEN 2 * CAST(dg[length(dg) + 1 - i] AS INT) - 9 ELSE 2 * CAST(dg[length(dg) + 1 - i] AS INT) END)) % 10 = 0)
   OR (k = 'phone' AND length(dg) BETWEEN 9 AND 15)),
-cand AS (SELECT * FROM x WHERE k = 'context' AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.st < x.en AND x.st < b.en)),
-every AS (SELECT * FROM base UNION ALL SELECT * FROM cand),
-ctx AS (
-  SELECT doc_id, k, v, st, en, 'L ' || {_TIDY} pattern FROM (SELECT *, regexp_extract(substring(t, greatest(st - 80, 0) + 1, st - greatest(st - 80, 0)), '({_WORD}{_SPACE}+{_WORD}){_SPACE}*$', 1) c FROM every) WHERE c <> ''
-  UNION ALL
-  SELECT doc_id, k, v, st, en, 'R ' || {_TIDY} FROM (SELECT *, regexp_extract(substring(t, en + 1, 80), '^{_SPACE}*({_WORD}{_SPACE}+{_WORD})', 1) c FROM every) WHERE c <> ''),
-e AS (SELECT pattern, v AS value, max((k <> 'context')::INT) seed, count(*) n FROM ctx GROUP BY ALL),
+chars AS (SELECT doc_id, t, unnest(range(length(t))) i FROM d WHERE doc_id IN (SELECT doc_id FROM base)),
+covered AS (SELECT doc_id, unnest(range(st, en)) i FROM base),
+inside AS (SELECT doc_id, i, substring(t, i + 1, 1) ch, (doc_id, i) IN (SELECT (doc_id, i) FROM covered) hid FROM chars),
+marks AS (SELECT doc_id, string_agg(CASE WHEN hid THEN chr((57344 + unicode(ch))::INT) ELSE ch END, '' ORDER BY i) m FROM inside GROUP BY doc_id),
+md AS (SELECT doc_id, trim(coalesce(m, t), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) u, coalesce(m, t) m FROM d LEFT JOIN marks USING (doc_id)),
+sp AS (SELECT doc_id, string_split_regex(u, '{_SPACE}') w, string_split_regex(regexp_replace(regexp_replace(lower(u), '{_SEED}', '@', 'g'), '[0-9]+', '0', 'g'), '{_SPACE}') f FROM md WHERE u <> ''),
+wd AS (SELECT doc_id, unnest(range(len(w))) i, unnest(w) word, unnest(f) f FROM sp),
+ne AS (SELECT doc_id, i, word, lag(f, 2) OVER q b2, lag(f) OVER q b1, lead(f) OVER q a1, lead(f, 2) OVER q a2 FROM wd WINDOW q AS (PARTITION BY doc_id ORDER BY i)),
+occ AS (SELECT doc_id, i, word, ['around', b1, a1] pattern FROM ne WHERE b1 IS NOT NULL AND a1 IS NOT NULL
+  UNION ALL SELECT doc_id, i, word, ['before', b2, b1] FROM ne WHERE b2 IS NOT NULL AND b1 IS NOT NULL
+  UNION ALL SELECT doc_id, i, word, ['after', a1, a2] FROM ne WHERE a1 IS NOT NULL AND a2 IS NOT NULL),
+induced AS (SELECT pattern, count(DISTINCT regexp_extract(word, '{_SEED}')) seeds, count(*) n FROM occ WHERE regexp_matches(word, '{_SEED}') GROUP BY pattern HAVING count(DISTINCT regexp_extract(word, '{_SEED}')) >= 3),
+kept AS (SELECT pattern FROM (SELECT pattern, count(*) al FROM occ SEMI JOIN induced USING (pattern) GROUP BY pattern) JOIN induced USING (pattern) WHERE n >= 0.2 * al),
+fd AS (SELECT * FROM (SELECT doc_id, i, word, CASE WHEN regexp_matches(word, '{_SEED}') THEN regexp_extract(word, '{_SEED}') ELSE trim(word, '{_EDGES}') END AS value, regexp_matches(word, '{_SEED}')::INT seed, pattern FROM occ SEMI JOIN kept USING (pattern)) WHERE value <> ''),
+bg AS (SELECT trim(word, '{_EDGES}') AS value, count(*) al FROM wd WHERE trim(word, '{_EDGES}') IN (SELECT value FROM fd WHERE seed = 0) GROUP BY 1),
+wt AS (SELECT value, count(DISTINCT (doc_id, i)) / any_value(al) weight FROM fd JOIN bg USING (value) WHERE seed = 0 GROUP BY value),
+e AS (SELECT pattern, value, seed, count(*) n FROM fd GROUP BY ALL),
 {_rounds(3)},
-extra AS (SELECT DISTINCT doc_id, 'context' k, 4 kr, st, en FROM ctx WHERE k = 'context' AND pattern IN (SELECT pattern FROM p3 WHERE score >= 0.5) AND v IN (SELECT value FROM v3 WHERE c >= 0.5)),
+hit AS (SELECT DISTINCT doc_id, i, word FROM fd WHERE seed = 0 AND pattern IN (SELECT pattern FROM p3 WHERE score >= 0.5) AND value IN (SELECT value FROM v3 WHERE c >= 0.5 AND seed = 0)),
+wg AS (SELECT doc_id, regexp_extract_all(m, '[^\x20\x09-\x0D]+') w, string_split_regex(m, '[^\x20\x09-\x0D]+') g FROM md),
+extra AS (SELECT doc_id, 'context' k, 4 kr, st, st + length(trim(word, '{_EDGES}')) en FROM (SELECT doc_id, word,
+  (coalesce(list_sum(list_transform(g[1:i + 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(w[1:i], lambda x: length(x))), 0))::BIGINT + length(word) - length(ltrim(word, '{_EDGES}')) st FROM hit JOIN wg USING (doc_id))),
 b AS (SELECT doc_id, count(*) FILTER (k = 'email') n_email, count(*) FILTER (k = 'ip') n_ip, count(*) FILTER (k = 'card') n_card, count(*) FILTER (k = 'phone') n_phone, string_agg(k || ':' || st || ':' || en, ',' ORDER BY kr, st) s FROM base GROUP BY doc_id),
 w AS (SELECT doc_id, string_agg(k || ':' || st || ':' || en, ',' ORDER BY kr, st) s, count(*) FILTER (k = 'context') n FROM (SELECT doc_id, k, kr, st, en FROM base UNION ALL SELECT * FROM extra) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_email, 0) n_email, coalesce(n_ip, 0) n_ip, coalesce(n_card, 0) n_card, coalesce(n_phone, 0) n_phone, sha256(coalesce(b.s, '')) base_sha256, coalesce(w.s, '') spans, coalesce(w.n, 0) n_context

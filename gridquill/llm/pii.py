@@ -1,20 +1,24 @@
 """PII: bootstrapped contextual extraction.
 
-Seed entities are what the base patterns find (email, ip, card, phone). Candidates are other
-runs of letters, digits and hyphens with four digits in a row. Every occurrence of either has a
-left and a right lexical pattern, the two words before and the two words after it, digits masked.
-Spark scores the pattern-instance graph in rounds:
+Seed entities are what the base patterns find (email, ip, card, phone). They induce lexical patterns,
+the words around them in lower case with digits masked: the word on either side, the two words before,
+the two words after. A pattern is kept if at least ``support`` different seeds stand in it and if they are
+at least ``floor`` of all that stands in it anywhere in the corpus, ordinary words included.
 
-    pattern   = confidence of its occurrences / (occurrences + 1), if at least ``support``
-                different seeds stand in it, else 0
-    instance  = 1 for a seed, else 1 - product of (1 - score) over its patterns
+What stands in a kept pattern, any run of non-space without the punctuation around it, is an
+instance. Spark scores the pattern-instance graph in rounds:
 
-so that what good patterns surround lends confidence to further patterns. An occurrence of a
-candidate is reported (kind ``context``) if one of its own patterns and the instance reach
-``confidence``. Base spans are always reported.
+    pattern   = confidence of its occurrences / (occurrences + 1)
+    instance  = 1 for a seed, else (1 - product of (1 - score) over its patterns) * its occurrences in
+                kept patterns / its occurrences in the corpus
 
-Everything is a DataFrame expression: no Python runs on the executors. Hot patterns are
-combined on the map side and their joins are plain equi-joins, which skew handling may split.
+so that what good patterns surround lends confidence to further patterns, and a word that also
+stands elsewhere does not. An occurrence of an instance is reported (kind ``context``) if one of
+its patterns and the instance reach ``confidence``. Base spans are always reported.
+
+Everything is a DataFrame expression: no Python runs on the executors. Patterns and instances are
+counted with map-side combining, and the joins with them are plain equi-joins on written tables, which
+skew handling may split.
 """
 
 from __future__ import annotations
@@ -34,7 +38,14 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-CANDIDATE = r"(?<![A-Za-z0-9-])[A-Za-z0-9-]*[0-9]{4}[A-Za-z0-9-]*"
+# Inside seeds the characters are moved to a private range, letter by letter, so that a seed is one run of
+# non-space, keeps its length and its identity, and is told from all else.
+ASCII = "".join(map(chr, range(0x20, 0x7F)))
+PRIVATE = "".join(chr(0xE000 + ord(c)) for c in ASCII)
+SEED = "[\ue020-\ue07e]"
+SPACE = r"[\x20\x09-\x0D]+"
+# The punctuation around a value
+EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 KINDS = ["email", "ip", "card", "phone", "context"]
 
 
@@ -42,8 +53,8 @@ KINDS = ["email", "ip", "card", "phone", "context"]
 class PiiConfig:
     rounds: int = 3
     support: int = 3  # different seeds of a pattern
+    floor: float = 0.2  # seeds among all that stands in a pattern
     confidence: float = 0.5
-    reach: int = 80  # code points searched for the two words of a context
 
 
 def _digits(s: Column) -> Column:
@@ -71,60 +82,106 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, ip, card, phone)
 
 
-def candidate_spans(text: Column, base: Column) -> Column:
-    found = regex_spans(text, "context", CANDIDATE, text.rlike("[0-9]{4}"))
-    return F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-
-
-def _context(text: Column, span: Column, cfg: PiiConfig) -> Column:
-    """Left and right pattern of an occurrence: two words each, lower case, digits masked."""
-    low = F.greatest(span["start"] - cfg.reach, F.lit(0))
-    before = F.substring(text, (low + 1).cast("int"), (span["start"] - low).cast("int"))
-    after = F.substring(text, (span["end"] + 1).cast("int"), F.lit(cfg.reach))
-    word = r"[^\x20\x09-\x0D]+"
-    tidy = lambda c, side: F.when(c != "", F.concat(F.lit(side), F.regexp_replace(F.regexp_replace(F.lower(c), "[0-9]+", "0"), r"[\x20\x09-\x0D]+", " ")))
-    return F.array_compact(F.array(tidy(F.regexp_extract(before, rf"({word}[\x20\x09-\x0D]+{word})[\x20\x09-\x0D]*\z", 1), "L "), tidy(F.regexp_extract(after, rf"\A[\x20\x09-\x0D]*({word}[\x20\x09-\x0D]+{word})", 1), "R ")))
-
-
-def scan(docs: DataFrame, cfg: PiiConfig = PiiConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row_id, doc_id, base, found: one row per input row, written to the shared folder; ``found``
-    holds base and candidate spans with their patterns. Null texts are empty."""
-    step = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    step = step.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
-    step = step.select("doc_id", "text", "base", F.concat("base", candidate_spans(F.col("text"), F.col("base"))).alias("every"))
-    found = F.transform("every", lambda s: F.struct(s.alias("span"), _context(F.col("text"), s, cfg).alias("patterns")))
-    return materialize(step.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "base", found.alias("found")), "pii-scan")
-
-
-def pattern_scores(scanned: DataFrame, cfg: PiiConfig = PiiConfig()) -> tuple[DataFrame, DataFrame]:
-    """(pattern, score) and (value, confidence) after the last round."""
-    each = scanned.select(F.explode("found").alias("f")).select(F.col("f.span.value").alias("value"), (F.col("f.span.kind") != "context").alias("seed"), F.explode("f.patterns").alias("pattern"))
-    edges = materialize(each.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "pii-graph")
-    values = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("confidence"))
-    for i in range(cfg.rounds):
-        patterns = (
-            edges.join(values, "value")
-            .groupBy("pattern")
-            .agg((F.sum(F.col("n") * F.col("confidence")) / (F.sum("n") + 1)).alias("score"), F.count_if("seed").alias("seeds"))
-            .select("pattern", F.when(F.col("seeds") >= cfg.support, F.col("score")).otherwise(0.0).alias("score"))
-        )
-        patterns = materialize(patterns.where("score > 0"), "pii-patterns")
+def masked(text: Column, base: Column) -> Column:
+    """The text with its seeds in the private range; places and length stay."""
+    return F.aggregate(base, text, lambda t, s: F.overlay(t, F.translate(s["value"], ASCII, PRIVATE), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row_id, doc_id, base, marked: one row per input row, written to the shared folder; ``marked`` is the
+    masked text of rows with seeds, null elsewhere. Null texts are empty."""
+    step = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return materialize(step.withColumn("base", base_spans(F.col("text"))).select("row_id", "doc_id", "text", "base", F.when(F.size("base") > 0, masked(F.col("text"), F.col("base"))).alias("marked")), "pii-scan")
+
+
+def _words(scanned: DataFrame) -> DataFrame:
+    """row_id and the words of every masked text, as they are and as they stand in patterns."""
+    text = F.btrim(F.coalesce("marked", "text"), F.lit(" \t\n\x0b\f\r"))
+    plain = F.regexp_replace(F.regexp_replace(F.lower("t"), SEED + "+", "@"), "[0-9]+", "0")
+    return scanned.select("row_id", text.alias("t")).where("t <> ''").select("row_id", F.split("t", SPACE).alias("w"), F.split(plain, SPACE).alias("f"))
+
+
+def value_of(word: Column) -> Column:
+    return F.btrim(word, F.lit(EDGES))
+
+
+def occurrences(scanned: DataFrame) -> DataFrame:
+    """row_id, i, word, pattern: every word of the corpus in each of its patterns, which are hashes of kind and
+    words. Never written as such."""
+    none, f, n = F.lit(None).cast("string"), F.col("f"), F.size("f")
+    before = lambda k: F.concat(F.array(*[none] * k), F.slice(f, F.lit(1), F.greatest(n - k, F.lit(0))))
+    lined = F.arrays_zip(F.col("w"), before(2).alias("b2"), before(1).alias("b1"), F.slice(f, F.lit(2), n).alias("a1"), F.slice(f, F.lit(3), n).alias("a2"))
+    each = _words(scanned).select("row_id", F.posexplode(lined).alias("i", "x")).where("x.w is not null")
+    two = lambda kind, a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.xxhash64(F.lit(kind), a, b))
+    patterns = F.array(two("around", "x.b1", "x.a1"), two("before", "x.b2", "x.b1"), two("after", "x.a1", "x.a2"))
+    return each.select("row_id", "i", F.col("x.w").alias("word"), F.explode(patterns).alias("pattern")).where("pattern is not null")
+
+
+def kept_patterns(scanned: DataFrame, cfg: PiiConfig = PiiConfig()) -> DataFrame:
+    """pattern, of enough seeds and enough of all that stands in it."""
+    seeded = occurrences(scanned.where("marked is not null")).where(F.col("word").rlike(SEED))
+    induced = seeded.groupBy("pattern", F.regexp_extract("word", SEED + "+", 0).alias("seed")).agg(F.count("*").alias("n"))
+    induced = induced.groupBy("pattern").agg(F.count("*").alias("seeds"), F.sum("n").alias("n")).where(F.col("seeds") >= cfg.support)
+    induced = materialize(induced, "pii-induced")
+    every = occurrences(scanned).join(induced.select("pattern"), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("all"))
+    return materialize(induced.join(every, "pattern").where(F.col("n") >= cfg.floor * F.col("all")).select("pattern"), "pii-patterns")
+
+
+def graph(scanned: DataFrame, cfg: PiiConfig = PiiConfig()) -> tuple[DataFrame, DataFrame]:
+    """(row_id, i, value, seed, pattern): what stands in kept patterns; (value, all): how often the values
+    that are not seeds stand anywhere."""
+    found = occurrences(scanned).join(kept_patterns(scanned, cfg), "pattern")
+    seed = F.col("word").rlike(SEED)
+    found = found.select("row_id", "i", F.when(seed, F.regexp_extract("word", SEED + "+", 0)).otherwise(value_of(F.col("word"))).alias("value"), seed.alias("seed"), "pattern")
+    found = materialize(found.where("value <> ''"), "pii-graph")
+    names = materialize(found.where("not seed").select("value").distinct(), "pii-names")
+    words = _words(scanned).select(F.explode("w").alias("word")).select(value_of(F.col("word")).alias("value"))
+    return found, materialize(words.join(names, "value", "left_semi").groupBy("value").agg(F.count("*").alias("all")), "pii-background")
+
+
+def scores(found: DataFrame, background: DataFrame, cfg: PiiConfig = PiiConfig()) -> tuple[DataFrame, DataFrame]:
+    """(pattern, score) and (value, seed, confidence) after the last round."""
+    edges = found.groupBy("pattern", "value", "seed").agg(F.count("*").alias("n"))
+    edges = materialize(edges, "pii-edges")
+    inside = found.where("not seed").groupBy("value").agg(F.countDistinct("row_id", "i").alias("inside"))
+    weight = materialize(inside.join(background, "value").select("value", (F.col("inside") / F.col("all")).alias("weight")), "pii-weights")
+    values = edges.select("value", "seed", F.col("seed").cast("double").alias("confidence")).distinct()
+    for _ in range(cfg.rounds):
+        patterns = edges.join(values, ["value", "seed"]).groupBy("pattern").agg((F.sum(F.col("n") * F.col("confidence")) / (F.sum("n") + 1)).alias("score"))
+        patterns = materialize(patterns, "pii-scores")
         # 1 - product by logarithms; scores stay below 1 because of the + 1 above
-        values = edges.join(patterns, "pattern", "left").groupBy("value").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(1 - F.coalesce("score", F.lit(0.0)))))).alias("c"))
-        values = materialize(values.select("value", F.when(F.col("seed"), 1.0).otherwise(F.col("c")).alias("confidence")), "pii-values")
+        near = edges.join(patterns, "pattern").groupBy("value", "seed").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("c")).join(weight, "value", "left")
+        values = materialize(near.select("value", "seed", F.when(F.col("seed"), 1.0).otherwise(F.col("c") * F.coalesce("weight", F.lit(0.0))).alias("confidence")), "pii-values")
     return patterns, values
 
 
 def discovered(scanned: DataFrame, cfg: PiiConfig = PiiConfig()) -> DataFrame:
-    """row_id, extra: candidate spans that high-confidence patterns bring out."""
-    patterns, values = pattern_scores(scanned, cfg)
+    """row_id, extra: spans of the instances that high-confidence patterns bring out."""
+    found, background = graph(scanned, cfg)
+    patterns, values = scores(found, background, cfg)
     good = patterns.where(F.col("score") >= cfg.confidence).select("pattern")
-    sure = values.where(F.col("confidence") >= cfg.confidence).select("value")
-    each = scanned.select("row_id", F.explode("found").alias("f")).where("f.span.kind = 'context'").select("row_id", "f.span", F.explode("f.patterns").alias("pattern")).withColumn("value", F.col("span.value"))
-    return each.join(good, "pattern").join(sure, "value").groupBy("row_id").agg(F.sort_array(F.collect_set("span")).alias("extra"))
+    sure = values.where((F.col("confidence") >= cfg.confidence) & ~F.col("seed")).select("value")
+    hits = found.where("not seed").join(good, "pattern", "left_semi").join(sure, "value", "left_semi").groupBy("row_id").agg(F.array_sort(F.collect_set("i")).alias("hits"))
+    hits = materialize(hits, "pii-hits")
+    # places of the words, only in rows with a hit: the length of the gaps and words before each
+    rows = scanned.select("row_id", F.coalesce("marked", "text").alias("t")).join(hits, "row_id")
+    word = r"[^\x20\x09-\x0D]+"
+    rows = rows.select("row_id", "hits", F.regexp_extract_all("t", F.lit(word), F.lit(0)).alias("w"), F.split("t", word, -1).alias("g"))
+    size = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+
+    def span(i):
+        own = F.get(F.col("w"), i)
+        lead = F.length(own) - F.length(F.ltrim(own, F.lit(EDGES)))
+        start = size(F.slice("g", 1, i + 1)) + size(F.slice("w", 1, i)) + lead
+        value = value_of(own)
+        return F.struct(F.lit("context").alias("kind"), start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
+
+    return rows.select("row_id", F.transform("hits", span).alias("extra"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row of ``documents``, null and repeated ids included. Null and empty texts have no spans;
+    very long texts are read whole; an empty table gives an empty result; other columns are not read."""
     scanned = scan(table(spark, sf_dir, "documents"))
     out = scanned.join(discovered(scanned), "row_id", "left").withColumn("extra", F.coalesce("extra", no_spans()))
     return out.select(
