@@ -19,10 +19,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster, from ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, a laptop) a temporary folder is set.
+    Only a local session that has none (tests, a laptop) gets a temporary one: on a cluster every
+    machine would write to its own disk, so there it is an error.
     """
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         path = tempfile.mkdtemp(prefix="gridquill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

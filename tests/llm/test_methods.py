@@ -264,13 +264,38 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert out[10]["text"] == data[2][1] and len(out) == 8 and list(out[1].asDict()) == df.columns
 
 
-def test_contexts_discover_unseen_identifiers(spark):
+def _unseen():
     data = [(i, f"please call me at +1 (222) 333-44{i:02d} thanks a lot") for i in range(10, 30)]
-    data += [(100, "please call me at 5550123456 thanks a lot"), (101, "room 1234567 is closed today")]
-    df = spark.createDataFrame(data, "doc_id long, text string")
+    data += [(100, "please call me at 5550123456, thanks a lot"), (101, "room 1234567 is closed today"), (102, "please call me at bob[at]x.org thanks a lot")]
+    data += [(103, "please call me at home thanks a lot"), (104, "at home we are. home is at home"), (105, "\u00e9 please\n call me at\t(fe80::1) thanks a lot"), (106, None), (107, "")]
+    return data
+
+
+def test_a_value_copied_inside_one_source_is_an_example(spark):
+    value = "Qq7" + "z9Y8x7W6" * 3
+    data = [(i, f"see {value} here", "big") for i in range(30)] + [(100, "token = 'mine123456'", "big")]
+    scanned = secret_scan.scan(spark.createDataFrame(data, "doc_id long, text string, source string"))
+    assert [r["doc_id"] for r in scanned.join(secret_scan.live_spans(scanned), "row_id").collect()] == [100]
+
+
+def test_contexts_discover_unseen_identifiers(spark):
+    df = spark.createDataFrame(_unseen(), "doc_id long, text string")
     scanned = pii.scan(df)
-    got = [(r["doc_id"], [s["value"] for s in r["extra"]]) for r in scanned.select("row_id", "doc_id").join(pii.discovered(scanned), "row_id").collect()]
-    assert got == [(100, ["5550123456"])]
+    got = [(r["doc_id"], [(s["value"], s["start"]) for s in r["extra"]]) for r in scanned.select("row_id", "doc_id").join(pii.discovered(scanned), "row_id").collect()]
+    assert sorted(got) == [(100, [("5550123456", 18)]), (102, [("bob[at]x.org", 18)]), (105, [("fe80::1", 22)])]
+
+
+def test_discoveries_match_sql(spark, tmp_path):
+    import duckdb
+
+    df = spark.createDataFrame(_unseen(), "doc_id long, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(oracles.PII)
+    cols = sorted(want.columns)
+    got = rows(pii.query(spark, str(tmp_path)), *cols)
+    assert got == sorted(want.select(", ".join(cols)).fetchall(), key=repr) and sum(r[cols.index("n_context")] for r in got) == 3
 
 
 # token counts --------------------------------------------------------------------------------
@@ -309,16 +334,66 @@ def _auc(score, y):
 
 
 def test_toxicity_held_out(spark, big):
-    got = toxicity.query(spark, big).toPandas()
-    docs = table(spark, big, "documents").toPandas().set_index("doc_id").text.fillna("")
+    d = big.replace("sf0.01", "sf0.1")
+    got = toxicity.query(spark, d).toPandas()
     assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 5 == 0) for r in got.itertuples())
-    insults = re.compile(r"\b(idiot|moron|stupid|trash|scum|loser|clown|pathetic|worthless|disgusting)\b", re.I)
-    truth = np.array([bool(insults.search(docs[i])) for i in got.doc_id])
-    held = got.held_out.to_numpy()
-    assert got.predicted[held & truth].mean() >= 0.8 and got.predicted[held & ~truth].mean() <= 0.02
+    held = got[got.held_out].merge(table(spark, d, "labels").toPandas(), on="doc_id")
+    assert held.predicted[held.toxic == 1].mean() >= 0.85 and held.predicted[held.toxic == 0].mean() <= 0.01
+    assert _auc(held.score.to_numpy(), held.toxic.to_numpy()) > 0.95
     assert ((got.score >= 0) & (got.score <= 1)).all()
 
 
+def _kneser_ney(texts):
+    """(toxic or ordinary, head, word) -> P(word | head) and P(word), by the formulas on plain counters."""
+    big = {c: Counter() for c in "ots"}
+    for label, t in texts:
+        w = t.split()
+        for c in ("t" if label else "o", "s"):
+            big[c].update(zip([None, *w], w, strict=False))
+    d = lambda c: (lambda a, b: a / (a + 2 * b) if a and b else 0.5)(*(sum(1 for x in c.values() if x == n) for n in (1, 2)))
+    k = {c: Counter(w for _, w in big[c]) for c in "ots"}
+    n, v = {c: sum(k[c].values()) for c in "ots"}, len(k["s"])
+    shared1 = lambda w: (max(k["s"][w] - d(k["s"]), 0) + d(k["s"]) * v / (v + 1)) / n["s"]
+    one = lambda c, w: (max(k[c][w] - d(k[c]), 0) + d(k[c]) * len(k[c]) * shared1(w)) / n[c]
+    heads = {c: Counter() for c in "ots"}
+    kinds = {c: Counter(h for h, _ in big[c]) for c in "ots"}
+    for c in "ots":
+        for (h, _), x in big[c].items():
+            heads[c][h] += x
+
+    def two(c, h, w):
+        low = shared1(w)
+        if heads["s"][h]:
+            low = (max(big["s"][h, w] - d(big["s"]), 0) + d(big["s"]) * kinds["s"][h] * low) / heads["s"][h]
+        low *= one(c, w) / shared1(w)
+        return (max(big[c][h, w] - d(big[c]), 0) + d(big[c]) * kinds[c][h] * low) / heads[c][h] if heads[c][h] else low
+
+    return one, two
+
+
+def test_kneser_ney_by_its_formulas(spark):
+    rng = random.Random(5)
+    texts = [(i % 3 == 0, " ".join(rng.choice("abcdefg" + ("xyz" if i % 3 == 0 else "uvw")) for _ in range(rng.randint(1, 30)))) for i in range(60)]
+    df = spark.createDataFrame([(int(y), i % 2, t.encode()) for i, (y, t) in enumerate(texts)], "label int, fold int, text binary")
+    bigrams = toxicity.count_bigrams(df, 2)
+    words, heads = toxicity.marginals(bigrams, 2)
+    for leave in (0, 2):
+        pair = toxicity.class_pair(bigrams, words, heads, 2, leave)
+        one, two = _kneser_ney([x for i, x in enumerate(texts) if i % 2 != leave])
+        places = toxicity.Places(pair)
+        for t in ("a b x y z", "u v new w a", "new", " ".join("abcdefgxyzuvw")):
+            got2, got1 = pair.ratios(np.array([places[w.encode()] for w in t.split()]))
+            w = t.split()
+            assert got1 == pytest.approx([math.log(one("t", x) / one("o", x)) for x in w])
+            assert got2 == pytest.approx([math.log(two("t", h, x) / two("o", h, x)) for h, x in zip([None, *w], w, strict=False)], abs=1e-5)
+
+
+def test_kneser_ney_probabilities_add_up():
+    one, two = _kneser_ney([(i % 2, t) for i, t in enumerate(["a b a c", "a a b", "b c a", "c c b a"])])
+    for c in "ot":  # what is missing is left to words that no text holds
+        assert 0.8 < sum(one(c, w) for w in "abc") <= 1 and all(0.5 < sum(two(c, h, w) for w in "abc") < 1.2 for h in [None, *"abc"])
+
+
 def test_quality_cnn_held_out(spark, big):
     got = bytecnn.query(spark, big).toPandas().merge(table(spark, big, "labels").toPandas(), on="doc_id")
     held = got[got.held_out]
@@ -358,6 +433,56 @@ def test_line_rules_and_crf(spark, big):
     assert held.kept[held.quality == 1].mean() > 0.9 and held.kept[held.quality == 0].mean() < 0.4
 
 
+def test_lines_of_a_document_differ(spark, big):
+    d = big.replace("sf0.01", "sf0.1")
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    crf = linecrf.fit(docs, labels, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    got = docs.select(linecrf.line_quality(spark, crf).alias("q")).select("q.*").toPandas()
+    mixed = (got.n_content_lines > 0) & (got.n_content_lines < got.n_lines)
+    assert mixed.mean() > 0.2 and len(crf.common) > 20
+    # planted in a prose document, a licence line that the corpus repeats is marked and nothing beside it
+    prose = next(t for t in docs.join(labels, "doc_id").where("quality = 1").select("text").toPandas().text if t.count("\n") > 6 and not linecrf.is_common([x.encode() for x in t.split("\n")], crf.common).any())
+    licence = "This work is licensed under the GNU General Public License, version 3."
+    lines = prose.split("\n")[:4] + [licence] + prose.split("\n")[4:]
+    every = [x.encode() for x in lines]
+    marks = linecrf.viterbi(linecrf.line_features(every, [x.split() for x in every], crf.common) @ crf.weights, crf)
+    assert not marks[4] and marks.sum() >= 0.8 * (len(lines) - 1)
+
+
+def test_common_lines_stand_in_many_places(spark):
+    texts = [(i, f"word{i} one\nslogan of the site\nword{i} two") for i in range(40)] + [(100 + i, "a copied text\nwith a second line\nand a third") for i in range(40)]
+    got = linecrf.common_lines(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert got.tolist() == [linecrf.line_hash(b"slogan of the site")]
+
+
+def test_crf_gradient():
+    rng = np.random.default_rng(2)
+    seqs = [(rng.normal(size=(n, linecrf.FEATURES)), rng.integers(0, 2, n)) for n in (1, 4, 3, 4)]
+    x, y, of, offsets = linecrf.time_major(seqs)
+    weight = rng.random(4)
+    order = sorted(range(4), key=lambda i: -len(seqs[i][1]))
+
+    def value(crf):
+        total = 0.0
+        for r, i in enumerate(order):
+            s = seqs[i][0] @ crf.weights
+            score = lambda p, s=s: crf.start[p[0]] + sum(s[t, k] for t, k in enumerate(p)) + sum(crf.moves[a, b] for a, b in zip(p, p[1:], strict=False))
+            n = len(s)
+            z = math.log(sum(math.exp(score([q >> t & 1 for t in range(n)])) for q in range(2**n)))
+            total += weight[r] * (score(seqs[i][1].tolist()) - z)
+        return total
+
+    crf = linecrf.Crf(rng.normal(size=(linecrf.FEATURES, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
+    for g, a in zip(linecrf.gradient(x, y, of, offsets, weight, crf), (crf.weights, crf.moves, crf.start), strict=True):
+        for at in [(0,) * a.ndim, (1,) * a.ndim]:
+            last, out = a[at], []
+            for step in (1e-5, -1e-5):
+                a[at] = last + step
+                out.append(value(crf))
+            a[at] = last
+            assert g[at] == pytest.approx((out[0] - out[1]) / 2e-5, rel=1e-4, abs=1e-6)
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -419,6 +544,27 @@ def test_scores_of_the_corpus(spark, sf):
     assert held.score.sum() > held.base_score.sum()
 
 
+def test_scores_do_not_depend_on_the_partitions(spark, sf):
+    docs = table(spark, sf, "documents")
+    cfg = hmm.HmmConfig(rounds=3, symbols=100, share=1e-3)
+    one, many = (hmm.score_texts(docs.repartition(n), F.col("doc_id") % 2 == 0, cfg).toPandas().set_index("doc_id").sort_index() for n in (1, 23))
+    assert (one[["n_tokens", "n_known"]] == many[["n_tokens", "n_known"]]).all(axis=None)
+    assert np.allclose(one[["score", "base_score"]], many[["score", "base_score"]])
+
+
+def test_components_do_not_depend_on_the_partitions(spark):
+    template = [f"t{i}" for i in range(60)]
+    texts = [(d, " ".join([*template, *(f"w{d}x{k}" for k in range(d % 15))])) for d in range(300)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = _components(*zip(*[(d, s) for (d, _), s in zip(texts, _sets([t for _, t in texts]), strict=True)], strict=True))
+    for n in ("1", "4", "51"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            assert {r["doc_id"]: r["component_id"] for r in lshforest.near_duplicates(df.repartition(int(n))).collect()} == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 # pipeline ------------------------------------------------------------------------------------
 
 
@@ -433,8 +579,9 @@ def test_pipeline(spark, big):
             assert docs.columns == before.columns
         seen.append((name, before.toPandas().set_index("doc_id"), docs.toPandas().set_index("doc_id")))
     (_, a, b), (_, _, c), (_, _, d), (_, _, e), (_, _, f) = seen
-    insults = re.compile(r"\b(idiot|moron|stupid|trash|scum|loser|clown|pathetic|worthless|disgusting)\b", re.I)
-    assert insults.search(" ".join(a.text)) and sum(bool(insults.search(t)) for t in b.text) <= 0.25 * sum(bool(insults.search(t)) for t in a.text)
+    toxic = table(spark, big, "labels").toPandas().set_index("doc_id").toxic
+    gone = [i not in b.index for i in toxic.index if i in a.index]
+    assert np.mean([g for g, y in zip(gone, toxic, strict=True) if y]) > 0.6 and np.mean([g for g, y in zip(gone, toxic, strict=True) if not y]) <= 0.01
     assert len(b) > 0.85 * len(a)
     sets = _sets(b.text.tolist(), 5)
     want = {i for i, root in _components(b.index.tolist(), sets).items() if i == root}
@@ -442,7 +589,14 @@ def test_pipeline(spark, big):
     index = decontam.ItemIndex([(r["item_id"], r["text"]) for r in table(spark, big, "benchmark").collect()], decontam.DecontamConfig())
     assert {*d.index} == {i for i, t in c.text.items() if not index.find(t)}
     assert {*e.index} == {*d.index} and all(e.text[i] == d.text[i] for i in e.index if not _secret_spans(d.text[i]))
-    assert {*f.index} <= {*e.index} and (f.taken <= 2 * f["size"]).all() and (f.text == e.text[f.index]).all()
+    # the mix is made of stretches of the texts: per source as many words as its target, per document as many as it says
+    assert {*f.index} <= {*e.index} and (f.taken <= 2 * f["size"]).all() and {*f.shard} == {*range(64)}
+    for i, r in zip(f.index, f.itertuples(), strict=True):
+        w = e.text[i].encode().split()
+        assert r.text.encode().split() == w[r.start : r.start + r.words]
+    assert (f.groupby(level=0).words.sum() == f.groupby(level=0).taken.first()).all()
+    share = f.groupby("source").words.sum() / f.groupby("source").target.first()
+    assert share.between(0.97, 1.03).all()
 
 
 def test_every_round_of_the_chain_reads_all_training_rows(spark, monkeypatch):
@@ -454,5 +608,5 @@ def test_every_round_of_the_chain_reads_all_training_rows(spark, monkeypatch):
 
     monkeypatch.setattr(hmm, "baum_welch_round", spy)
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a b c d "), 2500).alias("text"))  # 4 million tokens
-    hmm.score_texts(docs, F.lit(True), hmm.HmmConfig(warm_rounds=2, full_rounds=1, symbols=64))
+    hmm.score_texts(docs, F.lit(True), hmm.HmmConfig(rounds=3, symbols=64))
     assert seen == [400] * 3
