@@ -1,14 +1,17 @@
 """The knowledge base as a whole: folders, uploads, listings, deletes, search, chat context.
 
-Tables are Parquet under one root, each version in a folder of its own; a write puts the new
-version beside the old one and then publishes it by replacing a small pointer, so that readers never see
-half a change and a failed job leaves nothing behind. Documents, sheets and chunks get ids from
-natural keys (hashes of path, sheet and order), which reruns repeat.
+Tables are Parquet under one root, in folders that are written once. A numbered manifest lists the folders
+of every table; readers take the manifest of the highest number. A writer claims the next number by
+creating its lock, which only one can, so that neither readers see half a change nor writers lose one
+another's: whoever finds the number taken starts again from the newer manifest. Appends add folders, only deletes and updates
+rewrite a table. Documents, sheets and chunks get ids from natural keys (hashes of path, sheet and
+order), so a document that is uploaded again replaces its older rows.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 
@@ -20,6 +23,7 @@ from .operators import catalog, classify, enrich, parsers, search
 from .operators.cells import dump_text
 from .schemas import schema
 from .sources import xlsx
+from .storage import stored
 
 FINAL, RECALL = search.FINAL, search.RECALL
 
@@ -38,35 +42,63 @@ class KnowledgeBase:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _pointer(self) -> dict[str, str]:
-        fs, p = self._fs(f"{self.root}/current.json")
-        if not fs.exists(p):
-            return {}
-        rows = self.spark.read.text(f"{self.root}/current.json").collect()
-        return json.loads("".join(r[0] for r in rows))
+    def _manifests(self) -> list[int]:
+        fs, p = self._fs(f"{self.root}/manifest")
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
 
-    def table(self, name: str) -> DataFrame:
-        at = self._pointer().get(name)
-        return self.spark.read.schema(schema(name)).parquet(f"{self.root}/{at}") if at else self.spark.createDataFrame([], schema(name))
+    def _current(self) -> tuple[int, dict[str, list[str]]]:
+        numbers = self._manifests()
+        if not numbers:
+            return 0, {}
+        rows = self.spark.read.text(f"{self.root}/manifest/{numbers[-1]:09d}.json").collect()
+        return numbers[-1], json.loads("".join(r[0] for r in rows))
 
-    def publish(self, tables: dict[str, DataFrame]) -> None:
-        """Write new versions of some tables, then point to all of them at once."""
-        pointer = self._pointer()
-        for name, df in tables.items():
-            at = f"{name}/{uuid.uuid4().hex}"
-            cast = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema(name)]
-            df.select(*cast).write.parquet(f"{self.root}/{at}")
-            pointer[name] = at
-        fs, temp = self._fs(f"{self.root}/.current-{uuid.uuid4().hex}")
+    def table(self, name: str) -> DataFrame:
+        at = self._current()[1].get(name)
+        return self.spark.read.schema(schema(name)).parquet(*(f"{self.root}/{x}" for x in at)) if at else self.spark.createDataFrame([], schema(name))
+
+    def _write(self, name: str, df: DataFrame) -> str:
+        at = f"{name}/{uuid.uuid4().hex}"
+        cast = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema(name)]
+        df.select(*cast).write.parquet(f"{self.root}/{at}")
+        return at
+
+    def _claim(self, number: int, patience: float = 30.0) -> bool:
+        """Whether this writer owns manifest ``number``. False: another has published it meanwhile."""
+        fs, lock = self._fs(f"{self.root}/manifest/{number:09d}.lock")
+        until = time.monotonic() + patience
+        while not fs.createNewFile(lock):
+            if number in self._manifests():
+                return False
+            if time.monotonic() > until:  # a writer that died: its lock goes, and who creates it anew owns it
+                fs.delete(lock, False)
+                until = time.monotonic() + patience
+            time.sleep(0.05)
+        return True
+
+    def commit(self, change: Callable[[dict[str, list[str]]], dict[str, list[str]]]) -> None:
+        """Publish ``change`` of the current manifest; it is applied again if another writer came first."""
+        while True:
+            base, tables = self._current()
+            if self._claim(base + 1):
+                if self._manifests()[-1:] in ([], [base]):
+                    break
+        fs, temp = self._fs(f"{self.root}/manifest/.{uuid.uuid4().hex}")
         out = fs.create(temp, True)
-        out.write(bytearray(json.dumps(pointer).encode()))
+        out.write(bytearray(json.dumps(change(dict(tables))).encode()))
         out.close()
-        target = self._fs(f"{self.root}/current.json")[1]
-        fs.delete(target, False)
-        fs.rename(temp, target)
+        fs.rename(temp, self._fs(f"{self.root}/manifest/{base + 1:09d}.json")[1])
 
-    def append(self, **new: DataFrame) -> None:
-        self.publish({k: self.table(k).unionByName(v.select(*(F.col(f.name).cast(f.dataType) if f.name in v.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema(k)))) for k, v in new.items()})
+    def publish(self, tables: dict[str, DataFrame]) -> None:
+        """Replace some tables, all at once. What others appended to them since they were read stays."""
+        seen = self._current()[1]
+        new = {name: self._write(name, df) for name, df in tables.items()}
+        self.commit(lambda m: m | {k: [at, *(x for x in m.get(k, []) if x not in seen.get(k, []))] for k, at in new.items()})
+
+    def append(self, **tables: DataFrame) -> None:
+        new = {name: self._write(name, df) for name, df in tables.items()}
+        self.commit(lambda m: m | {k: [*m.get(k, []), at] for k, at in new.items()})
 
     # folders and documents -------------------------------------------------------------------
 
@@ -96,13 +128,15 @@ class KnowledgeBase:
         return catalog.nested(own, self.table("chunk_summary").select("chunk_id", "perspective", F.col("text").alias("summary")), "chunk_id", ["perspective", "summary"], "summaries")
 
     def _delete(self, table: str, ids: list[int]) -> None:
-        gone = self.spark.createDataFrame([(i,) for i in ids], "id long")
+        self.publish(self._without(table, self.spark.createDataFrame([(i,) for i in ids], "id long")))
+
+    def _without(self, table: str, gone: DataFrame) -> dict[str, DataFrame]:
         t = {n: self.table(n) for n in ("folder", "document", "sheet", "chunk", "chunk_summary", "image", "change_log", "data_dict", "chunk_vec", "summary_vec")}
         post = self.table("postings")
         t |= {"postings_chunk": post.where("kind = 'chunk'"), "postings_summary": post.where("kind = 'summary'")}
         out = catalog.cascade_delete(t, table, gone)
         out["postings"] = out.pop("postings_chunk").unionByName(out.pop("postings_summary"))
-        self.publish(out)
+        return out
 
     def delete_folder(self, folder_id: int) -> None:
         self._delete("folder", [folder_id])
@@ -113,31 +147,37 @@ class KnowledgeBase:
     # ingestion -------------------------------------------------------------------------------
 
     def upload(self, files: DataFrame, folder_id: int, vision: DataFrame | None = None, max_cells: int = 20_000) -> None:
-        """files: (path, content). Reads, classifies, parses, indexes, embeds, then publishes once."""
-        book = xlsx.from_files(files, max_cells)
+        """files: (path, content). Reads every workbook once, classifies, parses, indexes, embeds, then
+        publishes once. A path that was uploaded before replaces its document."""
+        book = {k: stored(v, f"book-{k}") for k, v in xlsx.from_files(files, max_cells).items()}
         sid = _key("document_id", "sheet_index")
         sheets = book["sheets"].withColumn("sheet_id", sid)
         cells = book["cells"].withColumn("sheet_id", sid)
         images = book["images"].withColumn("sheet_id", sid).withColumn("description", F.lit(None).cast("string"))
-        kinds = classify.classify(sheets.select("sheet_id", "name", "has_images"), cells)
-        covers = parsers.cover_metadata(cells.join(kinds.where("sheet_type = 'cover'"), "sheet_id", "left_semi"), vision)
-        meta = parsers.merged_metadata(covers.join(sheets.select("sheet_id", "document_id", "sheet_index"), "sheet_id"), "document_id", "sheet_index")
+        kinds = stored(classify.classify(sheets.select("sheet_id", "name", "has_images"), cells), "kinds")
+        context = parsers.document_context(sheets, cells, kinds, vision)
+        meta = context[2]
         place = sheets.select("sheet_id", "document_id", "sheet_index")
-        chunks = parsers.dispatch(sheets, cells, kinds, images, vision).join(place, "sheet_id")
-        chunks = chunks.select(_key("sheet_id", "kind", "chunk_order").alias("id"), "sheet_id", "document_id", F.lit(folder_id).alias("folder_id"), "text", "markdown", F.to_json(F.struct("kind")).alias("chunk_metadata"), "hierarchy_path", "chunk_order", F.current_timestamp().alias("created_at"))
+        chunks = parsers.dispatch(sheets, cells, kinds, images, vision, context).join(place, "sheet_id")
+        chunks = chunks.select(_key("sheet_id", "kind", "chunk_order").alias("id"), "sheet_id", "document_id", F.lit(folder_id).alias("folder_id"), "text", "markdown", F.to_json(F.struct("kind", "jira_tags", "enrich_eligible")).alias("chunk_metadata"), "hierarchy_path", "chunk_order", F.current_timestamp().alias("created_at"))
+        chunks = stored(chunks, "chunks")
         history = parsers.history_entries(cells.join(kinds.where("sheet_type = 'history'"), "sheet_id", "left_semi")).join(place, "sheet_id")
         words = parsers.data_dictionary(cells.join(kinds.where("sheet_type in ('table', 'index')"), "sheet_id", "left_semi")).join(place, "sheet_id")
         document_id = F.xxhash64("path")
         documents = files.select(document_id.alias("id"), F.lit(folder_id).alias("folder_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("path").alias("file_path"), F.octet_length("content").cast("long").alias("file_size"), F.current_timestamp().alias("uploaded_at"))
-        failed = book["errors"].where("sheet_index is null").select(F.col("document_id").alias("id"), F.col("message").alias("error_msg"))
-        documents = documents.join(failed, "id", "left").join(meta.select(F.col("document_id").alias("id"), F.to_json(F.struct("title", "module", "customer", "vendor", "version", "jira_codes")).alias("doc_metadata")), "id", "left")
+        failed = book["errors"].where("sheet_index is null").groupBy(F.col("document_id").alias("id")).agg(F.min("message").alias("error_msg"))
+        notes = book["errors"].where("sheet_index is not null").groupBy(F.col("document_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(": ", F.col("sheet_index").cast("string"), "message"))), "; ").alias("notes"))
+        documents = documents.join(failed, "id", "left").join(notes, "id", "left").join(meta.select(F.col("document_id").alias("id"), F.to_json(F.struct("title", "module", "customer", "vendor", "version", "jira_codes")).alias("doc_metadata")), "id", "left")
         documents = documents.withColumns({"status": F.when(F.col("error_msg").isNull(), "ready").otherwise("failed"), "enrich_status": F.lit("pending"), "indexed_at": F.when(F.col("error_msg").isNull(), F.current_timestamp())})
+        documents = documents.withColumn("error_msg", F.coalesce("error_msg", "notes"))  # sheets that failed leave a note
         texts = dump_text(cells).select("sheet_id", "raw_text")
-        stored = sheets.join(kinds, "sheet_id").join(texts, "sheet_id", "left").select(F.col("sheet_id").alias("id"), "document_id", "name", "sheet_index", "sheet_type", F.col("confidence").alias("classifier_confidence"), "raw_text")
+        rows = sheets.join(kinds, "sheet_id").join(texts, "sheet_id", "left").select(F.col("sheet_id").alias("id"), "document_id", "name", "sheet_index", "sheet_type", F.col("confidence").alias("classifier_confidence"), "raw_text")
         pictures = images.select(_key("sheet_id", "image_index").alias("id"), "sheet_id", F.concat(X.image_digest(F.col("bytes")), F.lit("."), X.image_format(F.col("format"))).alias("file_path"), "anchor_cell")
-        self.append(
+        blobs = catalog.distinct_images(images).join(self.table("image_blob").select("digest"), "digest", "left_anti")
+        new = dict(
             document=documents,
-            sheet=stored,
+            sheet=rows,
+            image_blob=blobs,
             chunk=chunks,
             image=pictures,
             change_log=history.select(_key("sheet_id", "chunk_order").alias("id"), "document_id", "log_date", "description", "tags"),
@@ -145,12 +185,19 @@ class KnowledgeBase:
             chunk_vec=chunks.select(F.col("id").alias("chunk_id"), self.embed(F.col("text")).alias("embedding")),
             postings=search.postings(chunks, "id", "text"),
         )
+        again = self.table("document").join(documents.select("id"), "id", "left_semi").select("id")
+        if not again.isEmpty():
+            self.publish(self._without("document", again))
+        self.append(**new)
 
     def enrich(self, model: Callable[[str], str]) -> None:
-        """Background job: summaries of the chunks that have none, their vectors and postings."""
-        todo = enrich.pending(enrich.enrich_gate(self.table("chunk")), self.table("chunk_summary"))
+        """Background job: summaries of the eligible chunks not asked for yet, their vectors and postings."""
+        opted = F.coalesce(F.get_json_object("chunk_metadata", "$.enrich_eligible") != "false", F.lit(True))
+        gate = enrich.enrich_gate(self.table("chunk").withColumn("enrich_eligible", opted))
+        todo = stored(enrich.pending(gate, self.table("chunk_summary"), self.table("enrich_attempt")), "enrich")
         long = catalog.summaries_long(enrich.enrich(todo, model).withColumnRenamed("id", "chunk_id")).withColumn("id", _key("chunk_id", "perspective"))
-        self.append(chunk_summary=long)
+        # an attempt is on record even if the answer was empty: it is not asked again
+        self.append(chunk_summary=long, enrich_attempt=todo.select(F.col("id").alias("chunk_id"), F.current_timestamp().alias("attempted_at")))
         new = self.table("chunk_summary").join(self.table("summary_vec").select(F.col("summary_id").alias("id")), "id", "left_anti")
         done = self.table("document").withColumn("enrich_status", F.when(F.col("status") == "ready", "done").otherwise(F.col("enrich_status")))
         self.append(summary_vec=new.select(F.col("id").alias("summary_id"), self.embed(F.col("text")).alias("embedding")), postings=search.postings(new, "id", "text", "summary"))
@@ -160,7 +207,8 @@ class KnowledgeBase:
 
     def search(self, questions: DataFrame, limit: int = FINAL, recall: int = RECALL) -> DataFrame:
         """questions: query_id, question and, if scoped, folder_id and document_id."""
-        q = questions.withColumn("embedding", self.embed(F.col("question")))
+        # stored, so that the recall paths share one embedding of each question
+        q = stored(questions.withColumn("embedding", self.embed(F.col("question"))), "questions")
         for c in ("folder_id", "document_id"):
             if c not in q.columns:
                 q = q.withColumn(c, F.lit(None).cast("long"))

@@ -20,9 +20,11 @@ def enrich_gate(chunks: DataFrame) -> DataFrame:
     return chunks.where(eligible & (F.length(F.regexp_replace("text", r"\A\s+|\s+\z", "")) >= LEAST_CHARS))
 
 
-def pending(chunks: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Chunks without a summary yet: the incremental job's input."""
-    return chunks.join(summaries.select(F.col("chunk_id").alias("id")).distinct(), "id", "left_anti")
+def pending(chunks: DataFrame, *asked: DataFrame) -> DataFrame:
+    """Chunks without a summary or an attempt (tables with a chunk_id): the incremental job's input."""
+    for done in asked:
+        chunks = chunks.join(done.select(F.col("chunk_id").alias("id")).distinct(), "id", "left_anti")
+    return chunks
 
 
 def hashed_embedding(text: str, size: int = 64) -> np.ndarray:

@@ -251,22 +251,41 @@ def generic_chunks(sheets: DataFrame, cells: DataFrame, vision: DataFrame | None
     return own.unionByName(raw)
 
 
-def dispatch(sheets: DataFrame, cells: DataFrame, classified: DataFrame, images: DataFrame | None = None, vision: DataFrame | None = None) -> DataFrame:
-    """Chunks of every sheet by its type: covers give their context to the others first (two
-    passes), index sheets use the table parser, whatever is left the generic one."""
+def document_context(sheets: DataFrame, cells: DataFrame, classified: DataFrame, vision: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the cover sheets of a document tell its other sheets: (sheet_id, color, tag), (sheet_id,
+    jira_codes) and the merged metadata, a row per document. Of several covers the last one's tag for a colour
+    wins. ``sheets`` without document_id are documents of their own."""
+    place = sheets.select("sheet_id", (F.col("document_id") if "document_id" in sheets.columns else F.col("sheet_id")).alias("document_id"), (F.col("sheet_index") if "sheet_index" in sheets.columns else F.lit(0)).alias("sheet_index"))
+    own = cells.join(classified.where("sheet_type = 'cover'"), "sheet_id", "left_semi")
+    covers = cover_metadata(own, vision).join(place, "sheet_id")
+    legend = covers.select("document_id", "sheet_index", F.posexplode("color_map").alias("i", "c"))
+    legend = legend.groupBy("document_id", F.col("c.color").alias("color")).agg(F.max_by("c.tag", F.struct("sheet_index", "i")).alias("tag"))
+    meta = merged_metadata(covers, "document_id", "sheet_index")
+    return place.join(legend, "document_id").select("sheet_id", "color", "tag"), place.join(meta, "document_id").select("sheet_id", "jira_codes"), meta
+
+
+def dispatch(sheets: DataFrame, cells: DataFrame, classified: DataFrame, images: DataFrame | None = None, vision: DataFrame | None = None, context: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Chunks of every sheet by its type, in two passes: the covers of a document give their colour tags
+    and codes (``context``, by default those of ``document_context``) to its other sheets. Index sheets use
+    the table parser, whatever is left the generic one; a screen sheet without images gives its text. Image
+    descriptions are JSON, rendered as text."""
     kind = classified.select("sheet_id", "sheet_type")
     pick = lambda *t: cells.join(kind.where(F.col("sheet_type").isin(*t)), "sheet_id", "left_semi")
     of = lambda *t: sheets.join(kind.where(F.col("sheet_type").isin(*t)), "sheet_id", "left_semi")
     cols = ["sheet_id", "chunk_order", "text", "markdown", "hierarchy_path"]
-    part = lambda df, k, e: df.select(*(F.col(c).cast("long") if c == "chunk_order" else F.col(c) for c in cols), F.lit(k).alias("kind"), F.lit(e).alias("enrich_eligible"))
+    none = F.array().cast("array<string>")
+    part = lambda df, k, e: df.select(*(F.col(c).cast("long") if c == "chunk_order" else F.col(c) for c in cols), F.lit(k).alias("kind"), F.lit(e).alias("enrich_eligible"), (F.col("jira_tags") if "jira_tags" in df.columns else none).alias("jira_tags"))
+    legend, codes, _ = context or document_context(sheets, cells, classified, vision)
+    if images is None:
+        images = sheets.select("sheet_id").where("false").withColumns({"image_index": F.lit(0), "anchor_cell": F.lit(""), "description": F.lit("")})
+    described = images.withColumn("description", F.when(F.col("description").isNotNull(), X.render_description(X.json_or_empty(F.col("description")))))
     out = [
         part(history_entries(pick("history")).withColumn("hierarchy_path", F.lit("変更履歴")), "change_log", False),
         part(table_chunks(pick("table", "index"), sheets), "table_batch", False),
-        part(memo_chunks(pick("memo"), sheets), "memo_section", True),
+        part(memo_chunks(pick("memo"), sheets, legend, codes), "memo_section", True),
         part(generic_chunks(of("unknown"), pick("unknown"), vision), "generic", True),
+        part(screen_chunks(of("screen"), pick("screen"), described), "screen", True),
     ]
-    if images is not None:
-        out.append(part(screen_chunks(of("screen"), pick("screen"), images), "screen", True))
     result = out[0]
     for x in out[1:]:
         result = result.unionByName(x)
