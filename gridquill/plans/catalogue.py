@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..functions import cells as C
 from ..operators import catalog, cells, classify, enrich, parsers, preview, search
 from ..sources import stand_in as S
+from ..sources import xlsx
 from ..streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,6 +152,31 @@ def chat_sessions(spark, d):
     return catalog.chat_sessions(c)
 
 
+# workbooks -----------------------------------------------------------------------------------
+
+
+def _book(spark, d, part):
+    files = S.nation_workbooks(spark, d)
+    region = F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("region")
+    return xlsx.from_files(files)[part].join(files.select(F.xxhash64("path").alias("document_id"), region), "document_id")
+
+
+@query
+def workbook_sheets(spark, d):
+    return _long(_book(spark, d, "sheets").select("region", "sheet_index", "name", "max_row", "max_col", "has_images", F.array_join("merged_ranges", ",").alias("merged")), "sheet_index", "max_row", "max_col")
+
+
+@query
+def workbook_cells(spark, d):
+    c = _book(spark, d, "cells").select("region", "row", "col", "col_letter", "text", "indent_level", "is_merge_anchor", F.coalesce("merged_range", F.lit("")).alias("merged_range"))
+    return _long(c, "row", "col", "indent_level")
+
+
+@query
+def workbook_images(spark, d):
+    return _long(_book(spark, d, "images").select("region", "image_index", "anchor_cell", "format", F.decode("bytes", "UTF-8").alias("payload")), "image_index")
+
+
 # cells ---------------------------------------------------------------------------------------
 
 

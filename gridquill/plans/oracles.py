@@ -98,6 +98,12 @@ ORACLES: dict[str, str] = {
     "chat_sessions": "SELECT conv_id session_id, count(*) n_messages, count(*) FILTER (role = 'user') n_questions, sum(length(text))::BIGINT n_chars, arg_max(role, turn) last_role FROM conversations GROUP BY conv_id",
     "cells_indent_ladder": _with(["grid"], "SELECT sheet_id, row, col, indent_level FROM grid"),
     "cells_max_guard": _with(["cells"], "SELECT c.sheet_id, count(*) n_cells, max(c.row) last_row FROM cells c JOIN k USING (sheet_id, row) WHERE coalesce(k.before, 0) < 12 GROUP BY c.sheet_id", k="SELECT sheet_id, row, sum(n) OVER (PARTITION BY sheet_id ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT sheet_id, row, count(*) n FROM cells GROUP BY ALL)"),
+    "workbook_sheets": "SELECT n_regionkey::BIGINT region, 0::BIGINT sheet_index, 'nations' AS name, count(*) max_row, 3::BIGINT max_col, true has_images, 'C1:D1' merged FROM nation GROUP BY 1",
+    "workbook_cells": """WITH n AS (SELECT n_regionkey::BIGINT region, n_nationkey k, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row FROM nation),
+l AS (SELECT *, CASE WHEN k % 2 = 1 THEN 1 ELSE 2 END c, (k % 2 = 0 AND bool_or(k % 2 = 1) OVER (PARTITION BY region))::BIGINT indent_level FROM n)
+SELECT region, row, c::BIGINT col, CASE c WHEN 1 THEN 'A' ELSE 'B' END col_letter, k::VARCHAR AS text, indent_level, false is_merge_anchor, '' merged_range FROM l
+UNION ALL SELECT region, row, 3, 'C', trim(n_name), indent_level, row = 1, CASE WHEN row = 1 THEN 'C1:D1' ELSE '' END FROM l""",
+    "workbook_images": "SELECT DISTINCT n_regionkey::BIGINT region, 0::BIGINT image_index, 'B5' anchor_cell, 'png' AS format, 'picture ' || n_regionkey payload FROM nation",
     "cells_merged": _with(["cells"], "SELECT sheet_id, row, col, CASE WHEN row = 1 AND col = 2 THEN 'B1:C1' END merged_range, row = 1 AND col = 2 AS is_merge_anchor FROM cells"),
     "sheet_dump_text": _with(["cells"], "SELECT sheet_id, string_agg(l, chr(10) ORDER BY row) raw_text FROM (SELECT sheet_id, row, string_agg(text, chr(9) ORDER BY col) l FROM cells GROUP BY ALL) GROUP BY sheet_id"),
     "sheet_dump_markdown": _with(

@@ -90,3 +90,46 @@ def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").withColumns({"row": F.row_number().over(w.orderBy("o_orderdate", "o_orderkey"))})
     none = F.lit(None).cast("string")
     return o.select(F.col("o_custkey").alias("sheet_id"), "row", F.expr("stack(2, 1, date_format(o_orderdate, 'yyyy/M/d'), 2, o_orderpriority) as (col, text)")).withColumns({"bold": F.lit(False), "font_color": none, "fill_color": none})
+
+
+def _xlsx(lines: list[tuple[int, str]], picture: bytes) -> bytes:
+    """A workbook of one sheet: key in column B (A if odd), name in C, C1:D1 merged, a picture at B5."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    pack = "http://schemas.openxmlformats.org/package/2006/relationships"
+    draw = "http://schemas.openxmlformats.org/drawingml/2006/spreadsheetDrawing"
+    art = "http://schemas.openxmlformats.org/drawingml/2006/main"
+    rows = "".join(
+        f'<row r="{i}"><c r="{"A" if k % 2 else "B"}{i}"><v>{k}</v></c><c r="C{i}" t="inlineStr"><is><t xml:space="preserve"> {escape(name)} </t></is></c></row>' for i, (k, name) in enumerate(lines, 1)
+    )
+    parts = {
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="nations" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{pack}"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}" xmlns:r="{rel}"><sheetData>{rows}</sheetData><mergeCells><mergeCell ref="C1:D1"/></mergeCells><drawing r:id="rId9"/></worksheet>',
+        "xl/worksheets/_rels/sheet1.xml.rels": f'<Relationships xmlns="{pack}"><Relationship Id="rId9" Target="../drawings/drawing1.xml"/></Relationships>',
+        "xl/drawings/drawing1.xml": f'<x:wsDr xmlns:x="{draw}" xmlns:a="{art}" xmlns:r="{rel}"><x:oneCellAnchor><x:from><x:col>1</x:col><x:row>4</x:row></x:from><x:pic><x:blipFill><a:blip r:embed="rId1"/></x:blipFill></x:pic></x:oneCellAnchor></x:wsDr>',
+        "xl/drawings/_rels/drawing1.xml.rels": f'<Relationships xmlns="{pack}"><Relationship Id="rId1" Target="../media/image1.png"/></Relationships>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for k, v in parts.items():
+            z.writestr(k, v)
+        z.writestr("xl/media/image1.png", picture)
+    return out.getvalue()
+
+
+def nation_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a real workbook per region, a row per nation in the order of their keys."""
+    import pandas as pd
+
+    def build(nations: pd.DataFrame) -> pd.DataFrame:
+        n = nations.sort_values("n_nationkey")
+        region = int(n["n_regionkey"].iloc[0])
+        lines = [(int(k), str(name)) for k, name in zip(n["n_nationkey"], n["n_name"], strict=True)]
+        return pd.DataFrame({"path": [f"/in/region-{region}.xlsx"], "content": [_xlsx(lines, f"picture {region}".encode())]})
+
+    return read(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name").groupBy("n_regionkey").applyInPandas(build, "path string, content binary")
