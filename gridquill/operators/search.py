@@ -5,9 +5,10 @@ All operators take a table of queries (query_id, ...), so one plan serves one qu
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,9 +24,11 @@ RECALL, FINAL = 30, 5
 # lexical -------------------------------------------------------------------------------------
 
 
-def postings(rows: DataFrame, id_col: str, text_col: str, kind: str = "chunk") -> DataFrame:
-    """kind, ref_id, term, pos."""
-    tok = X.terms(X.index_text(F.coalesce(F.col(text_col), F.lit(""))))
+def postings(rows: DataFrame, id_col: str, text_col: str, kind: str = "chunk", tokenizer: Callable[[Column], Column] | None = None) -> DataFrame:
+    """kind, ref_id, term, pos. ``tokenizer`` maps a text column to an array of terms, such as a morphological
+    analyser in a pandas UDF; without one the built-in fallback cuts words and characters."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    tok = tokenizer(text) if tokenizer else X.terms(X.index_text(text))
     return rows.select(F.lit(kind).alias("kind"), F.col(id_col).alias("ref_id"), F.posexplode(tok).alias("pos", "term"))
 
 
@@ -306,6 +309,18 @@ def term_overlap(question: Column, text: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, X.terms(text))) / F.size(q)).otherwise(0.0)
 
 
+def cross_encoder(model: Callable[[], Callable[[list[tuple[str, str]]], list[float]]]) -> Callable[[Column, Column], Column]:
+    """A scorer for ``rerank`` from a model factory, which runs once per task; the model scores a batch of
+    (question, text) pairs at a time."""
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        apply = model()
+        for questions, texts in batches:
+            yield pd.Series(apply(list(zip(questions.fillna(""), texts.fillna(""), strict=True))), dtype=float)
+
+    return lambda question, text: run(question, text)
+
+
 def rerank(hits: DataFrame, queries: DataFrame, scorer: Callable[[Column, Column], Column] = term_overlap, limit: int = FINAL) -> DataFrame:
     """Scores candidates against the question; ties keep the fused order."""
     x = hits.withColumnsRenamed({"score": "rrf", "rank": "rrf_rank"}).join(queries.select("query_id", "question"), "query_id")

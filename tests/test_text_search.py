@@ -154,3 +154,13 @@ def test_screen_description(spark):
     show = lambda c: X.render_description(X.json_or_empty(c))
     assert value(spark, show, d).split("\n") == ["**画面标题**: T", "**布局**: two panes", "**区块与控件**:", "- list", "  - a", "  - b", "- plain", "- (unnamed)", "  - one", "**标注**:", "- 1 @ ? — d", "- x", "**备注**: n, m"]
     assert value(spark, show, "not json") == value(spark, show, "[]") == "_(画面描述生成失败)_"
+
+
+def test_pluggable_tokenizer_and_cross_encoder(spark):
+    df = spark.createDataFrame([(1, "ab cd"), (2, None)], "id long, text string")
+    post = search.postings(df, "id", "text", tokenizer=lambda c: F.split(F.upper(c), " "))
+    assert sorted((r["ref_id"], r["term"], r["pos"]) for r in post.collect()) == [(1, "AB", 0), (1, "CD", 1), (2, "", 0)]
+    hits = spark.createDataFrame([(1, 1, "aa", 0.5, 0), (1, 2, "aaaa", 0.4, 1), (1, 3, None, 0.3, 2)], "query_id long, chunk_id long, text string, score double, rank long")
+    q = spark.createDataFrame([(1, "a")], "query_id long, question string")
+    scorer = search.cross_encoder(lambda: lambda pairs: [float(t.count(x)) for x, t in pairs])
+    assert [r["chunk_id"] for r in search.rerank(hits, q, scorer).orderBy("rank").collect()] == [2, 1, 3]
