@@ -250,8 +250,8 @@ def hot_pairs(texts: DataFrame, part: DataFrame, cfg: ForestConfig) -> DataFrame
     order of the shingles is that of their counts by hash bucket, then of the hash: any order
     is right, one by rarity gives few candidates."""
     counts = np.zeros(2**20, np.int64)
-    got = texts.select("text").mapInArrow(_bucket_counts(cfg), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    got = texts.select("text").mapInArrow(_bucket_counts(cfg), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
     shared = texts.sparkSession.sparkContext.broadcast(counts)
     bits = [f"m{i}" for i in range(WIDE)]
     sets = texts.select("doc_id", "text").mapInArrow(_prefixes(shared, cfg), "doc_id long, n long, tokens array<long>, " + ", ".join(f"{b} long" for b in bits))
