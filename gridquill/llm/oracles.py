@@ -100,3 +100,79 @@ m AS (SELECT doc, min(c) component_id FROM r GROUP BY doc)
 SELECT d.doc_id, coalesce(n.n, 0) n_shingles, m.component_id, d.doc_id = m.component_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.doc = d.doc_id
 """
+
+#: Checksum of a byte string, bit by bit from its definition: x is its bytes, a list of integers.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, {x}), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda s, i: xor(s >> 1, (s & 1) * 3988292384))), 4294967295)"
+
+
+def _crc32(text: str) -> str:
+    """crc32 of the UTF-8 bytes of the SQL expression ``text``."""
+    digits = f"hex(encode({text}))"
+    return _CRC32.format(x=f"list_transform(range(length({digits}) // 2), lambda i: ('0x' || {digits}[2 * i + 1:2 * i + 2])::BIGINT)")
+
+
+_LEAF = "sha256(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || coalesce(strlen({text}) || ':' || {text}, '-'))"
+
+
+def _levels(name: str, group: str, height: int) -> str:
+    """Levels of a tree over {name}0 (group, i, d): each has run, the digests of a node's children."""
+    out = []
+    for k in range(1, height + 1):
+        out.append(f"{name}{k} AS MATERIALIZED (SELECT {group}, i // 16 i, CASE WHEN any_value(n) > {16 ** (k - 1)} THEN sha256(string_agg(d, '' ORDER BY i)) ELSE any_value(d) END d, string_agg(d, '' ORDER BY i) run, any_value(n) n FROM {name}{k - 1} GROUP BY {group}, i // 16)")
+    return ",\n".join(out)
+
+
+_HEIGHT, _TOP = 6, 4  # levels: up to 16 ** 6 rows of a source, 16 ** 4 sources
+
+
+def _climb() -> str:
+    """Siblings and the root that follows from the presented leaf, level by level."""
+    out, last = [], "c0"
+    for k in range(1, _HEIGHT + _TOP + 1):
+        leaves = k <= _HEIGHT
+        level = f"l{k}" if leaves else f"t{k - _HEIGHT}"
+        size = 16 ** (k - 1 if leaves else k - 1 - _HEIGHT)
+        at = "c.i" if leaves else "c.j"
+        on = "l.s = c.s AND l.i = c.i // 16" if leaves else "l.i = c.j // 16"
+        cut = f"substring(run, 1, 64 * ({at} % 16)::INT) || {{x}} || substring(run, 64 * ({at} % 16)::INT + 65)"
+        out.append(f"c{k} AS MATERIALIZED (SELECT c.doc_id, c.s, {'c.i // 16 i, c.j' if leaves else 'c.i, c.j // 16 j'}, c.leaf, CASE WHEN l.n > {size} THEN c.proof || {cut.format(x=chr(39) * 2)} ELSE c.proof END proof, CASE WHEN l.n > {size} THEN sha256({cut.format(x='c.now')}) ELSE c.now END now FROM {last} c JOIN {level} l ON {on})")
+        last = f"c{k}"
+    return ",\n".join(out)
+
+
+#: Ranks by a window, levels by grouping, proofs by joining level after level.
+MERKLE = f"""
+WITH d AS (SELECT doc_id, coalesce('=' || source, '') s, {_LEAF.format(text="text")} leaf,
+  CASE WHEN doc_id IS NOT NULL AND {_crc32("doc_id::VARCHAR")} % 5 = 0 THEN {_LEAF.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END touched FROM documents),
+l0 AS MATERIALIZED (SELECT doc_id, s, touched, leaf AS d, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 i, count(*) OVER (PARTITION BY s) n FROM d),
+{_levels("l", "s", _HEIGHT)},
+t0 AS MATERIALIZED (SELECT s, 0 g, d, row_number() OVER (ORDER BY s) - 1 i, count(*) OVER () n FROM l{_HEIGHT}),
+{_levels("t", "g", _TOP)},
+c0 AS (SELECT l0.doc_id, l0.s, l0.i, t0.i j, l0.d leaf, '' proof, coalesce(touched, l0.d) now FROM l0 JOIN t0 USING (s)),
+{_climb()}
+SELECT doc_id, leaf, t0.d subroot, r.d AS root, sha256(proof) proof_sha256, now folded_root, now = r.d AS verified
+FROM c{_HEIGHT + _TOP} c JOIN t0 USING (s) CROSS JOIN t{_TOP} r
+"""
+
+
+def _runs(table: str, key: str) -> str:
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"SELECT {key} k, regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w FROM {table}"
+
+
+_EACH = "SELECT k, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i]) || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) f FROM {t}"
+
+#: Every feature spelt out and hashed; a global sort instead of a selection.
+RESAMPLE = f"""
+WITH dw AS MATERIALIZED ({_runs("documents", "doc_id")}), bw AS ({_runs("benchmark", "0")}),
+de AS MATERIALIZED ({_EACH.format(t="dw")}), be AS MATERIALIZED ({_EACH.format(t="bw")}),
+h AS MATERIALIZED (SELECT f, {_crc32("f")} % 10000 b FROM (SELECT f FROM de UNION SELECT f FROM be)),
+db AS MATERIALIZED (SELECT k, b, count(*) c FROM de JOIN h USING (f) GROUP BY k, b),
+s AS (SELECT b, sum(c) s FROM db GROUP BY b), t AS (SELECT b, count(*) t FROM be JOIN h USING (f) GROUP BY b),
+g AS MATERIALIZED (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(c), 0) FROM db) + 10000) / ((s + 1)::DOUBLE * ((SELECT count(*) FROM be) + 10000))))::BIGINT gain FROM s LEFT JOIN t USING (b)),
+w AS (SELECT k doc_id, sum(c)::BIGINT n_features, sum(c * gain)::BIGINT weight FROM db JOIN g USING (b) GROUP BY k),
+x AS (SELECT k doc_id, len(w) n, coalesce(n_features, 0) n_features, coalesce(weight, 0) weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substring(sha256('42:' || k), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT score FROM dw LEFT JOIN w ON doc_id = k),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) r, count(*) OVER () n FROM x WHERE n >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 5 * r.n // 100 THEN r END AS rank FROM x LEFT JOIN r USING (doc_id)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytecnn, decontam, hmm, linecrf, lshforest, mixing, oracles, pii, secret_scan, token_cache, toxicity
+from . import bytecnn, decontam, hmm, importance, linecrf, lshforest, merkle, mixing, oracles, pii, secret_scan, simhash, token_cache, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,9 @@ def queries() -> dict[str, Query]:
         "op8_decontamination": decontam.query,
         "op9_line_quality": linecrf.query,
         "op10_near_duplicates": lshforest.query,
+        "op11_simhash": simhash.query,
+        "op12_merkle_manifest": merkle.query,
+        "op13_importance_resampling": importance.query,
         "pipeline": _pipeline,
     }
 
@@ -38,4 +41,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_secret_scan": oracles.SECRET_SCAN,
         "op7_pii": oracles.PII,
         "op10_near_duplicates": oracles.NEAR_DUPLICATES,
+        "op12_merkle_manifest": oracles.MERKLE,
+        "op13_importance_resampling": oracles.RESAMPLE,
     }
