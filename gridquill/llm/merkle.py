@@ -136,7 +136,7 @@ def manifest(docs: DataFrame) -> DataFrame:
     top_runs = reduced(tops.select("src", "rank", "digest", "n"))
     root = (top_runs[-1] if top_runs else subroots).select(_hex(F.col("digest"))).first()[0]
     start = docs.sparkSession.range(1).select(F.lit("").alias("src"), F.lit(sources).cast("long").alias("n"), F.from_json(F.lit("[]"), _PATH).alias("path"), F.lit(None).cast("binary").alias("subroot"))
-    above = with_paths(tops, top_runs, start).select(F.col("name").alias("src"), F.col("rows").alias("n"), "path", F.col("digest").alias("subroot"))
+    above = with_paths(tops, top_runs, materialize(start, "merkle-start")).select(F.col("name").alias("src"), F.col("rows").alias("n"), "path", F.col("digest").alias("subroot"))
     found = with_paths(ranked, runs, materialize(above, "merkle-above"))
     out = found.select(
         "doc_id", _hex(F.col("leaf")).alias("leaf"), _hex(F.col("subroot")).alias("subroot"), F.lit(root).alias("root"),

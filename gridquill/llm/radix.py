@@ -48,7 +48,7 @@ def _offsets(counts: DataFrame, node: list[str], width: int, bits: int) -> DataF
     return counts.join(up, match).select(*node, "prefix", "count", (F.col("up_before") + F.col("within")).alias("before"))
 
 
-def group_ranks(rows: DataFrame, group: str, keys: list[str], block: int = 4096, bits: int = 12) -> DataFrame:
+def group_ranks(rows: DataFrame, group: str, keys: list[str], block: int = 1024, bits: int = 10) -> DataFrame:
     """``rows`` with ``rank``, the place of a row in its group by ``keys`` (from 0, nulls first), and ``n``, the rows of the group.
 
     The last of ``keys`` must tell all rows apart. The prefixes that leave ``bits`` low bits of the first
