@@ -1,4 +1,5 @@
-"""Retrieval: lexical index and BM25, exact recall, vectors, fusion, hydration, rerank, context.
+"""Retrieval: recall paths, fusion, hydration, rerank, context. The indexes behind the paths are ``lexical`` (BM25),
+``grams`` (LIKE) and ``ivf`` (vectors).
 
 All operators take a table of queries (query_id, ...), so one plan serves one query or a batch.
 """
@@ -6,7 +7,6 @@ All operators take a table of queries (query_id, ...), so one plan serves one qu
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,80 +15,16 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..storage import stored
+from . import grams as G
+from . import ivf
+from .lexical import Index, as_index, bm25, bm25_top, build_index, corpus_stats, lengths, phrase_hits, postings, term_stats  # noqa: F401
 
 SOURCES = ["vec_chunk", "vec_summary", "fts", "exact"]
-K1, B, RRF_K = 1.2, 0.75, 60
+RRF_K = 60
 RECALL, FINAL = 30, 5
 
 
-# lexical -------------------------------------------------------------------------------------
-
-
-def postings(rows: DataFrame, id_col: str, text_col: str, kind: str = "chunk", tokenizer: Callable[[Column], Column] | None = None) -> DataFrame:
-    """kind, ref_id, term, pos. ``tokenizer`` maps a text column to an array of terms, such as a morphological
-    analyser in a pandas UDF; without one the built-in fallback cuts words and characters."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    tok = tokenizer(text) if tokenizer else X.terms(X.index_text(text))
-    return rows.select(F.lit(kind).alias("kind"), F.col(id_col).alias("ref_id"), F.posexplode(tok).alias("pos", "term"))
-
-
-def lengths(post: DataFrame) -> DataFrame:
-    """kind, ref_id, dl: terms of every row of the index."""
-    return post.groupBy("kind", "ref_id").agg(F.count("*").alias("dl"))
-
-
-def corpus_stats(post: DataFrame) -> DataFrame:
-    """n_rows, avg_len over all rows of the index, chunks and summaries together."""
-    return post.groupBy("kind", "ref_id").agg(F.count("*").alias("dl")).agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avg_len"))
-
-
-def term_stats(post: DataFrame) -> DataFrame:
-    return post.groupBy("term").agg(F.countDistinct("kind", "ref_id").alias("df"), F.count("*").alias("tf"))
-
-
-def phrase_hits(post: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, phrase_no, kind, ref_id, tf) for each phrase that a row holds at adjacent
-    positions: postings of the phrases' terms, shifted to the phrase's start, that all meet."""
-    phrases = queries.select("query_id", F.posexplode(X.query_phrases(F.col("question"))).alias("phrase_no", "phrase"))
-    want = phrases.select("query_id", "phrase_no", F.size("phrase").alias("len"), F.posexplode("phrase").alias("i", "term"))
-    met = post.join(want, "term").groupBy("query_id", "phrase_no", "len", "kind", "ref_id", (F.col("pos") - F.col("i")).alias("start")).agg(F.countDistinct("i").alias("n"))
-    return met.where("n = len").groupBy("query_id", "phrase_no", "kind", "ref_id").agg(F.count("*").alias("tf"))
-
-
-@dataclass(frozen=True)
-class Index:
-    """A lexical index: postings and, so that no search tokenises or counts the corpus again, the lengths of
-    its rows and their statistics."""
-
-    post: DataFrame
-    lengths: DataFrame
-    stats: DataFrame
-
-
-def build_index(post: DataFrame) -> Index:
-    """Stores the three tables in the shared folder."""
-    post = stored(post, "postings")
-    own = stored(lengths(post), "lengths")
-    return Index(post, own, stored(own.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avg_len")), "index-stats"))
-
-
-def _index(post: DataFrame | Index) -> Index:
-    return post if isinstance(post, Index) else Index(post, lengths(post), corpus_stats(post))
-
-
-def bm25(post: DataFrame | Index, queries: DataFrame, match: str = "all") -> DataFrame:
-    """(query_id, kind, ref_id, score): rows that hold all phrases (or any, match='any'). ``post``: postings,
-    or a stored index."""
-    index = _index(post)
-    post = index.post
-    hits = phrase_hits(post, queries)
-    df = hits.groupBy("query_id", "phrase_no").agg(F.count("*").alias("df"))
-    need = queries.select("query_id", F.size(X.query_phrases(F.col("question"))).alias("need"))
-    idf = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.when(idf > 0, idf).otherwise(1e-6) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_len")))
-    x = hits.join(df, ["query_id", "phrase_no"]).join(index.lengths, ["kind", "ref_id"]).join(F.broadcast(index.stats))  # one row
-    out = x.groupBy("query_id", "kind", "ref_id").agg(F.sum(part).alias("score"), F.count("*").alias("n")).join(need, "query_id")
-    return out.where(F.col("n") == F.col("need") if match == "all" else F.lit(True)).select("query_id", "kind", "ref_id", "score")
+# lexical and exact ---------------------------------------------------------------------------
 
 
 def top(scored: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
@@ -109,31 +45,31 @@ def in_scope(hits: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFram
 
 def fts_recall(post: DataFrame | Index, queries: DataFrame, chunks: DataFrame, summaries: DataFrame | None = None, limit: int = RECALL, match: str = "all") -> DataFrame:
     """(query_id, chunk_id, score, rank): scope, then 2 * limit rows of the index, best per chunk,
-    then the cut to ``limit``. Statistics stay global."""
-    s = bm25(post, queries, match)
-    own = s.where("kind = 'chunk'").select("query_id", F.col("ref_id").alias("chunk_id"), "score", "kind", "ref_id")
-    if summaries is not None:
-        via = s.where("kind = 'summary'").join(summaries.select(F.col("id").alias("ref_id"), "chunk_id"), "ref_id")
-        own = own.unionByName(via.select("query_id", "chunk_id", "score", "kind", "ref_id"))
-    rows = top(in_scope(own, chunks, queries), 2 * limit, ["kind", "ref_id"])
-    return top(rows.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), limit)
+    then the cut to ``limit``. Statistics stay global. A stored index is pruned by its blocks."""
+
+    def cut(s: DataFrame) -> DataFrame:
+        own = s.where("kind = 'chunk'").select("query_id", F.col("ref_id").alias("chunk_id"), "score", "kind", "ref_id")
+        if summaries is not None:
+            via = s.where("kind = 'summary'").join(summaries.select(F.col("id").alias("ref_id"), "chunk_id"), "ref_id")
+            own = own.unionByName(via.select("query_id", "chunk_id", "score", "kind", "ref_id"))
+        return top(in_scope(own, chunks, queries), 2 * limit, ["kind", "ref_id"])
 
+    scored = bm25_top(post, queries, 2 * limit, cut) if isinstance(post, Index) and match == "all" else bm25(post, queries, match)
+    return top(cut(scored).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), limit)
 
-def exact_recall(chunks: DataFrame, queries: DataFrame, limit: int = RECALL, literal: bool = False) -> DataFrame:
+
+def exact_recall(chunks: DataFrame, queries: DataFrame, limit: int = RECALL, literal: bool = False, grams: DataFrame | None = None) -> DataFrame:
     """Score: number of the question's identifiers found (LIKE, case blind, '_' a wildcard unless
-    literal) in text, markdown or metadata; per identifier the first ``limit`` chunks by id."""
-    tok = queries.select("query_id", F.explode(X.identifiers(F.col("question"))).alias("token"))
-    pattern = F.replace("token", F.lit("_"), F.lit("\\_")) if literal else F.col("token")
-    tok = tok.withColumn("pattern", F.concat(F.lit("%"), pattern, F.lit("%")))
-    fields = [c for c in ("text", "markdown", "chunk_metadata") if c in chunks.columns]
-    any_field = F.lit(False)
-    for c in fields:
-        any_field = any_field | F.expr(f"{c} ilike pattern")
-    # the stated query set's identifiers against all chunks: a pattern has no key to join on
-    hits = chunks.select(F.col("id").alias("chunk_id"), *fields).join(tok, any_field)
-    hits = in_scope(hits.select("query_id", "token", "chunk_id"), chunks, queries)
-    hits = hits.withColumn("i", F.row_number().over(Window.partitionBy("query_id", "token").orderBy("chunk_id"))).where(F.col("i") <= limit)
-    return top(hits.groupBy("query_id", "chunk_id").agg(F.countDistinct("token").cast("double").alias("score")), limit)
+    literal) in text, markdown or metadata; per identifier the first ``limit`` chunks by id. ``grams``: the stored
+    grams.gram_postings of the chunks; without them those that the identifiers have are made for this call."""
+    tok = stored(G.question_tokens(queries), "tokens")
+    if tok.isEmpty():
+        return top(queries.where("false").select("query_id", F.lit(None).cast("long").alias("chunk_id"), F.lit(0.0).alias("score")), limit)
+    if grams is None:
+        wanted = G.token_grams(tok, literal).select(F.explode("grams").alias("gram")).distinct()
+        grams = stored(G.gram_postings(chunks).join(wanted, "gram", "left_semi"), "grams")
+    hits = G.token_hits(chunks, tok, grams, literal)
+    return top(G.rank_hits(in_scope(hits.join(tok, "token"), chunks, queries), limit), limit)
 
 
 # vectors -------------------------------------------------------------------------------------
@@ -144,31 +80,13 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    """Null where a vector is null or zero."""
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 BLOCK = 512  # queries that a pass over the vectors answers
 
 
-def _query_blocks(queries: DataFrame):
-    """(ids, unit embeddings) of the stated query set, ``BLOCK`` at a time."""
-    import numpy as np
-
-    part: list = []
-    for r in queries.select("query_id", "embedding").where("embedding is not null").orderBy("query_id").toLocalIterator():
-        part.append(r)
-        if len(part) == BLOCK:
-            yield _unit(np, part)
-            part = []
-    if part:
-        yield _unit(np, part)
-
-
-def _unit(np, part):
-    q = np.array([r[1] for r in part], np.float64)
-    return [r[0] for r in part], q / np.linalg.norm(q, axis=1, keepdims=True)
-
-
 def _nearest(shared, k: int):
     """Per batch of vectors the k nearest of every query of a block, ties by id."""
 
@@ -178,17 +96,13 @@ def _nearest(shared, k: int):
 
         ids, q = shared.value
         for b in batches:
-            keep = b.column(1).is_valid().to_numpy(zero_copy_only=False)
-            b = b.filter(pa.array(keep))
+            b, x = ivf.directed(b, 1)
             if not b.num_rows:
                 continue
             ref = b.column(0).to_numpy(zero_copy_only=False)
-            x = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1)
-            score = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ q.T, 6)
-            n = min(k, len(ref))
-            best = np.lexsort((np.broadcast_to(ref[:, None], score.shape), -score), axis=0)[:n]
-            rows = best.T.ravel()
-            of = np.repeat(np.arange(len(ids)), n)
+            score = np.round(x @ q.T, 6)
+            best = ivf.best_rows(ref, score, k)
+            rows, of = best.T.ravel(), np.repeat(np.arange(len(ids)), len(best))
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in of]), pa.array(ref[rows]), pa.array(score[rows, of])], names=["query_id", "ref_id", "score"])
 
     return run
@@ -197,11 +111,13 @@ def _nearest(shared, k: int):
 def knn(vectors: DataFrame, queries: DataFrame, k: int = RECALL) -> DataFrame:
     """(query_id, ref_id, score, rank): k nearest by cosine of (ref_id, embedding); exact. The stated
     query set goes over all vectors in blocks, a matrix product a batch; of a batch only the k nearest of a
-    query leave the task. Null vectors are nobody's neighbours."""
+    query leave the task. Null and zero vectors are nobody's neighbours and have none."""
     spark, kind = vectors.sparkSession, dict(queries.dtypes)["query_id"]
     ref = dict(vectors.dtypes)["ref_id"]
     found = None
-    for block in _query_blocks(queries):
+    for block in ivf.query_blocks(queries, BLOCK):
+        if not len(block[0]):
+            continue
         part = vectors.select("ref_id", "embedding").mapInArrow(_nearest(spark.sparkContext.broadcast(block), k), f"query_id {kind}, ref_id {ref}, score double")
         found = part if found is None else found.unionByName(part)
     if found is None:
@@ -209,43 +125,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = RECALL) -> DataFrame:
     return top(found, k, ["ref_id"])
 
 
-def ivf_build(vectors: DataFrame, lists: int, sample: int = 20_000, rounds: int = 4, seed: int = 5):
-    """Centroids for an approximate search, fitted on at most ``sample`` vectors on the driver."""
-    import numpy as np
-
-    x = np.array([r[0] for r in vectors.orderBy(F.xxhash64("ref_id")).limit(sample).select("embedding").collect()], dtype=float)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    c = x[np.random.default_rng(seed).choice(len(x), min(lists, len(x)), replace=False)]
-    for _ in range(rounds):
-        near = (x @ c.T).argmax(1)
-        c = np.stack([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
-
-
-def ivf_probes(vectors: DataFrame, centroids, k: int, recall: float = 0.97, sample: int = 20_000, queries: int = 300) -> int:
-    """The least number of lists in which that share of the true k nearest neighbours lies, for
-    ``queries`` of at most ``sample`` vectors, held against all of that sample."""
-    import numpy as np
-
-    x = np.array([r[0] for r in vectors.orderBy(F.xxhash64("ref_id")).limit(sample).select("embedding").collect()], dtype=float)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    q = x[:queries]
-    near = np.argsort(-(q @ x.T), axis=1)[:, :k]
-    place = np.argsort(np.argsort(-(q @ centroids.T), axis=1), axis=1)  # of every list, for a query
-    home = (x @ centroids.T).argmax(1)
-    at = np.take_along_axis(place, home[near], axis=1)
-    return next(p for p in range(1, len(centroids) + 1) if (at < p).mean() >= recall)
-
-
-def ivf_knn(vectors: DataFrame, queries: DataFrame, centroids, k: int = RECALL, probes: int = 4) -> DataFrame:
+def ivf_knn(index: ivf.VectorIndex, queries: DataFrame, k: int = RECALL, probes: int = 4) -> DataFrame:
     """As knn, over the ``probes`` nearest lists of each query only; all vectors are indexed."""
-    cs = F.array(*(F.array(*(F.lit(float(v)) for v in row)) for row in centroids))
-    near = lambda e: F.sort_array(F.transform(cs, lambda c, i: F.struct(dot(e, c).alias("s"), i.alias("i"))), asc=False)
-    v = vectors.withColumn("list", F.get(near(F.col("embedding")), F.lit(0))["i"])
-    q = queries.select("query_id", F.col("embedding").alias("q"), F.explode(F.slice(near(F.col("embedding")), 1, probes)["i"]).alias("list"))
-    scored = v.join(q, "list").select("query_id", "ref_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return top(scored, k, ["ref_id"])
+    return top(index.search(queries, k, probes, BLOCK), k, ["ref_id"])
 
 
 def chunk_recall(vectors: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = RECALL, scope_mode: str = "post") -> DataFrame:
@@ -260,7 +142,7 @@ def chunk_recall(vectors: DataFrame, queries: DataFrame, chunks: DataFrame, k: i
         own = v.join(c, "ref_id")
         by_document = own.join(q.where("qd is not null"), F.col("document_id") == F.col("qd")).where("qf is null or qf = folder_id")
         by_folder = own.join(q.where("qd is null and qf is not null"), F.col("folder_id") == F.col("qf"))
-        scored = by_document.unionByName(by_folder).select("query_id", F.col("ref_id").alias("chunk_id"), F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+        scored = by_document.unionByName(by_folder).select("query_id", F.col("ref_id").alias("chunk_id"), F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score")).where("score is not null")
         free = knn(own.select("ref_id", "embedding"), queries.where("folder_id is null and document_id is null"), k)
         return top(scored.unionByName(free.select("query_id", F.col("ref_id").alias("chunk_id"), "score")), k)
     hits = knn(v, queries, k).select("query_id", F.col("ref_id").alias("chunk_id"), "score")
@@ -329,17 +211,36 @@ def rerank(hits: DataFrame, queries: DataFrame, scorer: Callable[[Column, Column
     return x.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < limit)
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, sheets: DataFrame, documents: DataFrame, post: DataFrame | Index, chunk_vec: DataFrame, summaries: DataFrame, limit: int = FINAL, recall: int = RECALL, scorer: Callable[[Column, Column], Column] = term_overlap) -> DataFrame:
-    """queries: query_id, question, embedding and, if scoped, folder_id and document_id."""
+def recall_paths(paths: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Each path run by itself and stored; one that fails gives no list, and its error is returned by its name."""
+    lists, errors = {}, {}
+    for name, make in paths.items():
+        try:
+            lists[name] = stored(make().select("query_id", "chunk_id", "score", "rank"), f"recall-{name}")
+        except Exception as e:  # noqa: BLE001 - a path's failure is its own
+            errors[name] = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"[:300]
+    return lists, errors
+
+
+def hybrid_search(queries: DataFrame, chunks: DataFrame, sheets: DataFrame, documents: DataFrame, post: DataFrame | Index, chunk_vec: DataFrame, summaries: DataFrame, limit: int = FINAL, recall: int = RECALL, scorer: Callable[[Column, Column], Column] = term_overlap, grams: DataFrame | None = None, isolate: bool = False) -> DataFrame:
+    """queries: query_id, question, embedding and, if scoped, folder_id and document_id. isolate: a recall path that
+    fails leaves the lists of the others; a row's ``failed`` names the paths that failed and their errors."""
     if limit <= 0 or recall <= 0:
         raise ValueError("limit and recall must be positive")
-    lists = {
-        "vec_chunk": chunk_recall(chunk_vec, queries, chunks, recall),
-        "vec_summary": summary_recall(summaries, queries, chunks, recall),
-        "fts": fts_recall(post, queries, chunks, summaries, recall),
-        "exact": exact_recall(chunks, queries, recall),
+    paths = {
+        "vec_chunk": lambda: chunk_recall(chunk_vec, queries, chunks, recall),
+        "vec_summary": lambda: summary_recall(summaries, queries, chunks, recall),
+        "fts": lambda: fts_recall(post, queries, chunks, summaries, recall),
+        "exact": lambda: exact_recall(chunks, queries, recall, grams=grams),
     }
-    return rerank(hydrate(fuse(lists, recall), chunks, sheets, documents), queries, scorer, limit)
+    if not isolate:
+        return rerank(hydrate(fuse({k: make() for k, make in paths.items()}, recall), chunks, sheets, documents), queries, scorer, limit)
+    lists, errors = recall_paths(paths)
+    if not lists:
+        raise RuntimeError("; ".join(f"{k}: {v}" for k, v in errors.items()))
+    out = rerank(hydrate(fuse(lists, recall), chunks, sheets, documents), queries, scorer, limit)
+    failed = F.create_map(*(F.lit(x) for pair in errors.items() for x in pair)) if errors else F.create_map().cast("map<string,string>")
+    return out.withColumn("failed", failed)
 
 
 def context(hits: DataFrame, queries: DataFrame, empty: str = "没有检索到相关内容。") -> DataFrame:

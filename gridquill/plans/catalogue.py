@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import cells as C
-from ..operators import catalog, cells, classify, enrich, parsers, preview, search
+from ..operators import catalog, cells, classify, enrich, ivf, parsers, preview, search
 from ..sources import stand_in as S
 from ..sources import xlsx
 from ..streaming import progress
@@ -410,7 +410,7 @@ def bm25_topk(spark, d):
 @query
 def phrase_match(spark, d):
     q = S.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(X.terms(F.col("text")), 1, 2), "-").alias("question"))
-    return search.phrase_hits(_index(spark, d).post, q).select("query_id", F.col("ref_id").alias("doc_id"), "tf")
+    return search.phrase_hits(_index(spark, d), q).select("query_id", F.col("ref_id").alias("doc_id"), "tf")
 
 
 def _identifier_chunks(spark, d):
@@ -603,5 +603,5 @@ def ivf_recall(spark, d):
     lists grow with the square root of the vectors; the probes are those that reach the recall."""
     v = S.read(spark, d, "embeddings").select(F.col("vec_id").alias("ref_id"), "embedding")
     q = v.where("ref_id % 100 = 0").withColumnRenamed("ref_id", "query_id")
-    centroids = search.ivf_build(v, max(8, round(v.count() ** 0.5 / 2)))
-    return _ranked(search.ivf_knn(v, q, centroids, 10, probes=search.ivf_probes(v, centroids, 10)), "query_id", "ref_id")
+    index = ivf.build(v, max(8, round(v.count() ** 0.5 / 2)))
+    return _ranked(search.ivf_knn(index, q, 10, probes=ivf.probes_for(v, index.centroids, 10)), "query_id", "ref_id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridquill.functions import cells as C
 from gridquill.functions import text as X
-from gridquill.operators import catalog, enrich, search
+from gridquill.operators import catalog, enrich, grams, ivf, lexical, search
 
 DOCS = [(1, "alpha beta gamma"), (2, "alpha alpha delta"), (3, "beta DBL-179 eps"), (4, "zeta eta theta iota"), (5, "kappa alpha"), (6, "Café x"), (7, "mu nu"), (8, "xi omicron")]
 
@@ -100,7 +100,7 @@ def test_ivf_recall(spark, sf):
     v = e.select(F.col("vec_id").alias("ref_id"), "embedding")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     want = set(rows(search.knn(v, q, 10), "query_id", "ref_id"))
-    got = set(rows(search.ivf_knn(v, q, search.ivf_build(v, 8), 10, probes=6), "query_id", "ref_id"))
+    got = set(rows(search.ivf_knn(ivf.build(v, 8), q, 10, probes=6), "query_id", "ref_id"))
     assert len(want & got) >= 0.9 * len(want)
 
 
