@@ -211,9 +211,9 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "item_ids", te
         out = out.withColumn(name, F.concat_ws(",", F.nullif(F.col(f"`{name}`"), F.lit("")), F.nullif(found, F.lit(""))))
     if last is None:
         return out
-    # an id whose rows lie in two blocks is listed once
+    # an id whose rows lie in two blocks is listed once; ids that are numbers come in their order, after all others
     ids = F.filter(F.split(F.col(f"`{name}`"), ","), lambda x: x != "")
-    return out.withColumn(name, F.array_join(F.array_sort(F.array_distinct(F.transform(ids, lambda x: x.cast("long")))).cast("array<string>"), ","))
+    return out.withColumn(name, F.array_join(F.array_sort(F.transform(F.array_distinct(ids), lambda x: F.struct(x.try_cast("long").alias("n"), x.alias("id"))))["id"], ","))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,7 @@ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN w USING (doc_id) LEFT JOIN l USING (
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _SEED = "[\ue020-\ue07e]+"
+_PRIVATE, _FAR = ("".join(chr(first + i) for i in range(0x20, 0x7F)) for first in (0xE000, 0xF700))
 _EDGES = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -57,8 +58,9 @@ base AS (SELECT * FROM x WHERE k = 'email'
 chars AS (SELECT doc_id, t, unnest(range(length(t))) i FROM d WHERE doc_id IN (SELECT doc_id FROM base)),
 covered AS (SELECT doc_id, unnest(range(st, en)) i FROM base),
 inside AS (SELECT doc_id, i, substring(t, i + 1, 1) ch, (doc_id, i) IN (SELECT (doc_id, i) FROM covered) hid FROM chars),
-marks AS (SELECT doc_id, string_agg(CASE WHEN hid THEN chr((57344 + unicode(ch))::INT) ELSE ch END, '' ORDER BY i) m FROM inside GROUP BY doc_id),
-md AS (SELECT doc_id, trim(coalesce(m, t), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) u, coalesce(m, t) m FROM d LEFT JOIN marks USING (doc_id)),
+marks AS (SELECT doc_id, string_agg(CASE WHEN hid THEN chr((57344 + unicode(ch))::INT) WHEN unicode(ch) BETWEEN 57376 AND 57470 THEN chr((5888 + unicode(ch))::INT) ELSE ch END, '' ORDER BY i) m FROM inside GROUP BY doc_id),
+moved AS (SELECT doc_id, coalesce(m, CASE WHEN regexp_matches(t, '{_SEED}') THEN translate(t, '{_PRIVATE}', '{_FAR}') ELSE t END) m FROM d LEFT JOIN marks USING (doc_id)),
+md AS (SELECT doc_id, trim(m, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) u, m FROM moved),
 sp AS (SELECT doc_id, string_split_regex(u, '{_SPACE}') w, string_split_regex(regexp_replace(regexp_replace(lower(u), '{_SEED}', '@', 'g'), '[0-9]+', '0', 'g'), '{_SPACE}') f FROM md WHERE u <> ''),
 wd AS (SELECT doc_id, unnest(range(len(w))) i, unnest(w) word, unnest(f) f FROM sp),
 ne AS (SELECT doc_id, i, word, lag(f, 2) OVER q b2, lag(f) OVER q b1, lead(f) OVER q a1, lead(f, 2) OVER q a2 FROM wd WINDOW q AS (PARTITION BY doc_id ORDER BY i)),

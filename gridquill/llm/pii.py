@@ -43,6 +43,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 ASCII = "".join(map(chr, range(0x20, 0x7F)))
 PRIVATE = "".join(chr(0xE000 + ord(c)) for c in ASCII)
 SEED = "[\ue020-\ue07e]"
+# Where characters go that stand in that range already, so that none is taken for a part of a seed.
+FAR = "".join(chr(0xF700 + ord(c)) for c in ASCII)
 SPACE = r"[\x20\x09-\x0D]+"
 # The punctuation around a value
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -89,9 +91,12 @@ def masked(text: Column, base: Column) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row_id, doc_id, base, marked: one row per input row, written to the shared folder; ``marked`` is the
-    masked text of rows with seeds, null elsewhere. Null texts are empty."""
+    masked text of rows with seeds, null elsewhere. Null texts are empty. Private-use characters of a
+    text that lie in the range of the seeds are first moved to another one; places and lengths stay."""
     step = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return materialize(step.withColumn("base", base_spans(F.col("text"))).select("row_id", "doc_id", "text", "base", F.when(F.size("base") > 0, masked(F.col("text"), F.col("base"))).alias("marked")), "pii-scan")
+    own = F.when(F.col("text").rlike(SEED), F.translate("text", PRIVATE, FAR)).otherwise(F.col("text"))
+    step = step.withColumn("base", base_spans(F.col("text"))).withColumn("text", own)
+    return materialize(step.select("row_id", "doc_id", "text", "base", F.when(F.size("base") > 0, masked(F.col("text"), F.col("base"))).alias("marked")), "pii-scan")
 
 
 def _words(scanned: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ library version. Of the digests it does not hold, one document each is encoded,
 counts are appended; then every document takes its count from the cache.
 
 Only digests are joined and aggregated; the texts of the misses move once, by a hash of id and digest
-together, so neither a digest that a third of the corpus shares nor null or repeated ids meet in one task.
+together, checked by the digest, so neither a digest that a third of the corpus shares nor null or repeated ids meet in one task.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     # the key names the id and the text; rows that repeat both lie together and one of them is encoded
     key = lambda i, d: F.xxhash64(i, d).alias("key")
     wanted = misses.select(key("doc_id", "content_digest"), F.col("content_digest").alias("want"))
-    fetched = rows.select(key(F.col("doc_id"), digest), "text").join(wanted.hint("shuffle_hash"), "key")
+    fetched = rows.select(key(F.col("doc_id"), digest), digest.alias("have"), "text").join(wanted.hint("shuffle_hash"), "key").where("have = want")
     fetched = fetched.groupBy("key", "want").agg(F.first("text").alias("text")).select("want", "text")
     fresh = fetched.select(F.col("want").alias("content_digest"), F.lit(name).alias("tokenizer_digest"), count("text").alias("n_tokens"))
     fresh.write.mode("append").parquet(cache_path)

@@ -4,7 +4,7 @@ crashes, every row gets its result."""
 import pytest
 from pyspark.sql import functions as F
 
-from gridquill.llm import bytecnn, decontam, hmm, linecrf, lshforest, mixing, pii, secret_scan, token_cache, toxicity
+from gridquill.llm import bytecnn, decontam, hmm, importance, linecrf, lshforest, merkle, mixing, pii, secret_scan, simhash, token_cache, toxicity
 from gridquill.llm.common import scratch_path
 
 
@@ -56,7 +56,19 @@ def _near(spark, docs, labels):
     return lshforest.near_duplicates(docs)
 
 
-RUNS = [_toxicity, _hmm, _tokens, _cnn, _mix, _secrets, _pii, _decontam, _crf, _near]
+def _simhash(spark, docs, labels):
+    return simhash.near_duplicates(docs)
+
+
+def _merkle(spark, docs, labels):
+    return merkle.manifest(docs)
+
+
+def _resample(spark, docs, labels):
+    return importance.resample(docs, _benchmark(spark))
+
+
+RUNS = [_toxicity, _hmm, _tokens, _cnn, _mix, _secrets, _pii, _decontam, _crf, _near, _simhash, _merkle, _resample]
 IDS = [1, 2, 3, 4, 5, 5, 6, 7, 8, 9, 10, None, None]
 key = lambda i: (i is None, i)
 
@@ -125,6 +137,38 @@ def test_secrets_of_null_ids_are_masked(spark, odd, side_tables):
     assert ["abcdef" in r["text"] for r in got] == [False]
 
 
+def test_private_use_characters_are_no_seeds(spark):
+    def found(mark):
+        texts = [f"please write to user{i}@example.org for help" for i in range(12)] + [f"please write to zo{mark}rk{i} for help" for i in range(3)] + [f"please write to bob[at]x{i}.org for help" for i in range(3)]
+        scanned = pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        out = scanned.join(pii.discovered(scanned), "row_id").select("doc_id", F.explode("extra").alias("x")).select("doc_id", "x.start", "x.end")
+        patterns, _ = pii.scores(*pii.graph(scanned))
+        return sorted(map(tuple, out.collect())), sorted(round(r["score"], 9) for r in patterns.collect())
+
+    plain, marked = found("x"), found("\ue041")
+    assert plain == marked and [d for d, *_ in plain[0]] == list(range(12, 18))
+
+
+def test_private_use_characters_in_sql(spark, tmp_path):
+    import duckdb
+
+    from gridquill.llm import oracles
+
+    texts = [f"please write to user{i}@example.org for help" for i in range(12)] + ["please write to z\ue041rk for help", "\ue041 user@example.org \ue07e", "\ue020\ue100"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"source": F.lit("s"), "lang": F.lit("en"), "n_chars": F.length("text").cast("long")})
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = pii.query(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(f"SELECT {', '.join(got.columns)} FROM ({oracles.PII})").fetchall())
+
+
+def test_decontam_with_named_items(spark):
+    items = spark.createDataFrame([("b-2", "say zz qq now"), ("10", "one two three four"), ("9", "one two three four")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "x say zz qq now one two three four"), (2, "clean")], "doc_id long, text string")
+    assert {r["doc_id"]: r["item_ids"] for r in decontam.with_leaks(docs, items).collect()} == {1: "b-2,9,10", 2: ""}
+
+
 def test_decontam_finds_the_copies(spark, odd):
     got = decontam.with_leaks(odd, _benchmark(spark)).where("item_ids <> ''").collect()
     assert sorted(((r["doc_id"], r["item_ids"]) for r in got), key=lambda x: key(x[0])) == [(4, "4"), (5, "4"), (5, "4"), (None, "4")]
