@@ -1,11 +1,15 @@
 """The knowledge base as a whole: folders, uploads, listings, deletes, search, chat context.
 
 Tables are Parquet under one root, in folders that are written once. A numbered manifest lists the folders
-of every table; readers take the manifest of the highest number. A writer claims the next number by
-creating its lock, which only one can, so that neither readers see half a change nor writers lose one
-another's: whoever finds the number taken starts again from the newer manifest. Appends add folders, only deletes and updates
-rewrite a table. Documents, sheets and chunks get ids from natural keys (hashes of path, sheet and
-order), so a document that is uploaded again replaces its older rows.
+of every table, each with the number of the commit that added it; readers take the manifest of the highest number. Deletes and
+updates rewrite nothing: they add *tombstones*, folders of keys, and a reader leaves out the rows whose key has a
+tombstone of a later commit. ``compact`` folds the folders and tombstones of a table into files of a useful size.
+
+A change is built on the newest manifest and published under the next number, which one writer alone can claim. A
+writer that comes second looks at what was published meanwhile: if it touches a table the change was computed from, the
+change is computed again; if not, it is added to the newer manifest. So the outcome is that of some serial order. Documents,
+sheets and chunks get ids from natural keys (hashes of path, sheet and order); a document that is uploaded
+again is replaced in one commit. A stream's last batch is part of the manifest, so a batch that comes again changes nothing.
 """
 
 from __future__ import annotations
@@ -14,16 +18,18 @@ import json
 import time
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import catalog, classify, enrich, parsers, search
+from .operators import catalog, classify, enrich, grams, parsers, search
 from .operators.cells import dump_text
 from .schemas import schema
 from .sources import xlsx
 from .storage import stored
+from .streaming import progress
 
 FINAL, RECALL = search.FINAL, search.RECALL
 
@@ -32,9 +38,26 @@ def _key(*cols: str) -> Column:
     return F.abs(F.xxhash64(*cols))
 
 
+#: Column that tombstones of a table name, where it isn't the id.
+KEY = {"chunk_vec": "chunk_id", "summary_vec": "summary_id", "postings": "ref_id", "grams": "ref_id", "enrich_attempt": "chunk_id"}
+CASCADED = ("folder", "document", "sheet", "chunk", "chunk_summary", "image", "change_log", "data_dict")
+#: Where the manifest of an empty knowledge base starts.
+EMPTY: dict = {"data": {}, "gone": {}, "streams": {}}
+
+
+@dataclass
+class Change:
+    """What a commit does: rows that come, keys (a column key, and kind for postings) that go, the batch of a stream."""
+
+    rows: dict[str, DataFrame] = field(default_factory=dict)
+    gone: dict[str, DataFrame] = field(default_factory=dict)
+    stream: tuple[str, int] | None = None
+
+
 class KnowledgeBase:
     def __init__(self, spark: SparkSession, root: str, embed: Callable[[Column], Column] = enrich.embed, scorer: Callable[[Column, Column], Column] = search.term_overlap):
         self.spark, self.root, self.embed, self.scorer = spark, root.rstrip("/"), embed, scorer
+        self._built: tuple[str, search.Index] | None = None
 
     # storage ---------------------------------------------------------------------------------
 
@@ -47,16 +70,36 @@ class KnowledgeBase:
         names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
         return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
 
-    def _current(self) -> tuple[int, dict[str, list[str]]]:
+    def _current(self) -> tuple[int, dict]:
         numbers = self._manifests()
         if not numbers:
-            return 0, {}
+            return 0, EMPTY
         rows = self.spark.read.text(f"{self.root}/manifest/{numbers[-1]:09d}.json").collect()
         return numbers[-1], json.loads("".join(r[0] for r in rows))
 
-    def table(self, name: str) -> DataFrame:
-        at = self._current()[1].get(name)
-        return self.spark.read.schema(schema(name)).parquet(*(f"{self.root}/{x}" for x in at)) if at else self.spark.createDataFrame([], schema(name))
+    def _numbered(self, folders: list[list], ddl) -> DataFrame:
+        """Rows of some folders with the commit that added them (__at)."""
+        at = self.spark.createDataFrame([(p.rsplit("/", 1)[1], n) for p, n in folders], "__folder string, __at long")
+        rows = self.spark.read.schema(ddl).parquet(*(f"{self.root}/{p}" for p, _ in folders))
+        rows = rows.select("*", F.regexp_extract("_metadata.file_path", "/([0-9a-f]{32})/[^/]*$", 1).alias("__folder"))
+        return rows.join(F.broadcast(at), "__folder").drop("__folder")  # a row per folder; compact keeps them few
+
+    def table(self, name: str, state: dict | None = None) -> DataFrame:
+        """A table as of a manifest, the newest by default."""
+        state = state or self._current()[1]
+        folders = state["data"].get(name, [])
+        if not folders:
+            return self.spark.createDataFrame([], schema(name))
+        oldest = min(n for _, n in folders)
+        gone = [x for x in state["gone"].get(name, []) if x[1] > oldest]
+        if not gone:
+            return self.spark.read.schema(schema(name)).parquet(*(f"{self.root}/{p}" for p, _ in folders))
+        marks = self._numbered(gone, "key long, kind string").groupBy("key", "kind").agg(F.max("__at").alias("__gone"))
+        rows = self._numbered(folders, schema(name))
+        hit = (rows[KEY.get(name, "id")] == marks["key"]) & (marks["__gone"] > rows["__at"])
+        if name == "postings":
+            hit &= rows["kind"] == marks["kind"]
+        return rows.join(marks, hit, "left_anti").select(*schema(name).names)
 
     def _write(self, name: str, df: DataFrame) -> str:
         at = f"{name}/{uuid.uuid4().hex}"
@@ -64,54 +107,112 @@ class KnowledgeBase:
         df.select(*cast).write.parquet(f"{self.root}/{at}")
         return at
 
+    def _write_gone(self, name: str, keys: DataFrame) -> str:
+        at = f"gone-{name}/{uuid.uuid4().hex}"
+        kind = F.col("kind") if "kind" in keys.columns else F.lit(None)
+        keys.select(F.col("key").cast("long").alias("key"), kind.cast("string").alias("kind")).write.parquet(f"{self.root}/{at}")
+        return at
+
     def _claim(self, number: int, patience: float = 30.0) -> bool:
-        """Whether this writer owns manifest ``number``. False: another has published it meanwhile."""
-        fs, lock = self._fs(f"{self.root}/manifest/{number:09d}.lock")
-        until = time.monotonic() + patience
-        while not fs.createNewFile(lock):
-            if number in self._manifests():
-                return False
-            if time.monotonic() > until:  # a writer that died: its lock goes, and who creates it anew owns it
-                fs.delete(lock, False)
-                until = time.monotonic() + patience
+        """Whether this writer owns manifest ``number``; False: another has published it meanwhile. The lock of a
+        writer that died is not removed but outbid: the holder of the highest lock of a number owns it."""
+        fs, folder = self._fs(f"{self.root}/manifest")
+        bid, until = 0, time.monotonic() + patience
+        while number not in self._manifests():
+            if fs.createNewFile(self._fs(f"{self.root}/manifest/{number:09d}.lock{bid:04d}")[1]):
+                self._bid = bid
+                return True
+            held = [int(n[-4:]) for n in (x.getPath().getName() for x in fs.listStatus(folder)) if n.startswith(f"{number:09d}.lock")]
+            if max(held, default=0) > bid:  # someone else has outbid it
+                bid, until = max(held), time.monotonic() + patience
+            elif time.monotonic() > until:
+                bid, until = bid + 1, time.monotonic() + patience
             time.sleep(0.05)
-        return True
+        return False
 
-    def commit(self, change: Callable[[dict[str, list[str]]], dict[str, list[str]]]) -> None:
-        """Publish ``change`` of the current manifest; it is applied again if another writer came first."""
-        while True:
-            base, tables = self._current()
-            if self._claim(base + 1):
-                if self._manifests()[-1:] in ([], [base]):
-                    break
+    def _outbid(self, number: int) -> bool:
+        fs, path = self._fs(f"{self.root}/manifest/{number:09d}.lock{self._bid + 1:04d}")
+        return fs.exists(path)
+
+    def _publish(self, number: int, state: dict) -> bool:
+        """Whether ``state`` has become manifest ``number``."""
+        if not self._claim(number) or self._manifests()[-1:] not in ([], [number - 1]):
+            return False
         fs, temp = self._fs(f"{self.root}/manifest/.{uuid.uuid4().hex}")
         out = fs.create(temp, True)
-        out.write(bytearray(json.dumps(change(dict(tables))).encode()))
+        out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        fs.rename(temp, self._fs(f"{self.root}/manifest/{base + 1:09d}.json")[1])
-
-    def publish(self, tables: dict[str, DataFrame]) -> None:
-        """Replace some tables, all at once. What others appended to them since they were read stays."""
-        seen = self._current()[1]
-        new = {name: self._write(name, df) for name, df in tables.items()}
-        self.commit(lambda m: m | {k: [at, *(x for x in m.get(k, []) if x not in seen.get(k, []))] for k, at in new.items()})
+        final = self._fs(f"{self.root}/manifest/{number:09d}.json")[1]
+        return not self._outbid(number) and not fs.exists(final) and fs.rename(temp, final)
+
+    def transact(self, build: Callable[[dict], Change | None], reads: tuple[str, ...] = ()) -> bool:
+        """Publish the change that ``build`` makes of the newest manifest (None: nothing to do). ``reads``: the tables it
+        is computed from; if another writer's commit touches one of them first, it is built again."""
+        base, state = self._current()
+        while (change := build(state)) is not None:
+            rows = {name: self._write(name, df) for name, df in change.rows.items()}
+            gone = {name: self._write_gone(name, df) for name, df in change.gone.items()}
+            fresh = True
+            while fresh:
+                add = lambda old, new, n: old | {k: [*old.get(k, []), [at, n]] for k, at in new.items()}
+                streams = state["streams"] | (dict([change.stream]) if change.stream else {})
+                if self._publish(base + 1, {"data": add(state["data"], rows, base + 1), "gone": add(state["gone"], gone, base + 1), "streams": streams}):
+                    return True
+                before = state
+                base, state = self._current()
+                same = lambda part, k: before[part].get(k) == state[part].get(k)  # noqa: E731, B023
+                fresh = all(same("data", k) and same("gone", k) for k in reads) and not (change.stream and not same("streams", change.stream[0]))
+        return False
 
     def append(self, **tables: DataFrame) -> None:
-        new = {name: self._write(name, df) for name, df in tables.items()}
-        self.commit(lambda m: m | {k: [*m.get(k, []), at] for k, at in new.items()})
+        self.transact(lambda _: Change(rows=tables))
+
+    def compact(self, name: str, files: int = 1) -> None:
+        """Fold the folders and tombstones of a table into one folder of ``files`` files. What others append or
+        delete meanwhile stays as it is: the fold counts as old as its youngest part."""
+        base, state = self._current()
+        seen, marks = state["data"].get(name, []), state["gone"].get(name, [])
+        if not seen:
+            return
+        folded = [self._write(name, self.table(name, state).repartition(files)), base]
+        while True:
+            now, newer = self._current()
+            if any(x not in newer["data"].get(name, []) for x in seen):
+                return  # another compaction was first
+            data = newer["data"] | {name: [folded, *(x for x in newer["data"][name] if x not in seen)]}
+            gone = newer["gone"] | {name: [x for x in newer["gone"].get(name, []) if x not in marks]}
+            if self._publish(now + 1, newer | {"data": data, "gone": gone}):
+                return
 
     # folders and documents -------------------------------------------------------------------
 
     def create_folder(self, name: str, color: str = "amber") -> int:
         if not name or not name.strip():
             raise ValueError("a folder needs a name")
-        new_id = (self.table("folder").agg(F.max("id")).first()[0] or 0) + 1
-        self.append(folder=self.spark.range(1).select(F.lit(new_id).alias("id"), F.lit(name).alias("name"), F.lit(color).alias("color"), F.current_timestamp().alias("created_at")))
-        return new_id
+        made = []
+
+        def build(state: dict) -> Change:
+            made.append((self.table("folder", state).agg(F.max("id")).first()[0] or 0) + 1)
+            return Change(rows={"folder": self.spark.range(1).select(F.lit(made[-1]).alias("id"), F.lit(name).alias("name"), F.lit(color).alias("color"), F.current_timestamp().alias("created_at"))})
+
+        self.transact(build, ("folder",))
+        return made[-1]
 
     def update_folder(self, folder_id: int, name: str | None = None, color: str | None = None) -> None:
-        new = {k: F.when(F.col("id") == folder_id, F.lit(v)).otherwise(F.col(k)) for k, v in (("name", name), ("color", color)) if v}
-        self.publish({"folder": self.table("folder").withColumns(new)})
+        new = {k: F.lit(v) for k, v in (("name", name), ("color", color)) if v}
+        self._update("folder", F.col("id") == folder_id, new)
+
+    def update_document(self, document_id: int, **values: object) -> None:
+        """Sets columns of a document, such as status, enrich_status, error_msg or doc_metadata."""
+        self._update("document", F.col("id") == document_id, {k: F.lit(v) for k, v in values.items()})
+
+    def _update(self, name: str, which: Column, values: dict[str, Column]) -> None:
+        def build(state: dict) -> Change | None:
+            rows = stored(self.table(name, state).where(which).withColumns(values), "updated")
+            return None if rows.isEmpty() else Change({name: rows}, {name: rows.select(F.col(KEY.get(name, "id")).alias("key"))})
+
+        if values:
+            self.transact(build, (name,))
 
     def list_folders(self) -> DataFrame:
         return catalog.folder_listing(self.table("folder"), self.table("document"), self.table("chunk")).orderBy(F.desc("created_at"), "id")
@@ -127,16 +228,18 @@ class KnowledgeBase:
         own = self.table("chunk").where(F.col("id") == chunk_id).withColumnRenamed("id", "chunk_id")
         return catalog.nested(own, self.table("chunk_summary").select("chunk_id", "perspective", F.col("text").alias("summary")), "chunk_id", ["perspective", "summary"], "summaries")
 
-    def _delete(self, table: str, ids: list[int]) -> None:
-        self.publish(self._without(table, self.spark.createDataFrame([(i,) for i in ids], "id long")))
+    def _lost(self, table: str, ids: DataFrame, state: dict) -> dict[str, DataFrame]:
+        """Tombstones of some rows and of all that hangs on them."""
+        keys = catalog.cascade_keys({n: self.table(n, state) for n in CASCADED}, table, ids)
+        of = lambda name, kind: keys.pop(name).withColumn("kind", F.lit(kind))
+        keys["grams"] = keys["postings_chunk"]
+        keys["enrich_attempt"] = keys["postings_chunk"]
+        keys["postings"] = of("postings_chunk", "chunk").unionByName(of("postings_summary", "summary"))
+        return {name: df for name, df in keys.items() if name in state["data"]}
 
-    def _without(self, table: str, gone: DataFrame) -> dict[str, DataFrame]:
-        t = {n: self.table(n) for n in ("folder", "document", "sheet", "chunk", "chunk_summary", "image", "change_log", "data_dict", "chunk_vec", "summary_vec")}
-        post = self.table("postings")
-        t |= {"postings_chunk": post.where("kind = 'chunk'"), "postings_summary": post.where("kind = 'summary'")}
-        out = catalog.cascade_delete(t, table, gone)
-        out["postings"] = out.pop("postings_chunk").unionByName(out.pop("postings_summary"))
-        return out
+    def _delete(self, table: str, ids: list[int]) -> None:
+        gone = self.spark.createDataFrame([(i,) for i in ids], "id long")
+        self.transact(lambda state: Change(gone=self._lost(table, gone, state)), CASCADED)
 
     def delete_folder(self, folder_id: int) -> None:
         self._delete("folder", [folder_id])
@@ -146,9 +249,12 @@ class KnowledgeBase:
 
     # ingestion -------------------------------------------------------------------------------
 
-    def upload(self, files: DataFrame, folder_id: int, vision: DataFrame | None = None, max_cells: int = 20_000) -> None:
-        """files: (path, content). Reads every workbook once, classifies, parses, indexes, embeds, then
-        publishes once. A path that was uploaded before replaces its document."""
+    def upload(self, files: DataFrame, folder_id: int, vision: DataFrame | None = None, max_cells: int = 20_000, stream: tuple[str, int] | None = None) -> bool:
+        """files: (path, content). Parses every workbook once, classifies, indexes, embeds, then publishes one
+        commit. A path that was uploaded before replaces its document. ``stream``: name and batch; a batch that is on record
+        is not uploaded again. Whether anything was published; a folder that is gone is an error."""
+        if stream and self._current()[1]["streams"].get(stream[0], -1) >= stream[1]:
+            return False
         book = {k: stored(v, f"book-{k}") for k, v in xlsx.from_files(files, max_cells).items()}
         sid = _key("document_id", "sheet_index")
         sheets = book["sheets"].withColumn("sheet_id", sid)
@@ -184,24 +290,41 @@ class KnowledgeBase:
             data_dict=words.withColumn("id", _key("sheet_id", "row")),
             chunk_vec=chunks.select(F.col("id").alias("chunk_id"), self.embed(F.col("text")).alias("embedding")),
             postings=search.postings(chunks, "id", "text"),
+            grams=grams.gram_postings(chunks),
         )
-        again = self.table("document").join(documents.select("id"), "id", "left_semi").select("id")
-        if not again.isEmpty():
-            self.publish(self._without("document", again))
-        self.append(**new)
-
-    def enrich(self, model: Callable[[str], str]) -> None:
+        new = {name: stored(df, f"new-{name}") for name, df in new.items()}
+        return self.transact(lambda state: self._placed(state, new, folder_id, stream), CASCADED)
+
+    def _placed(self, state: dict, new: dict[str, DataFrame], folder_id: int, stream: tuple[str, int] | None) -> Change | None:
+        if stream and state["streams"].get(stream[0], -1) >= stream[1]:
+            return None
+        if self.table("folder", state).where(F.col("id") == folder_id).isEmpty():
+            raise ValueError(f"there is no folder {folder_id}")
+        again = stored(self.table("document", state).join(new["document"].select("id"), "id", "left_semi").select("id"), "again")
+        return Change(new, {} if again.isEmpty() else self._lost("document", again, state), stream)
+
+    def ingest(self, landing: str, checkpoint: str, folder_id: int, name: str):
+        """Uploads what lands in a folder, a micro-batch a commit, each once: the batch is part of the commit."""
+        return progress.ingest_stream(self.spark, landing, checkpoint, lambda df, batch: self.upload(df.select("path", "content"), folder_id, stream=(name, batch)))
+
+    def enrich(self, model: Callable[[str], str], in_flight: int = enrich.IN_FLIGHT) -> None:
         """Background job: summaries of the eligible chunks not asked for yet, their vectors and postings."""
         opted = F.coalesce(F.get_json_object("chunk_metadata", "$.enrich_eligible") != "false", F.lit(True))
         gate = enrich.enrich_gate(self.table("chunk").withColumn("enrich_eligible", opted))
         todo = stored(enrich.pending(gate, self.table("chunk_summary"), self.table("enrich_attempt")), "enrich")
-        long = catalog.summaries_long(enrich.enrich(todo, model).withColumnRenamed("id", "chunk_id")).withColumn("id", _key("chunk_id", "perspective"))
-        # an attempt is on record even if the answer was empty: it is not asked again
-        self.append(chunk_summary=long, enrich_attempt=todo.select(F.col("id").alias("chunk_id"), F.current_timestamp().alias("attempted_at")))
-        new = self.table("chunk_summary").join(self.table("summary_vec").select(F.col("summary_id").alias("id")), "id", "left_anti")
-        done = self.table("document").withColumn("enrich_status", F.when(F.col("status") == "ready", "done").otherwise(F.col("enrich_status")))
-        self.append(summary_vec=new.select(F.col("id").alias("summary_id"), self.embed(F.col("text")).alias("embedding")), postings=search.postings(new, "id", "text", "summary"))
-        self.publish({"document": done})
+        long = catalog.summaries_long(enrich.enrich(todo, model, in_flight).withColumnRenamed("id", "chunk_id")).withColumn("id", _key("chunk_id", "perspective"))
+        long = stored(long, "summaries")
+
+        def build(state: dict) -> Change:
+            # of chunks that are still there; an attempt is on record even if the answer was empty: it is not asked again
+            here = self.table("chunk", state).select(F.col("id").alias("chunk_id"))
+            tried = todo.select(F.col("id").alias("chunk_id"), F.current_timestamp().alias("attempted_at")).join(here, "chunk_id", "left_semi")
+            new = stored(long.join(here, "chunk_id", "left_semi").join(self.table("chunk_summary", state).select("id"), "id", "left_anti"), "new-summaries")
+            done = stored(self.table("document", state).where("status = 'ready' and enrich_status is distinct from 'done'").withColumn("enrich_status", F.lit("done")), "enriched")
+            rows = dict(chunk_summary=new, enrich_attempt=tried, document=done, summary_vec=new.select(F.col("id").alias("summary_id"), self.embed(F.col("text")).alias("embedding")), postings=search.postings(new, "id", "text", "summary"))
+            return Change(rows, {"document": done.select(F.col("id").alias("key"))})
+
+        self.transact(build, ("document", "chunk", "chunk_summary"))
 
     # questions -------------------------------------------------------------------------------
 
@@ -214,7 +337,19 @@ class KnowledgeBase:
                 q = q.withColumn(c, F.lit(None).cast("long"))
         sheets = self.table("sheet").select(F.col("id").alias("sheet_id"), "name", "sheet_type")
         summaries = self.table("chunk_summary").join(self.table("summary_vec").withColumnRenamed("summary_id", "id"), "id").select("id", "chunk_id", "embedding")
-        return search.hybrid_search(q, self.table("chunk"), sheets, self.table("document"), self.table("postings"), self.table("chunk_vec"), summaries, limit, recall, self.scorer)
+        state = self._current()[1]
+        chunks, index, kept = self.table("chunk", state), self._index(state), self.table("grams", state)
+        # chunks that were appended without their grams get them here
+        fresh = chunks.join(kept.select(F.col("ref_id").alias("id")).distinct(), "id", "left_anti")
+        kept = kept.unionByName(grams.gram_postings(fresh))
+        return search.hybrid_search(q, chunks, sheets, self.table("document", state), index, self.table("chunk_vec", state), summaries, limit, recall, self.scorer, kept, isolate=True)
+
+    def _index(self, state: dict) -> search.Index:
+        """The lexical index of the postings, built again when a commit has changed them."""
+        version = json.dumps([state["data"].get("postings"), state["gone"].get("postings")])
+        if self._built is None or self._built[0] != version:
+            self._built = (version, search.build_index(self.table("postings", state)))
+        return self._built[1]
 
     def answer_context(self, questions: DataFrame, limit: int = FINAL) -> DataFrame:
         """query_id, context, citations: what a language model is given."""

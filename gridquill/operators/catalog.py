@@ -113,6 +113,20 @@ def cascade_delete(tables: dict[str, DataFrame], table: str, gone: DataFrame) ->
     return out
 
 
+def cascade_keys(tables: dict[str, DataFrame], table: str, gone: DataFrame) -> dict[str, DataFrame]:
+    """What ``cascade_delete`` takes away, as keys: for every table that loses rows a column ``key`` of ids, or of the
+    ids that its rows refer to where they have none. Only key columns are read."""
+    lost = {table: gone.select("id")}
+    for child, links in CASCADE.items():
+        for column, parent, _ in links:
+            if parent in lost and child != table:
+                if child in tables and "id" in tables[child].columns:
+                    lost[child] = tables[child].join(lost[parent].withColumnRenamed("id", column), column, "left_semi").select("id")
+                else:  # vectors and postings are keyed by their parent
+                    lost[child] = lost[parent]
+    return {name: ids.withColumnRenamed("id", "key").distinct() for name, ids in lost.items()}
+
+
 def distinct_images(images: DataFrame) -> DataFrame:
     """One row per payload digest: content-addressed files are written once."""
     from ..functions.text import image_digest, image_format

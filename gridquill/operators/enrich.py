@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-LEAST_CHARS, PROMPT_CHARS, WORKERS = 80, 2500, 4
+LEAST_CHARS, PROMPT_CHARS, IN_FLIGHT = 80, 2500, 4
 
 
 def enrich_gate(chunks: DataFrame) -> DataFrame:
@@ -50,19 +52,37 @@ def embed(column: Column, model: Callable[[], Callable[[list[str]], list[np.ndar
     return run(column)
 
 
-def enrich(chunks: DataFrame, model: Callable[[str], str], workers: int = WORKERS) -> DataFrame:
-    """id, technical, business, keywords. ``model`` maps a prompt text to labelled sections; an empty
-    answer is asked for once more, an error gives empty sections. ``workers`` tasks bound the load."""
+def _patient(model: Callable[[str], str], attempts: int, pause: float) -> Callable[[str], str]:
+    """An empty answer is asked for once more, an error up to ``attempts`` times with growing pauses; then the
+    answer is empty: one chunk's failure is its own."""
 
-    @F.pandas_udf("string")
-    def ask(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
+    def ask(text: str) -> str:
+        empty = 0
+        for n in range(attempts):
             try:
-                out.append(model(t[:PROMPT_CHARS]) or model(t[:PROMPT_CHARS]) or "")
-            except Exception:  # noqa: BLE001 - one chunk's failure is its own
-                out.append("")
-        return pd.Series(out)
+                answer = model(text)
+                if answer or empty:
+                    return answer or ""
+                empty = 1
+            except Exception:  # noqa: BLE001
+                time.sleep(pause * 2**n)
+        return ""
+
+    return ask
+
+
+def enrich(chunks: DataFrame, model: Callable[[str], str], in_flight: int = IN_FLIGHT, attempts: int = 3, pause: float = 0.5) -> DataFrame:
+    """id, technical, business, keywords. ``model`` maps a prompt text to labelled sections. Every task keeps up to
+    ``in_flight`` requests open, so an executor has at most that many times its task slots (spark.executor.cores), and the whole
+    job grows with the executors; answers return in the order of the chunks, a batch is never held twice."""
+    limit, prompt = in_flight, PROMPT_CHARS
+
+    @F.pandas_udf("string")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        patient = _patient(model, attempts, pause)
+        with ThreadPoolExecutor(limit) as pool:
+            for texts in batches:
+                yield pd.Series(list(pool.map(patient, (t[:prompt] for t in texts))), dtype=object)
 
-    answered = enrich_gate(chunks).repartition(workers).select("id", ask("text").alias("answer"))
+    answered = enrich_gate(chunks).select("id", ask("text").alias("answer"))
     return answered.select("id", *(X.labelled_section(F.col("answer"), k).alias(k.lower()) for k in ("TECHNICAL", "BUSINESS", "KEYWORDS")))

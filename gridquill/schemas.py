@@ -20,6 +20,7 @@ DDL: dict[str, str] = {
     "chunk_vec": "chunk_id long, embedding array<float>",
     "summary_vec": "summary_id long, embedding array<float>",
     "postings": "kind string, ref_id long, term string, pos int",
+    "grams": "ref_id long, gram string",
     "image_blob": "digest string, format string, bytes binary",
     "enrich_attempt": "chunk_id long, attempted_at timestamp",
     "progress": "document_id long, ts timestamp, stage string, message string, current int, total int",

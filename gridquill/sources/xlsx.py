@@ -13,6 +13,7 @@ import json
 import posixpath
 import re
 import zipfile
+from itertools import batched
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import PALETTE
 from ..schemas import DDL
+from ..storage import stored
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -205,15 +207,17 @@ def read_workbooks(spark: SparkSession, path: str, max_cells: int = 20_000) -> d
 
 
 def from_files(files: DataFrame, max_cells: int = 20_000) -> dict[str, DataFrame]:
-    """As read_workbooks, for (path, content) rows, such as a streaming micro-batch."""
+    """As read_workbooks, for (path, content) rows, such as a streaming micro-batch. The workbooks are parsed
+    once, when this is called; the four tables are read from what the parser wrote, which leaves a task some thousand
+    records at a time."""
 
     def parse(frames):
         for f in frames:
             for p, content in zip(f["path"], f["content"], strict=True):
-                rows = list(records(p, bytes(content), max_cells))
-                yield pd.DataFrame(rows, columns=["path", "kind", "payload", "bytes"])
+                for rows in batched(records(p, bytes(content), max_cells), 5_000):
+                    yield pd.DataFrame(list(rows), columns=["path", "kind", "payload", "bytes"])
 
-    every = files.mapInPandas(parse, RECORD).withColumn("document_id", F.xxhash64("path"))
+    every = stored(files.mapInPandas(parse, RECORD).withColumn("document_id", F.xxhash64("path")), "workbooks")
 
     def pick(kind: str, ddl: str, *extra: str) -> DataFrame:
         fields = ", ".join(x for x in ddl.split(", ") if not x.startswith(("document_id ", "bytes ")))
