@@ -84,7 +84,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     key = lambda i, d: F.xxhash64(i, d).alias("key")
     wanted = misses.select(key("doc_id", "content_digest"), F.col("content_digest").alias("want"))
     fetched = rows.select(key(F.col("doc_id"), digest), digest.alias("have"), "text").join(wanted.hint("shuffle_hash"), "key").where("have = want")
-    fetched = fetched.groupBy("key", "want").agg(F.first("text").alias("text")).select("want", "text")
+    fetched = fetched.groupBy("key", "have").agg(F.first("text").alias("text")).select(F.col("have").alias("want"), "text")
     fresh = fetched.select(F.col("want").alias("content_digest"), F.lit(name).alias("tokenizer_digest"), count("text").alias("n_tokens"))
     fresh.write.mode("append").parquet(cache_path)
 
