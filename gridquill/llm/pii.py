@@ -50,6 +50,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Bounds of the shares of the rows in which patterns are counted, of 64: a 64th, seven, the rest
 SHARES = (0, 1, 8, 64)
+# Bits of the table that tells patterns apart before the join
+SIEVE = 2**18
 KINDS = ["email", "ip", "card", "phone", "context"]
 
 
@@ -112,40 +114,58 @@ def value_of(word: Column) -> Column:
     return F.btrim(word, F.lit(EDGES))
 
 
-def occurrences(scanned: DataFrame) -> DataFrame:
+def sieve(patterns: DataFrame) -> Column:
+    """Bit table of pattern hashes as a constant, 2^18 bits whatever their number: it tells most patterns of the corpus
+    from those looked for before a row is made of them. The join behind it decides."""
+    words = SIEVE // 64
+    spot = F.col("pattern").bitwiseAND(F.lit(SIEVE - 1))
+    each = patterns.groupBy(F.shiftright(spot, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pattern").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    bits = {r["at"]: r["bits"] for r in each.collect()}  # at most ``words`` rows
+    return F.split(F.lit(",".join(str(bits.get(i, 0)) for i in range(words))), ",").cast("array<bigint>")
+
+
+def occurrences(scanned: DataFrame, bits: Column | None = None) -> DataFrame:
     """row_id, i, word, pattern: every word of the corpus in each of its patterns, which are hashes of kind and
-    words. Never written as such."""
+    words; with a ``sieve`` only what passes it. Never written as such."""
     none, f, n = F.lit(None).cast("string"), F.col("f"), F.size("f")
     before = lambda k: F.concat(F.array(*[none] * k), F.slice(f, F.lit(1), F.greatest(n - k, F.lit(0))))
     lined = F.arrays_zip(F.col("w"), before(2).alias("b2"), before(1).alias("b1"), F.slice(f, F.lit(2), n).alias("a1"), F.slice(f, F.lit(3), n).alias("a2"))
     each = _words(scanned).select("row_id", F.posexplode(lined).alias("i", "x")).where("x.w is not null")
     two = lambda kind, a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.xxhash64(F.lit(kind), a, b))
-    patterns = F.array(two("around", "x.b1", "x.a1"), two("before", "x.b2", "x.b1"), two("after", "x.a1", "x.a2"))
-    return each.select("row_id", "i", F.col("x.w").alias("word"), F.explode(patterns).alias("pattern")).where("pattern is not null")
-
-
-def kept_patterns(scanned: DataFrame, cfg: PiiConfig = PiiConfig()) -> DataFrame:
-    """pattern, of enough seeds and enough of all that stands in it. Occurrences are counted in three disjoint shares of
-    the rows, the smallest first. What a pattern has in some rows it has at least in all, so one that is below ``floor``
-    by then is below it in the end and isn't looked for in the rest: the many patterns that chance induces between
-    frequent words meet the smallest share only, and the result is that of one count."""
+    each = each.select("row_id", "i", F.col("x.w").alias("word"), two("around", "x.b1", "x.a1").alias("p0"), two("before", "x.b2", "x.b1").alias("p1"), two("after", "x.a1", "x.a2").alias("p2"))
+    names = ["p0", "p1", "p2"]
+    if bits is not None:
+        passes = lambda p: F.getbit(F.get(bits, F.shiftright(F.col(p).bitwiseAND(F.lit(SIEVE - 1)), 6).cast("int")), F.col(p).bitwiseAND(F.lit(63)).cast("int")) == 1
+        each = each.withColumns({p: F.when(passes(p), F.col(p)) for p in names}).where(F.coalesce(*names).isNotNull())
+    return each.select("row_id", "i", "word", F.explode(F.array(*names)).alias("pattern")).where("pattern is not null")
+
+
+def kept_occurrences(scanned: DataFrame, cfg: PiiConfig = PiiConfig()) -> DataFrame:
+    """row_id, i, word, pattern: what stands in patterns of enough seeds and enough of all that stands in them.
+    Occurrences are looked for in three disjoint shares of the rows, the smallest first. What a pattern has in some rows
+    it has at least in all, so one that is below ``floor`` by then is below it in the end and isn't looked for in the
+    rest: the many patterns that chance induces between frequent words meet the smallest share only, every text is
+    taken apart once, and the result is that of one count over all rows."""
     seeded = occurrences(scanned.where("marked is not null")).where(F.col("word").rlike(SEED))
     induced = seeded.groupBy("pattern", F.regexp_extract("word", SEED + "+", 0).alias("seed")).agg(F.count("*").alias("n"))
     induced = induced.groupBy("pattern").agg(F.count("*").alias("seeds"), F.sum("n").alias("n")).where(F.col("seeds") >= cfg.support)
     left = materialize(induced.select("pattern", "n", F.lit(0).cast("long").alias("all")), "pii-induced")
     share = F.pmod(F.xxhash64("row_id"), F.lit(SHARES[-1]))
+    found = None
     for low, high in zip(SHARES, SHARES[1:]):
-        here = occurrences(scanned.where((share >= low) & (share < high))).join(left.select("pattern"), "pattern", "left_semi")
-        here = here.groupBy("pattern").agg(F.count("*").alias("more"))
-        total = left.join(here, "pattern", "left").select("pattern", "n", (F.col("all") + F.coalesce("more", F.lit(0))).alias("all"))
+        here = occurrences(scanned.where((share >= low) & (share < high)), sieve(left)).join(left.select("pattern"), "pattern", "left_semi")
+        here = materialize(here.select("row_id", "i", "word", "pattern"), "pii-found")
+        more = here.groupBy("pattern").agg(F.count("*").alias("more"))
+        total = left.join(more, "pattern", "left").select("pattern", "n", (F.col("all") + F.coalesce("more", F.lit(0))).alias("all"))
         left = materialize(total.where(F.col("n") >= cfg.floor * F.col("all")), "pii-patterns")
-    return left.select("pattern")
+        found = here if found is None else found.unionByName(here)
+    return found.join(left.select("pattern"), "pattern", "left_semi")
 
 
 def graph(scanned: DataFrame, cfg: PiiConfig = PiiConfig()) -> tuple[DataFrame, DataFrame]:
     """(row_id, i, value, seed, pattern): what stands in kept patterns; (value, all): how often the values
     that are not seeds stand anywhere."""
-    found = occurrences(scanned).join(kept_patterns(scanned, cfg), "pattern")
+    found = kept_occurrences(scanned, cfg)
     seed = F.col("word").rlike(SEED)
     found = found.select("row_id", "i", F.when(seed, F.regexp_extract("word", SEED + "+", 0)).otherwise(value_of(F.col("word"))).alias("value"), seed.alias("seed"), "pattern")
     found = materialize(found.where("value <> ''"), "pii-graph")
