@@ -53,6 +53,17 @@ def document_detail(spark, d):
     return out.select("id", "name", F.array_join(F.transform("files", lambda f: f["filename"]), ",").alias("files"))
 
 
+@query
+def document_sheets(spark, d):
+    """Documents with their sheets nested in order, as index:name:type. An order stands for a document and its lines for
+    the sheets, so no document has an unbounded number of them."""
+    own = S.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("filename"))
+    sheets = S.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("sheet_index"), F.col("l_linestatus").alias("name"), F.col("l_returnflag").alias("sheet_type"))
+    out = catalog.nested(own, sheets, "id", ["sheet_index", "name", "sheet_type"], "sheets")
+    shown = F.transform("sheets", lambda x: F.concat_ws(":", x["sheet_index"].cast("string"), x["name"], x["sheet_type"]))
+    return out.select("id", "filename", F.size("sheets").cast("long").alias("n_sheets"), F.array_join(shown, ",").alias("sheets"))
+
+
 @query
 def chunk_listing(spark, d):
     out = catalog.chunk_listing(S.chunks(spark, d), S.prose_sheets(spark, d), document_id=7)
@@ -407,6 +418,14 @@ def bm25_topk(spark, d):
     return _ranked(search.fts_recall(_index(spark, d), _questions(spark, d), _doc_chunks(spark, d)), "query_id", "chunk_id")
 
 
+@query
+def bm25_chunks_and_summaries(spark, d):
+    """BM25 over one index of documents as chunks and their lines as summaries; a chunk has the best score of its rows."""
+    own = S.lines(spark, d).select((F.col("doc_id") * 1_000_000 + F.col("line_no")).alias("id"), F.col("doc_id").alias("chunk_id"), F.col("line").alias("text"))
+    post = _post(spark, d).unionByName(search.postings(own, "id", "text", "summary"))
+    return _ranked(search.fts_recall(search.build_index(post), _questions(spark, d), _doc_chunks(spark, d), own), "query_id", "chunk_id")
+
+
 @query
 def phrase_match(spark, d):
     q = S.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(X.terms(F.col("text")), 1, 2), "-").alias("question"))

@@ -85,6 +85,7 @@ ORACLES: dict[str, str] = {
     "document_listing_folder": _with(["chunks"], "SELECT d.id, d.filename, coalesce(c.n, 0) n_chunks FROM docs d LEFT JOIN (SELECT document_id, count(*) n FROM chunks GROUP BY ALL) c ON c.document_id = d.id WHERE d.folder_id = 3"),
     "document_detail": _with(["folders", "docs"], "SELECT f.id, f.name, coalesce(string_agg(d.filename, ',' ORDER BY d.filename), '') files FROM folders f LEFT JOIN docs d ON d.folder_id = f.id GROUP BY f.id, f.name"),
     "chunk_listing": _with(["chunks", "sheets"], "SELECT c.id, s.name sheet_name, c.chunk_order, c.text FROM chunks c JOIN sheets s ON s.sheet_id = c.document_id WHERE c.document_id = 7"),
+    "document_sheets": "SELECT o_orderkey id, 'order_' || o_orderkey filename, count(l_orderkey) n_sheets, coalesce(string_agg(l_linenumber || ':' || l_linestatus || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_linestatus, l_returnflag), '') sheets FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL",
     "chunk_detail_with_summaries": _with(["summaries"], "SELECT d.doc_id chunk_id, coalesce(string_agg(s.perspective || ':' || s.id, ',' ORDER BY s.perspective, s.id), '') summaries FROM documents d LEFT JOIN summaries s ON s.chunk_id = d.doc_id GROUP BY d.doc_id"),
     "scope_filter": _with(["chunks"], "SELECT id, document_id, folder_id FROM chunks WHERE folder_id = 3 AND document_id = 23"),
     "scope_modes": _with(["docs"], "SELECT id, CASE WHEN id % 3 = 2 THEN 'doc:' || id WHEN id % 3 > 0 THEN 'folder:' || folder_id ELSE 'all' END AS mode FROM docs"),
@@ -134,6 +135,20 @@ UNION ALL SELECT region, row, 3, 'C', trim(n_name), indent_level, row = 1, CASE
         "SELECT sheet_id, row, section_no, array_to_string(list_filter([h0.t, CASE WHEN h0 IS NULL OR h1.r > h0.r THEN h1.t END], lambda x: x IS NOT NULL), ' > ') path FROM z",
         z="SELECT sheet_id, row, (sum(is_header::INT) OVER w)::BIGINT section_no, last_value(CASE WHEN is_header AND indent = least THEN {'r': row, 't': text} END IGNORE NULLS) OVER w h0, last_value(CASE WHEN is_header AND indent = least + 1 THEN {'r': row, 't': text} END IGNORE NULLS) OVER w h1 FROM headed WINDOW w AS (PARTITION BY sheet_id ORDER BY row)",
     ),
+    # a section's lines are folded into pieces one line a step, by a recursive table; its limit is the parser's
+    "memo_split": _with(
+        ["headed", "sheets"],
+        """SELECT sheet_id, row_number() OVER (PARTITION BY sheet_id ORDER BY section_no, piece) - 1 chunk_order, CASE WHEN coalesce(t, '') <> '' THEN t ELSE array_to_string(chain, ' > ') END AS text,
+  concat_ws(chr(10), CASE WHEN len(chain) > 0 THEN array_to_string(list_transform(chain, lambda h, i: repeat('#', i + 1) || ' ' || h), chr(10)) END, m) markdown, array_to_string(list_concat([name], chain), ' > ') hierarchy_path
+  FROM pieces JOIN sheets USING (sheet_id) WHERE t IS NOT NULL OR len(chain) > 0""",
+        z="SELECT *, (sum(is_header::INT) OVER w)::BIGINT section_no, last_value(CASE WHEN is_header AND indent = least THEN {'r': row, 't': text} END IGNORE NULLS) OVER w h0, last_value(CASE WHEN is_header AND indent = least + 1 THEN {'r': row, 't': text} END IGNORE NULLS) OVER w h1 FROM headed WINDOW w AS (PARTITION BY sheet_id ORDER BY row)",
+        placed="SELECT sheet_id, section_no, row, text, indent, is_header, list_filter([h0.t, CASE WHEN h0 IS NULL OR h1.r > h0.r THEN h1.t END], lambda x: x IS NOT NULL) chain FROM z",
+        chains="SELECT sheet_id, section_no, arg_max(chain, row) chain FROM placed GROUP BY ALL",
+        memo_body="SELECT sheet_id, section_no, row, text, indent, row_number() OVER w k, sum(length(text)) OVER (PARTITION BY sheet_id, section_no) total FROM placed WHERE NOT is_header WINDOW w AS (PARTITION BY sheet_id, section_no ORDER BY row)",
+        fold="SELECT sheet_id, section_no, row, text, indent, k, length(text)::BIGINT size, 0 piece FROM memo_body WHERE k = 1 UNION ALL SELECT sheet_id, section_no, row, text, indent, k, CASE WHEN cut THEN 0 ELSE size END + length(text), piece + cut::INT FROM (SELECT b.*, f.size, f.piece, b.total > 1200 AND f.size + length(b.text) > 1200 AND b.indent <= f.indent cut FROM fold f JOIN memo_body b ON b.sheet_id = f.sheet_id AND b.section_no = f.section_no AND b.k = f.k + 1)",
+        cuts="SELECT sheet_id, section_no, piece, string_agg(text, ' ' ORDER BY row) t, string_agg(repeat('  ', (indent - least_indent)::BIGINT) || '- ' || text, chr(10) ORDER BY row) m FROM (SELECT *, min(indent) OVER (PARTITION BY sheet_id, section_no, piece) least_indent FROM fold) GROUP BY ALL",
+        pieces="SELECT c.sheet_id, c.section_no, c.chain, coalesce(p.piece, 0) piece, p.t, p.m FROM chains c LEFT JOIN cuts p ON p.sheet_id = c.sheet_id AND p.section_no = c.section_no",
+    ).replace("WITH ", "WITH RECURSIVE ", 1).replace("memo_body AS (", "memo_body AS MATERIALIZED (", 1),
     "color_tags": _with(["memo"], "SELECT sheet_id, row, coalesce(array_to_string(colors, ','), '') colors, CASE WHEN sheet_id % 2 = 0 AND list_contains(colors, '#FF0000') THEN 'DBL-179' ELSE 'DBL-10' END tags FROM memo"),
     "cover_codes": "WITH c AS (SELECT s_suppkey % 10 sheet_id, s_suppkey // 10 AS row, 'SUPP-' || (s_suppkey % 7) a, 'AB-' || s_nationkey b FROM supplier), e AS (SELECT sheet_id, a code, row * 2 AS p FROM c UNION ALL SELECT sheet_id, b, row * 2 + 1 FROM c) SELECT sheet_id, code, row_number() OVER (PARTITION BY sheet_id ORDER BY min(p)) - 1 place FROM e GROUP BY sheet_id, code",
     "cover_metadata": "SELECT sheet_id, string_agg(DISTINCT code, ',' ORDER BY code) codes, arg_min('2021/03/' || lpad((n + 1)::VARCHAR, 2, '0'), row) AS version FROM (SELECT s_suppkey % 10 sheet_id, s_suppkey // 10 AS row, s_nationkey n, unnest(['SUPP-' || (s_suppkey % 7), 'AB-' || s_nationkey]) code FROM supplier) GROUP BY sheet_id",
@@ -147,6 +162,16 @@ UNION ALL SELECT region, row, 3, 'C', trim(n_name), indent_level, row = 1, CASE
     "term_stats": _with(["tok"], "SELECT term, count(DISTINCT doc_id) df, count(*) tf FROM tok GROUP BY term"),
     "corpus_stats": _with(["stats"], "SELECT n_rows, round(avg_len, 6) avg_len FROM stats"),
     "bm25_topk": _with(["fts"], f"SELECT query_id, chunk_id, {_RANKED} FROM fts"),
+    "bm25_chunks_and_summaries": _with(
+        ["tok", "qt", "lines"],
+        f"SELECT query_id, chunk_id, {_RANKED} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) - 1 AS rank FROM (SELECT query_id, chunk_id, max(score) score FROM both_bm WHERE place <= 60 GROUP BY ALL)) WHERE rank < 30",
+        rows_of_both="SELECT 'chunk' kind, doc_id ref_id, doc_id chunk_id, term FROM tok UNION ALL SELECT 'summary', doc_id * 1000000 + line_no, doc_id, unnest(list_filter(string_split_regex(lower(line), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) FROM lines",
+        both_len="SELECT kind, ref_id, count(*) dl FROM rows_of_both GROUP BY ALL",
+        both_stats="SELECT count(*) n_rows, avg(dl) avg_len FROM both_len",
+        both_hit="SELECT qt.query_id, qt.i, qt.need, kind, ref_id, chunk_id, count(*) tf FROM qt JOIN rows_of_both USING (term) GROUP BY ALL",
+        both_df="SELECT query_id, i, count(*) df FROM both_hit GROUP BY ALL",
+        both_bm="SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, kind, ref_id) place FROM (SELECT query_id, kind, ref_id, chunk_id, sum(CASE WHEN ln((n_rows - df + 0.5) / (df + 0.5)) > 0 THEN ln((n_rows - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_len))) score FROM both_hit JOIN both_df USING (query_id, i) JOIN both_len USING (kind, ref_id), both_stats GROUP BY ALL HAVING count(*) = any_value(need))",
+    ),
     "phrase_match": _with(["tok"], "SELECT p.item_id query_id, a.doc_id, count(*) tf FROM p JOIN tok a ON a.term = p.t[1] JOIN tok b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 AND b.term = p.t[2] GROUP BY ALL", p="SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') t FROM benchmark"),
     "exact_recall": """WITH t AS (SELECT n_nationkey::BIGINT query_id, unnest(['N_0' || lpad(n_nationkey::VARCHAR, 2, '0'), 'SUPPLIER-00000000' || (n_nationkey % 10)]) tk FROM nation),
 h AS (SELECT query_id, tk, s_suppkey chunk_id, row_number() OVER (PARTITION BY query_id, tk ORDER BY s_suppkey) i FROM t JOIN supplier ON upper(replace(s_name, '#', '-')) ILIKE '%' || tk || '%' OR 'nation N_' || lpad(s_nationkey::VARCHAR, 3, '0') ILIKE '%' || tk || '%')
