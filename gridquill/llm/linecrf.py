@@ -1,22 +1,23 @@
 """Quality rules: a linear-chain conditional random field over lines.
 
 Every line with a word gets a vector of cheap features (how many words, shares of symbols,
-digits, letters, how it ends, whether it repeats an earlier line, how many of its words do so, whether
-it is a *common line* of the corpus ...). A two-state linear-chain CRF scores labels and transitions;
-Viterbi decoding marks each line content or boilerplate. The share of a document's words in
-content lines decides whether it is kept; the base rules (too short, too repetitive) come first.
-
-*Common lines* are counted over all lines of all documents: a line is common if it stands in at
-least ``common_least`` different surroundings (the first three words of the line before and of
-the line after it), at least ``common_share`` times as many as there are documents, and if half of its
-occurrences have surroundings of their own. So licenses and slogans are common, the lines of a
-document that was copied a thousand times are not. Since every common line takes that share of the lines,
-there are at most (lines per document) / ``common_share`` of them, which bounds what is broadcast.
+digits, letters, how it ends, whether it repeats an earlier line, how many of its words do so ...) and
+the weights of its words, which are hashed to ``BUCKETS`` and count 1 / sqrt(words of the line) each. A
+two-state linear-chain CRF scores labels and transitions; Viterbi decoding marks each line content or
+boilerplate. The share of a document's words in content lines decides whether it is kept; the base
+rules (too short, too repetitive) come first.
 
-*Line labels* inside the labelled documents are distant: a common line is boilerplate, another line of a
+*Line labels* inside the labelled documents are distant: a *common line* is boilerplate, another line of a
 document of quality 1 is content, one of quality 0 boilerplate. Documents thus hold both labels and
-the transitions learn where one gives way to the other. The content share from which
-documents are kept is the one that parts the labelled documents best.
+the transitions learn where one gives way to the other. No feature says whether a line is common: that is
+known of the labelled lines only, so a boilerplate line which nobody has seen is judged like any other. The
+content share from which documents are kept is the one that parts the labelled documents best.
+
+*Common lines* are those lines of the labelled documents that stand in at least ``common_least`` different
+surroundings (the first three words of the line before and of the line after it), if half of their
+occurrences have surroundings of their own. So licenses and slogans are common, the lines of a
+document that was copied a thousand times are not. Occurrences are counted over all lines of all documents;
+the bar is the same for a corpus of any size. What is broadcast are the hashes of the sample's lines.
 
 Training is iterative parameter mixing: in each round every partition of the labelled lines takes
 gradient steps from the common parameters, and the results are averaged by number of documents.
@@ -26,6 +27,7 @@ It takes a bounded sample of labelled documents (``max_docs``), whole.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -43,19 +45,21 @@ _REST = re.compile(rb"[\x20\x09-\x0D]")
 _DIGITS = re.compile(rb"[0-9]")
 _UPPER = re.compile(rb"[A-Z]")
 _STOPS = re.compile(rb"[.!?]")
-FEATURES = 17
+FEATURES = 16
+BUCKETS = 1 << 14  # of words
 
 
 @dataclass(frozen=True)
 class CrfConfig:
     max_docs: int = 4000  # labelled documents taken for training, at most
     common_least: int = 5  # surroundings of a common line, at least
-    common_share: float = 1e-4  # and at least so many times the documents
     rounds: int = 6  # of parameter mixing
     steps: int = 30  # gradient steps of a partition in a round
     parts: int = 8  # partitions of the labelled lines
     rate: float = 0.5
     l2: float = 1e-3
+    word_rate: float = 0.3
+    word_l2: float = 3e-5
 
 
 @dataclass
@@ -63,7 +67,7 @@ class Crf:
     weights: np.ndarray = field(default_factory=lambda: np.zeros((FEATURES, 2)))
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     start: np.ndarray = field(default_factory=lambda: np.zeros(2))
-    common: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # hashes of common lines, sorted
+    lexicon: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS, 2)))  # of words
     content_share: float = 0.5  # of the words: kept from there on
 
 
@@ -71,32 +75,45 @@ def line_hash(line: bytes) -> int:
     return xxhash.xxh3_64_intdigest(line.strip()) >> 1
 
 
-def _surroundings(batches):
-    """Per partition: (line, surroundings) of all lines with a word, and how many documents have them."""
+def _surroundings(shared):
+    """Per partition: (line, surroundings) of the lines in ``shared`` (sorted hashes; None: all with a
+    word), and how many documents have them."""
 
     def out(seen):
         keys = list(seen)
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["line", "around", "n"])
 
-    seen: Counter = Counter()
+    def run(batches):
+        wanted = None if shared is None else {*shared.value.tolist()}
+        seen: Counter = Counter()
+        for b in batches:
+            for _, _, texts in slices(b.column(0)):
+                for data in texts:
+                    lines = [x for x in data.split(b"\n") if x.strip()]
+                    found = [(h, i) for i, h in enumerate(map(line_hash, lines)) if wanted is None or h in wanted]
+                    near = lambda i, lines=lines: b" ".join(lines[i].split(None, 3)[:3]) if 0 <= i < len(lines) else b""
+                    seen.update({(h, xxhash.xxh3_64_intdigest(near(i - 1) + b"\n" + near(i + 1)) >> 1) for h, i in found})
+                    if len(seen) > 300_000:
+                        yield out(seen)
+                        seen.clear()
+        yield out(seen)
+
+    return run
+
+
+def common_lines(documents: DataFrame, cfg: CrfConfig = CrfConfig(), text: str = "text", among: np.ndarray | None = None) -> np.ndarray:
+    """Sorted hashes of the lines that are common in all documents; ``among`` (sorted hashes): of these lines only."""
+    shared = None if among is None else documents.sparkSession.sparkContext.broadcast(among)
+    per = documents.select(text_bytes(text)).mapInArrow(_surroundings(shared), "line long, around long, n long").groupBy("line", "around").agg(F.sum("n").alias("n"))
+    found = per.groupBy("line").agg(F.count("*").alias("places"), F.sum("n").alias("n")).where((F.col("places") >= cfg.common_least) & (2 * F.col("places") >= F.col("n")))
+    return np.sort(found.select("line").toArrow().column(0).to_numpy())
+
+
+def _line_hashes(batches):
     for b in batches:
         for _, _, texts in slices(b.column(0)):
-            for data in texts:
-                lines = [x for x in data.split(b"\n") if x.strip()]
-                near = [b"", *(b" ".join(x.split(None, 3)[:3]) for x in lines), b""]
-                seen.update({(line_hash(x), xxhash.xxh3_64_intdigest(near[i] + b"\n" + near[i + 2]) >> 1) for i, x in enumerate(lines)})
-                if len(seen) > 300_000:
-                    yield out(seen)
-                    seen.clear()
-    yield out(seen)
-
-
-def common_lines(documents: DataFrame, cfg: CrfConfig = CrfConfig(), text: str = "text") -> np.ndarray:
-    """Sorted hashes of the common lines of all documents."""
-    per = documents.select(text_bytes(text)).mapInArrow(_surroundings, "line long, around long, n long").groupBy("line", "around").agg(F.sum("n").alias("n"))
-    least = max(cfg.common_least, cfg.common_share * documents.count())
-    found = per.groupBy("line").agg(F.count("*").alias("places"), F.sum("n").alias("n")).where((F.col("places") >= least) & (2 * F.col("places") >= F.col("n")))
-    return np.sort(found.select("line").toArrow().column(0).to_numpy())
+            found = {line_hash(x) for data in texts for x in data.split(b"\n") if x.strip()}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], names=["line"])
 
 
 def is_common(lines: list[bytes], common: np.ndarray) -> np.ndarray:
@@ -106,9 +123,8 @@ def is_common(lines: list[bytes], common: np.ndarray) -> np.ndarray:
     return common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
 
 
-def line_features(lines: list[bytes], words: list[list[bytes]], common: np.ndarray) -> np.ndarray:
+def line_features(lines: list[bytes], words: list[list[bytes]]) -> np.ndarray:
     out = np.zeros((len(lines), FEATURES))
-    known = is_common(lines, common)
     seen_lines: set[bytes] = set()
     seen_words: Counter = Counter()
     for i, (line, w) in enumerate(zip(lines, words, strict=True)):
@@ -134,13 +150,24 @@ def line_features(lines: list[bytes], words: list[list[bytes]], common: np.ndarr
             i == 0,
             len({*w}) / n,
             size / n > 9,
-            known[i],
         )
         seen_lines.add(line)
         seen_words.update({*w})
     return out
 
 
+def word_buckets(words: list[list[bytes]]) -> np.ndarray:
+    """Bucket of every word (A-Z in lower case), line after line."""
+    return np.fromiter((zlib.crc32(x.lower()) % BUCKETS for w in words for x in w), np.int32, sum(map(len, words)))
+
+
+def mark_lines(lines: list[bytes], words: list[list[bytes]], crf: Crf) -> np.ndarray:
+    """Labels (1: content) of a document's lines, each of which has a word."""
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    lexical = np.add.reduceat(crf.lexicon[word_buckets(words)], np.concatenate([[0], np.cumsum(counts)[:-1]])) / np.sqrt(counts)[:, None]
+    return viterbi(line_features(lines, words) @ crf.weights + lexical, crf)
+
+
 def viterbi(scores: np.ndarray, crf: Crf) -> np.ndarray:
     """Best labels (1: content) of a sequence of line scores; ties go to content."""
     n = len(scores)
@@ -157,27 +184,36 @@ def viterbi(scores: np.ndarray, crf: Crf) -> np.ndarray:
     return out
 
 
-def time_major(sequences: list[tuple[np.ndarray, np.ndarray]]):
-    """Features, labels, sequence of each line and bounds by step: line t of all sequences that have
-    one, longest sequence first, is [offsets[t]:offsets[t + 1]]."""
-    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i][1]))
-    lengths = np.array([len(sequences[i][1]) for i in order])
+def places(lengths: list[int]):
+    """Order (longest first) of sequences, where their lines, one sequence after the other in that order, go if
+    line t of all sequences that have one is [offsets[t]:offsets[t + 1]], sequence of each line, offsets."""
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    lengths = np.array([lengths[i] for i in order])
     active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
     offsets = np.concatenate([[0], np.cumsum(active)])
     step = np.concatenate([np.arange(n) for n in lengths])
     row = np.repeat(np.arange(len(order)), lengths)
+    return order, offsets[step] + row, row, offsets
+
+
+def time_major(sequences: list[tuple[np.ndarray, np.ndarray]]):
+    """Features, labels, sequence of each line and bounds by step, as ``places`` puts them."""
+    order, at, row, offsets = places([len(y) for _, y in sequences])
     x, y, of = np.empty((len(row), FEATURES)), np.empty(len(row), np.int64), np.empty(len(row), np.int64)
-    at = offsets[step] + row
     x[at] = np.concatenate([sequences[i][0] for i in order])
     y[at] = np.concatenate([sequences[i][1] for i in order])
     of[at] = row
     return x, y, of, offsets
 
 
-def gradient(x, y, of, offsets, weight, crf: Crf):
-    """Gradient of the weighted log-likelihood: (weights, moves, start). Forward-backward runs over
-    all sequences at once, step by step."""
+def gradient(x, y, of, offsets, weight, crf: Crf, words=None):
+    """Gradient of the weighted log-likelihood: (weights, moves, start) and, with ``words`` (line, bucket and share
+    of each word), lexicon. Forward-backward runs over all sequences at once, step by step."""
     s = x @ crf.weights
+    if words is not None:
+        line, bucket, share = words
+        for k in range(2):
+            s[:, k] += np.bincount(line, crf.lexicon[bucket, k] * share, len(s))
     alpha, beta = np.empty_like(s), np.zeros_like(s)
     part = [slice(a, b) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     add = lambda a: np.logaddexp(a[..., 0], a[..., 1])
@@ -200,7 +236,10 @@ def gradient(x, y, of, offsets, weight, crf: Crf):
         np.add.at(moves, (y[q], y[p]), weight[:n])
         beta[q] = add(crf.moves + ahead[:, None, :])
     rest = (np.eye(2)[y] - np.exp(alpha + beta - z[of, None])) * weight[of, None]
-    return x.T @ rest, moves, rest[part[0]].sum(0)
+    out = x.T @ rest, moves, rest[part[0]].sum(0)
+    if words is None:
+        return out
+    return *out, np.stack([np.bincount(bucket, rest[line, k] * share, BUCKETS) for k in range(2)], 1)
 
 
 def _mixing_round(shared, cfg: CrfConfig):
@@ -208,24 +247,33 @@ def _mixing_round(shared, cfg: CrfConfig):
 
     def run(batches):
         crf, balance = shared.value
-        sequences, quality = [], []
+        sequences, quality, buckets, counts = [], [], [], []
         for b in batches:
-            for x, y, q in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for x, y, q, w, n in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 sequences.append((np.frombuffer(x, np.float32).reshape(-1, FEATURES).astype(float), np.frombuffer(y, np.int8).astype(np.int64)))
                 quality.append(q)
+                buckets.append(np.frombuffer(w, np.int32))
+                counts.append(np.frombuffer(n, np.int32))
         if not sequences:
             return
-        order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i][1]))
+        order, at, _, _ = places([len(y) for _, y in sequences])
         batch = time_major(sequences)
+        n = np.concatenate([counts[i] for i in order])
+        words = np.repeat(at, n), np.concatenate([buckets[i] for i in order]), np.repeat(1 / np.sqrt(n), n)
         # a document counts once, whatever its length, and both kinds of document alike
         weight = np.array([balance[quality[i]] / len(sequences[i][1]) for i in order])
-        params = [crf.weights.copy(), crf.moves.copy(), crf.start.copy()]
-        speed = [np.zeros_like(a) for a in params]
+        params = [crf.weights.copy(), crf.moves.copy(), crf.start.copy(), crf.lexicon.copy()]
+        speed, seen = [np.zeros_like(a) for a in params[:3]], np.zeros_like(crf.lexicon)
         for _ in range(cfg.steps):
-            for a, g, v in zip(params, gradient(*batch, weight, Crf(*params)), speed, strict=True):
+            *dense, lexical = gradient(*batch, weight, Crf(*params), words)
+            for a, g, v in zip(params, dense, speed, strict=False):
                 v *= 0.9
                 v += g / weight.sum() - cfg.l2 * a
                 a += cfg.rate * v
+            # words differ in frequency by orders of magnitude: steps go by the gradients seen so far
+            g = lexical / weight.sum() - cfg.word_l2 * params[3]
+            seen += g * g
+            params[3] += cfg.word_rate * g / (np.sqrt(seen) + 1e-9)
         flat = np.concatenate([a.ravel() for a in params])
         yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64())), pa.array([float(len(sequences))])], names=["params", "docs"])
 
@@ -233,7 +281,7 @@ def _mixing_round(shared, cfg: CrfConfig):
 
 
 def train(lines: DataFrame, cfg: CrfConfig = CrfConfig()) -> Crf:
-    """lines: x (features, float32 bytes), y (labels, int8 bytes), quality; a row per document that has a line. Without lines of both
+    """lines: x (features, float32 bytes), y (labels, int8 bytes), quality, w (buckets of words, int32 bytes), n (words of lines, int32 bytes); a row per document that has a line. Without lines of both
     labels the field stays at zero, which marks every line content."""
     crf = Crf()
     marks = lines.agg(F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0), F.max(F.expr("hex(y) like '%01%'")), F.max(F.expr("hex(y) like '%00%'"))).first()
@@ -243,10 +291,10 @@ def train(lines: DataFrame, cfg: CrfConfig = CrfConfig()) -> Crf:
     balance = {1: 0.5 * n / max(1, marks[0]), 0: 0.5 * n / max(1, marks[1])}
     for _ in range(cfg.rounds):
         shared = lines.sparkSession.sparkContext.broadcast((crf, balance))
-        got = lines.select("x", "y", "quality").mapInArrow(_mixing_round(shared, cfg), "params array<double>, docs double").collect()
+        got = lines.select("x", "y", "quality", "w", "n").mapInArrow(_mixing_round(shared, cfg), "params array<double>, docs double").collect()
         flat = np.average([r["params"] for r in sorted(got, key=lambda r: (r["docs"], r["params"]))], axis=0, weights=sorted(r["docs"] for r in got))
         k = FEATURES * 2
-        crf = Crf(flat[:k].reshape(FEATURES, 2), flat[k : k + 4].reshape(2, 2), flat[k + 4 :])
+        crf = Crf(flat[:k].reshape(FEATURES, 2), flat[k : k + 4].reshape(2, 2), flat[k + 4 : k + 6], flat[k + 6 :].reshape(BUCKETS, 2))
     return crf
 
 
@@ -277,7 +325,7 @@ def examine(data: bytes, crf: Crf) -> tuple:
     failed = n < 10 or 100 * again > 20 * n
     content, lines = 0, 0
     if full:
-        marks = viterbi(line_features([a for a, _ in full], [w for _, w in full], crf.common) @ crf.weights, crf)
+        marks = mark_lines([a for a, _ in full], [w for _, w in full], crf)
         content = sum(len(w) for (_, w), m in zip(full, marks, strict=True) if m)
         lines = int(marks.sum())
     share = content / n if n else 0.0
@@ -288,16 +336,15 @@ RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 
 def _labelled_lines(shared):
-    @F.pandas_udf("x binary, y binary")
+    @F.pandas_udf("x binary, y binary, w binary, n binary")
     def run(text: pd.Series, quality: pd.Series) -> pd.DataFrame:
-        common, xs, ys = shared.value, [], []
+        common, out = shared.value, []
         for data, q in zip(text, quality, strict=True):
             lines = [(x, w) for x in data.split(b"\n") if (w := x.split())]
-            every = [a for a, _ in lines]
-            x = line_features(every, [w for _, w in lines], common) if lines else np.zeros((0, FEATURES))
-            xs.append(x.astype(np.float32).tobytes())
-            ys.append((~is_common(every, common) & (q > 0)).astype(np.int8).tobytes())
-        return pd.DataFrame({"x": xs, "y": ys})
+            every, words = [a for a, _ in lines], [w for _, w in lines]
+            y = ~is_common(every, common) & (q > 0)
+            out.append((line_features(every, words).astype(np.float32).tobytes(), y.astype(np.int8).tobytes(), word_buckets(words).tobytes(), np.array([len(w) for w in words], np.int32).tobytes()))
+        return pd.DataFrame(out, columns=["x", "y", "w", "n"])
 
     return run
 
@@ -314,27 +361,29 @@ def best_share(shares: np.ndarray, quality: np.ndarray) -> float:
 
 
 def fit(documents: DataFrame, labels: DataFrame, keep: Column, cfg: CrfConfig = CrfConfig(), label: str = "quality") -> Crf:
-    """Learn from labelled documents for which ``keep`` (a condition on doc_id) holds; common lines are
-    counted over all documents. Null texts are empty; of equal texts one is taken."""
+    """Learn from labelled documents for which ``keep`` (a condition on doc_id) holds; where their lines
+    stand is counted over all documents. Null texts are empty; of equal texts one is taken."""
     spark = documents.sparkSession
-    common = common_lines(documents, cfg)
-    shared = spark.sparkContext.broadcast(common)
-    sample = labelled_sample(documents, labels, label, keep, cfg.max_docs, "crf")
+    sample = materialize(labelled_sample(documents, labels, label, keep, cfg.max_docs, "crf"), "crf-sample")
+    among = sample.select(text_bytes("text")).mapInArrow(_line_hashes, "line long").distinct().toArrow().column(0).to_numpy()
+    shared = spark.sparkContext.broadcast(common_lines(documents, cfg, among=np.sort(among)))
     quality = (F.col("label") > 0).cast("int")
     lines = sample.select("doc_id", _labelled_lines(shared)(text_bytes("text"), quality).alias("l"), quality.alias("quality"), text_bytes("text").alias("text"))
     # dealt by hash in a fixed order, so that reruns mix the same parameters
-    lines = lines.select("doc_id", "l.x", "l.y", "quality", "text").where(F.length("x") > 0)
+    lines = lines.select("doc_id", "l.*", "quality", "text").where(F.length("x") > 0)
     lines = materialize(lines.repartition(cfg.parts, F.xxhash64("doc_id")).sortWithinPartitions("doc_id"), "crf-lines")
-    deal = lines.select("doc_id", "x", "y", "quality").repartition(cfg.parts, F.xxhash64("doc_id")).sortWithinPartitions("doc_id")
+    deal = lines.drop("text").repartition(cfg.parts, F.xxhash64("doc_id")).sortWithinPartitions("doc_id")
+    # the share is fitted on documents that the field which marks them has not learned from
+    unseen = F.abs(F.xxhash64(F.lit("share"), "doc_id")) % 4 == 0
+    first = train(deal.where(~unseen), cfg)
+    got = lines.where(unseen).select("quality", line_quality(spark, first)["content_share"].alias("share")).toPandas()
     crf = train(deal, cfg)
-    crf.common = common
-    got = lines.select("quality", line_quality(spark, crf)["content_share"].alias("share")).toPandas()
     crf.content_share = best_share(got["share"].to_numpy(float), got["quality"].to_numpy(int))
     return crf
 
 
 def line_quality(spark: SparkSession, crf: Crf, text: str = "text") -> Column:
-    """The columns of RESULT for a text, as a struct; model and common lines are broadcast."""
+    """The columns of RESULT for a text, as a struct; the model is broadcast."""
     shared = spark.sparkContext.broadcast(crf)
 
     @F.pandas_udf(RESULT)
