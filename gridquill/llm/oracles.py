@@ -23,7 +23,13 @@ base AS (SELECT * FROM x WHERE k = 'hex' OR (k = 'assign' AND length(val) >= 6)
 opaque AS (SELECT * FROM x WHERE k = 'opaque' AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')
   AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.st < x.en AND x.st < b.en)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM opaque),
-own AS (SELECT val FROM every GROUP BY val HAVING count(DISTINCT o) <= 2 AND count(DISTINCT (o, doc_id)) <= 8),
+per AS (SELECT val, o, count(DISTINCT (o, doc_id)) n FROM every GROUP BY val, o),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY val ORDER BY n DESC, o DESC) r, sum(n) OVER (PARTITION BY val) k, count(*) OVER (PARTITION BY val) owners FROM per),
+sizes AS (SELECT o, count(DISTINCT (o, doc_id))::DOUBLE size FROM every GROUP BY o),
+main AS (SELECT val, n::DOUBLE n, k::DOUBLE k, owners, size, (SELECT sum(size) FROM sizes) total FROM ranked JOIN sizes USING (o) WHERE r = 1),
+own AS (SELECT val FROM main
+  WHERE (owners <= 2 OR (2 * n > k AND n * total > k * size AND (n * total - k * size) * (n * total - k * size) > 9 * k * size * (total - size)))
+  AND (k <= 8 OR k * k <= size)),
 live AS (SELECT * FROM every SEMI JOIN own USING (val)),
 shown AS (SELECT * FROM base UNION ALL SELECT * FROM live WHERE k = 'opaque'),
 b AS (SELECT doc_id, count(*) FILTER (k = 'assign') n_assign, count(*) FILTER (k = 'access') n_access, count(*) FILTER (k = 'hex') n_hex, string_agg(k || ':' || st || ':' || en, ',' ORDER BY st, kr) s FROM base GROUP BY doc_id),

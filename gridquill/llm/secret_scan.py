@@ -4,10 +4,17 @@ Patterns give candidates in every text: assignments to secret-like names, access
 hexadecimal runs (the base kinds), and ``opaque`` runs of 20 or more of [A-Za-z0-9+/_-] holding
 a digit and letters of both cases outside the base spans. The value of every candidate is hashed
 and the hashes of the whole corpus are aggregated by distinct repositories (here: documents) and
-distinct owners (here: sources; a null source is an owner of its own). A value seen with more than
-``MAX_OWNERS`` owners, or in more than ``MAX_REPOS`` repositories of however few owners, is a widely
-copied example; one that stays with its owners and in few of their repositories looks live.
-Base spans are always reported; opaque ones only if they look live.
+distinct owners (here: sources; a null source is an owner of its own). Both criteria go by the size of
+a value's main owner, the one with most of its repositories (ties: the last name), in repositories that hold any candidate:
+
+* *spread*: a value of more than ``MAX_OWNERS`` owners is a copied example, unless it belongs to its main
+  owner: that one holds more than half of its repositories, and more than ``SIGMAS`` standard deviations
+  above what a value copied at random would have there by the owner's share of all repositories.
+* *copied within*: a value in more than ``MAX_REPOS`` repositories and more than the square root of the main
+  owner's is an example, however few owners it has. The root lies between a constant, which calls every shared
+  credential of a large owner an example, and a rate, which would let a third of a corpus pass as one.
+
+What is neither looks live. Base spans are always reported; opaque ones only if they look live.
 
 Everything is a DataFrame expression: no Python runs on the executors.
 """
@@ -25,7 +32,7 @@ ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # the maximal runs of at least 24
 OPAQUE = r"[A-Za-z0-9+/_-]{20,}"
-MAX_OWNERS, MAX_REPOS = 2, 8
+MAX_OWNERS, MAX_REPOS, SIGMAS = 2, 8, 3
 KINDS = ["assign", "access", "hex", "opaque"]
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -68,17 +75,40 @@ def _hashed(scanned: DataFrame) -> DataFrame:
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """value_hash, n_repos, n_owners over the whole corpus. (hash, owner, document) is made
+    """value_hash, n_repos, n_owners, main (n, owner) over the whole corpus. (hash, owner, document) is made
     distinct with map-side combining before it is counted, so a value copied everywhere does
     not land in one task. A document of several owners is a repository of each; null ids are one."""
     per_owner = _hashed(scanned).groupBy("value_hash", "owner", "doc_id").agg(F.lit(1).alias("one")).groupBy("value_hash", "owner").agg(F.count("*").alias("n"))
-    return per_owner.groupBy("value_hash").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
+    return per_owner.groupBy("value_hash").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"), F.max(F.struct("n", "owner")).alias("main"))
+
+
+def owner_sizes(scanned: DataFrame) -> DataFrame:
+    """owner, size: its repositories that hold a candidate."""
+    holding = scanned.where((F.size("base") > 0) | (F.size("opaque") > 0)).groupBy("owner", "doc_id").agg(F.lit(1).alias("one"))
+    return holding.groupBy("owner").agg(F.count("*").alias("size"))
+
+
+def verdicts(scanned: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS, sigmas: float = SIGMAS) -> DataFrame:
+    """value_hash, n_repos, n_owners, spread, copied: a row per value; it looks live if neither holds."""
+    own = materialize(ownership(scanned).select("value_hash", "n_repos", "n_owners", "main.*"), "secret-owners")
+    sizes = materialize(owner_sizes(scanned), "secret-sizes")
+    total = F.lit(sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]).cast("double")
+    few = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
+    # only values that are frequent enough ask for their owner's size
+    asked = own.where(~few).join(sizes, "owner")
+    size, k, n = F.col("size").cast("double"), F.col("n_repos").cast("double"), F.col("n").cast("double")
+    above = n * total - k * size
+    belongs = (2 * n > k) & (above > 0) & (above * above > sigmas * sigmas * k * size * (total - size))
+    spread = (F.col("n_owners") > max_owners) & ~belongs
+    copied = (F.col("n_repos") > max_repos) & (k * k > size)
+    cols = ["value_hash", "n_repos", "n_owners"]
+    return own.where(few).select(*cols, F.lit(False).alias("spread"), F.lit(False).alias("copied")).unionAll(asked.select(*cols, spread.alias("spread"), copied.alias("copied")))
 
 
 def live_spans(scanned: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """row_id, live: the candidates (base and opaque) whose value looks owner-specific."""
-    live = ownership(scanned).where((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).select("value_hash")
-    # a live value has few repositories, so no hash of ``live`` is hot; written, the occurrences and the
+    live = verdicts(scanned, max_owners, max_repos).where(~F.col("spread") & ~F.col("copied")).select("value_hash")
+    # a live value has at most the square root of its owner's repositories, so no hash of ``live`` is hot; written, the occurrences and the
     # verdicts have exchanges of their own, which skew handling can split for the widely copied ones
     live = materialize(live, "secret-live")
     return _hashed(scanned).join(live, "value_hash", "left_semi").groupBy("row_id").agg(F.sort_array(F.collect_list("span")).alias("live"))

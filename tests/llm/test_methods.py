@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
@@ -278,6 +279,21 @@ def test_a_value_copied_inside_one_source_is_an_example(spark):
     assert [r["doc_id"] for r in scanned.join(secret_scan.live_spans(scanned), "row_id").collect()] == [100]
 
 
+def test_verdicts_know_the_size_of_an_owner(spark):
+    """Each value is decided by one criterion, or by both, given the sizes of owners."""
+    own, small, mirrored, spread, both = ("Aa1" + f"{c}q7W6x5" * 3 for c in "bcdef")
+    data = [(i, f"token = 'filler{i:06d}'", "large") for i in range(900)] + [(1000 + i, f"token = 'others{i:06d}'", f"o{i % 10}") for i in range(100)]
+    data += [(2000 + i, own, "large") for i in range(20)]  # 20 of some 1,000: within the root
+    data += [(3000 + i, small, "o1") for i in range(9)]  # 9 of some 40: beyond it
+    data += [(4000 + i, mirrored, "o2") for i in range(4)] + [(4010 + i, mirrored, f"o{5 + i}") for i in range(3)]  # four owners, but it is o2's
+    data += [(5000 + i, spread, f"o{i}") for i in range(4)] + [(5010 + i, spread, "large") for i in range(5)]  # more than half with the large owner, as its size predicts
+    data += [(6000 + i, both, f"o{i % 6}") for i in range(60)]
+    scanned = secret_scan.scan(spark.createDataFrame(data, "doc_id long, text string, source string"))
+    keys = {sha256(v.encode()).hexdigest(): v for v in (own, small, mirrored, spread, both)}
+    got = {keys[r["value_hash"]]: (r["spread"], r["copied"]) for r in secret_scan.verdicts(scanned).collect() if r["value_hash"] in keys}
+    assert got == {own: (False, False), small: (False, True), mirrored: (False, False), spread: (True, False), both: (True, True)}
+
+
 def test_contexts_discover_unseen_identifiers(spark):
     df = spark.createDataFrame(_unseen(), "doc_id long, text string")
     scanned = pii.scan(df)
