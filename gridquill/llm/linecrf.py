@@ -20,7 +20,8 @@ document that was copied a thousand times are not. Occurrences are counted over
 the bar is the same for a corpus of any size. What is broadcast are the hashes of the sample's lines.
 
 Training is iterative parameter mixing: in each round every partition of the labelled lines takes
-gradient steps from the common parameters, and the results are averaged by number of documents.
+gradient steps from the common parameters, and the results are averaged by number of documents, a word's over the
+partitions that hold it; the averages are a Spark aggregation, so the driver gets each parameter once.
 It takes a bounded sample of labelled documents (``max_docs``), whole.
 """
 
@@ -47,6 +48,8 @@ _UPPER = re.compile(rb"[A-Z]")
 _STOPS = re.compile(rb"[.!?]")
 FEATURES = 16
 BUCKETS = 1 << 14  # of words
+DENSE = 2 * FEATURES + 6  # parameters before those of the words
+FIXED = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -243,7 +246,8 @@ def gradient(x, y, of, offsets, weight, crf: Crf, words=None):
 
 
 def _mixing_round(shared, cfg: CrfConfig):
-    """Gradient steps over the sequences of one partition; gives parameters and documents."""
+    """Gradient steps over the sequences of one partition; gives, by position, the parameters times the
+    documents, and the documents. Weights of words that the partition does not hold are left out."""
 
     def run(batches):
         crf, balance = shared.value
@@ -263,7 +267,8 @@ def _mixing_round(shared, cfg: CrfConfig):
         # a document counts once, whatever its length, and both kinds of document alike
         weight = np.array([balance[quality[i]] / len(sequences[i][1]) for i in order])
         params = [crf.weights.copy(), crf.moves.copy(), crf.start.copy(), crf.lexicon.copy()]
-        speed, seen = [np.zeros_like(a) for a in params[:3]], np.zeros_like(crf.lexicon)
+        here = np.unique(words[1]).astype(np.int64)  # only words of this partition move
+        speed, seen = [np.zeros_like(a) for a in params[:3]], np.zeros((len(here), 2))
         for _ in range(cfg.steps):
             *dense, lexical = gradient(*batch, weight, Crf(*params), words)
             for a, g, v in zip(params, dense, speed, strict=False):
@@ -271,11 +276,14 @@ def _mixing_round(shared, cfg: CrfConfig):
                 v += g / weight.sum() - cfg.l2 * a
                 a += cfg.rate * v
             # words differ in frequency by orders of magnitude: steps go by the gradients seen so far
-            g = lexical / weight.sum() - cfg.word_l2 * params[3]
+            g = lexical[here] / weight.sum() - cfg.word_l2 * params[3][here]
             seen += g * g
-            params[3] += cfg.word_rate * g / (np.sqrt(seen) + 1e-9)
-        flat = np.concatenate([a.ravel() for a in params])
-        yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64())), pa.array([float(len(sequences))])], names=["params", "docs"])
+            params[3][here] += cfg.word_rate * g / (np.sqrt(seen) + 1e-9)
+        at = np.concatenate([np.arange(DENSE), (DENSE + 2 * here[:, None] + [0, 1]).ravel()])
+        flat = np.concatenate([a.ravel() for a in params])[at]
+        # in fixed point, so that sums do not depend on their order
+        docs = np.full(len(at), len(sequences), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.rint(flat * docs * FIXED).astype(np.int64)), pa.array(docs)], names=["at", "total", "docs"])
 
     return run
 
@@ -291,10 +299,13 @@ def train(lines: DataFrame, cfg: CrfConfig = CrfConfig()) -> Crf:
     balance = {1: 0.5 * n / max(1, marks[0]), 0: 0.5 * n / max(1, marks[1])}
     for _ in range(cfg.rounds):
         shared = lines.sparkSession.sparkContext.broadcast((crf, balance))
-        got = lines.select("x", "y", "quality", "w", "n").mapInArrow(_mixing_round(shared, cfg), "params array<double>, docs double").collect()
-        flat = np.average([r["params"] for r in sorted(got, key=lambda r: (r["docs"], r["params"]))], axis=0, weights=sorted(r["docs"] for r in got))
+        each = lines.select("x", "y", "quality", "w", "n").mapInArrow(_mixing_round(shared, cfg), "at long, total long, docs long")
+        got = each.groupBy("at").agg(F.sum("total").alias("total"), F.sum("docs").alias("docs")).toArrow()
+        at, total, docs = (got.column(i).to_numpy() for i in range(3))
+        flat = np.concatenate([a.ravel() for a in (crf.weights, crf.moves, crf.start, crf.lexicon)])
+        flat[at] = total / FIXED / docs
         k = FEATURES * 2
-        crf = Crf(flat[:k].reshape(FEATURES, 2), flat[k : k + 4].reshape(2, 2), flat[k + 4 : k + 6], flat[k + 6 :].reshape(BUCKETS, 2))
+        crf = Crf(flat[:k].reshape(FEATURES, 2), flat[k : k + 4].reshape(2, 2), flat[k + 4 : DENSE], flat[DENSE:].reshape(BUCKETS, 2))
     return crf
 
 
