@@ -4,13 +4,16 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
+from gridquill.functions import text as X
 from gridquill.operators import grams, ivf, lexical, search
+from gridquill.plans import catalogue
 
 
 def _bm25(docs, question, limit, scope=None):
@@ -78,6 +81,54 @@ def test_any_match_and_flat_index_agree(spark, corpus):
     assert rows(search.phrase_hits(post, q), "query_id", "phrase_no", "ref_id", "tf") == rows(search.phrase_hits(index, q), "query_id", "phrase_no", "ref_id", "tf")
 
 
+@pytest.mark.parametrize("scoped", [False, True])
+def test_a_scan_answers_like_plain_loops(spark, corpus, scoped, monkeypatch):
+    docs, frame = corpus
+    monkeypatch.setattr(lexical, "SCAN_TERMS", 700)
+    questions = ["the", "the of", "the of and", "w3", "the w5 w9", "w1 w2", "the-of w7", "and-the", "nowhere the", "-", "of the the", "the-the-of", "the-of the-of-and"]
+    q = spark.createDataFrame([(i, t, i % 7 if scoped else None, None) for i, t in enumerate(questions)], "query_id long, question string, folder_id long, document_id long")
+    more = spark.createDataFrame([(1000, None), (1001, ""), (1002, "- . -")], "id long, text string")
+    found = search.scan(search.term_lists(frame.select("id", "text").unionByName(more), "id", "text"), q)
+    assert found.n_rows == len(docs)
+    got = {}
+    for r in search.fts_recall(found, q, frame, limit=5).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["chunk_id"]
+    for i, t in enumerate(questions):
+        scope = {x for x in docs if x % 7 == i % 7} if scoped else None
+        assert [v for _, v in sorted(got.get(i, {}).items())] == _bm25(docs, t, 5, scope), t
+    index = lexical.build_index(search.postings(frame, "id", "text"), 8)
+    assert rows(search.phrase_hits(found, q), "query_id", "phrase_no", "ref_id", "tf") == rows(search.phrase_hits(index, q), "query_id", "phrase_no", "ref_id", "tf")
+    for match in ("any", "all"):
+        a, b = (sorted((r["query_id"], r["ref_id"], round(r["score"], 9)) for r in search.bm25(p, q, match).collect()) for p in (found, index))
+        assert a == b
+
+
+def test_a_scan_of_nothing(spark):
+    none = spark.createDataFrame([], "id long, text string")
+    q = spark.createDataFrame([(1, "a"), (2, "b-c a")], "query_id long, question string")
+    few = spark.createDataFrame([(1, "b c"), (2, "a b c")], "id long, text string")
+    assert search.bm25(search.scan(search.term_lists(none, "id", "text"), q), q).count() == 0
+    assert search.bm25(search.scan(search.term_lists(few, "id", "text"), q.where("false")), q.where("false")).count() == 0
+    assert rows(search.bm25(search.scan(search.term_lists(few, "id", "text"), q), q), "query_id", "ref_id") == [(1, 2), (2, 2)]
+
+
+def test_index_terms_are_those_of_the_index_text(spark):
+    texts = ["見るABCです 12・3", "ΑΣ見ΣΑ ΟΔΟΣ", "a\u00a0b\u3000c\u2003d\u0085e", "É_x-Y.z9", "", " ", "ーｱｲ゠İI\u200bJ", "x\u30ffy\u4dffz\u9fffw"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", X.index_terms(F.col("t")).alias("a"), X.terms(X.index_text(F.col("t"))).alias("b")).collect():
+        assert r["a"] == r["b"], r["t"]
+
+
+@pytest.mark.parametrize("name", ["bm25_chunks_and_summaries"])
+def test_lexical_queries_store_no_postings(spark, sf, name):
+    """A stated batch of questions leaves a short row per text behind, no row per text and term."""
+    top = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"), "gridquill")
+    before = set(top.glob("*"))
+    catalogue.QUERIES[name](spark, sf).count()
+    new = {p.name.rsplit("-", 1)[0] for p in set(top.glob("*")) - before}
+    assert "scanned" in new and not new & {"row-terms", "postings", "lengths", "phrase-hits"}
+
+
 def test_like_by_grams(spark):
     rng = random.Random(2)
     text = lambda: "".join(rng.choice("AB_C1-2 x") for _ in range(rng.randint(0, 30)))
