@@ -119,7 +119,7 @@ def test_index_terms_are_those_of_the_index_text(spark):
         assert r["a"] == r["b"], r["t"]
 
 
-@pytest.mark.parametrize("name", ["bm25_chunks_and_summaries", "rrf_fusion", "phrase_match", "hybrid_search"])
+@pytest.mark.parametrize("name", ["bm25_chunks_and_summaries", "rrf_fusion", "phrase_match", "hybrid_search", "bm25_topk"])
 def test_lexical_queries_store_no_postings(spark, sf, name):
     """A stated batch of questions leaves a short row per text behind, no row per text and term."""
     top = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"), "gridquill")
