@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..storage import stored
 from .cells import dump_text, row_text, with_indent
 from .classify import header_rows
 
 MEMO_LIMIT = 1200
 BATCH = 20
+#: Tables are worked on by so many cells a task, as partitions joined by their compressed size can be large in memory, and by blocks of rows.
+TASK_CELLS, BLOCK_ROWS = 250_000, 10_000
 
 
 def _ordered(key: str, value: str, sep: str) -> Column:
@@ -47,20 +50,49 @@ def table_headers(cells: DataFrame) -> DataFrame:
     return cells.join(header_rows(cells, top=10), "sheet_id").where("row = header_row").select("sheet_id", "header_row", "col", F.col("text").alias("header"))
 
 
-def table_values(cells: DataFrame) -> DataFrame:
-    """Long form (sheet_id, row, col, header, value): every data row by header column, blanks
-    filled from above; columns without a header are dropped."""
-    head = table_headers(cells)
-    rows = cells.join(head.select("sheet_id", "header_row").distinct(), "sheet_id").where("row > header_row").select("sheet_id", "row").distinct()
-    grid = rows.join(head.select("sheet_id", "col", "header"), "sheet_id").join(cells.select("sheet_id", "row", "col", "text"), ["sheet_id", "row", "col"], "left")
-    above = Window.partitionBy("sheet_id", "col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    return grid.select("sheet_id", "row", "col", "header", F.coalesce(F.last(F.nullif("text", F.lit("")), True).over(above), F.lit("")).alias("value"))
+def _kept(cells: DataFrame) -> tuple[DataFrame, int, bool]:
+    """The cells stored once, the number of tasks for them, and whether a sheet is taller than a block."""
+    kept = stored(cells.select("sheet_id", "row", "col", "text", "bold", "fill_color"), "table-cells")
+    n, last = kept.agg(F.count("*"), F.max("row")).first()
+    return kept, max(1, -(-n // TASK_CELLS)), (last or 0) >= BLOCK_ROWS
+
 
+def _block(row: str = "row") -> Column:
+    return F.floor(F.col(row) / BLOCK_ROWS).alias("block")
 
-def table_records(values: DataFrame) -> DataFrame:
+
+def table_values(cells: DataFrame) -> DataFrame:
+    """Long form (sheet_id, row, col, header, value): every data row by header column, blanks
+    filled from above; columns without a header are dropped. Tall sheets are filled in blocks of rows, each of which
+    begins with the last value above it."""
+    return _values(*_kept(cells))
+
+
+def _values(cells: DataFrame, tasks: int, tall: bool) -> DataFrame:
+    head = stored(table_headers(cells), "table-headers")
+    own = cells.join(head.select("sheet_id", "header_row").distinct(), "sheet_id").where("row > header_row").drop("header_row")
+    grid = own.select("sheet_id", "row").distinct().join(head.select("sheet_id", "col", "header"), "sheet_id").repartition(tasks, "sheet_id", "row", "col")
+    grid = grid.join(cells.select("sheet_id", "row", "col", "text").repartition(tasks, "sheet_id", "row", "col"), ["sheet_id", "row", "col"], "left")
+    grid = grid.withColumns({"text": F.nullif("text", F.lit("")), "block": _block()}).repartition(tasks, "sheet_id", "col", "block")
+    above = Window.partitionBy("sheet_id", "col", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    grid = grid.withColumn("filled", F.last("text", True).over(above))
+    carried = F.lit("")
+    if tall:
+        # per block the row of the last value above it, then that value
+        last = own.where("text <> ''").groupBy("sheet_id", "col", _block()).agg(F.max("row").alias("last"))
+        blocks = own.select("sheet_id", _block()).distinct().join(head.select("sheet_id", "col"), "sheet_id")
+        before = Window.partitionBy("sheet_id", "col").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        wanted = blocks.join(last, ["sheet_id", "col", "block"], "left").withColumn("row", F.last("last", True).over(before)).where("row is not null").select("sheet_id", "col", "block", "row")
+        carry = stored(own.select("sheet_id", "row", "col", F.col("text").alias("carried")).join(wanted, ["sheet_id", "row", "col"]).drop("row"), "table-carry")
+        grid, carried = grid.join(carry, ["sheet_id", "col", "block"], "left"), F.coalesce("carried", F.lit(""))
+    return grid.select("sheet_id", "row", "col", "header", F.coalesce("filled", carried).alias("value"))
+
+
+def table_records(values: DataFrame, tasks: int = 1, tall: bool = False) -> DataFrame:
     """sheet_id, row, record_no (from 0), text ("k: v ; ..."), markdown row. A record is keyed by
     header text: of repeated headers the right-most column gives the value. Rows of only blanks
-    are no records."""
+    are no records. ``tall``: records are stored and counted by block first, then numbered within blocks."""
+    values = values.repartition(tasks, "sheet_id", "row") if tasks > 1 else values
     keyed = values.withColumns({"shown": F.last("value").over(Window.partitionBy("sheet_id", "row", "header").orderBy("col").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "first": F.min("col").over(Window.partitionBy("sheet_id", "row", "header"))})
     pair = F.when((F.col("col") == F.col("first")) & (F.col("shown") != ""), F.struct("col", F.concat_ws(": ", "header", "shown").alias("kv")))
     rows = keyed.groupBy("sheet_id", "row").agg(
@@ -68,7 +100,13 @@ def table_records(values: DataFrame) -> DataFrame:
         F.concat(F.lit("| "), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col", F.replace("shown", F.lit("\n"), F.lit(" ")).alias("v")))), lambda x: x["v"]), " | "), F.lit(" |")).alias("markdown_row"),
     )
     rows = rows.where("text <> ''")
-    return rows.withColumn("record_no", F.row_number().over(Window.partitionBy("sheet_id").orderBy("row")) - 1)
+    if not tall:
+        return rows.withColumn("record_no", F.row_number().over(Window.partitionBy("sheet_id").orderBy("row")) - 1)
+    rows = stored(rows.withColumn("block", _block()), "table-records")
+    before = Window.partitionBy("sheet_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = stored(rows.groupBy("sheet_id", "block").agg(F.count("*").alias("n")).select("sheet_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "table-blocks")
+    numbered = rows.repartition(tasks, "sheet_id", "block").withColumn("i", F.row_number().over(Window.partitionBy("sheet_id", "block").orderBy("row")) - 1)
+    return numbered.join(base, ["sheet_id", "block"]).select("sheet_id", "row", "text", "markdown_row", (F.col("base") + F.col("i")).alias("record_no"))
 
 
 def batch_numbers(record_no: Column, size: int = BATCH) -> Column:
@@ -81,7 +119,9 @@ def batch_numbers(record_no: Column, size: int = BATCH) -> Column:
 
 
 def table_chunks(cells: DataFrame, sheets: DataFrame, size: int = BATCH) -> DataFrame:
-    records = table_records(table_values(cells)).withColumn("batch", F.explode(batch_numbers(F.col("record_no"), size)))
+    cells, tasks, tall = _kept(cells)
+    records = table_records(_values(cells, tasks, tall), tasks, tall).withColumn("batch", F.explode(batch_numbers(F.col("record_no"), size)))
+    records = records.repartition(tasks, "sheet_id", "batch")
     head = table_headers(cells).groupBy("sheet_id").agg(_ordered("col", "header", " | ").alias("headers"), F.count("*").alias("width"))
     out = records.groupBy("sheet_id", "batch").agg(F.min("row").alias("row_min"), F.max("row").alias("row_max"), F.count("*").alias("row_count"), _ordered("row", "text", "\n").alias("text"), _ordered("row", "markdown_row", "\n").alias("body"))
     out = out.join(head, "sheet_id").join(sheets.select("sheet_id", "name"), "sheet_id")

@@ -1,6 +1,7 @@
 """Hand-made grids; expected values worked out from the rules."""
 
 import random
+from collections import Counter
 
 import pytest
 from helpers import rows
@@ -145,3 +146,36 @@ def test_empty_grid(spark):
     g, s = grid(spark, []), sheets(spark, "x")
     for df in (parsers.history_entries(g), parsers.table_chunks(g, s), parsers.memo_chunks(g, s), parsers.data_dictionary(g), cells.dump_text(g)):
         assert df.count() == 0
+
+
+@pytest.mark.parametrize("tall", [False, True])
+def test_tall_tables_are_cut_into_blocks(spark, monkeypatch, tall):
+    """One sheet of 400 rows: values filled across blocks, batches numbered across them, no task with a whole column."""
+    rng = random.Random(4)
+    monkeypatch.setattr(parsers, "TASK_CELLS", 60)
+    if tall:
+        monkeypatch.setattr(parsers, "BLOCK_ROWS", 8)
+    grid = {(r, c): rng.choice(["", "", "", None, f"v{r}.{c}"]) for r in range(2, 402) for c in (1, 2, 3) if rng.random() < 0.5 and not (c == 2 and r < 40)}
+    data = [(1, 1, c, f"h{c}", True) for c in (1, 2, 3)] + [(1, r, c, t, False) for (r, c), t in grid.items()]
+    g = spark.createDataFrame(data, "sheet_id long, row int, col int, text string, bold boolean").withColumn("fill_color", F.lit(None).cast("string"))
+    want, last = {}, {}
+    for r in sorted({r for r, _ in grid}):
+        for c in (1, 2, 3):
+            last[c] = grid.get((r, c)) or last.get(c, "")
+            want[r, c] = last[c]
+    values = parsers.table_values(g)
+    got = values.withColumn("task", F.spark_partition_id()).collect()
+    assert {(x["row"], x["col"]): x["value"] for x in got} == want and len(got) == len(want)
+    if tall:
+        assert max(Counter(x["task"] for x in got).values()) < 300
+    records = [r for r in sorted({r for r, _ in want}) if any(want[r, c] for c in (1, 2, 3))]
+    batches = {}
+    for i, r in enumerate(records):
+        batches.setdefault(i // 19, []).append(r)
+        if i and i % 19 == 0:
+            batches[i // 19 - 1].append(r)
+    out = parsers.table_chunks(g, spark.createDataFrame([(1, "t")], "sheet_id long, name string")).collect()
+    assert {x["chunk_order"]: (x["row_min"], x["row_max"], x["row_count"]) for x in out} == {b: (r[0], r[-1], len(r)) for b, r in batches.items()}
+    for x in out:
+        shown = [" ; ".join(f"h{c}: {want[r, c]}" for c in (1, 2, 3) if want[r, c]) for r in batches[x["chunk_order"]]]
+        assert x["text"] == "\n".join(shown)
