@@ -150,7 +150,7 @@ def test_empty_grid(spark):
 
 @pytest.mark.parametrize("tall", [False, True])
 def test_tall_tables_are_cut_into_blocks(spark, monkeypatch, tall):
-    """One sheet of 400 rows: values filled across blocks, batches numbered across them, no task with a whole column."""
+    """One sheet of 400 rows: values filled across blocks, batches numbered across them, no task with a whole column, in table_forward_fill and table_batches alike."""
     rng = random.Random(4)
     monkeypatch.setattr(parsers, "TASK_CELLS", 60)
     if tall:
