@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from .cells import with_indent
 
 LEAST_CONFIDENCE = 0.55
 
@@ -24,13 +23,14 @@ def header_rows(cells: DataFrame, top: int = 8) -> DataFrame:
 
 def basic_features(cells: DataFrame) -> DataFrame:
     """Per sheet: cells, rows, share of rows led by a date, indent levels, font colours."""
-    grid = with_indent(cells)
-    rows = grid.groupBy("sheet_id", "row").agg(F.min_by("text", "col").alias("first"), F.count("*").alias("n"), F.min("indent_level").alias("indent"))
+    # the levels are the ranks of the rows' left-most columns, so there are as many as such columns
+    dated = F.min_by(F.col("text").rlike(X.ROW_DATE).cast("int"), "col").alias("dated")
+    rows = cells.groupBy("sheet_id", "row").agg(dated, F.count("*").alias("n"), F.min("col").alias("leftmost"))
     per = rows.groupBy("sheet_id").agg(
         F.sum("n").alias("n_cells"),
         F.count("*").alias("n_rows"),
-        F.sum(F.col("first").rlike(X.ROW_DATE).cast("int")).alias("date_rows"),
-        F.countDistinct("indent").alias("n_indents"),
+        F.sum("dated").alias("date_rows"),
+        F.countDistinct("leftmost").alias("n_indents"),
     )
     colors = cells.where("font_color is not null").groupBy("sheet_id").agg(F.countDistinct("font_color").alias("n_colors"))
     return per.join(colors, "sheet_id", "left").withColumn("n_colors", F.coalesce("n_colors", F.lit(0)))

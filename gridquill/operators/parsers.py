@@ -309,13 +309,15 @@ def dispatch(sheets: DataFrame, cells: DataFrame, classified: DataFrame, images:
     and codes (``context``, by default those of ``document_context``) to its other sheets. Index sheets use
     the table parser, whatever is left the generic one; a screen sheet without images gives its text. Image
     descriptions are JSON, rendered as text."""
-    kind = classified.select("sheet_id", "sheet_type")
-    pick = lambda *t: cells.join(kind.where(F.col("sheet_type").isin(*t)), "sheet_id", "left_semi")
+    kind = stored(classified.select("sheet_id", "sheet_type").distinct(), "sheet-types")
+    # the cells once, a folder per type, so that each parser reads its own
+    placed = stored(cells.join(kind, "sheet_id"), "cells-by-type", "sheet_type")
+    pick = lambda *t: placed.where(F.col("sheet_type").isin(*t)).drop("sheet_type")
     of = lambda *t: sheets.join(kind.where(F.col("sheet_type").isin(*t)), "sheet_id", "left_semi")
     cols = ["sheet_id", "chunk_order", "text", "markdown", "hierarchy_path"]
     none = F.array().cast("array<string>")
     part = lambda df, k, e: df.select(*(F.col(c).cast("long") if c == "chunk_order" else F.col(c) for c in cols), F.lit(k).alias("kind"), F.lit(e).alias("enrich_eligible"), (F.col("jira_tags") if "jira_tags" in df.columns else none).alias("jira_tags"))
-    legend, codes, _ = context or document_context(sheets, cells, classified, vision)
+    legend, codes, _ = context or document_context(sheets, pick("cover"), kind, vision)
     if images is None:
         images = sheets.select("sheet_id").where("false").withColumns({"image_index": F.lit(0), "anchor_cell": F.lit(""), "description": F.lit("")})
     described = images.withColumn("description", F.when(F.col("description").isNotNull(), X.render_description(X.json_or_empty(F.col("description")))))

@@ -179,3 +179,13 @@ def test_tall_tables_are_cut_into_blocks(spark, monkeypatch, tall):
     for x in out:
         shown = [" ; ".join(f"h{c}: {want[r, c]}" for c in (1, 2, 3) if want[r, c]) for r in batches[x["chunk_order"]]]
         assert x["text"] == "\n".join(shown)
+
+
+def test_dispatch_classifies_and_places_cells_once(spark):
+    """The parsers read stored cells of their types; none of them carries the classification in its plan."""
+    g, s = grid(spark, TABLE), sheets(spark, "テーブル定義")
+    out = parsers.dispatch(s, g, classify.classify(s, g))
+    assert {r["kind"] for r in out.collect()} == {"table_batch"}
+    assert "alike_rows" not in out._jdf.queryExecution().optimizedPlan().toString()
+    f = classify.classify(s, g)
+    assert "alike_rows" in f._jdf.queryExecution().optimizedPlan().toString()
