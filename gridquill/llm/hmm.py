@@ -179,40 +179,47 @@ def time_major(seqs: list[np.ndarray], block: int):
 
 
 def forward(symbols, offsets, active, p: Params):
-    """Scaled forward probabilities, the scales of every step, log likelihood by sequence."""
+    """Scaled forward probabilities, the scales of every step, log likelihood by sequence. What need not go
+    step by step is done for all steps at once."""
     b = p.emit[symbols]
-    alpha, scale = np.empty_like(b), np.empty(len(symbols))
-    log = np.zeros(active[0])
-    now = p.start * b[: active[0]]
-    for t in range(len(active)):
+    alpha, scale, one = np.empty_like(b), np.empty(len(symbols)), np.ones(len(p.start))
+    bounds, last = offsets.tolist(), 0
+    for t, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        here, c = alpha[i:j], scale[i:j]
         if t:
-            now = (now[: active[t]] @ p.moves) * b[offsets[t] : offsets[t + 1]]
-        c = now.sum(1)
-        now = now / c[:, None]
-        alpha[offsets[t] : offsets[t + 1]] = now
-        scale[offsets[t] : offsets[t + 1]] = c
-        log[: active[t]] += np.log(c)
-    return b, alpha, scale, log
+            np.matmul(alpha[last : last + j - i], p.moves, out=here)
+            here *= b[i:j]
+        else:
+            np.multiply(b[i:j], p.start, out=here)
+        np.matmul(here, one, out=c)
+        here /= c[:, None]
+        last = i
+    row = np.arange(len(symbols)) - np.repeat(offsets[:-1], active)
+    return b, alpha, scale, np.bincount(row, np.log(scale), active[0])
 
 
 def expected(seqs: list[np.ndarray], p: Params, block: int):
     """Baum-Welch counts: (start, moves, emit, log likelihood)."""
     k = len(p.start)
     start, moves, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros_like(p.emit), 0.0
+    back = np.ascontiguousarray(p.moves.T)
     for _, symbols, offsets, active in time_major(seqs, block):
         b, alpha, scale, log = forward(symbols, offsets, active, p)
         total += log.sum()
         b /= scale[:, None]
-        beta = np.ones((active[-1], k))
-        back = p.moves.T
-        for t in range(len(active) - 1, -1, -1):
-            here = slice(offsets[t], offsets[t + 1])
-            if t < len(active) - 1:
-                ahead = beta * b[offsets[t + 1] : offsets[t + 2]]
-                moves += alpha[offsets[t] : offsets[t] + len(ahead)].T @ ahead
-                beta = np.ones((active[t], k))
-                beta[: len(ahead)] = ahead @ back
-            alpha[here] *= beta
+        beta, bounds = np.ones_like(b), offsets.tolist()
+        for t in range(len(active) - 1, 0, -1):
+            # b becomes what lies ahead of the step before
+            i, j, low = bounds[t], bounds[t + 1], bounds[t - 1]
+            ahead = b[i:j]
+            ahead *= beta[i:j]
+            np.matmul(ahead, back, out=beta[low : low + j - i])
+        first = bounds[1]
+        before = np.arange(first, len(symbols)) - np.repeat(active[:-1], active[1:])
+        for i in range(0, len(before), 100_000):
+            at = before[i : i + 100_000]
+            moves += alpha[at].T @ b[first + i : first + i + len(at)]
+        alpha *= beta
         start += alpha[: active[0]].sum(0)
         for s in range(k):
             emit[:, s] += np.bincount(symbols, alpha[:, s], len(emit))

@@ -663,3 +663,18 @@ def test_every_round_of_the_chain_reads_all_training_rows(spark, monkeypatch):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a b c d "), 2500).alias("text"))  # 4 million tokens
     hmm.score_texts(docs, F.lit(True), hmm.HmmConfig(rounds=3, symbols=64))
     assert seen == [400] * 3
+
+
+def test_expected_counts_do_not_depend_on_blocks():
+    """Sequences of one block or of many give the same counts, which add up to sequences, moves and tokens."""
+    rng = np.random.default_rng(5)
+    seqs = [rng.integers(0, 40, n) for n in (1, 7, 30, 30, 200)]
+    emit, moves = rng.random((40, 3)), rng.random((3, 3))
+    p = hmm.Params(np.full(3, 1 / 3), moves / moves.sum(1, keepdims=True), emit / emit.sum(0))
+    (_, symbols, offsets, active), = hmm.time_major(seqs, 10_000)
+    _, alpha, scale, log = hmm.forward(symbols, offsets, active, p)
+    assert np.allclose(alpha.sum(1), 1) and np.isclose(np.log(scale).sum(), log.sum())
+    start, moved, out, total = hmm.expected(seqs, p, 10_000)
+    for small in (1, 40, 250):
+        assert all(np.allclose(a, b) for a, b in zip((start, moved, out, total), hmm.expected(seqs, p, small), strict=True))
+    assert np.isclose(start.sum(), 5) and np.isclose(moved.sum(), sum(map(len, seqs)) - 5) and np.isclose(out.sum(), sum(map(len, seqs)))
