@@ -22,10 +22,9 @@ The likelihood is exact: a scaled forward recursion over every whole text.
 
 from __future__ import annotations
 
-import math
-from array import array
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain, repeat
 from zlib import crc32
 
 import numpy as np
@@ -90,15 +89,18 @@ class Lexicon:
         by_hash = np.argsort(h)
         return cls({words[i]: s for s, i in enumerate(order[: cfg.symbols])}, h[by_hash], np.array(counts, np.int64)[by_hash])
 
-    def count(self, word: bytes) -> int:
-        """The count of a frequent word, 0 for any other."""
-        h = np.uint64(xxhash.xxh3_64_intdigest(word))
-        at = int(np.searchsorted(self.hashes, h))
-        return int(self.counts[at]) if at < len(self.hashes) and self.hashes[at] == h else 0
+    def count(self, words: list[bytes]) -> np.ndarray:
+        """The counts of frequent words, 0 for any other."""
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        if not len(self.hashes):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.counts[at], 0)
 
 
 class _Codes(dict):
-    """Word -> place in growing arrays of symbols, logarithms of counts, and whether the word is rare."""
+    """Word -> place in arrays of symbols, logarithms of counts, and whether the word is rare. New words get a place when
+    they are met; ``learn`` fills the places of all of them at once."""
 
     def __init__(self, lexicon: Lexicon, cfg: HmmConfig):
         super().__init__()
@@ -106,20 +108,25 @@ class _Codes(dict):
         self.forget()
 
     def __missing__(self, word: bytes) -> int:
-        s, log, rare = self.lexicon.symbols.get(word), 0.0, 0
-        if s is None:
-            s = self.cfg.symbols + 1 + crc32(word[-3:]) % self.cfg.buckets
-            c = self.lexicon.count(word)
-            log, rare = (math.log10(c + 0.5), 0) if c else (0.0, 1)
-        at = self[word] = len(self.symbol)
-        self.symbol.append(s)
-        self.log.append(log)
-        self.rare.append(rare)
+        at = self[word] = len(self)
+        self.new.append(word)
         return at
 
+    def learn(self) -> None:
+        new, cfg = self.new, self.cfg
+        s = np.fromiter(map(self.lexicon.symbols.get, new, repeat(-1)), np.int64, len(new))
+        own = s >= 0
+        c = self.lexicon.count(new)
+        kind = cfg.symbols + 1 + np.fromiter((crc32(w[-3:]) for w in new), np.int64, len(new)) % cfg.buckets
+        self.symbol = np.concatenate([self.symbol, np.where(own, s, kind).astype(np.uint16)])
+        self.log = np.concatenate([self.log, np.where(own | (c == 0), 0.0, np.log10(c + 0.5))])
+        self.rare = np.concatenate([self.rare, ~own & (c == 0)])
+        self.new = []
+
     def forget(self) -> None:
         self.clear()
-        self.symbol, self.log, self.rare = array("H"), array("d"), array("b")
+        self.new: list[bytes] = []
+        self.symbol, self.log, self.rare = np.zeros(0, np.uint16), np.zeros(0), np.zeros(0, bool)
 
 
 TOKENS = "train boolean, symbols binary, near_log double, near_known long, rare array<binary>"
@@ -132,17 +139,24 @@ def _encode(shared, cfg: HmmConfig):
             for at, end, texts in slices(b.column(3)):
                 if len(codes) > 300_000:
                     codes.forget()
-                words = [*map(lower_words, texts)]
-                each = [np.fromiter(map(codes.__getitem__, w), np.int64, len(w)) for w in words]
-                symbol, log, rare = np.array(codes.symbol), np.array(codes.log), np.array(codes.rare, bool)
-                symbols = [symbol[e] for e in each]
+                words, n = [*map(lower_words, texts)], len(texts)
+                size = np.fromiter(map(len, words), np.int64, n)
+                flat = [*chain.from_iterable(words)]
+                code = np.fromiter(map(codes.__getitem__, flat), np.int64, len(flat))
+                codes.learn()
+                symbol, rare, row = codes.symbol[code], codes.rare[code], np.repeat(np.arange(n), size)
+                ends = np.concatenate([[0], np.cumsum(size + 1)])  # an end follows the words of each text
+                symbols = np.full(ends[-1], cfg.end, "<u2")
+                symbols[np.arange(len(flat)) + row] = symbol
+                near = (symbol > cfg.end) & ~rare
+                far = np.flatnonzero(rare)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(b.column(i).slice(at, end - at) for i in range(3)),
-                        pa.array([np.append(s, np.uint16(cfg.end)).astype("<u2").tobytes() for s in symbols], pa.binary()),
-                        pa.array([float(log[e].sum()) for e in each]),
-                        pa.array([int(((s > cfg.end) & ~rare[e]).sum()) for e, s in zip(each, symbols, strict=True)], pa.int64()),
-                        pa.array([[w[i] for i in np.flatnonzero(rare[e])] for e, w in zip(each, words, strict=True)], pa.list_(pa.binary())),
+                        pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(symbols)]),
+                        pa.array(np.bincount(row, codes.log[code], n)),
+                        pa.array(np.bincount(row[near], minlength=n)),
+                        pa.ListArray.from_arrays(np.searchsorted(row[far], np.arange(n + 1)).astype(np.int32), pa.array([flat[i] for i in far.tolist()], pa.binary())),
                     ],
                     names=["row_id", "doc_id", "train", "symbols", "near_log", "near_known", "rare"],
                 )
@@ -156,6 +170,10 @@ class Params:
     moves: np.ndarray
     emit: np.ndarray  # (alphabet, states)
 
+    def single(self) -> Params:
+        """In single precision, for expected counts: every step is scaled, so errors do not add up."""
+        return Params(*(x.astype(np.float32) for x in (self.start, self.moves, self.emit)))
+
 
 def time_major(seqs: list[np.ndarray], block: int):
     """Yields (rows, symbols, offsets, active): sequences sorted by length, longest first, cut
@@ -182,7 +200,7 @@ def forward(symbols, offsets, active, p: Params):
     """Scaled forward probabilities, the scales of every step, log likelihood by sequence. What need not go
     step by step is done for all steps at once."""
     b = p.emit[symbols]
-    alpha, scale, one = np.empty_like(b), np.empty(len(symbols)), np.ones(len(p.start))
+    alpha, scale, one = np.empty_like(b), np.empty(len(symbols), b.dtype), np.ones(len(p.start), b.dtype)
     bounds, last = offsets.tolist(), 0
     for t, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
         here, c = alpha[i:j], scale[i:j]
@@ -199,9 +217,10 @@ def forward(symbols, offsets, active, p: Params):
 
 
 def expected(seqs: list[np.ndarray], p: Params, block: int):
-    """Baum-Welch counts: (start, moves, emit, log likelihood)."""
+    """Baum-Welch counts: (start, moves, emit, log likelihood), added up in double precision; what a step
+    computes has that of ``p``."""
     k = len(p.start)
-    start, moves, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros_like(p.emit), 0.0
+    start, moves, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros(p.emit.shape), 0.0
     back = np.ascontiguousarray(p.moves.T)
     for _, symbols, offsets, active in time_major(seqs, block):
         b, alpha, scale, log = forward(symbols, offsets, active, p)
@@ -220,7 +239,7 @@ def expected(seqs: list[np.ndarray], p: Params, block: int):
             at = before[i : i + 100_000]
             moves += alpha[at].T @ b[first + i : first + i + len(at)]
         alpha *= beta
-        start += alpha[: active[0]].sum(0)
+        start += alpha[: active[0]].sum(0, dtype=float)
         for s in range(k):
             emit[:, s] += np.bincount(symbols, alpha[:, s], len(emit))
     return start, moves * p.moves, emit, total
@@ -228,7 +247,7 @@ def expected(seqs: list[np.ndarray], p: Params, block: int):
 
 def _expect(shared, cfg: HmmConfig):
     def run(batches):
-        p: Params = shared.value
+        p = shared.value.single()
         k = cfg.states
         start, moves, emit = np.zeros(k), np.zeros((k, k)), np.zeros((cfg.alphabet, k))
         log = 0.0
@@ -312,9 +331,9 @@ def score_texts(docs: DataFrame, train: Column, cfg: HmmConfig = HmmConfig(), id
     counts, types = np.zeros(cfg.alphabet), np.zeros(cfg.buckets)
     for r in counted.groupBy((F.crc32(F.expr("substring(word, -3, 3)")) % cfg.buckets).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("t")).collect():
         counts[cfg.symbols + 1 + r["k"]], types[r["k"]] = r["c"], r["t"]
-    for w, s in lexicon.symbols.items():
+    for (w, s), c in zip(lexicon.symbols.items(), lexicon.count([*lexicon.symbols]), strict=True):
         k = crc32(w[-3:]) % cfg.buckets
-        counts[s] = lexicon.count(w)
+        counts[s] = c
         counts[cfg.symbols + 1 + k] -= counts[s]
         types[k] -= 1
     counts[cfg.end] = ends

@@ -5,9 +5,11 @@ import random
 import re
 from collections import Counter
 from hashlib import sha256
+from types import SimpleNamespace
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -678,3 +680,42 @@ def test_expected_counts_do_not_depend_on_blocks():
     for small in (1, 40, 250):
         assert all(np.allclose(a, b) for a, b in zip((start, moved, out, total), hmm.expected(seqs, p, small), strict=True))
     assert np.isclose(start.sum(), 5) and np.isclose(moved.sum(), sum(map(len, seqs)) - 5) and np.isclose(out.sum(), sum(map(len, seqs)))
+
+
+def test_words_are_looked_up_by_stretches_of_texts(monkeypatch):
+    """Every word has its symbol, count and class; the lexicon is asked once for a stretch, not once for a word."""
+    cfg = hmm.HmmConfig(symbols=3, buckets=4)
+    lexicon = hmm.Lexicon.of([b"a", b"b", b"c", b"dd", b"ee"], [50, 40, 30, 7, 5], cfg)
+    texts = [b"", b"A b dd zz ee c zz", b" \n ", b"qq", b"ee dd dd x1 x2 x3"]
+    calls, real = [], np.searchsorted
+    monkeypatch.setattr(hmm.np, "searchsorted", lambda *a, **k: calls.append(1) or real(*a, **k))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(range(5)), pa.array([True] * 5), pa.array(texts, pa.binary())], names=["row_id", "doc_id", "train", "text"])
+    (got,) = hmm._encode(SimpleNamespace(value=lexicon), cfg)([batch])
+    assert len(calls) <= 3  # of which one cuts the stretches and one the lists
+    counts = {b"dd": 7, b"ee": 5}
+    for text, symbols, near, known, rare in zip(texts, *(got.column(i).to_pylist() for i in range(3, 7)), strict=True):
+        words = text.lower().split()
+        assert np.frombuffer(symbols, "<u2").tolist() == [b"abc".find(w) if w in (b"a", b"b", b"c") else 4 + crc32(w[-3:]) % 4 for w in words] + [3]
+        assert np.isclose(near, sum(math.log10(counts[w] + 0.5) for w in words if w in counts)) and known == sum(w in counts for w in words)
+        assert rare == [w for w in words if w not in counts and w not in (b"a", b"b", b"c")]
+
+
+def test_rounds_in_single_precision_agree_with_double(monkeypatch):
+    """Steps of a round are in single precision, sums in double: also where states are next to impossible."""
+    rng = np.random.default_rng(6)
+    cfg = hmm.HmmConfig(symbols=30, buckets=9)
+    emit, moves = rng.random((cfg.alphabet, cfg.states)), np.full((cfg.states, cfg.states), 1e-10)
+    emit[:20, 1:] *= 1e-19  # these symbols come from one state, the others from the others
+    emit[20:, 0] *= 1e-19
+    moves += np.eye(cfg.states)
+    p = hmm.Params(np.full(cfg.states, 1 / cfg.states), moves / moves.sum(1, keepdims=True), emit / emit.sum(0))
+    seqs = [rng.integers(0, cfg.alphabet, n).astype("<u2") for n in (1, 3, 500, 9000)] + [np.repeat([5, 25, 5], 400).astype("<u2")]
+    want, kinds, real = hmm.expected(seqs, p, 2000), [], hmm.expected
+    monkeypatch.setattr(hmm, "expected", lambda s, q, block: kinds.append(q.emit.dtype) or real(s, q, block))
+    batch = pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in seqs])], names=["symbols"])
+    (got,) = hmm._expect(SimpleNamespace(value=p), cfg)([batch])
+    assert kinds == [np.float32]
+    rows = {k: np.array(r) for k, *r in zip(*(c.to_pylist() for c in got.columns), strict=True)}
+    k = cfg.states
+    assert np.allclose([rows[-1 - i] for i in range(k)], want[1], rtol=1e-3, atol=1e-3) and np.allclose(rows[-1 - k], want[0], rtol=1e-3, atol=1e-3)
+    assert np.allclose([rows.get(i, np.zeros(k)) for i in range(cfg.alphabet)], want[2], rtol=1e-3, atol=1e-3) and np.isclose(rows[-2 - k].sum(), want[3], rtol=1e-5)
