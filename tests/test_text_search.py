@@ -164,3 +164,18 @@ def test_pluggable_tokenizer_and_cross_encoder(spark):
     q = spark.createDataFrame([(1, "a")], "query_id long, question string")
     scorer = search.cross_encoder(lambda: lambda pairs: [float(t.count(x)) for x, t in pairs])
     assert [r["chunk_id"] for r in search.rerank(hits, q, scorer).orderBy("rank").collect()] == [2, 1, 3]
+
+
+def test_texts_of_chunks_are_not_shuffled_for_the_hits(spark):
+    hits = spark.createDataFrame([(1, 2, 0.5, 0), (1, 9, 0.4, 1), (2, 2, 0.5, 0)], "query_id long, chunk_id long, score double, rank int")
+    chunks = spark.createDataFrame([(i, i, i, t) for i, t in DOCS], "id long, sheet_id long, document_id long, text string")
+    sheets, documents = spark.createDataFrame([(2, "s")], "sheet_id long, name string"), spark.createDataFrame([(2, "f")], "id long, filename string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables of any size
+    try:
+        got = search.hydrate(hits, chunks, sheets, documents)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(chunk_id" not in plan and "hashpartitioning(sheet_id" in plan
+        assert sorted((r["query_id"], r["chunk_id"], r["text"], r["filename"]) for r in got.collect()) == [(1, 2, DOCS[1][1], "f"), (2, 2, DOCS[1][1], "f")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
